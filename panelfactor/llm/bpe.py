@@ -238,29 +238,36 @@ def decode_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", decoded string")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text: encoded, then decoded from the ids, in one pass."""
+def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of every text: encoded, then decoded from the ids, in one pass.
+
+    Nulls, long texts and repeated rows as in :func:`encode_texts`; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or default_path()))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches):
         vocabulary = shared.value
         encoder = Encoder(vocabulary)
         for batch in batches:
-            rows: list[tuple[int, str, str]] = []
+            at = 0
             for texts in chunks(batch.column("text")):
                 ids, counts = encoder.encode(texts)
-                ends = np.cumsum(counts)
-                for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
-                    own = ids[end - n : end]
-                    decoded = decode(vocabulary, own.tolist())
-                    rows.append((n, hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                bounds = np.r_[0, np.cumsum(counts)].astype(np.int32)
+                wide, sums, decoded = ids.astype("<u4"), [], []
+                for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    sums.append(hashlib.sha256(wide[begin:end].tobytes()).hexdigest())
+                    decoded.append(hashlib.sha256(decode(vocabulary, ids[begin:end].tolist()).encode()).hexdigest())
+                columns = [batch.column("doc_id").slice(at, len(texts)), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                at += len(texts)
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
     """Query: round trip of the whole ``documents`` table."""
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)

@@ -29,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -42,7 +42,7 @@ PACK, BUCKET, BITS, FAN = 2_000_000, 4_096, 1_024, 8
 #: Rows of postings in one group of trees, and pairs of nodes looked at at once.
 GROUP_POSTINGS, PAIRS = 60_000, 50_000
 
-_SETS = "doc_id long, set_id long, n_shingles long"
+_SETS = "doc_id long, text_key long, set_id long, n_shingles long"
 _PACKED = "part long, tokens binary, owners binary, sets binary, sizes binary"
 _SHARED = "part long, tokens binary, counts binary, sets binary, sizes binary, lengths binary"
 _SURVIVORS = "set_id long, n long, tokens binary, prefix array<long>, bits binary"
@@ -69,7 +69,7 @@ def _sets(size: int):
         for batch in batches:
             for b in blocks(batch.column("text")):
                 ids, counts = _set_ids(*shingle_sets(b, size), b.rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.lo, b.rows), pa.array(ids), pa.array(counts)], names=["doc_id", "set_id", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(b.lo, b.rows) for c in ("doc_id", "text_key")), pa.array(ids), pa.array(counts)], names=["doc_id", "text_key", "set_id", "n_shingles"])
 
     return run
 
@@ -318,14 +318,9 @@ def _tree_candidates(survivors: DataFrame, labels: DataFrame, percent: int) -> D
     return grid.groupBy("part").applyInArrow(_trees(percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
-
-    Null, empty or blank text: no shingles, linked with nothing, its own component. A null doc_id has no
-    place among the ids: component_id is the smallest other id of its component, or null. Repeated
-    rows are exact copies. Extra columns are ignored; an empty table gives an empty result.
-    """
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def document_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_key (hash of the text), n_shingles and class_id (null without shingles) of every row of ``docs``."""
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key().alias("text_key"))
     sets = store.written(slim.mapInArrow(_sets(size), _SETS), "shingle-sets")
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     parts = max(1, math.ceil(total / min(8_000_000, max(1_000_000, total // 2_000))))
@@ -340,12 +335,42 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     edges = store.again(links).unionByName(more)
     classes = store.written(connected_components(edges, "class-rounds"), "set-classes")
 
-    named = sets.join(classes, F.col("set_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id")).alias("class_id"))
-    named = store.written(named, "document-classes")
+    named = sets.join(classes, F.col("set_id") == F.col("node"), "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id")).alias("class_id"))
+    return store.written(named, "document-classes")
+
+
+def _text_key():
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+
+    Null, empty or blank text: no shingles, linked with nothing, its own component. A null doc_id has no
+    place among the ids: component_id is the smallest other id of its component, or null. Repeated
+    rows are exact copies. Extra columns are ignored; an empty table gives an empty result.
+    """
+    named = document_classes(docs, size, percent)
     smallest = store.again(named).where("class_id is not null").groupBy(F.col("class_id").alias("key")).agg(F.min("doc_id").alias("smallest"))
     return named.join(smallest, F.col("class_id") == F.col("key"), "left").select("doc_id", "n_shingles", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` for each class of near duplicates, that of the smallest id (null last), with all its columns.
+
+    Rows without shingles all stay; rows that repeat an id and its text are one document.
+    """
+    named = document_classes(docs, size, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = store.again(named).where("class_id is not null").groupBy("class_id").agg(F.min(place).alias("x")).select(F.col("x.doc_id").alias("_nj_id"), F.col("x.text_key").alias("_nj_key"))
+    blank = named.where("class_id is null").select(F.col("doc_id").alias("_nj_id"), F.col("text_key").alias("_nj_key"))
+    chosen = first.unionByName(blank)
+    keyed = docs.withColumn("_nj_text", _text_key()).withColumn("_nj_doc", F.col("doc_id").cast("long"))
+    met = keyed.join(chosen, (F.col("_nj_text") == F.col("_nj_key")) & F.col("_nj_doc").eqNullSafe(F.col("_nj_id")), "left_semi")
+    once = met.withColumn("_nj_row", F.row_number().over(Window.partitionBy("_nj_text", "_nj_doc").orderBy(F.lit(1))))
+    return once.where("_nj_row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def _star_pairs(survivors: DataFrame) -> DataFrame:
     """(a, b): each set with the one that is the smallest member of most of its buckets, if that is another."""
     p = store.again(survivors).select("set_id", F.explode("prefix").alias("token"))

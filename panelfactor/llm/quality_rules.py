@@ -22,7 +22,7 @@ HOST_SHARE, MIN_DOCUMENTS = 0.2, 20
 #: A document is depleted when boilerplate lines hold more than this share of its words.
 MAX_REMOVED_SHARE = 0.7
 
-_FEATURES = "doc_id long, source string, row_id long, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+_FEATURES = "doc_id long, source string, row_id long, row_key long, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
 _DIGIT = np.arange(256, dtype=np.uint8)
@@ -89,22 +89,19 @@ def _features(batches):
         for b in blocks(batch.column("text")):
             got = _block_features(b)
             part = batch.slice(b.lo, b.rows)
-            columns = {"doc_id": part.column("doc_id"), "source": part.column("source"), "row_id": part.column("row_id")} | got
+            columns = {"doc_id": part.column("doc_id"), "source": part.column("source"), "row_id": part.column("row_id"), "row_key": part.column("row_key")} | got
             order = [x.split()[0] for x in _FEATURES.split(", ")]
             yield pa.RecordBatch.from_arrays([x if isinstance(x := columns[k], pa.Array) else pa.array(x.astype(np.int64)) for k in order], names=order)
 
 
-def quality_rules(docs: DataFrame, host_share: float = HOST_SHARE, min_documents: int = MIN_DOCUMENTS, max_removed_share: float = MAX_REMOVED_SHARE) -> DataFrame:
-    """Base figures and verdict of every row of ``docs`` (doc_id, text, source).
+def _row_key():
+    """Tells rows of one id apart by source and text."""
+    return F.xxhash64(F.col("source").cast("string"), F.col("text").cast("string"))
 
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words (words
-    in lines over the host's limit), base_failed, kept; one row for each input row.
 
-    Null or empty text: no words, base_failed. Null doc_id or source: kept as null (null sources are
-    one host). Repeated rows: each gets its own row; copies of a text count as one document of
-    their host. Other columns are ignored. An empty table gives an empty result.
-    """
-    spare = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row_id"))
+def verdicts(docs: DataFrame, host_share: float = HOST_SHARE, min_documents: int = MIN_DOCUMENTS, max_removed_share: float = MAX_REMOVED_SHARE) -> DataFrame:
+    """:func:`quality_rules` with row_key, which with doc_id names the rows that a verdict holds for."""
+    spare = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row_id"), _row_key().alias("row_key"))
     table = store.written(spare.mapInArrow(_features, _FEATURES), "quality-features")
 
     once = table.groupBy("source", "text_hash").agg(F.first("lines").alias("lines"))
@@ -122,10 +119,30 @@ def quality_rules(docs: DataFrame, host_share: float = HOST_SHARE, min_documents
     return (
         table.drop("lines", "line_words", "source", "text_hash")
         .join(removed, "row_id", "left")
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", gone.alias("removed_words"), base_failed.alias("base_failed"), (~base_failed & (gone <= max_removed_share * F.col("n_words"))).alias("kept"))
+        .select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", gone.alias("removed_words"), base_failed.alias("base_failed"), (~base_failed & (gone <= max_removed_share * F.col("n_words"))).alias("kept"))
     )
 
 
+def quality_rules(docs: DataFrame, host_share: float = HOST_SHARE, min_documents: int = MIN_DOCUMENTS, max_removed_share: float = MAX_REMOVED_SHARE) -> DataFrame:
+    """Base figures and verdict of every row of ``docs`` (doc_id, text, source).
+
+    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words (words
+    in lines over the host's limit), base_failed, kept; one row for each input row.
+
+    Null or empty text: no words, base_failed. Null doc_id or source: kept as null (null sources are
+    one host). Repeated rows: each gets its own row; copies of a text count as one document of
+    their host. Other columns are ignored. An empty table gives an empty result.
+    """
+    return verdicts(docs, host_share, min_documents, max_removed_share).drop("row_key")
+
+
+def kept_documents(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns."""
+    good = verdicts(docs, **limits).where("kept").select(F.col("doc_id").alias("_qr_id"), F.col("row_key").alias("_qr_key"))
+    keyed = docs.withColumn("_qr_row", _row_key())
+    return keyed.join(good, (F.col("_qr_row") == F.col("_qr_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_qr_id")), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Query: verdicts on the whole ``documents`` table."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -54,15 +54,19 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPI
     return s.select("source", "source_size", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")).alias("target"))
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies (whole copies that the mix takes) of each row of ``docs``.
+    """doc_id, source, size, source_size, target, copies (whole copies that the mix takes) and text_key of each row of ``docs``.
 
     Null text: size 0. Null source: a source of its own, last. Documents without words are taken as
     their source's certain copies say, which changes no sum. Repeated rows and equal ids are ranked alike
     and then by size. Other columns are ignored. An empty table gives an empty result.
     """
     sized = store.written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).cast("long").alias("size")).withColumn("u", uniform(F.col("doc_id"), seed)),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).cast("long").alias("size"), _text_key().alias("text_key")).withColumn("u", uniform(F.col("doc_id"), seed)),
         "mix-sizes",
     )
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -87,10 +91,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: in
     # a document belongs to the sample while the target lies beyond the middle of its words
     cut = d.where(inside).withColumn("rank", rank).withColumn("extra", (F.col("start") + F.sum("size").over(upto) - F.col("size") / 2 <= rest).cast("long"))
     clear = d.where(~inside).withColumn("extra", (F.col("start") + F.col("words") <= rest).cast("long"))
-    columns = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies")]
+    columns = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), "text_key"]
     return clear.select(columns).unionByName(cut.select(columns))
 
 
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as :func:`mix` takes it (repeated rows: as often as all of them together)."""
+    m = mix(docs, weights, max_copies, seed)
+    taken = m.groupBy(F.col("doc_id").alias("_sm_id"), F.col("source").alias("_sm_source"), F.col("text_key").alias("_sm_text")).agg(F.sum("copies").alias("_sm_copies")).where("_sm_copies > 0")
+    keyed = docs.withColumn("_sm_doc", F.col("doc_id").cast("long")).withColumn("_sm_key", _text_key())
+    met = keyed.join(taken, F.col("_sm_doc").eqNullSafe(F.col("_sm_id")) & (F.col("_sm_key") == F.col("_sm_text")) & F.col("source").cast("string").eqNullSafe(F.col("_sm_source")))
+    once = met.withColumn("_sm_row", F.row_number().over(Window.partitionBy("_sm_id", "_sm_text", "_sm_source").orderBy(F.lit(1)))).where("_sm_row = 1")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_sm_copies")))
+    return once.withColumn("_sm_copy", copies).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op10_source_mix(spark, sf_dir: str) -> DataFrame:
     """Query: the mix of the whole ``documents`` table."""
     m = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
