@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import bpe, line_dedup, ngram_join, quality_rules, source_mix, token_counts, topk_search
+from . import bpe, html_extract, line_dedup, ngram_join, quality_classifier, quality_rules, source_mix, token_counts, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -14,6 +14,9 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op1_topk_search": topk_search.op1_topk_search,
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_html_extract": html_extract.op6_html_extract,
         "op7_bpe": bpe.op7_bpe,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_line_dedup": line_dedup.op9_line_dedup,
