@@ -9,8 +9,9 @@ A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets l
    and is done; for the others the shared tokens return, with their counts.
 3. Prefixes. With tokens ordered from rare to frequent, two linked sets share one of the first
    n - ceil(3n/4) + 1 tokens of each; these make the trees' buckets.
-4. Stars. Each set is held against the set it shares most prefix tokens with among the buckets'
-   smallest; true links merge the large groups of near copies without their pairs.
+4. Stars. A bucket's hub is the member with the fewest tokens of its own, which edited copies of one
+   text have in common; each set is held against the hub that it shares most buckets with. True
+   links merge the large groups of near copies without their pairs.
 5. Signature trees. In each bucket that still holds several classes the members, sorted by size, are
    leaves of a tree whose nodes hold OR-combined token bitmaps and size ranges; a dual traversal
    from the root drops pairs of nodes whose sizes can't match, that lie in one class, or whose
@@ -41,6 +42,7 @@ SIZE, PERCENT = 5, 75
 PACK, BUCKET, BITS, FAN = 2_000_000, 4_096, 1_024, 8
 #: Rows of postings in one group of trees, and pairs of nodes looked at at once.
 GROUP_POSTINGS, PAIRS = 60_000, 50_000
+HOT_CLASSES = 200
 
 _SETS = "doc_id long, text_key long, set_id long, n_shingles long"
 _PACKED = "part long, tokens binary, owners binary, sets binary, sizes binary"
@@ -351,8 +353,15 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     rows are exact copies. Extra columns are ignored; an empty table gives an empty result.
     """
     named = document_classes(docs, size, percent)
-    smallest = store.again(named).where("class_id is not null").groupBy(F.col("class_id").alias("key")).agg(F.min("doc_id").alias("smallest"))
-    return named.join(smallest, F.col("class_id") == F.col("key"), "left").select("doc_id", "n_shingles", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+    smallest = store.written(store.again(named).where("class_id is not null").groupBy(F.col("class_id").alias("key")).agg(F.min("doc_id").alias("smallest"), F.count("*").alias("members")), "class-heads")
+    total = named.count()
+    # a class above this share of all rows: there can be HOT_CLASSES of them at most, so their heads are broadcast
+    hot = F.broadcast(store.again(smallest).where(F.col("members") * HOT_CLASSES > total))
+    same = F.col("class_id") == F.col("key")
+    columns = ["doc_id", "n_shingles", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id")]
+    large = named.join(hot, same).select(columns)
+    rest = store.again(named).join(hot.select("key"), same, "left_anti").join(smallest, same, "left").select(columns)
+    return large.unionByName(rest)
 
 
 def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -372,13 +381,15 @@ def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
 
 
 def _star_pairs(survivors: DataFrame) -> DataFrame:
-    """(a, b): each set with the one that is the smallest member of most of its buckets, if that is another."""
+    """(a, b): each set with the hub of most of its buckets, if that is another set."""
+    # tokens of its own take prefix places from a set: the more are left, the nearer it is to a group's middle
+    left = (F.size("prefix") / F.col("n")).alias("left")
     p = store.again(survivors).select("set_id", F.explode("prefix").alias("token"))
-    q = store.again(survivors).select("set_id", F.explode("prefix").alias("bucket"))
-    pivots = q.groupBy("bucket").agg(F.min("set_id").alias("pivot"), F.count("*").alias("members")).where("members > 1").select("bucket", "pivot")
-    met = p.join(pivots, F.col("token") == F.col("bucket")).groupBy("set_id", "pivot").agg(F.count("*").alias("times"))
-    best = met.where("set_id <> pivot").groupBy("set_id").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot"))
-    return best.select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
+    q = store.again(survivors).select("set_id", left, F.explode("prefix").alias("bucket"))
+    hubs = q.groupBy("bucket").agg(F.max(F.struct("left", "set_id")).alias("hub"), F.count("*").alias("members")).where("members > 1").select("bucket", F.col("hub.left").alias("left"), F.col("hub.set_id").alias("hub"))
+    met = p.join(hubs, F.col("token") == F.col("bucket")).groupBy("set_id", "hub").agg(F.count("*").alias("times"), F.max("left").alias("left"))
+    best = met.where("set_id <> hub").groupBy("set_id").agg(F.max(F.struct("times", "left", "hub")).alias("best"))
+    return best.select(F.col("set_id").alias("a"), F.col("best.hub").alias("b"))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
