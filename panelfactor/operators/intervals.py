@@ -81,7 +81,8 @@ def coverage(rows: DataFrame, nodes, history: int = 260, least: int = 104, evalu
     wanted = rows.select(PANEL, "node").distinct().withColumn("coverage", F.explode(F.array(*(F.lit(float(c)) for c in coverages))))
     out = wanted.join(counts, keys, "left").join(bounds, keys, "left").withColumn("binomial_p", binomial_at_most("hits", "n", "floor"))
     status = F.when(F.col("n").isNull(), "NOT EVALUATED").when(F.col("high") < F.col("floor"), "WARN").when(F.col("low") >= F.col("floor"), "PASS").otherwise("INCONCLUSIVE")
-    return out.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("tail_order_statistics", F.lit(replications * alpha / (2 * len(coverages) * len(nodes.names)))).withColumn("status", status)
+    out = out.withColumn("status", status).withColumn("tail_order_statistics", F.lit(replications * alpha / (2 * len(coverages) * len(nodes.names))))
+    return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def joint_hits(hit_rows: DataFrame) -> DataFrame:
