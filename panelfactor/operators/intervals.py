@@ -39,22 +39,24 @@ def hits(rows: DataFrame, history: int = 260, least: int = 104, evaluate_from: i
     return long.withColumn("hit", F.col("residual").between(F.col("lower"), F.col("upper")))
 
 
-def block_bounds(hit_rows: DataFrame, n_nodes: int, alpha: float, block_lengths=(4, 13, 26), replications: int = 20_000, seed: int = 17_729, coverages=COVERAGES) -> DataFrame:
+def block_bounds(hit_rows: DataFrame, node_names, alpha: float, block_lengths=(4, 13, 26), replications: int = 20_000, seed: int = 17_729, coverages=COVERAGES) -> DataFrame:
     """panel, coverage, node, low, high: the widest of the block lengths' intervals for the hit rate.
 
     Rows are resampled in circular blocks, jointly over nodes; the tails are alpha / (2 x coverages x nodes).
     """
-    tail = alpha / (2 * len(coverages) * n_nodes)
-    keys = [PANEL, "coverage", "node"]
-    first = Window.partitionBy(*keys)
-    placed = hit_rows.select(*keys, F.col("hit").cast("int").alias("h"), (F.col(ROW) - F.min(ROW).over(first)).cast("long").alias("at"), F.count("*").over(first).alias("n"))
-    # the hits of one row in all nodes and coverages share their draws: expand once for each row
-    packed = placed.groupBy(PANEL, "at", "n").agg(F.collect_list(F.struct("coverage", "node", "h")).alias("cells"))
-    drawn = resampled(packed, "at", "n", block_lengths, replications, seed)
-    flat = drawn.select(PANEL, "block_length", "replication", F.explode("cells").alias("c"))
-    rates = flat.groupBy(PANEL, "block_length", "replication", "c.coverage", "c.node").agg(F.avg("c.h").alias("rate"))
-    q = rates.groupBy(PANEL, "coverage", "node", "block_length").agg(F.percentile("rate", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
-    return q.groupBy(*keys).agg(F.min(F.col("q")[0]).alias("low"), F.max(F.col("q")[1]).alias("high"))
+    cells = [(float(c), n) for c in coverages for n in node_names]
+    tail = alpha / (2 * len(cells))
+    whole = Window.partitionBy(PANEL)  # rows: one for each evaluated forecast
+    hit = F.col("hit").cast("int")
+    # one row holds the hits of all nodes and coverages, so they share its draws
+    wide = hit_rows.groupBy(PANEL, ROW).agg(*(F.max(F.when((F.col("coverage") == c) & (F.col("node") == n), hit)).alias(f"h{k}") for k, (c, n) in enumerate(cells)))
+    placed = wide.withColumn("at", (F.col(ROW) - F.min(ROW).over(whole)).cast("long")).withColumn("n", F.count("*").over(whole)).drop(ROW)
+    drawn = resampled(placed, "at", "n", block_lengths, replications, seed)
+    rates = drawn.groupBy(PANEL, "block_length", "replication").agg(*(F.avg(f"h{k}").alias(f"h{k}") for k in range(len(cells))))
+    ends = F.array(F.lit(tail), F.lit(1 - tail))
+    q = rates.groupBy(PANEL, "block_length").agg(*(F.percentile(f"h{k}", ends).alias(f"h{k}") for k in range(len(cells))))
+    widest = q.groupBy(PANEL).agg(F.array(*(F.struct(F.lit(c).alias("coverage"), F.lit(n).alias("node"), F.min(F.col(f"h{k}")[0]).alias("low"), F.max(F.col(f"h{k}")[1]).alias("high")) for k, (c, n) in enumerate(cells))).alias("x"))
+    return widest.select(PANEL, F.explode("x").alias("x")).select(PANEL, "x.*").where("low is not null")
 
 
 def coverage_counts(hit_rows: DataFrame, tolerance: float = 0.03, alpha: float = 0.05) -> DataFrame:
@@ -77,7 +79,7 @@ def coverage(rows: DataFrame, nodes, history: int = 260, least: int = 104, evalu
     keys = [PANEL, "coverage", "node"]
     hit_rows = hits(rows, history, least, evaluate_from, coverages)
     counts = coverage_counts(hit_rows, tolerance, alpha)
-    bounds = block_bounds(hit_rows, len(nodes.names), alpha, block_lengths, replications, seed, coverages)
+    bounds = block_bounds(hit_rows, nodes.names, alpha, block_lengths, replications, seed, coverages)
     wanted = rows.select(PANEL, "node").distinct().withColumn("coverage", F.explode(F.array(*(F.lit(float(c)) for c in coverages))))
     out = wanted.join(counts, keys, "left").join(bounds, keys, "left").withColumn("binomial_p", binomial_at_most("hits", "n", "floor"))
     status = F.when(F.col("n").isNull(), "NOT EVALUATED").when(F.col("high") < F.col("floor"), "WARN").when(F.col("low") >= F.col("floor"), "PASS").otherwise("INCONCLUSIVE")
