@@ -74,28 +74,34 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
+def train(positive, unlabelled, features: int, prior: float, seed: int) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier under the non-negative risk (logistic loss, Adam, whole batches).
 
-    ``positive``, ``unlabelled``: presence of the features, a row for each text.
+    ``positive``, ``unlabelled``: (rows, places of the features that a row holds, number of rows); rows ascend.
     """
-    n, d = unlabelled.shape
-    theta = np.zeros(d + 1)
-    theta[-1] = np.log(prior / (1 - prior))
-    first, second = np.zeros(d + 1), np.zeros(d + 1)
-    p, u = (np.c_[x, np.ones(len(x))].astype(np.float64) for x in (positive, unlabelled))
-    u = u[np.random.default_rng(seed).integers(0, n, n)]
+    theta, bias = np.zeros(features), float(np.log(prior / (1 - prior)))
+    first, second = np.zeros(features + 1), np.zeros(features + 1)
+    (pr, pc, n), (ur, uc, m) = positive, unlabelled
+    drawn = np.bincount(np.random.default_rng(seed).integers(0, m, m), minlength=m) / m  # a bag of the unlabelled
+
+    def margins(rows, places, size):
+        return np.bincount(rows, weights=theta[places], minlength=size) + bias
+
+    def gradient(rows, places, pull):
+        return np.r_[np.bincount(places, weights=pull[rows], minlength=features), pull.sum()]
+
     for t in range(1, ROUNDS + 1):
-        at_p, at_u = p @ theta, u @ theta
-        up, uu = _sigmoid(at_p), _sigmoid(at_u)
-        grad_plus = -prior * (p * (1 - up)[:, None]).mean(axis=0)
-        negative = np.logaddexp(0, at_u).mean() - prior * np.logaddexp(0, at_p).mean()
-        grad_minus = (u * uu[:, None]).mean(axis=0) - prior * (p * up[:, None]).mean(axis=0)
+        at_p, at_u = margins(pr, pc, n), margins(ur, uc, m)
+        up = _sigmoid(at_p)
+        grad_plus = gradient(pr, pc, -prior * (1 - up) / n)
+        negative = drawn @ np.logaddexp(0, at_u) - prior * np.logaddexp(0, at_p).mean()
+        grad_minus = gradient(ur, uc, drawn * _sigmoid(at_u)) - gradient(pr, pc, prior * up / n)
         g = grad_plus + grad_minus if negative >= 0 else -grad_minus
-        g[:-1] += RIDGE * prior * theta[:-1]
+        g[:-1] += RIDGE * prior * theta
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        theta = theta - RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
-    return theta[:-1], float(theta[-1])
+        step = RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
+        theta, bias = theta - step[:-1], bias - float(step[-1])
+    return theta, bias
 
 
 def _evidence(a, b, n, m):
@@ -146,12 +152,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_toxic: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(at[hit].astype(np.int32)))], names=["doc_id", "y", "f"])
 
     rows = store.again(table).mapInArrow(project, "doc_id long, y int, f array<int>").orderBy("doc_id", "y", "f").toArrow()
-    y, places = rows["y"].to_numpy(), rows["f"].to_pylist()
-    x = np.zeros((len(y), len(chosen)), np.float32)
-    for k, at in enumerate(places):
-        x[k, at] = 1
+    y, lists = rows["y"].to_numpy(), rows["f"].combine_chunks()
+    owner, places = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    sides = []
+    for label_value in (1, 0):
+        own = y == label_value
+        number, mine = np.cumsum(own) - 1, own[owner]
+        sides.append((number[owner[mine]], places[mine], int(own.sum())))
     prior = float(np.clip(n_toxic / n_labels, 1e-4, 0.5))
-    bags = [train(x[y == 1], x[y == 0], prior, SEED + k) for k in range(BAGS)]
+    bags = [train(*sides, len(chosen), prior, SEED + k) for k in range(BAGS)]
     return Model(np.sort(chosen).view(np.uint64), np.mean([w for w, _ in bags], axis=0), float(np.mean([b for _, b in bags])))
 
 

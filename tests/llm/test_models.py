@@ -60,7 +60,8 @@ def test_non_negative_risk_holds_back():
     pos = (rng.random((60, 8)) < [0.9] * 3 + [0.1] * 5).astype(float)
     neg = (rng.random((1000, 8)) < [0.02] * 3 + [0.1] * 5).astype(float)
     hidden = (rng.random((100, 8)) < [0.9] * 3 + [0.1] * 5).astype(float)
-    w, b = toxicity.train(pos, np.r_[neg, hidden], 100 / 1100, 1)
+    sparse = lambda x: (*np.nonzero(x), len(x))
+    w, b = toxicity.train(sparse(pos), sparse(np.r_[neg, hidden]), 8, 100 / 1100, 1)
     assert ((hidden @ w + b) > 0).mean() > 0.8 and ((neg @ w + b) > 0).mean() < 0.05
 
 
