@@ -6,7 +6,10 @@ A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets l
 1. Sets. Equal sets are one set from here on (copies link trivially).
 2. Token counts. All (token, set) postings are partitioned by range of token; a token of one set
    only can't be shared. A set with more such tokens than a link allows (over a quarter) has no link
-   and is done; for the others the shared tokens return, with their counts.
+   and is done; for the others the shared tokens return, with their counts. A task sends a set once,
+   however many copies it meets, and tokens that a sample shows to be very frequent go past the
+   grouping as shared and most frequent: which tokens those are changes no result, since prefixes
+   only need one order of tokens for all sets.
 3. Prefixes. With tokens ordered from rare to frequent, two linked sets share one of the first
    n - ceil(3n/4) + 1 tokens of each; these make the trees' buckets.
 4. Stars. A bucket's hub is the member with the fewest tokens of its own, which edited copies of one
@@ -30,6 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +47,8 @@ PACK, BUCKET, BITS, FAN = 2_000_000, 4_096, 1_024, 8
 #: Rows of postings in one group of trees, and pairs of nodes looked at at once.
 GROUP_POSTINGS, PAIRS = 60_000, 50_000
 HOT_CLASSES = 200
+#: A token in this many sets, or in over 1/HOT_TOKENS of all postings, is sent past the grouping; found from about HOT_SAMPLE postings.
+MIN_HOT, HOT_TOKENS, HOT_SAMPLE = 50_000, 100_000, 5_000_000
 
 _SETS = "doc_id long, text_key long, set_id long, n_shingles long"
 _PACKED = "part long, tokens binary, owners binary, sets binary, sizes binary"
@@ -102,23 +108,52 @@ def _part(value: np.ndarray, bits: int, parts: int) -> np.ndarray:
     return ((value >> np.uint64(bits - 31)).astype(np.int64) * parts) >> 31
 
 
-def _postings(size: int, parts: int):
-    def flush(tokens, owners, sets, sizes):
+def _hot_tokens(slim: DataFrame, size: int, n_sets: int, total: int) -> np.ndarray:
+    """Sorted 48-bit tokens that a sample of rows shows to be in very many sets (HOT_TOKENS of them at most, by their threshold)."""
+    least = max(MIN_HOT, total // HOT_TOKENS)
+    if n_sets < least:
+        return np.empty(0, np.uint64)
+    rate = min(1.0, HOT_SAMPLE / total)
+
+    def tokens(batches):
+        for batch in batches:
+            for b in blocks(batch.column("text")):
+                short, counts = np.unique(shingle_sets(b, size)[0] >> np.uint64(16), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(short.view(np.int64)), pa.array(counts)], names=["token", "n"])
+
+    sample = slim.where(F.pmod(F.xxhash64("text_key", "doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("text")
+    counted = sample.mapInArrow(tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, rate * least))
+    return np.sort(np.array([r.token for r in counted.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token").collect()], np.int64).view(np.uint64))
+
+
+def _postings(size: int, parts: int, hot):
+    def flush(number, tokens, owners, sets, sizes):
         tokens, owners = np.concatenate(tokens), np.concatenate(owners)
         sets, sizes = np.concatenate(sets), np.concatenate(sizes).astype(np.uint32)
+        once = np.zeros(len(sets), bool)  # copies of a set are sent once
+        once[np.unique(sets, return_index=True)[1]] = True
+        tokens, owners = tokens[once[owners]], owners[once[owners]]
         short = tokens >> np.uint64(16)
         order = np.argsort(short)
         short, owners = short[order], owners[order]
-        cuts = np.searchsorted(_part(short, 48, parts), np.arange(parts + 1))
+        where = _part(short, 48, parts)
+        if len(hot.value) and len(short):
+            at = np.minimum(np.searchsorted(hot.value, short), len(hot.value) - 1)
+            # a group of its own for the frequent tokens of each flush
+            where = np.where(hot.value[at] == short, parts, where)
+            order = np.argsort(where, kind="stable")
+            short, owners, where = short[order], owners[order], where[order]
+        cuts = np.searchsorted(where, np.arange(parts + 2))
         for k in np.flatnonzero(np.diff(cuts)):
             own = owners[cuts[k] : cuts[k + 1]]
             used, code = np.unique(own, return_inverse=True)
             code = code.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
             blobs = [_pack_tokens(short[cuts[k] : cuts[k + 1]]), _planes(code), sets[used].tobytes(), _planes(sizes[used])]
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)]), *(pa.array([x], pa.binary()) for x in blobs)], names=[x.split()[0] for x in _PACKED.split(", ")])
+            group = int(k) if k < parts else parts + (TaskContext.get().partitionId() << 20) + number
+            yield pa.RecordBatch.from_arrays([pa.array([group]), *(pa.array([x], pa.binary()) for x in blobs)], names=[x.split()[0] for x in _PACKED.split(", ")])
 
     def run(batches):
-        held, total, rows = ([], [], [], []), 0, 0
+        held, total, rows, number = ([], [], [], []), 0, 0, 0
         for batch in batches:
             for b in blocks(batch.column("text")):
                 tokens, owner = shingle_sets(b, size)
@@ -127,10 +162,10 @@ def _postings(size: int, parts: int):
                     x.append(y)
                 total, rows = total + len(tokens), rows + b.rows
                 if total >= PACK:
-                    yield from flush(*held)
-                    held, total, rows = ([], [], [], []), 0, 0
+                    yield from flush(number, *held)
+                    held, total, rows, number = ([], [], [], []), 0, 0, number + 1
         if total:
-            yield from flush(*held)
+            yield from flush(number, *held)
 
     return run
 
@@ -139,6 +174,7 @@ def _shared(parts: int):
     """Postings of one range of tokens in, those of tokens that several sets hold out, packed by range of set."""
 
     def run(table: pa.Table) -> pa.Table:
+        frequent = table["part"][0].as_py() >= parts
         tokens, sets, sizes = [], [], []
         for t, o, s, z in zip(*(table[c].to_pylist() for c in ("tokens", "owners", "sets", "sizes")), strict=True):
             tokens.append(_unpack_tokens(t))
@@ -147,17 +183,18 @@ def _shared(parts: int):
             sizes.append(_unplanes(z, np.uint32)[code])
         tokens, sets, sizes = map(np.concatenate, (tokens, sets, sizes))
         order = np.argsort(tokens)
-        same = tokens[order][1:] == tokens[order][:-1]
-        order = order[np.r_[same, False] | np.r_[False, same]]
+        if not frequent:
+            same = tokens[order][1:] == tokens[order][:-1]
+            order = order[np.r_[same, False] | np.r_[False, same]]
         tokens, sets, sizes = tokens[order], sets[order], sizes[order]
         order = np.lexsort((sets, tokens))
         tokens, sets, sizes = tokens[order], sets[order], sizes[order]
         new = np.r_[True, (tokens[1:] != tokens[:-1]) | (sets[1:] != sets[:-1])] if len(tokens) else np.empty(0, bool)
         tokens, sets, sizes = tokens[new], sets[new], sizes[new]
         _, code, held = np.unique(tokens, return_inverse=True, return_counts=True)
-        many = held[code] > 1
+        many = (held[code] > 1) | frequent
         tokens, sets, sizes = tokens[many], sets[many], sizes[many]
-        rarity = np.floor(4 * np.log2(np.maximum(held[code][many], 2))).astype(np.uint8)
+        rarity = np.full(len(tokens), 255, np.uint8) if frequent else np.floor(4 * np.log2(np.maximum(held[code][many], 2))).astype(np.uint8)
         order = np.lexsort((tokens, sets))
         tokens, sets, sizes, rarity = tokens[order], sets[order], sizes[order], rarity[order]
         first = np.flatnonzero(np.r_[True, sets[1:] != sets[:-1]]) if len(sets) else np.empty(0, np.int64)
@@ -191,13 +228,16 @@ def _survive(percent: int):
             owner.append(np.repeat(np.frombuffer(s, np.int64), lengths))
             size.append(np.repeat(_unplanes(z, np.uint32), lengths))
         tokens, rarity, owner, size = map(np.concatenate, (tokens, rarity, owner, size))
+        order = np.lexsort((tokens, owner))
+        tokens, rarity, owner, size = tokens[order], rarity[order], owner[order], size[order]
+        # a set that several tasks met may bring a frequent token more than once
+        new = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])] if len(tokens) else np.empty(0, bool)
+        tokens, rarity, owner, size = tokens[new], rarity[new], owner[new], size[new]
         ids, code, counts = np.unique(owner, return_inverse=True, return_counts=True)
         n = np.zeros(len(ids), np.int64)
         n[code] = size
         prefix = n - -(-percent * n // 100) + 1
         left = prefix - (n - counts)  # prefix places that tokens of this set alone leave
-        order = np.lexsort((tokens, code))
-        tokens, rarity, code = tokens[order], rarity[order], code[order]
         cuts = np.r_[0, np.cumsum(counts)]
         rows = []
         for k in np.flatnonzero(left > 0):
@@ -324,10 +364,11 @@ def document_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     """doc_id, text_key (hash of the text), n_shingles and class_id (null without shingles) of every row of ``docs``."""
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key().alias("text_key"))
     sets = store.written(slim.mapInArrow(_sets(size), _SETS), "shingle-sets")
-    total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    n_sets, total = sets.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_tokens(slim, size, n_sets, total))
     parts = max(1, math.ceil(total / min(8_000_000, max(1_000_000, total // 2_000))))
 
-    packed = slim.select("text").mapInArrow(_postings(size, parts), _PACKED)
+    packed = slim.select("text").mapInArrow(_postings(size, parts, hot), _PACKED)
     shared = packed.groupBy("part").applyInArrow(_shared(parts), _SHARED)
     survivors = store.written(shared.groupBy("part").applyInArrow(_survive(percent), _SURVIVORS), "join-survivors")
 

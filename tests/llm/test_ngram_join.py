@@ -43,9 +43,11 @@ def texts(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_classes_equal_brute_force(make, monkeypatch, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 50_000), (2, 50_000), (1, 2), (2, 4)])
+def test_classes_equal_brute_force(make, monkeypatch, seed, hot):
     monkeypatch.setattr(ngram_join, "BUCKET", 3)  # several cells for each tree
+    monkeypatch.setattr(ngram_join, "MIN_HOT", hot)  # whichever tokens count as frequent
+    monkeypatch.setattr(ngram_join, "PACK", 200)  # several flushes in a task
     rows = [*texts(seed), (900, None), (901, ""), (902, " \n "), (903, "one two"), (904, "ONE  two"), (905, "É x"), (906, "é x"), (None, "one two"), (903, "one two")]
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(make(rows, True)).collect()]
     key = lambda x: tuple((v is None, v) for v in x)
