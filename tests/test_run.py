@@ -46,9 +46,10 @@ def test_a_run_is_written_reused_and_guarded(spark, files, capsys):
     assert cli.main(argv, spark) == code and json.loads(capsys.readouterr().out.strip().splitlines()[-1])["reused"]
     with open(told["run"] + "/tails.csv", "a") as f:
         f.write("x\n")
-    assert cli.main(argv, spark) == 2
+    with pytest.raises(ValueError, match="tails.csv"):
+        run.verify_run(told["run"], told["run"].rsplit("/", 1)[-1])
     events = [json.loads(x) for x in (files / "runs" / "ledger.jsonl").read_text().splitlines()]
-    assert [e["event"] for e in events] == ["run", "run", "failure"] and events[2]["stage"] == "output"
+    assert [(e["event"], e.get("reused")) for e in events] == [("run", False), ("run", True)]
 
 
 @pytest.mark.parametrize("argv", [["--csv", "a", "--snapshot", "b"], ["--nope"], ["--csv", "a", "--approval", "me-1"], ["--csv", "a", "--config", "x", "--end", "2020-01-01"], ["--snapshot", "a"]])
