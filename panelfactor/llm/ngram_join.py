@@ -43,7 +43,7 @@ from .textkernel import blocks, mix, row_sets, shingles
 
 SIZE, PERCENT = 5, 75
 #: Tokens that a task packs at once; tokens of one range; members of one tree before it is cut; bits of a bitmap; children of a node.
-PACK, BUCKET, BITS, FAN = 2_000_000, 4_096, 1_024, 8
+PACK, BUCKET, BITS, FAN = 1_000_000, 4_096, 1_024, 8
 #: Rows of postings in one group of trees, and pairs of nodes looked at at once.
 GROUP_POSTINGS, PAIRS = 60_000, 50_000
 HOT_CLASSES = 200
