@@ -15,8 +15,9 @@ from panelfactor.llm import bpe, line_dedup, ngram_join, quality_rules, source_m
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.kept_documents(docs)
+    """Documents that the quality rules keep, without their host's frequent lines; n_chars follows the text."""
+    lean = quality_rules.kept_documents(docs)
+    return lean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def apply_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,22 @@ def _sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, weights=values, minlength=n).astype(np.int64)
 
 
+def _worded_lines(b, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start, end, row, first and past-last word, and place in the row, of every line that has a word."""
+    at, to, owner = b.lines()
+    place = np.arange(len(at)) - np.searchsorted(owner, owner)
+    first, last = np.searchsorted(starts, at), np.searchsorted(starts, to)
+    worded = last > first
+    return at[worded], to[worded], owner[worded], first[worded], last[worded], place[worded]
+
+
+def _line_hashes(b, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Hashes of stripped lines, lower-cased and with digits made 0."""
+    low = b.lowered()
+    low.data = _DIGIT[low.data]
+    return low.hashes(at, to)
+
+
 def _block_features(b) -> dict[str, list]:
     n = b.rows
     starts, ends = b.words()
@@ -62,18 +79,13 @@ def _block_features(b) -> dict[str, list]:
         np.add.at(covered, begin + 8, -1)
     out["n_repeat_words"] = _sums(np.cumsum(covered)[:-1] > 0, row, n)
 
-    at, to, owner = b.lines()
-    first, last = np.searchsorted(starts, at), np.searchsorted(starts, to)
-    worded = last > first
-    at, to, owner, first, last = at[worded], to[worded], owner[worded], first[worded], last[worded]
+    at, to, owner, first, last, _ = _worded_lines(b, starts)
     raw = b.hashes(at, to)
     order = np.lexsort((raw, owner))
     again = np.zeros(len(raw), np.int64)
     again[order[1:]] = (raw[order][1:] == raw[order][:-1]) & (owner[order][1:] == owner[order][:-1])
     out["n_dup_lines"] = _sums(again, owner, n)
-    low = b.lowered()
-    low.data = _DIGIT[low.data]
-    line = low.hashes(starts[first], ends[last - 1]) if len(first) else raw
+    line = _line_hashes(b, starts[first], ends[last - 1]) if len(first) else raw
     held, held_row = row_sets(line, owner)
     order = np.lexsort((line, owner))
     group = np.cumsum(np.r_[True, (line[order][1:] != line[order][:-1]) | (owner[order][1:] != owner[order][:-1])]) - 1 if len(line) else order
@@ -94,13 +106,38 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays([x if isinstance(x := columns[k], pa.Array) else pa.array(x.astype(np.int64)) for k in order], names=order)
 
 
+def _cut(batches):
+    """Texts without the lines whose hashes _qr_cut holds."""
+    for batch in batches:
+        names = [x for x in batch.schema.names if x != "_qr_cut"]
+        texts, cuts = batch.column("text"), batch.column("_qr_cut")
+        # only rows that lose a line are hashed and become Python strings
+        some = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
+        if len(some):
+            short = []
+            touched, cuts = texts.take(pa.array(some)), cuts.take(pa.array(some))
+            for b in blocks(touched):
+                starts, ends = b.words()
+                _, _, owner, first, last, place = _worded_lines(b, starts)
+                line = _line_hashes(b, starts[first], ends[last - 1]).view(np.int64) if len(first) else np.empty(0, np.int64)
+                begin = np.searchsorted(owner, np.arange(b.rows + 1))
+                for k in range(b.rows):
+                    own = slice(begin[k], begin[k + 1])
+                    gone = set(place[own][np.isin(line[own], cuts[b.lo + k].values.to_numpy())].tolist())
+                    short.append("\n".join(x for i, x in enumerate(touched[b.lo + k].as_py().split("\n")) if i not in gone))
+            mask = np.zeros(batch.num_rows, bool)
+            mask[some] = True
+            texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(short, texts.type))
+        yield pa.RecordBatch.from_arrays([texts if x == "text" else batch.column(x) for x in names], names=names)
+
+
 def _row_key():
     """Tells rows of one id apart by source and text."""
     return F.xxhash64(F.col("source").cast("string"), F.col("text").cast("string"))
 
 
 def verdicts(docs: DataFrame, host_share: float = HOST_SHARE, min_documents: int = MIN_DOCUMENTS, max_removed_share: float = MAX_REMOVED_SHARE) -> DataFrame:
-    """:func:`quality_rules` with row_key, which with doc_id names the rows that a verdict holds for."""
+    """:func:`quality_rules` with row_key, which with doc_id names the rows that a verdict holds for, and cut: hashes of the row's lines over the limit, else null."""
     spare = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row_id"), _row_key().alias("row_key"))
     table = store.written(spare.mapInArrow(_features, _FEATURES), "quality-features")
 
@@ -112,14 +149,14 @@ def verdicts(docs: DataFrame, host_share: float = HOST_SHARE, min_documents: int
 
     spread = table.select("row_id", "source", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row_id", "source", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     a, b = spread.alias("a"), frequent.alias("b")
-    removed = a.join(b, (F.col("a.line") == F.col("b.line")) & F.col("a.source").eqNullSafe(F.col("b.source"))).groupBy("row_id").agg(F.sum("words").alias("removed_words"))
+    removed = a.join(b, (F.col("a.line") == F.col("b.line")) & F.col("a.source").eqNullSafe(F.col("b.source"))).groupBy("row_id").agg(F.sum("words").alias("removed_words"), F.collect_list("a.line").alias("cut"))
 
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     gone = F.coalesce("removed_words", F.lit(0)).cast("long")
     return (
         table.drop("lines", "line_words", "source", "text_hash")
         .join(removed, "row_id", "left")
-        .select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", gone.alias("removed_words"), base_failed.alias("base_failed"), (~base_failed & (gone <= max_removed_share * F.col("n_words"))).alias("kept"))
+        .select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", gone.alias("removed_words"), base_failed.alias("base_failed"), (~base_failed & (gone <= max_removed_share * F.col("n_words"))).alias("kept"), "cut")
     )
 
 
@@ -133,14 +170,17 @@ def quality_rules(docs: DataFrame, host_share: float = HOST_SHARE, min_documents
     one host). Repeated rows: each gets its own row; copies of a text count as one document of
     their host. Other columns are ignored. An empty table gives an empty result.
     """
-    return verdicts(docs, host_share, min_documents, max_removed_share).drop("row_key")
+    return verdicts(docs, host_share, min_documents, max_removed_share).drop("row_key", "cut")
 
 
 def kept_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns."""
-    good = verdicts(docs, **limits).where("kept").select(F.col("doc_id").alias("_qr_id"), F.col("row_key").alias("_qr_key"))
-    keyed = docs.withColumn("_qr_row", _row_key())
-    return keyed.join(good, (F.col("_qr_row") == F.col("_qr_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_qr_id")), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns; ``text`` is without the lines over the host's limit."""
+    # copies of a row have one key and lose the same lines
+    good = verdicts(docs, **limits).where("kept").groupBy(F.col("doc_id").alias("_qr_id"), F.col("row_key").alias("_qr_key")).agg(F.first("cut").alias("_qr_cut"))
+    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("_qr_row", _row_key())
+    kept = keyed.join(good, (F.col("_qr_row") == F.col("_qr_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_qr_id"))).select(*(F.col(f"`{c}`") for c in docs.columns), "_qr_cut")
+    fields = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
+    return kept.mapInArrow(_cut, fields)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

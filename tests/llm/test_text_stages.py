@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from panelfactor.llm import bpe, line_dedup, quality_rules, source_mix
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -50,6 +51,22 @@ def test_host_lines_remove_documents(make):
     assert kept.columns == make(rows).columns and sorted(r.doc_id for r in kept.collect()) == [*range(25, 40), 100, 101, 102]
 
 
+def test_kept_documents_lose_their_hosts_frequent_lines(make, spark):
+    """Stage 1 passes on texts without the frequent lines, however these are written, and leaves every other line as it was."""
+    letters = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    own = lambda k: " ".join(f"{letters(k)}x{letters(j)}" for j in range(30))
+    text = lambda k: f"\n  {own(k)} \r\nPage {k + 10} of 99\n\nrare {letters(k)}\n \tPAGE {k + 20} OF 10 \n"
+    lean = lambda k: f"\n  {own(k)} \r\n\nrare {letters(k)}\n"
+    rows = [(k, text(k), "host") for k in range(30)] + [(50, f"é {own(50)}", "host"), (7, text(7), "host"), (None, text(31), "host"), (60, text(60), "other"), (61, text(61), None)]
+    want = [(k, lean(k)) for k in range(30)] + [(50, f"é {own(50)}"), (7, lean(7)), (None, lean(31)), (60, text(60)), (61, text(61))]
+    docs = make(rows, True)
+    kept = quality_rules.kept_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or -1, r.text) for r in kept.collect())) == sorted((i or -1, t) for i, t in want)
+    staged = corpus_pipeline.apply_quality_rules(spark, docs, "")
+    assert all(r.n_chars == len(r.text) for r in staged.collect()) and staged.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+
+
 def brute_lines(rows):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(SPACE))
     holders = {}
