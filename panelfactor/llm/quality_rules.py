@@ -18,8 +18,9 @@ from . import store
 from .textkernel import blocks, mix, row_sets, shingles
 
 SYMBOLS = "#*$%&|<>"
-#: A host's line is boilerplate above this share of the host's distinct documents, and this many.
-HOST_SHARE, MIN_DOCUMENTS = 0.2, 20
+#: A host's line is boilerplate above this share of the host's distinct documents, and this many: the
+#: count decides up to 20,000 documents, the share keeps chance repeats of short lines in larger hosts.
+HOST_SHARE, MIN_DOCUMENTS = 0.001, 20
 #: A document is depleted when boilerplate lines hold more than this share of its words.
 MAX_REMOVED_SHARE = 0.7
 

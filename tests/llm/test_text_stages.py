@@ -67,6 +67,18 @@ def test_kept_documents_lose_their_hosts_frequent_lines(make, spark):
     assert all(r.n_chars == len(r.text) for r in staged.collect()) and staged.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
 
 
+def test_a_line_in_few_per_cent_of_a_large_host_is_removed(make):
+    """2 % of 3,000 texts hold a line, 20 texts another: only the first is boilerplate, at any size of host."""
+    letters = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    own = lambda k: " ".join(f"{letters(k)}x{letters(j)}" for j in range(25))
+    text = lambda k: own(k) + "\nall rights reserved" * (k < 60) + "\nsee also" * (k < 20)
+    docs = make([(k, text(k), "large") for k in range(3000)])
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert all(got[k].removed_words == 3 * (k < 60) and got[k].kept for k in range(3000))
+    kept = {r.doc_id: r.text for r in quality_rules.kept_documents(docs).collect()}
+    assert kept == {k: own(k) + "\nsee also" * (k < 20) for k in range(3000)}
+
+
 def brute_lines(rows):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(SPACE))
     holders = {}
