@@ -28,4 +28,5 @@ def resampled(rows: DataFrame, pos: str, n: str, block_lengths, replications: in
     start = F.pmod(F.xxhash64(F.lit(seed), F.col("_b"), F.col("replication").cast("long"), F.col("_j")), F.col("_n"))
     length = F.least(F.col("_b"), F.col("_n") - F.col("_b") * F.col("_j"))
     drawn = blocks.withColumn("_s", start).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), length - 1))).select(PANEL, "block_length", "replication", F.pmod(F.col("_s") + F.col("_o"), F.col("_n")).alias("_at"))
-    return drawn.join(rows.withColumn("_at", F.col(pos).cast("long")), [PANEL, "_at"]).drop("_at")
+    # every draw meets a row; a left join keeps Spark from broadcasting the draws, whose size it takes from before the explodes
+    return drawn.join(rows.withColumn("_at", F.col(pos).cast("long")), [PANEL, "_at"], "left").drop("_at")

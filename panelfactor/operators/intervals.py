@@ -11,6 +11,8 @@ from ..schema import DATE, PANEL, POS
 
 COVERAGES = (0.80, 0.95)
 ROW = "row"
+#: Block bounds with fewer order statistics in a tail rest on single draws and decide nothing.
+LEAST_ORDER_STATISTICS = 20
 
 
 def residuals(predictions: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def coverage(rows: DataFrame, nodes, history: int = 260, least: int = 104, evalu
     """Coverage evidence of each (panel, coverage, node), with status.
 
     WARN if even the upper block bound misses the floor, PASS if the lower one reaches it, else INCONCLUSIVE; without
-    evaluated rows NOT EVALUATED.
+    evaluated rows NOT EVALUATED. Bounds with under LEAST_ORDER_STATISTICS in a tail are INCONCLUSIVE.
     """
     keys = [PANEL, "coverage", "node"]
     hit_rows = hits(rows, history, least, evaluate_from, coverages)
@@ -82,8 +84,9 @@ def coverage(rows: DataFrame, nodes, history: int = 260, least: int = 104, evalu
     bounds = block_bounds(hit_rows, nodes.names, alpha, block_lengths, replications, seed, coverages)
     wanted = rows.select(PANEL, "node").distinct().withColumn("coverage", F.explode(F.array(*(F.lit(float(c)) for c in coverages))))
     out = wanted.join(counts, keys, "left").join(bounds, keys, "left").withColumn("binomial_p", binomial_at_most("hits", "n", "floor"))
-    status = F.when(F.col("n").isNull(), "NOT EVALUATED").when(F.col("high") < F.col("floor"), "WARN").when(F.col("low") >= F.col("floor"), "PASS").otherwise("INCONCLUSIVE")
-    out = out.withColumn("status", status).withColumn("tail_order_statistics", F.lit(replications * alpha / (2 * len(coverages) * len(nodes.names))))
+    in_tail = replications * alpha / (2 * len(coverages) * len(nodes.names))
+    status = F.when(F.col("n").isNull(), "NOT EVALUATED").when(F.lit(in_tail < LEAST_ORDER_STATISTICS), "INCONCLUSIVE").when(F.col("high") < F.col("floor"), "WARN").when(F.col("low") >= F.col("floor"), "PASS").otherwise("INCONCLUSIVE")
+    out = out.withColumn("status", status).withColumn("tail_order_statistics", F.lit(in_tail))
     return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 

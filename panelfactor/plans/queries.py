@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DataConfig
+from ..config import DataConfig, FactorConfig, ForecastConfig
 from ..functions.stats import distribution_table, hac_test
 from ..operators import factors, forecast, intervals, moments, panel, quality, risk, stability
 from ..schema import DATE, PANEL, POS, Nodes
@@ -25,6 +25,7 @@ DV01_SEVEN = (0.0, 25_000.0, 100_000.0, 150_000.0, 200_000.0, 150_000.0, 50_000.
 UNIT, HALFLIFE, TRAIN, HISTORY, LEAST, VAR_WINDOW = 9_973.0, 52.0, 104, 104, 52, 104
 SELECTION, CONFIRMATION, EVALUATION = 149, 52, 52
 SEED = 20260825
+FACTOR_DEFAULTS, FORECAST_DEFAULTS = FactorConfig(), ForecastConfig()
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -256,12 +257,12 @@ def sequential_stability(spark, sf):
 
 def bootstrap_stability(spark, sf):
     c = seven(spark, sf)
-    return rounded(stability.bootstrap_summary(stability.bootstrap(c, factors.fit(c, SEVEN), SEVEN, 800, (13,), seed=SEED), 3, SEED))
+    return rounded(stability.bootstrap_summary(stability.bootstrap(c, factors.fit(c, SEVEN), SEVEN, FACTOR_DEFAULTS.bootstrap_replications, (13,), seed=SEED), 3, SEED))
 
 
 def block_sensitivity(spark, sf):
     c = seven(spark, sf)
-    return rounded(stability.block_sensitivity(stability.bootstrap_summary(stability.bootstrap(c, factors.fit(c, SEVEN), SEVEN, 800, (4, 13, 26), seed=SEED), 3, SEED)))
+    return rounded(stability.block_sensitivity(stability.bootstrap_summary(stability.bootstrap(c, factors.fit(c, SEVEN), SEVEN, FACTOR_DEFAULTS.sensitivity_replications, (4, 13, 26), seed=SEED), 3, SEED)))
 
 
 def oos_reconstruction(spark, sf):
@@ -293,7 +294,7 @@ def adoption_gate(spark, sf):
 def interval_evidence(spark, sf):
     p = walk(spark, sf)
     g = forecast.adoption_gate(p, EVALUATION, CONFIRMATION)
-    return rounded(intervals.coverage(intervals.selected_residuals(p, g), SEVEN, HISTORY, LEAST, SELECTION + CONFIRMATION, replications=1_000))
+    return rounded(intervals.coverage(intervals.selected_residuals(p, g), SEVEN, HISTORY, LEAST, SELECTION + CONFIRMATION, replications=FORECAST_DEFAULTS.interval_bootstrap_replications))
 
 
 def latest_bands(spark, sf):

@@ -90,3 +90,11 @@ def test_coverage_status(predictions):
     assert len(c) == 18 and all(r.n == 60 and r.low <= r.rate <= r.high for r in c)
     none = intervals.coverage(rows, NODES, 104, 500, replications=200, block_lengths=(4,)).collect()
     assert {r.status for r in none} == {"NOT EVALUATED"}
+
+
+def test_bounds_of_few_draws_decide_nothing(predictions):
+    rows = intervals.selected_residuals(predictions, forecast.adoption_gate(predictions, 52, 52))
+    few = intervals.coverage(rows, NODES, 104, 52, 110, tolerance=0.5, replications=200, block_lengths=(4,)).collect()
+    assert {r.status for r in few} == {"INCONCLUSIVE"} and all(r.low > r.floor and r.tail_order_statistics < 20 for r in few)
+    enough = intervals.coverage(rows, NODES, 104, 52, 110, tolerance=0.5, replications=14_400, block_lengths=(4,)).collect()
+    assert {r.status for r in enough} == {"PASS"} and all(r.tail_order_statistics >= 20 for r in enough)

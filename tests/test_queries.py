@@ -26,3 +26,9 @@ def test_scan_is_pruned(spark, capsys):
     plan = capsys.readouterr().out
     schema = next(x for x in plan.splitlines() if "ReadSchema" in x)
     assert "l_orderkey" not in schema and "l_extendedprice" in schema
+
+
+def test_bootstrap_queries_take_the_default_replications(spark):
+    q = panels.queries()
+    assert all(r.tail_order_statistics >= 20 for r in q["interval_evidence"](spark, SF).collect())
+    assert {r.replications for name in ("bootstrap_stability", "block_sensitivity") for r in q[name](spark, SF).collect()} == {2000}
