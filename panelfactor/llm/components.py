@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
+from .skew import split_join
 
 
 def _smallest(directed: DataFrame) -> DataFrame:
-    """Rows (u, v) with m, the smallest of u and its neighbours; a node's neighbours are never gathered in one row."""
-    least = directed.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).withColumn("m", F.least("low", "node")).select("node", "m")
-    return directed.join(least, F.col("u") == F.col("node")).select("u", "v", "m")
+    """Rows (u, v) with m, the smallest of u and its neighbours; a node's neighbours are never gathered in one row or task."""
+    least = directed.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low"), F.count("*").alias("degree")).withColumn("m", F.least("low", "node"))
+    least = store.written(least, "smallest")
+    total = least.agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
+    return split_join(directed, least, {"u": "node"}, "degree", total).select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:

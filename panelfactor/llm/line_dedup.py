@@ -2,10 +2,13 @@
 
 Method: (line hash, document, position) is partitioned by range of (hash, document) and sorted
 inside each partition by hash, document descending, position; each run of a hash is streamed: its
-first document keeps its lines, and where three or more documents hold it the others lose theirs.
-A range boundary may cut the run of a hash that very many documents hold: the first and last hash
-of a partition are decided from the counts of all their parts (two for each partition at most).
-Drops return as compressed per-document bitmaps, never as text.
+first document keeps its lines, and once a third document holds it the others lose theirs, so that
+a task holds back the lines of one document at most.
+A range boundary may cut the run of a hash that very many documents hold: what a partition can't
+decide of its first and last hash is decided from the counts of all their parts (two for each
+partition at most). Drops return as compressed per-document bitmaps, never as text.
+
+Lines are equal when both halves of a 128-bit hash are.
 """
 
 from __future__ import annotations
@@ -22,95 +25,127 @@ from . import store
 from .textkernel import blocks
 
 MIN_POINTS, MIN_DOCUMENTS = 20, 3
-#: What one range partition should hold, in lines; a partition's longest run is held in memory.
-LINES_PER_PARTITION = 200_000
+#: Lines that one range partition should hold, and how few are worth one while cores are idle.
+LINES_PER_PARTITION, LEAST_LINES = 4_000_000, 100_000
+#: Rows of counts (two for each range partition) that may be broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 200_000
 #: Stands for a null id: below every other.
 NO_ID = -(1 << 63)
 
-_ENTRY = "hash long, doc_id long, text_hash long, position int"
-_DECIDED = "hash long, doc_id long, text_hash long, position int, documents long"
+_ENTRY = "hash long, twin long, doc_id long, text_key long, position int"
+_DECIDED = "hash long, twin long, doc_id long, text_key long, position int, documents long"
 
 
-def _text_hashes(b) -> np.ndarray:
-    return b.hashes(b.bounds[:-1], b.bounds[1:]).view(np.int64)
+def long_lines(b):
+    """128-bit hash (two arrays), row and place in its row of each line of MIN_POINTS code points or more."""
+    at, to, row = b.lines()
+    starts, ends = b.words()
+    first, last = np.searchsorted(starts, at), np.searchsorted(starts, to)
+    index = np.arange(len(at)) - np.searchsorted(row, np.arange(b.rows))[row]
+    some = last > first
+    at, to, row, index = starts[first[some]], ends[last[some] - 1], row[some], index[some]
+    long = b.span_points(at, to) >= MIN_POINTS
+    at, to, row, index = at[long], to[long], row[long], index[long]
+    one, two = b.lowered().hashes(at, to, wide=True)
+    return one.view(np.int64), two.view(np.int64), row, index
 
 
 def _entries(batches):
     """Hash, document and position of each long line."""
+    names = [x.split()[0] for x in _ENTRY.split(", ")]
     for batch in batches:
-        ids = batch.column("key").to_numpy()
+        ids, texts = batch.column("key").to_numpy(), batch.column("text_key").to_numpy()
         for b in blocks(batch.column("text")):
-            at, to, row = b.lines()
-            starts, ends = b.words()
-            first, last = np.searchsorted(starts, at), np.searchsorted(starts, to)
-            index = np.arange(len(at)) - np.searchsorted(row, np.arange(b.rows))[row]
-            some = last > first
-            at, to, row, index = starts[first[some]], ends[last[some] - 1], row[some], index[some]
-            points = b.points()
-            long = points[to] - points[at] >= MIN_POINTS
-            at, to, row, index = at[long], to[long], row[long], index[long]
-            columns = [b.lowered().hashes(at, to).view(np.int64), ids[row + b.lo], _text_hashes(b)[row], index.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["hash", "doc_id", "text_hash", "position"])
+            one, two, row, index = long_lines(b)
+            columns = [one, two, ids[row + b.lo], texts[row + b.lo], index.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+
+
+class _Run:
+    """The run of the hash that a stream is in: its documents so far, and lines that wait for a third one."""
+
+    def __init__(self, key, keeper: int, at_edge: bool):
+        self.key, self.keeper, self.at_edge = key, keeper, at_edge
+        self.documents, self.last, self.waiting = 0, None, []
 
 
 def _stream(batches):
     """Stream the runs of a sorted partition.
 
-    Decided drops have documents = 1 and hash 0. An open hash's rows have documents null; one count
-    row of each open part (position -1) has its documents and, in doc_id, the largest of them.
+    Decided drops have documents = 1 and hash 0. Lines that the partition can't decide have documents null; one
+    count row of each such hash (position -1) has its documents here and, in doc_id, the largest of them.
     """
-    names = ["hash", "doc_id", "text_hash", "position", "documents"]
+    names = [x.split()[0] for x in _DECIDED.split(", ")]
 
-    def runs(h, d, t, p, opened):
-        if not len(h):
-            return
-        fresh = np.r_[True, h[1:] != h[:-1]]
-        begin = np.flatnonzero(fresh)
-        run = np.cumsum(fresh) - 1
-        counts = np.add.reduceat((fresh | np.r_[True, d[1:] != d[:-1]]).astype(np.int64), begin)
-        is_open = np.isin(h[begin], opened)
-        drop = (counts[run] >= MIN_DOCUMENTS) & (d != d[begin][run]) & ~is_open[run]
-        n = int(drop.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(d[drop]), pa.array(t[drop]), pa.array(p[drop]), pa.array(np.ones(n, np.int64))], names=names)
-        rest = is_open[run]
-        m, k = int(rest.sum()), int(is_open.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(h[rest]), pa.array(d[rest]), pa.array(t[rest]), pa.array(p[rest]), pa.nulls(m, pa.int64())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array(h[begin][is_open]), pa.array(d[begin][is_open]), pa.array(np.zeros(k, np.int64)), pa.array(np.full(k, -1, np.int32)), pa.array(counts[is_open])], names=names)
-
-    edge, carry = None, []
+    def rows(h, w, d, t, p, documents):
+        n = len(d)
+        full = lambda x: x if isinstance(x, np.ndarray) else np.full(n, x, np.int64)
+        count = pa.nulls(n, pa.int64()) if documents is None else pa.array(full(documents))
+        return pa.RecordBatch.from_arrays([pa.array(full(h)), pa.array(full(w)), pa.array(d), pa.array(t), pa.array(p), count], names=names)
+
+    def closing(run):
+        """What is still to say of a run that the partition's end may cut, or its start has."""
+        if run.waiting:
+            yield rows(*run.key, *(np.concatenate(x) for x in zip(*run.waiting, strict=True)), None)
+        yield rows(*run.key, np.array([run.keeper]), np.zeros(1, np.int64), np.full(1, -1, np.int32), run.documents)
+
+    run = None
     for batch in batches:
-        part = [batch.column(c).to_numpy() for c in names[:4]]
-        if not len(part[0]):
-            continue
-        edge = int(part[0][0]) if edge is None else edge
-        if part[0][0] == part[0][-1] and carry and carry[-1][0][-1] == part[0][0]:
-            carry.append(part)
+        h, w, d, t, p = (batch.column(c).to_numpy() for c in names[:5])
+        if not len(h):
             continue
-        part = [np.concatenate(x) for x in zip(*carry, part, strict=True)] if carry else part
-        cut = int(np.searchsorted(part[0], part[0][-1]))
-        yield from runs(*(x[:cut] for x in part), [edge])
-        carry = [[x[cut:] for x in part]]
-    if carry:
-        part = [np.concatenate(x) for x in zip(*carry, strict=True)]
-        yield from runs(*part, [edge, int(part[0][-1])])
+        begin = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+        goes_on = run is not None and run.key == (h[0], w[0])
+        if run is not None and not goes_on and run.at_edge:
+            yield from closing(run)
+        fresh = np.zeros(len(h), bool)
+        fresh[begin] = True
+        new = fresh | np.r_[True, d[1:] != d[:-1]]
+        if goes_on:
+            new[0] = d[0] != run.last
+        group = np.cumsum(fresh) - 1
+        seen = np.cumsum(new)
+        ordinal = seen - (seen[begin] - new[begin])[group]  # which document of its run, from 1
+        if goes_on:
+            ordinal[group == 0] += run.documents
+        else:
+            run = _Run((h[0], w[0]), int(d[0]), run is None)
+        last_of = np.r_[begin[1:], len(h)] - 1
+        total = ordinal[last_of]
+        loses = (ordinal > 1) & (total >= MIN_DOCUMENTS)[group]
+        mine = group == 0
+        if run.at_edge:  # the partition before may hold larger documents of this hash
+            yield rows(h[mine], w[mine], d[mine], t[mine], p[mine], None)
+            loses &= ~mine
+        elif total[0] >= MIN_DOCUMENTS and run.waiting:
+            waiting = [np.concatenate(x) for x in zip(*run.waiting, strict=True)]
+            yield rows(0, 0, *waiting, 1)
+            run.waiting = []
+        yield rows(0, 0, d[loses], t[loses], p[loses], 1)
+        if len(begin) > 1:
+            if run.at_edge:
+                run.documents = int(total[0])
+                yield from closing(run)
+            run = _Run((h[-1], w[-1]), int(d[begin[-1]]), False)
+        run.documents, run.last = int(total[-1]), d[-1]
+        if not run.at_edge and total[-1] < MIN_DOCUMENTS:
+            wait = (group == len(begin) - 1) & (ordinal > 1)
+            if wait.any():
+                run.waiting.append((d[wait], t[wait], p[wait]))
+    if run is not None:
+        yield from closing(run)
 
 
 def _bitmaps(batches):
-    """Each document's drops as one compressed bitmap for each of its texts."""
+    """Each document's drops as one compressed bitmap."""
     for batch in batches:
-        texts, maps = [], []
-        for drops in batch.column("drops"):
-            found: dict[int, list[int]] = {}
-            for x in drops.as_py():
-                found.setdefault(x["text_hash"], []).append(x["position"])
-            texts.append(list(found))
-            maps.append([pack(v) for v in found.values()])
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.binary()))], names=["_ld_key", "_ld_texts", "_ld_maps"])
+        maps = [pack(x.values.to_numpy()) for x in batch.column("drops")]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text_key"), pa.array(maps, pa.binary())], names=["_ld_id", "_ld_of", "_ld_map"])
 
 
-def pack(positions: list[int]) -> bytes:
+def pack(positions) -> bytes:
     """Compressed bitmap with the given bits set."""
-    bits = np.zeros(max(positions) + 1, np.uint8)
+    bits = np.zeros(int(np.max(positions)) + 1, np.uint8)
     bits[positions] = 1
     return zlib.compress(np.packbits(bits).tobytes())
 
@@ -123,47 +158,54 @@ def unpack(blob: bytes, n: int) -> np.ndarray:
     return out
 
 
+def partitions(lines: int, cores: int) -> int:
+    """Range partitions for so many lines: large ones, but not fewer than cores while each has LEAST_LINES."""
+    return max(1, math.ceil(lines / LINES_PER_PARTITION), min(2 * cores, math.ceil(lines / LEAST_LINES)))
+
+
 def drop_bitmaps(docs: DataFrame) -> DataFrame:
-    """Per document that loses lines: _ld_key (doc_id), _ld_texts (hashes of its texts), _ld_maps (compressed bitmaps of lines to drop)."""
-    entries = store.written(docs.select(_key().alias("key"), F.col("text").cast("string")).mapInArrow(_entries, _ENTRY), "line-entries")
-    parts = max(1, math.ceil(entries.count() / LINES_PER_PARTITION))
-    ordered = entries.repartitionByRange(parts, "hash", "doc_id").sortWithinPartitions("hash", F.desc("doc_id"), "position")
+    """Per document and text that loses lines: _ld_id (doc_id), _ld_of (hash of the text), _ld_map (compressed bitmap of lines to drop)."""
+    spark = docs.sparkSession
+    slim = docs.select(_key().alias("key"), _text_key().alias("text_key"), F.col("text").cast("string"))
+    entries = store.written(slim.mapInArrow(_entries, _ENTRY), "line-entries")
+    parts = partitions(entries.count(), int(spark.conf.get("spark.default.parallelism", "0") or 0) or spark.sparkContext.defaultParallelism)
+    ordered = entries.repartitionByRange(parts, "hash", "twin", F.desc("doc_id")).sortWithinPartitions("hash", "twin", F.desc("doc_id"), "position")
     streamed = store.written(ordered.mapInArrow(_stream, _DECIDED), "line-drops")
+    store.drop(entries)
     decided = streamed.where((F.col("documents") == 1) & (F.col("position") >= 0))
-    # at most two rows for each range partition, so this side is small by construction
-    totals = streamed.where("position = -1").groupBy("hash").agg(F.sum("documents").alias("total"), F.max("doc_id").alias("keeper")).where(F.col("total") >= MIN_DOCUMENTS)
-    opened = streamed.where("documents is null").join(F.broadcast(totals), "hash").where("doc_id <> keeper")
-    columns = ["doc_id", "text_hash", "position"]
+    totals = streamed.where("position = -1").groupBy("hash", "twin").agg(F.sum("documents").alias("total"), F.max("doc_id").alias("keeper")).where(F.col("total") >= MIN_DOCUMENTS)
+    totals = F.broadcast(totals) if 2 * parts <= MAX_BROADCAST else totals
+    opened = streamed.where("documents is null").join(totals, ["hash", "twin"]).where("doc_id <> keeper")
+    columns = ["doc_id", "text_key", "position"]
     drops = decided.select(columns).unionByName(opened.select(columns))
-    grouped = drops.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("text_hash", "position")).alias("drops"))
-    return grouped.mapInArrow(_bitmaps, "_ld_key long, _ld_texts array<long>, _ld_maps array<binary>")
+    # no list is longer than its document has lines
+    grouped = drops.groupBy(F.col("doc_id").alias("key"), "text_key").agg(F.collect_list("position").alias("drops"))
+    return grouped.mapInArrow(_bitmaps, "_ld_id long, _ld_of long, _ld_map binary")
 
 
 def _key():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
 
+def _text_key():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _apply(batches):
     for batch in batches:
-        texts = batch.column("text")
         kept, lines, dropped = [], [], []
-        hashes = np.concatenate([_text_hashes(b) for b in blocks(texts)]) if batch.num_rows else []
-        for k, text in enumerate(texts.to_pylist()):
-            text = text or ""
-            n = text.count("\n") + 1
-            gone = 0
-            own = batch.column("_ld_texts")[k].as_py()
-            if own and int(hashes[k]) in own:
-                out = unpack(batch.column("_ld_maps")[k].as_py()[own.index(int(hashes[k]))], n)
+        for text, blob in zip(batch.column("text"), batch.column("_ld_map"), strict=True):
+            text, blob = text.as_py() or "", blob.as_py()
+            n, gone = text.count("\n") + 1, 0
+            if blob is not None:
+                out = unpack(blob, n)
                 gone = int(out.sum())
                 text = "\n".join(x for x, o in zip(text.split("\n"), out, strict=True) if not o)
             kept.append(text)
             lines.append(n)
             dropped.append(gone)
         new = {"text": pa.array(kept, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
-        names = [x for x in batch.schema.names if x not in ("_ld_key", "_ld_texts", "_ld_maps", *new)] + ["n_lines", "n_dropped"]
-        at = batch.schema.get_field_index("text")
-        names.insert(min(at, len(names) - 2), "text")
+        names = [x for x in batch.schema.names if x not in ("_ld_map", "n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
         yield pa.RecordBatch.from_arrays([new[x] if x in new else batch.column(x) for x in names], names=names)
 
 
@@ -171,13 +213,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, any others) with shared long lines dropped from ``text``, plus n_lines (before) and n_dropped.
 
     Null or empty text: one empty line, kept; the text comes back empty. Rows with one doc_id are one
-    document; null ids are one document that is smaller than all. Repeated rows lose the same lines.
-    Columns called n_lines or n_dropped are replaced, other extra columns stay. Order of columns:
-    the input's, then the two. An empty table gives an empty result.
+    document; null ids are one document that is smaller than all, whose rows are told apart by text.
+    Repeated rows lose the same lines. Texts may have any length: a task holds one whole, and a few
+    numbers for each of its lines. Columns called n_lines or n_dropped are replaced, other extra columns stay. Order of
+    columns: the input's, then the two. An empty table gives an empty result.
     """
-    docs = docs.drop("n_lines", "n_dropped", "_ld_key", "_ld_texts", "_ld_maps")
-    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("_ld_key", _key())
-    joined = keyed.join(drop_bitmaps(docs), "_ld_key", "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_ld_key", "_ld_texts", "_ld_maps")
+    docs = docs.drop("n_lines", "n_dropped", "_ld_key", "_ld_text", "_ld_id", "_ld_of", "_ld_map")
+    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("_ld_key", _key()).withColumn("_ld_text", _text_key())
+    same = (F.col("_ld_key") == F.col("_ld_id")) & (F.col("_ld_text") == F.col("_ld_of"))
+    joined = keyed.join(drop_bitmaps(docs), same, "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_ld_map")
     fields = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(_apply, f"{fields}, n_lines long, n_dropped long")
 

@@ -3,7 +3,8 @@
 A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets link when
 100 * |intersection| >= 75 * |union|. Every link is found; the steps:
 
-1. Sets. Equal sets are one set from here on (copies link trivially).
+1. Sets. Equal sets are one set from here on (copies link trivially). A set's id is the first half of a
+   128-bit hash of its tokens; ids under which the second halves differ are told apart by it.
 2. Token counts. All (token, set) postings are partitioned by range of token; a token of one set
    only can't be shared. A set with more such tokens than a link allows (over a quarter) has no link
    and is done; for the others the shared tokens return, with their counts. A task sends a set once,
@@ -22,35 +23,36 @@ A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets l
    Pairs of leaves that remain are counted exactly.
 6. Classes are connected components of all links.
 
-Postings travel as packed byte planes of many tokens, so the shuffle holds about six bytes a token.
-Token values keep 48 bits after step 2: two different tokens of a pair of documents are taken for
-one with a chance of about 1e-9.
+Postings travel as packed byte planes of many tokens, so the shuffle holds about eight bytes a token.
+Ranges of tokens hold about GROUP_TOKENS each, however many there are. Joins whose key many rows may
+share (a set with many copies, a class, a token, a hub) send hot keys to the rows (:mod:`skew`).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
 from .components import connected_components
+from .skew import split_join
 from .textkernel import blocks, mix, row_sets, shingles
 
 SIZE, PERCENT = 5, 75
 #: Tokens that a task packs at once; tokens of one range; members of one tree before it is cut; bits of a bitmap; children of a node.
-PACK, BUCKET, BITS, FAN = 1_000_000, 4_096, 1_024, 8
+PACK, GROUP_TOKENS, BUCKET, BITS, FAN = 1_000_000, 1_000_000, 4_096, 1_024, 8
 #: Rows of postings in one group of trees, and pairs of nodes looked at at once.
 GROUP_POSTINGS, PAIRS = 60_000, 50_000
-HOT_CLASSES = 200
 #: A token in this many sets, or in over 1/HOT_TOKENS of all postings, is sent past the grouping; found from about HOT_SAMPLE postings.
 MIN_HOT, HOT_TOKENS, HOT_SAMPLE = 50_000, 100_000, 5_000_000
 
-_SETS = "doc_id long, text_key long, set_id long, n_shingles long"
+_SETS = "doc_id long, text_key long, set_id long, twin long, n_shingles long"
 _PACKED = "part long, tokens binary, owners binary, sets binary, sizes binary"
 _SHARED = "part long, tokens binary, counts binary, sets binary, sizes binary, lengths binary"
 _SURVIVORS = "set_id long, n long, tokens binary, prefix array<long>, bits binary"
@@ -63,21 +65,34 @@ def shingle_sets(b, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     return row_sets(*shingles(low.hashes(starts, ends), low.row_of(starts), low.rows, size))
 
 
-def _set_ids(tokens: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit fingerprint of each row's set, and its size."""
-    sums = np.zeros(len(tokens) + 1, np.uint64)
-    np.cumsum(mix(tokens + np.uint64(0x5851F42D4C957F2D)), out=sums[1:])
-    cuts = np.searchsorted(rows, np.arange(n + 1))
-    counts = np.diff(cuts)
-    return mix((sums[cuts[1:]] - sums[cuts[:-1]]) ^ mix(counts.astype(np.uint64))).view(np.int64), counts
+def _fingerprints(tokens: np.ndarray) -> np.ndarray:
+    """What a token adds to the first half of its set's hash."""
+    return mix(tokens + np.uint64(0x5851F42D4C957F2D))
 
 
-def _sets(size: int):
+def _set_ids(tokens: np.ndarray, rows: np.ndarray, n: int, split: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The id of each row's set, the second half of its hash, and its size; ids in ``split`` become ids of both halves."""
+    cuts = np.searchsorted(rows, np.arange(n + 1))
+    counts = np.diff(cuts)
+    some = counts > 0
+    halves = []
+    for values in (_fingerprints(tokens), mix(tokens ^ np.uint64(0xC2B2AE3D27D4EB4F))):
+        sums = np.zeros(n, np.uint64)
+        if some.any():
+            sums[some] = np.add.reduceat(values, cuts[:-1][some])
+        halves.append(mix(sums ^ mix(counts.astype(np.uint64))))
+    ids, twins = halves
+    both = np.isin(ids.view(np.int64), split)
+    ids[both] = mix(ids[both] + mix(twins[both]))
+    return ids.view(np.int64), twins.view(np.int64), counts
+
+
+def _sets(size: int, split: np.ndarray):
     def run(batches):
         for batch in batches:
             for b in blocks(batch.column("text")):
-                ids, counts = _set_ids(*shingle_sets(b, size), b.rows)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(b.lo, b.rows) for c in ("doc_id", "text_key")), pa.array(ids), pa.array(counts)], names=["doc_id", "text_key", "set_id", "n_shingles"])
+                ids, twins, counts = _set_ids(*shingle_sets(b, size), b.rows, split)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(b.lo, b.rows) for c in ("doc_id", "text_key")), *map(pa.array, (ids, twins, counts))], names=["doc_id", "text_key", "set_id", "twin", "n_shingles"])
 
     return run
 
@@ -92,24 +107,21 @@ def _unplanes(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel() if raw else np.empty(0, dtype)
 
 
-def _pack_tokens(sorted48: np.ndarray) -> bytes:
-    high = (sorted48 >> np.uint64(16)).astype(np.uint32)
-    return _planes(np.diff(high, prepend=np.uint32(0))) + _planes((sorted48 & np.uint64(0xFFFF)).astype(np.uint16))
+def _pack_tokens(ordered: np.ndarray) -> bytes:
+    return _planes(np.diff(ordered, prepend=np.uint64(0)))
 
 
 def _unpack_tokens(raw: bytes) -> np.ndarray:
-    n = len(raw) // 6
-    high = np.cumsum(_unplanes(raw[: 4 * n], np.uint32), dtype=np.uint64)
-    return (high << np.uint64(16)) | _unplanes(raw[4 * n :], np.uint16)
+    return np.cumsum(_unplanes(raw, np.uint64), dtype=np.uint64)
 
 
-def _part(value: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    """Which of ``parts`` equal ranges of 0 .. 2^bits a value lies in."""
-    return ((value >> np.uint64(bits - 31)).astype(np.int64) * parts) >> 31
+def _part(value: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` equal ranges of 0 .. 2^64 a value lies in."""
+    return ((value >> np.uint64(33)).astype(np.int64) * parts) >> 31
 
 
 def _hot_tokens(slim: DataFrame, size: int, n_sets: int, total: int) -> np.ndarray:
-    """Sorted 48-bit tokens that a sample of rows shows to be in very many sets (HOT_TOKENS of them at most, by their threshold)."""
+    """Sorted tokens that a sample of rows shows to be in very many sets (HOT_TOKENS of them at most, by their threshold)."""
     least = max(MIN_HOT, total // HOT_TOKENS)
     if n_sets < least:
         return np.empty(0, np.uint64)
@@ -118,7 +130,7 @@ def _hot_tokens(slim: DataFrame, size: int, n_sets: int, total: int) -> np.ndarr
     def tokens(batches):
         for batch in batches:
             for b in blocks(batch.column("text")):
-                short, counts = np.unique(shingle_sets(b, size)[0] >> np.uint64(16), return_counts=True)
+                short, counts = np.unique(shingle_sets(b, size)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(short.view(np.int64)), pa.array(counts)], names=["token", "n"])
 
     sample = slim.where(F.pmod(F.xxhash64("text_key", "doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("text")
@@ -126,17 +138,17 @@ def _hot_tokens(slim: DataFrame, size: int, n_sets: int, total: int) -> np.ndarr
     return np.sort(np.array([r.token for r in counted.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token").collect()], np.int64).view(np.uint64))
 
 
-def _postings(size: int, parts: int, hot):
+def _postings(size: int, parts: int, hot, split: np.ndarray):
     def flush(number, tokens, owners, sets, sizes):
         tokens, owners = np.concatenate(tokens), np.concatenate(owners)
         sets, sizes = np.concatenate(sets), np.concatenate(sizes).astype(np.uint32)
         once = np.zeros(len(sets), bool)  # copies of a set are sent once
         once[np.unique(sets, return_index=True)[1]] = True
         tokens, owners = tokens[once[owners]], owners[once[owners]]
-        short = tokens >> np.uint64(16)
-        order = np.argsort(short)
-        short, owners = short[order], owners[order]
-        where = _part(short, 48, parts)
+        order = np.argsort(tokens)
+        short, owners = tokens[order], owners[order]
+        del tokens, order
+        where = _part(short, parts)
         if len(hot.value) and len(short):
             at = np.minimum(np.searchsorted(hot.value, short), len(hot.value) - 1)
             # a group of its own for the frequent tokens of each flush
@@ -157,7 +169,7 @@ def _postings(size: int, parts: int, hot):
         for batch in batches:
             for b in blocks(batch.column("text")):
                 tokens, owner = shingle_sets(b, size)
-                ids, counts = _set_ids(tokens, owner, b.rows)
+                ids, _, counts = _set_ids(tokens, owner, b.rows, split)
                 for x, y in zip(held, (tokens, (owner + rows).astype(np.uint32), ids, counts), strict=True):
                     x.append(y)
                 total, rows = total + len(tokens), rows + b.rows
@@ -178,7 +190,7 @@ def _shared(parts: int):
         tokens, sets, sizes = [], [], []
         for t, o, s, z in zip(*(table[c].to_pylist() for c in ("tokens", "owners", "sets", "sizes")), strict=True):
             tokens.append(_unpack_tokens(t))
-            code = _unplanes(o, np.uint16 if 2 * len(tokens[-1]) == len(o) else np.uint32)
+            code = _unplanes(o, np.uint16 if 4 * len(o) == len(t) else np.uint32)
             sets.append(np.frombuffer(s, np.int64)[code])
             sizes.append(_unplanes(z, np.uint32)[code])
         tokens, sets, sizes = map(np.concatenate, (tokens, sets, sizes))
@@ -200,13 +212,13 @@ def _shared(parts: int):
         first = np.flatnonzero(np.r_[True, sets[1:] != sets[:-1]]) if len(sets) else np.empty(0, np.int64)
         lengths = np.diff(np.r_[first, len(sets)]).astype(np.uint32)
         ids, own = sets[first], sizes[first]
-        where = _part(mix(ids.view(np.uint64)), 64, parts)
+        where = _part(mix(ids.view(np.uint64)), parts)
         out = []
         for k in np.unique(where):
             mine = where == k
             take = np.repeat(mine, lengths)
             short = tokens[take]
-            blobs = [_planes((short >> np.uint64(16)).astype(np.uint32)) + _planes((short & np.uint64(0xFFFF)).astype(np.uint16)), rarity[take].tobytes(), ids[mine].tobytes(), _planes(own[mine]), _planes(lengths[mine])]
+            blobs = [_planes(short), rarity[take].tobytes(), ids[mine].tobytes(), _planes(own[mine]), _planes(lengths[mine])]
             out.append([int(k), *blobs])
         names = [x.split()[0] for x in _SHARED.split(", ")]
         columns = list(zip(*out, strict=True)) if out else [()] * 6
@@ -221,8 +233,7 @@ def _survive(percent: int):
     def run(table: pa.Table) -> pa.Table:
         tokens, rarity, owner, size = [], [], [], []
         for t, c, s, z, m in zip(*(table[c].to_pylist() for c in ("tokens", "counts", "sets", "sizes", "lengths")), strict=True):
-            n = len(c)
-            tokens.append((_unplanes(t[: 4 * n], np.uint32).astype(np.uint64) << np.uint64(16)) | _unplanes(t[4 * n :], np.uint16))
+            tokens.append(_unplanes(t, np.uint64))
             rarity.append(np.frombuffer(c, np.uint8))
             lengths = _unplanes(m, np.uint32)
             owner.append(np.repeat(np.frombuffer(s, np.int64), lengths))
@@ -324,32 +335,34 @@ class Forest:
 
 
 def _trees(percent: int):
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         cell, n, label, side, ids = (table[c].to_numpy() for c in ("cell", "n", "label", "side", "set_id"))
         bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        shared = table["shared"].to_numpy()
+        del table
         order = np.lexsort((ids, n, label, side, cell))
         order = order[np.lexsort((n[order], cell[order]))] if (side < 0).all() else order
-        shared = table["shared"].to_numpy()[order]
-        bits, ids = bits[order], ids[order]
+        bits, ids, shared = bits[order], ids[order], shared[order]
         excess = shared - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         forest = Forest(cell[order], n[order], excess, label[order], side[order].astype(np.int64), bits)
-        found = {}
         for a, b in forest.pairs(percent):
-            low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-            found.update(dict.fromkeys(zip(low.tolist(), high.tolist(), strict=True)))
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            pairs = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     return run
 
 
-def _tree_candidates(survivors: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _tree_candidates(survivors: DataFrame, labels: DataFrame, percent: int, postings: int) -> DataFrame:
     """Pairs of sets of different classes that share a bucket and that no tree rules out."""
-    s = store.again(survivors).select("set_id", "n", "bits", (F.length("tokens") / 8).cast("long").alias("shared"), F.explode("prefix").alias("token"))
+    s = store.again(survivors).select("set_id", "n", "bits", (F.length("tokens") / 8).cast("long").alias("shared"), "prefix")
     named = s.join(labels.select(F.col("node"), F.col("root")), F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "set_id")).drop("node", "root")
-    open_buckets = named.groupBy("token").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(F.col("token").alias("bucket"), "members")
-    members = store.written(named.join(open_buckets, F.col("token") == F.col("bucket")).drop("bucket"), "tree-members")
-    groups = max(1, math.ceil(members.count() / GROUP_POSTINGS))
+    spread = named.withColumn("token", F.explode("prefix")).drop("prefix")
+    buckets = spread.groupBy("token").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+    buckets = store.written(buckets.where("low <> high").select(F.col("token").alias("bucket"), "members"), "open-buckets")
+    members = store.written(split_join(spread, buckets, {"token": "bucket"}, "members", postings).drop("bucket"), "tree-members")
+    in_cells = store.again(buckets).agg(F.coalesce(F.sum(F.col("members") * F.ceil(F.col("members") / BUCKET)), F.lit(0))).first()[0]
+    groups = max(1, math.ceil(in_cells / GROUP_POSTINGS))
     cells = F.ceil(F.col("members") / BUCKET).cast("long")
     own = F.pmod(F.xxhash64("set_id"), cells)
     other = F.explode(F.sequence(F.lit(0).cast("long"), cells - 1))
@@ -360,30 +373,52 @@ def _tree_candidates(survivors: DataFrame, labels: DataFrame, percent: int) -> D
     return grid.groupBy("part").applyInArrow(_trees(percent), "a long, b long").distinct()
 
 
-def document_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_key (hash of the text), n_shingles and class_id (null without shingles) of every row of ``docs``."""
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key().alias("text_key"))
-    sets = store.written(slim.mapInArrow(_sets(size), _SETS), "shingle-sets")
-    n_sets, total = sets.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    hot = docs.sparkSession.sparkContext.broadcast(_hot_tokens(slim, size, n_sets, total))
-    parts = max(1, math.ceil(total / min(8_000_000, max(1_000_000, total // 2_000))))
-
-    packed = slim.select("text").mapInArrow(_postings(size, parts, hot), _PACKED)
-    shared = packed.groupBy("part").applyInArrow(_shared(parts), _SHARED)
-    survivors = store.written(shared.groupBy("part").applyInArrow(_survive(percent), _SURVIVORS), "join-survivors")
+def _text_key():
+    return F.xxhash64(F.col("text").cast("string"))
 
-    links = store.written(verified(_star_pairs(survivors), survivors, percent), "star-links")
-    labels = store.written(connected_components(links, "star-rounds"), "star-labels")
-    more = verified(_tree_candidates(survivors, labels, percent), survivors, percent)
-    edges = store.again(links).unionByName(more)
-    classes = store.written(connected_components(edges, "class-rounds"), "set-classes")
 
-    named = sets.join(classes, F.col("set_id") == F.col("node"), "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id")).alias("class_id"))
-    return store.written(named, "document-classes")
+class Classes:
+    """Near-duplicate classes of the rows of ``docs``.
 
+    sets: doc_id, text_key (hash of the text), set_id, twin, n_shingles of every row; total: how many.
+    per_set: set_id, copies (rows that have the set), first (the smallest row: none, doc_id, text_key), class_id of each set.
+    heads: key (class_id), head (smallest row of the class), of_sets (sets of the class).
+    """
 
-def _text_key():
-    return F.xxhash64(F.col("text").cast("string"))
+    def __init__(self, docs: DataFrame, size: int = SIZE, percent: int = PERCENT):
+        spark = docs.sparkSession
+        slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key().alias("text_key"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+        split = np.empty(0, np.int64)
+        while True:
+            self.sets = store.written(slim.mapInArrow(_sets(size, split), _SETS), "shingle-sets")
+            known = self.sets.where("n_shingles > 0").groupBy("set_id").agg(first, F.count("*").alias("copies"), F.min("twin").alias("low"), F.max("twin").alias("high"))
+            known = store.written(known, "distinct-sets")
+            # among N sets about N^2 / 2^65 ids stand for two sets: a handful at ten billion
+            doubtful = np.array([r.set_id for r in known.where("low <> high").select("set_id").collect()], np.int64)
+            if not len(doubtful):
+                break
+            split = np.union1d(split, doubtful)
+        self.total, tokens = self.sets.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+        hot = spark.sparkContext.broadcast(_hot_tokens(slim, size, self.total, tokens))
+        parts = max(1, math.ceil(tokens / GROUP_TOKENS))
+
+        packed = slim.select("text").mapInArrow(_postings(size, parts, hot, split), _PACKED)
+        shared = packed.groupBy("part").applyInArrow(_shared(parts), _SHARED)
+        survivors = store.written(shared.groupBy("part").applyInArrow(_survive(percent), _SURVIVORS), "join-survivors")
+        postings = survivors.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+
+        links = store.written(verified(_star_pairs(survivors, postings), survivors, percent), "star-links")
+        labels = store.written(connected_components(links, "star-rounds"), "star-labels")
+        more = verified(_tree_candidates(survivors, labels, percent, postings), survivors, percent)
+        edges = store.again(links).unionByName(more)
+        classes = store.written(connected_components(edges, "class-rounds"), "set-classes")
+        store.drop(survivors)
+
+        named = store.again(known).join(classes, F.col("set_id") == F.col("node"), "left").select("set_id", "copies", "first", F.coalesce("root", "set_id").alias("class_id"))
+        self.per_set = store.written(named, "classed-sets")
+        self.heads = store.written(self.per_set.groupBy(F.col("class_id").alias("key")).agg(F.min("first").alias("head"), F.count("*").alias("of_sets")), "class-heads")
+        self.n_sets = self.per_set.count()
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -391,44 +426,40 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
 
     Null, empty or blank text: no shingles, linked with nothing, its own component. A null doc_id has no
     place among the ids: component_id is the smallest other id of its component, or null. Repeated
-    rows are exact copies. Extra columns are ignored; an empty table gives an empty result.
+    rows are exact copies. Texts may have any length: a task holds one whole, with two numbers for each of its words.
+    A pair exactly at the threshold links. Extra columns are ignored; an empty table gives an empty result.
     """
-    named = document_classes(docs, size, percent)
-    smallest = store.written(store.again(named).where("class_id is not null").groupBy(F.col("class_id").alias("key")).agg(F.min("doc_id").alias("smallest"), F.count("*").alias("members")), "class-heads")
-    total = named.count()
-    # a class above this share of all rows: there can be HOT_CLASSES of them at most, so their heads are broadcast
-    hot = F.broadcast(store.again(smallest).where(F.col("members") * HOT_CLASSES > total))
-    same = F.col("class_id") == F.col("key")
-    columns = ["doc_id", "n_shingles", F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id")]
-    large = named.join(hot, same).select(columns)
-    rest = store.again(named).join(hot.select("key"), same, "left_anti").join(smallest, same, "left").select(columns)
-    return large.unionByName(rest)
+    c = Classes(docs, size, percent)
+    smallest = split_join(store.again(c.per_set), c.heads, {"class_id": "key"}, "of_sets", c.n_sets)
+    smallest = store.written(smallest.select(F.col("set_id").alias("key"), "copies", F.col("head.doc_id").alias("smallest")), "set-heads")
+    worded, blank = (store.again(c.sets).where(x) for x in ("n_shingles > 0", "n_shingles = 0"))
+    found = split_join(worded, smallest, {"set_id": "key"}, "copies", c.total)
+    return found.select("doc_id", "n_shingles", F.col("smallest").alias("component_id")).unionByName(blank.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` for each class of near duplicates, that of the smallest id (null last), with all its columns.
 
-    Rows without shingles all stay; rows that repeat an id and its text are one document.
+    Rows without shingles all stay, except that rows that repeat an id and its text are one document. Long texts,
+    ties and empty tables as in :func:`near_duplicates`; columns of any name stay as they are.
     """
-    named = document_classes(docs, size, percent)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    first = store.again(named).where("class_id is not null").groupBy("class_id").agg(F.min(place).alias("x")).select(F.col("x.doc_id").alias("_nj_id"), F.col("x.text_key").alias("_nj_key"))
-    blank = named.where("class_id is null").select(F.col("doc_id").alias("_nj_id"), F.col("text_key").alias("_nj_key"))
-    chosen = first.unionByName(blank)
+    c = Classes(docs, size, percent)
+    chosen = c.heads.select(F.col("head.doc_id").alias("_nj_id"), F.col("head.text_key").alias("_nj_key"))
+    blank = store.again(c.sets).where("n_shingles = 0").select(F.col("doc_id").alias("_nj_id"), F.col("text_key").alias("_nj_key"))
     keyed = docs.withColumn("_nj_text", _text_key()).withColumn("_nj_doc", F.col("doc_id").cast("long"))
-    met = keyed.join(chosen, (F.col("_nj_text") == F.col("_nj_key")) & F.col("_nj_doc").eqNullSafe(F.col("_nj_id")), "left_semi")
-    once = met.withColumn("_nj_row", F.row_number().over(Window.partitionBy("_nj_text", "_nj_doc").orderBy(F.lit(1))))
-    return once.where("_nj_row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    met = keyed.join(chosen.unionByName(blank), (F.col("_nj_text") == F.col("_nj_key")) & F.col("_nj_doc").eqNullSafe(F.col("_nj_id")), "left_semi")
+    return met.dropDuplicates(["_nj_text", "_nj_doc"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def _star_pairs(survivors: DataFrame) -> DataFrame:
+def _star_pairs(survivors: DataFrame, postings: int) -> DataFrame:
     """(a, b): each set with the hub of most of its buckets, if that is another set."""
     # tokens of its own take prefix places from a set: the more are left, the nearer it is to a group's middle
     left = (F.size("prefix") / F.col("n")).alias("left")
     p = store.again(survivors).select("set_id", F.explode("prefix").alias("token"))
     q = store.again(survivors).select("set_id", left, F.explode("prefix").alias("bucket"))
-    hubs = q.groupBy("bucket").agg(F.max(F.struct("left", "set_id")).alias("hub"), F.count("*").alias("members")).where("members > 1").select("bucket", F.col("hub.left").alias("left"), F.col("hub.set_id").alias("hub"))
-    met = p.join(hubs, F.col("token") == F.col("bucket")).groupBy("set_id", "hub").agg(F.count("*").alias("times"), F.max("left").alias("left"))
+    hubs = q.groupBy("bucket").agg(F.max(F.struct("left", "set_id")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    hubs = store.written(hubs.select("bucket", "members", F.col("hub.left").alias("left"), F.col("hub.set_id").alias("hub")), "bucket-hubs")
+    met = split_join(p, hubs, {"token": "bucket"}, "members", postings).groupBy("set_id", "hub").agg(F.count("*").alias("times"), F.max("left").alias("left"))
     best = met.where("set_id <> hub").groupBy("set_id").agg(F.max(F.struct("times", "left", "hub")).alias("best"))
     return best.select(F.col("set_id").alias("a"), F.col("best.hub").alias("b"))
 

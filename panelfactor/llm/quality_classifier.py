@@ -43,10 +43,8 @@ def statistics(b) -> np.ndarray:
     starts, ends = low.words()
     row = low.row_of(starts)
     words = np.bincount(row, minlength=n)
-    of_row = np.repeat(np.arange(n), np.diff(b.bounds))
-    count = lambda mask: np.bincount(of_row[mask[b.data]], minlength=n)
-    points = b.points()
-    length = points[ends] - points[starts]
+    count = b.per_row
+    length = b.span_points(starts, ends)
     solid = np.maximum(np.bincount(row, weights=length, minlength=n), 1)
     many = np.maximum(words, 1)
 
@@ -60,8 +58,7 @@ def statistics(b) -> np.ndarray:
     np.maximum.at(top, owner, np.bincount(group, minlength=len(owner)))
     same = np.flatnonzero((hashed[1:] == hashed[:-1]) & (row[1:] == row[:-1]))
     repeats = np.bincount(row[same], minlength=n)
-    marks = np.r_[0, np.cumsum(_MARK[b.data])]
-    marked = np.bincount(row, weights=(marks[ends] - marks[starts]) > 0, minlength=n)
+    marked = np.bincount(row, weights=b.span_counts(_MARK, starts, ends) > 0, minlength=n)
 
     at, to, line_row = b.lines()
     first, last = np.searchsorted(starts, at), np.searchsorted(starts, to)

@@ -3,7 +3,9 @@
 Method: lines are normalised (stripped, A-Z lower-cased, digits made 0) and hashed; for each host
 (``source``) the distinct documents that hold a line are counted, exact copies of a text counting
 once; lines held by more documents than the host's limit are removed; a document that loses most
-of its words this way, or fails a base rule, is rejected.
+of its words this way, or fails a base rule, is rejected. Lines and texts are equal when both halves
+of a 128-bit hash are. The lines over a host's limit meet the documents that hold them by hash; lines
+that very many rows hold are sent to the rows, not the rows to them.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
+from .skew import split_join
 from .textkernel import blocks, mix, row_sets, shingles
 
 SYMBOLS = "#*$%&|<>"
@@ -24,7 +27,7 @@ HOST_SHARE, MIN_DOCUMENTS = 0.001, 20
 #: A document is depleted when boilerplate lines hold more than this share of its words.
 MAX_REMOVED_SHARE = 0.7
 
-_FEATURES = "doc_id long, source string, row_id long, row_key long, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+_FEATURES = "doc_id long, source string, row_id long, row_key long, text_hash long, text_twin long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, twins array<long>, line_words array<int>"
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
 _DIGIT = np.arange(256, dtype=np.uint8)
@@ -44,23 +47,18 @@ def _worded_lines(b, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return at[worded], to[worded], owner[worded], first[worded], last[worded], place[worded]
 
 
-def _line_hashes(b, at: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Hashes of stripped lines, lower-cased and with digits made 0."""
-    low = b.lowered()
-    low.data = _DIGIT[low.data]
-    return low.hashes(at, to)
+def _line_hashes(b, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes (as two arrays) of stripped lines, lower-cased and with digits made 0."""
+    return b.lowered().mapped(_DIGIT).hashes(at, to, wide=True)
 
 
 def _block_features(b) -> dict[str, list]:
     n = b.rows
     starts, ends = b.words()
     row = b.row_of(starts)
-    points = b.points()
+    out = {"n_words": np.bincount(row, minlength=n), "word_chars": _sums(b.span_points(starts, ends), row, n), "n_symbols": b.per_row(_IS_SYMBOL)}
+    out["text_hash"], out["text_twin"] = (x.view(np.int64) for x in b.row_hashes())
     hashed = b.hashes(starts, ends)
-    out = {"n_words": np.bincount(row, minlength=n), "word_chars": _sums(points[ends] - points[starts], row, n)}
-    marks = np.flatnonzero(_IS_SYMBOL[b.data])
-    out["n_symbols"] = np.bincount(b.row_of(marks), minlength=n)
-    out["text_hash"] = b.hashes(b.bounds[:-1], b.bounds[1:]).view(np.int64)
 
     full = np.bincount(row, minlength=n) >= 8
     keep = full[row]
@@ -86,14 +84,14 @@ def _block_features(b) -> dict[str, list]:
     again = np.zeros(len(raw), np.int64)
     again[order[1:]] = (raw[order][1:] == raw[order][:-1]) & (owner[order][1:] == owner[order][:-1])
     out["n_dup_lines"] = _sums(again, owner, n)
-    line = _line_hashes(b, starts[first], ends[last - 1]) if len(first) else raw
-    held, held_row = row_sets(line, owner)
-    order = np.lexsort((line, owner))
-    group = np.cumsum(np.r_[True, (line[order][1:] != line[order][:-1]) | (owner[order][1:] != owner[order][:-1])]) - 1 if len(line) else order
-    words = np.bincount(group, weights=(last - first)[order]).astype(np.int32) if len(line) else np.empty(0, np.int32)
-    cuts = np.searchsorted(held_row, np.arange(n + 1)).astype(np.int32)
-    out["lines"] = pa.ListArray.from_arrays(pa.array(cuts), pa.array(held.view(np.int64)))
-    out["line_words"] = pa.ListArray.from_arrays(pa.array(cuts), pa.array(words))
+    line, twin = _line_hashes(b, starts[first], ends[last - 1]) if len(first) else (raw, raw)
+    order = np.lexsort((twin, line, owner))
+    line, twin, owner, held = line[order], twin[order], owner[order], (last - first)[order]
+    new = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (twin[1:] != twin[:-1]) | (owner[1:] != owner[:-1])]) if len(line) else order
+    words = np.add.reduceat(held, new) if len(line) else held
+    cuts = pa.array(np.searchsorted(owner[new], np.arange(n + 1)).astype(np.int32))
+    for name, values in (("lines", line[new].view(np.int64)), ("twins", twin[new].view(np.int64)), ("line_words", words.astype(np.int32))):
+        out[name] = pa.ListArray.from_arrays(cuts, pa.array(values))
     return out
 
 
@@ -120,11 +118,12 @@ def _cut(batches):
             for b in blocks(touched):
                 starts, ends = b.words()
                 _, _, owner, first, last, place = _worded_lines(b, starts)
-                line = _line_hashes(b, starts[first], ends[last - 1]).view(np.int64) if len(first) else np.empty(0, np.int64)
+                line, twin = (x.view(np.int64) for x in _line_hashes(b, starts[first], ends[last - 1])) if len(first) else (np.empty(0, np.int64),) * 2
                 begin = np.searchsorted(owner, np.arange(b.rows + 1))
                 for k in range(b.rows):
                     own = slice(begin[k], begin[k + 1])
-                    gone = set(place[own][np.isin(line[own], cuts[b.lo + k].values.to_numpy())].tolist())
+                    pairs = {(x["line"], x["twin"]) for x in cuts[b.lo + k].as_py()}
+                    gone = {i for i, pair in zip(place[own].tolist(), zip(line[own].tolist(), twin[own].tolist(), strict=True), strict=True) if pair in pairs}
                     short.append("\n".join(x for i, x in enumerate(touched[b.lo + k].as_py().split("\n")) if i not in gone))
             mask = np.zeros(batch.num_rows, bool)
             mask[some] = True
@@ -134,7 +133,8 @@ def _cut(batches):
 
 def _row_key():
     """Tells rows of one id apart by source and text."""
-    return F.xxhash64(F.col("source").cast("string"), F.col("text").cast("string"))
+    source, text = F.col("source").cast("string"), F.col("text").cast("string")
+    return F.xxhash64(source.isNull(), source, text.isNull(), text)  # the hash passes nulls over
 
 
 def verdicts(docs: DataFrame, host_share: float = HOST_SHARE, min_documents: int = MIN_DOCUMENTS, max_removed_share: float = MAX_REMOVED_SHARE) -> DataFrame:
@@ -142,20 +142,23 @@ def verdicts(docs: DataFrame, host_share: float = HOST_SHARE, min_documents: int
     spare = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row_id"), _row_key().alias("row_key"))
     table = store.written(spare.mapInArrow(_features, _FEATURES), "quality-features")
 
-    once = table.groupBy("source", "text_hash").agg(F.first("lines").alias("lines"))
+    once = table.groupBy("source", "text_hash", "text_twin").agg(F.first("lines").alias("lines"), F.first("twins").alias("twins"), F.count("*").alias("copies"))
     hosts = once.groupBy("source").agg(F.count("*").alias("documents"))
-    held = once.select("source", F.explode("lines").alias("line")).groupBy("source", "line").agg(F.count("*").alias("holders")).where(F.col("holders") > min_documents)
+    per_text = once.select("source", "copies", F.explode(F.arrays_zip("lines", "twins")).alias("x"))
+    held = per_text.groupBy("source", F.col("x.lines").alias("line"), F.col("x.twins").alias("twin")).agg(F.count("*").alias("holders"), F.sum("copies").alias("rows")).where(F.col("holders") > min_documents)
     h, s = held.alias("h"), hosts.alias("s")
-    frequent = h.join(s, F.col("h.source").eqNullSafe(F.col("s.source"))).where(F.col("holders") > host_share * F.col("documents")).select("h.source", "line")
+    over = h.join(s, F.col("h.source").eqNullSafe(F.col("s.source"))).where(F.col("holders") > host_share * F.col("documents"))
+    frequent = store.written(over.select(F.col("h.source").alias("f_source"), F.col("line").alias("f_line"), F.col("twin").alias("f_twin"), "rows"), "frequent-lines")
 
-    spread = table.select("row_id", "source", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row_id", "source", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    a, b = spread.alias("a"), frequent.alias("b")
-    removed = a.join(b, (F.col("a.line") == F.col("b.line")) & F.col("a.source").eqNullSafe(F.col("b.source"))).groupBy("row_id").agg(F.sum("words").alias("removed_words"), F.collect_list("a.line").alias("cut"))
+    n_lines = table.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    spread = table.select("row_id", "source", F.explode(F.arrays_zip("lines", "twins", "line_words")).alias("x")).select("row_id", "source", F.col("x.lines").alias("line"), F.col("x.twins").alias("twin"), F.col("x.line_words").alias("words"))
+    met = split_join(spread, frequent, {"line": "f_line", "twin": "f_twin", "source": "f_source"}, "rows", n_lines)
+    removed = met.groupBy("row_id").agg(F.sum("words").alias("removed_words"), F.collect_list(F.struct("line", "twin")).alias("cut"))
 
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     gone = F.coalesce("removed_words", F.lit(0)).cast("long")
     return (
-        table.drop("lines", "line_words", "source", "text_hash")
+        table.drop("lines", "twins", "line_words", "source", "text_hash", "text_twin")
         .join(removed, "row_id", "left")
         .select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", gone.alias("removed_words"), base_failed.alias("base_failed"), (~base_failed & (gone <= max_removed_share * F.col("n_words"))).alias("kept"), "cut")
     )
@@ -169,13 +172,17 @@ def quality_rules(docs: DataFrame, host_share: float = HOST_SHARE, min_documents
 
     Null or empty text: no words, base_failed. Null doc_id or source: kept as null (null sources are
     one host). Repeated rows: each gets its own row; copies of a text count as one document of
-    their host. Other columns are ignored. An empty table gives an empty result.
+    their host. Texts may have any length: a task holds one whole, and a few numbers for each of its words.
+    A line at the limit stays, one above it goes. Other columns are ignored. An empty table gives an empty result.
     """
     return verdicts(docs, host_share, min_documents, max_removed_share).drop("row_key", "cut")
 
 
 def kept_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns; ``text`` is without the lines over the host's limit."""
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns; ``text`` is without the lines over the host's limit.
+
+    Repeated rows stay as often as they are there; null ids and sources, empty texts and empty tables as in :func:`quality_rules`.
+    """
     # copies of a row have one key and lose the same lines
     good = verdicts(docs, **limits).where("kept").groupBy(F.col("doc_id").alias("_qr_id"), F.col("row_key").alias("_qr_key")).agg(F.first("cut").alias("_qr_cut"))
     keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("_qr_row", _row_key())

@@ -2,29 +2,49 @@
 
 Operators that read one computed table several times write it as Parquet below
 ``spark.checkpoint.dir`` and read it back: this cuts the lineage and survives lost executors.
+A :func:`scope` owns the tables written inside it and deletes them when it ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: list[str] = []
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a fresh temporary folder where it is unset (local tests)."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local session (tests, one machine) gets a temporary folder that ends with the
+    process; any other session gets an error, since its executors would each write to their own disk.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master {master!r})")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="spark-shared-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return f"file://{_LOCAL[0]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back (one job, no lineage)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -40,8 +60,24 @@ def again(df: DataFrame) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that no later step reads."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if getattr(df, "_stored_at", None):
+        _delete(df.sparkSession, df._stored_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = urlparse(path)
+    if where.scheme in ("", "file"):
+        shutil.rmtree(where.path, ignore_errors=True)
+    else:  # a store that only Spark reaches: its writer replaces the files by none
+        spark.range(0).write.mode("overwrite").parquet(path)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Tables written inside are deleted at the end: read or write every lazy result of the operators before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCOPES.pop():
+            _delete(spark, path)
