@@ -28,7 +28,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk_search": topk_search.OP1_SQL,
         "op2_ngram_join": ngram_join.OP2_SQL,
-        "op3_token_counts": token_counts.OP3_SQL,
         "op8_quality_rules": quality_rules.OP8_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
         "op10_source_mix": source_mix.OP10_SQL,

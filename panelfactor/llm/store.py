@@ -39,12 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back (one job, no lineage)."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; the innermost scope owns it."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if _SCOPES:
         _SCOPES[-1].append((spark, path))
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back (one job, no lineage)."""
+    spark = df.sparkSession
+    path = folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

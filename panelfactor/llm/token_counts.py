@@ -1,112 +1,118 @@
 """Token counts of documents in flat, unindexed token files: separator scan.
 
-A file is nothing but little-endian token ids, documents ended by an end-of-document id. Its bytes
-are cut into blocks regardless of documents; each block is searched for the id with one vectorised
-comparison; documents that cross blocks are stitched with prefix scans over the blocks' figures
-(tokens so far, separators so far, place of the last separator), which are a row for each block.
+A file is nothing but little-endian token ids, each document ended by an end-of-document id. Files are cut
+into byte ranges regardless of documents, a task reads ranges, not files; each block is searched for
+the id with one vectorised comparison; documents that cross blocks are stitched with a prefix scan over the
+blocks' figures (tokens and separators so far, place of the last separator), a small row for each block.
+
+:func:`write_token_files` makes such files from documents with the encoder of :mod:`bpe`. Spark's text writer
+writes a document's ids as one record and the end-of-document id as its line separator, so files are
+committed like any other output and a lost task's are written again.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a block, and the separator of byte-level token files (ids 0 to 255 are bytes).
-BLOCK, SEPARATOR = 1 << 20, 256
+from . import bpe, store
 
-_SUMMARY = "file string, block long, n long, separators long, last long, counts array<long>, doc_ids array<long>"
+#: Bytes of a block; bytes of an id; the end-of-document id, outside of every vocabulary and made of ASCII bytes.
+BLOCK, WIDTH, SEPARATOR = 4 << 20, 4, 0x7F7F7F7F
 
+_RANGES = "file string, block long, size long"
+_SCANNED = "file string, block long, n long, separators long, last long, counts array<long>"
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, tokens) of token files below ``path``, in blocks of BLOCK bytes."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content"))
 
-    def cut(batches):
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
+    """Encode ``docs`` (text) into flat files of uint32 ids below ``path``, each document ended by SEPARATOR.
+
+    Null or empty text: no ids, only the separator. Every row is written once, whatever its other columns; repeated rows are
+    repeated documents; texts are encoded whole. No rows: no files with documents.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bpe.Vocabulary(vocabulary or bpe.default_path()))
+
+    def run(batches):
+        encoder = bpe.Encoder(shared.value)
         for batch in batches:
-            for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                whole = memoryview(content.as_buffer())
-                for k, at in enumerate(range(0, max(len(whole), 1), BLOCK)):
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k]), pa.array([bytes(whole[at : at + BLOCK])], pa.binary())], names=["file", "block", "tokens"])
+            for texts in bpe.chunks(batch.column("text")):
+                ids, counts = encoder.encode(texts)
+                bounds = np.r_[0, np.cumsum(counts)].astype(np.int64) * WIDTH
+                raw = pa.py_buffer(ids.astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds), raw]).cast(pa.binary())], names=["value"])
 
-    return files.mapInArrow(cut, "file string, block long, tokens binary")
+    flat = docs.select(F.col("text").cast("string")).mapInArrow(run, "value binary")
+    end = SEPARATOR.to_bytes(WIDTH, "little").decode("ascii")
+    flat.select(F.col("value").cast("string")).write.option("lineSep", end).text(path)
 
 
-def token_stream(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
-    """Byte-level token file of each partition of ``docs``, in blocks: (file, block, tokens as uint16, doc_ids that end in it)."""
+def file_ranges(spark: SparkSession, path: str, block_bytes: int = BLOCK) -> DataFrame:
+    """(file, block, size) of the byte ranges of all files below ``path``; only names and lengths are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    last = F.floor((F.col("length") - 1) / block_bytes)
+    ranges = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    return ranges.select("file", "block", F.least(F.lit(block_bytes), F.col("length") - F.col("block") * block_bytes).cast("long").alias("size"))
 
-    def run(batches):
-        pending, size, block, file, ids = [], 0, 0, None, []
-
-        def cut(final):
-            nonlocal pending, size, block, ids
-            flat = np.concatenate(pending) if pending else np.empty(0, "<u2")
-            step = block_bytes // 2
-            at = 0
-            while len(flat) - at >= step or (final and (at < len(flat) or not block)):
-                part = flat[at : at + step]
-                ended = int((part == SEPARATOR).sum())
-                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([part.tobytes()], pa.binary()), pa.array([ids[:ended]], pa.list_(pa.int64()))], names=["file", "block", "tokens", "doc_ids"])
-                ids, at, block = ids[ended:], at + step, block + 1
-            pending = [flat[at:]] if at < len(flat) else []
-            size = max(0, len(flat) - at) * 2
-
-        end = np.array([SEPARATOR], "<u2")
-        for batch in batches:
-            for doc, text, name in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("file").to_pylist(), strict=True):
-                file = name
-                pending += [np.frombuffer((text or "").encode(), np.uint8).astype("<u2"), end]
-                size += 2 * len(pending[-2]) + 2
-                ids.append(doc)
-                if size >= block_bytes:
-                    yield from cut(False)
-        if file is not None and pending:
-            yield from cut(True)
-
-    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.concat(F.lit("part-"), F.spark_partition_id()).alias("file"))
-    return named.mapInArrow(run, "file string, block long, tokens binary, doc_ids array<long>")
-
-
-def token_counts(blocks: DataFrame, separator: int = SEPARATOR, width: int = 2) -> DataFrame:
-    """file, ordinal (from 0 in its file), doc_id (where the blocks name the documents, else null), n_tokens without the separator.
-
-    ``blocks``: file, block (0, 1, ... in file order), tokens (``width``-byte ids); each block but the last may
-    have any length. Tokens after a file's last separator are a document of their own; an empty
-    file has none; a null block counts as empty.
+
+def scan_blocks(ranges: DataFrame, separator: int = SEPARATOR, width: int = WIDTH, block_bytes: int = BLOCK) -> DataFrame:
+    """Figures of each block: n (tokens), separators, last (place of the last one), counts (tokens before each one in this block).
+
+    Bytes at the end of a file that make no whole token are no token.
     """
     dtype = np.dtype(f"<u{width}")
-    named = "doc_ids" in blocks.columns
 
     def scan(batches):
         for batch in batches:
-            rows = []
-            for k in range(batch.num_rows):
-                raw = batch.column("tokens")[k].as_py() or b""
-                tokens = np.frombuffer(raw, dtype)
-                at = np.flatnonzero(tokens == separator)
-                counts = np.diff(np.r_[-1, at]) - 1
-                rows.append((len(tokens), len(at), int(at[-1]) if len(at) else None, counts.tolist(), batch.column("doc_ids")[k].as_py() if named else None))
-            n, s, last, counts, ids = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(last, pa.int64()), pa.array(counts, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.int64()))], names=[x.split()[0] for x in _SUMMARY.split(", ")])
-
-    columns = ["file", "block", "tokens"] + ["doc_ids"] * named
-    s = blocks.select(columns).mapInArrow(scan, _SUMMARY)
-    w = Window.partitionBy("file").orderBy("block")  # rows: blocks of a file
+            for file, block, size in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "size")), strict=True):
+                system, at = fs.FileSystem.from_uri(file)
+                with system.open_input_file(at) as handle:
+                    raw = handle.read_at(size, block * block_bytes)
+                tokens = np.frombuffer(raw, dtype, len(raw) // width)
+                found = np.flatnonzero(tokens == separator)
+                columns = [[file], [block], [len(tokens)], [len(found)], [int(found[-1]) if len(found) else None]]
+                lists = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(np.diff(found, prepend=-1) - 1))
+                kinds = [pa.string(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), lists], names=[x.split()[0] for x in _SCANNED.split(", ")])
+
+    return ranges.mapInArrow(scan, _SCANNED)
+
+
+def token_counts(spark: SparkSession, path: str, separator: int = SEPARATOR, width: int = WIDTH, block_bytes: int = BLOCK) -> DataFrame:
+    """file, ordinal (from 0 in its file), n_tokens (without the separator), ended (whether a separator follows) of every document below ``path``.
+
+    Tokens after a file's last separator are a document of their own with ended false; an empty file has none.
+    Bytes at a file's end that make no whole token are ignored. Documents may be longer than blocks. No files or
+    only empty ones: an empty result; a path that does not exist: Spark's error.
+    """
+    if block_bytes % width:
+        raise ValueError("blocks hold whole tokens")
+    ranges = file_ranges(spark, path, block_bytes)
+    n = ranges.count()
+    spread = ranges.repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism + n // 16)), "file", "block")
+    scanned = store.written(scan_blocks(spread, separator, width, block_bytes), "token-blocks")
+
+    w = Window.partitionBy("of").orderBy("at")  # rows: a few numbers for each block of a file
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("ordinal", F.coalesce(F.sum("separators").over(before), F.lit(0)))
-    s = s.withColumn("previous", F.max(F.col("begin") + F.col("last")).over(before)).withColumn("final", F.lead("block").over(w).isNull())
-    carry = F.col("begin") - F.coalesce(F.col("previous") + 1, F.lit(0))
-    ended = F.transform("counts", lambda x, i: F.struct((F.col("ordinal") + i).alias("ordinal"), F.get(F.col("doc_ids"), i).alias("doc_id"), F.when(i == 0, x + F.col("carry")).otherwise(x).alias("n_tokens")))
-    open_tokens = F.when(F.col("last").isNull(), F.col("carry") + F.col("n")).otherwise(F.col("n") - F.col("last") - 1)
-    open_doc = F.when(F.col("final") & (open_tokens > 0), F.array(F.struct((F.col("ordinal") + F.col("separators")).alias("ordinal"), F.lit(None).cast("long").alias("doc_id"), open_tokens.alias("n_tokens"))))
-    rows = s.withColumn("carry", carry).select("file", F.explode(F.concat(ended, F.coalesce(open_doc, F.array().cast("array<struct<ordinal:bigint,doc_id:bigint,n_tokens:bigint>>")))).alias("x"))
-    return rows.select("file", "x.ordinal", "x.doc_id", "x.n_tokens")
+    slim = store.again(scanned).select(F.col("file").alias("of"), F.col("block").alias("at"), "n", "separators", "last")
+    begin = F.coalesce(F.sum("n").over(before), F.lit(0))
+    slim = slim.withColumn("begin", begin).withColumn("ordinal", F.coalesce(F.sum("separators").over(before), F.lit(0)))
+    slim = slim.withColumn("previous", F.max(F.col("begin") + F.col("last")).over(before)).withColumn("final", F.lead("at").over(w).isNull())
+    placed = slim.select("of", "at", "ordinal", "final", (F.col("begin") - F.coalesce(F.col("previous") + 1, F.lit(0))).alias("carry"))
 
-
-def op3_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Query: byte tokens of each document of the whole ``documents`` table, found again in its flat token stream."""
-    return token_counts(token_stream(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "n_tokens")
+    s = scanned.join(placed, (F.col("file") == F.col("of")) & (F.col("block") == F.col("at")))
+    ended = F.transform("counts", lambda x, i: F.struct((F.col("ordinal") + i).alias("ordinal"), F.when(i == 0, x + F.col("carry")).otherwise(x).alias("n_tokens"), F.lit(True).alias("ended")))
+    tail = F.when(F.col("last").isNull(), F.col("carry") + F.col("n")).otherwise(F.col("n") - F.col("last") - 1)
+    rest = F.array(F.struct((F.col("ordinal") + F.col("separators")).alias("ordinal"), tail.alias("n_tokens"), F.lit(False).alias("ended")))
+    rows = s.select("file", F.explode(F.when(F.col("final") & (tail > 0), F.concat(ended, rest)).otherwise(ended)).alias("x"))
+    return rows.select("file", "x.ordinal", "x.n_tokens", "x.ended")
 
 
-OP3_SQL = "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_tokens FROM documents"
+def op3_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Query: token counts of the documents in the token files of the whole ``documents`` table, found by separators alone."""
+    path = store.folder(spark, "token-files")
+    write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    counts = token_counts(spark, path)
+    return counts.select(F.regexp_extract("file", r"part-(\d+)", 1).alias("file"), "ordinal", "n_tokens", "ended")

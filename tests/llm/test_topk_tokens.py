@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 
 from panelfactor.llm import token_counts, topk_search
+from tests.conftest import SF
 
 
 def brute(vectors, k):
@@ -32,19 +34,58 @@ def test_small_tables_ties_and_bad_vectors(spark, monkeypatch):
     assert topk_search.top_k(few.where("vec_id = 0")).count() == 0
 
 
-def test_documents_across_blocks(make):
-    docs = make([(1, "abc"), (2, ""), (3, None), (4, "é" * 50), (5, "x" * 1000), (None, "y"), (5, "x" * 1000)], True).coalesce(1)
-    for block in (8, 64, 1 << 20):
-        got = sorted(((r.doc_id is None, r.doc_id), r.n_tokens) for r in token_counts.token_counts(token_counts.token_stream(docs, block)).collect())
-        assert [x[1] for x in got] == [3, 0, 0, 100, 1000, 1000, 1]
-    assert token_counts.token_counts(token_counts.token_stream(docs.where("false"))).count() == 0
+def brute_counts(flat, separator):
+    """(n_tokens, ended) of the documents in one list of ids."""
+    out, n = [], 0
+    for x in flat:
+        n += 1
+        if x == separator:
+            out.append((n - 1, True))
+            n = 0
+    return out + [(n, False)] * (n > 0)
 
 
-def test_flat_files(spark, tmp_path):
-    docs = [[1, 2, 3], [], [4], [5] * 40, [6, 7]]
-    flat = np.concatenate([np.array([*d, 9], "<u4") for d in docs[:-1]] + [np.array(docs[-1], "<u4")])
-    flat.tofile(tmp_path / "a.bin")
-    np.empty(0, "<u4").tofile(tmp_path / "empty.bin")
-    blocks = token_counts.read_token_files(spark, str(tmp_path / "*.bin"))
-    got = [(r.ordinal, r.n_tokens) for r in token_counts.token_counts(blocks, 9, 4).orderBy("ordinal").collect()]
-    assert got == list(enumerate(map(len, docs)))
+@pytest.mark.parametrize(("width", "block"), [(2, 8), (4, 8), (4, 64), (2, 1 << 20)])
+def test_files_of_any_cut(spark, tmp_path, width, block):
+    """Random files against a plain count: documents longer than blocks, empty ones, cut files, odd bytes at the end."""
+    rng = np.random.default_rng(width * block)
+    want = {}
+    for name, n in (("a", 0), ("b", 1), ("c", 7), ("d", 500), ("e", 500), ("f", 64)):
+        ids = rng.integers(0, 40, n)
+        ids[rng.random(n) < (0.3 if name != "e" else 0.01)] = 77
+        (tmp_path / f"{name}.bin").write_bytes(ids.astype(f"<u{width}").tobytes() + b"\1" * (width - 1) * (name in "bd"))
+        want[name] = brute_counts(ids.tolist(), 77)
+    got = {}
+    for r in token_counts.token_counts(spark, str(tmp_path), 77, width, block).orderBy("file", "ordinal").collect():
+        own = got.setdefault(r.file[-5], [])
+        assert r.ordinal == len(own)
+        own.append((r.n_tokens, r.ended))
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_written_files_hold_every_document(spark, make, tmp_path):
+    from tokenizers import Tokenizer
+
+    from panelfactor.llm import bpe
+
+    texts = ["abc def", "", None, "é" * 50, "x " * 30_000, "<|endoftext|> is text here", "y", "abc def"]
+    docs = make(list(enumerate(texts)), True)
+    token_counts.write_token_files(docs, str(tmp_path / "files"))
+    lib = Tokenizer.from_file(bpe.default_path())
+    got = token_counts.token_counts(spark, str(tmp_path / "files"), block_bytes=256).collect()
+    assert all(r.ended for r in got)
+    assert sorted(r.n_tokens for r in got) == sorted(len(lib.encode(t or "", add_special_tokens=False).ids) for t in texts)
+    token_counts.write_token_files(docs.where("false"), str(tmp_path / "none"))
+    assert token_counts.token_counts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_the_query_counts_all_documents(spark):
+    """Against the library over the whole table."""
+    from tokenizers import Tokenizer
+
+    from panelfactor.llm import bpe
+
+    lib = Tokenizer.from_file(bpe.default_path())
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = sorted(len(x.ids) for x in lib.encode_batch(texts, add_special_tokens=False))
+    assert sorted(r.n_tokens for r in token_counts.op3_token_counts(spark, SF).collect()) == want
