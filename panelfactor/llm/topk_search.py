@@ -1,14 +1,20 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
-A vector's dimensions are cut into m slices; a score is the sum of m partial scores. Rows and
-queries meet in blocks, each pair of blocks in one task:
-1. each block gathers, for each query and slice, the k rows with the highest partial scores, and
-   returns the k best of their scores; the k-th best of all blocks' lists is a safe cutoff: k rows
-   reach it;
-2. the cutoff is joined to the queries; a row whose score reaches it must have a partial score of at
-   least cutoff / m in some slice, so each block collects those rows only, and drops the ones
-   whose known partial scores plus the uniform threshold for the others stay below the cutoff;
-3. the scores of the rest are resolved exactly and the k best of each block are ranked.
+A vector's dimensions are cut into m slices, the nodes of the method: each has its own list of partial
+scores, and a score is the sum of m of them. Rows and queries are packed into blocks of one norm band
+each, and a pair of blocks meets in one task:
+1. gather: on every PROBE-th block of rows each slice names, for each query, the k rows with its highest
+   partial scores; only their scores are made, and the k-th best of all blocks' lists is a safe cutoff,
+   since k rows reach it whatever the other rows hold;
+2. collect: a row that reaches the cutoff must have a partial score of cutoff / m or more in some slice, so
+   each slice sends those entries only. A pair of blocks whose norms can't reach any cutoff is passed over; so
+   is a row whose known partial scores plus the bounds of the others (the uniform threshold, or the product
+   of the slices' norms where that is less) stay below the cutoff;
+3. resolve: the missing partial scores of the rows that are left are looked up, and the k best of each
+   block that reach the cutoff are ranked.
+
+Every vector takes part; cutoffs and bounds only decide what need not be looked at further. All scores are exact
+integers: products are made in the smallest type that holds them.
 """
 
 from __future__ import annotations
@@ -22,8 +28,15 @@ from pyspark.sql import functions as F
 
 from . import store
 
-K, SCALE, EVERY, SLICES = 20, 64, 20, 4
-ROW_BLOCK, QUERY_BLOCK = 8_192, 1_024
+K, SCALE, EVERY, SLICES = 20, 64, 20, 2
+#: Components in one block of rows or queries; rows and queries of one product; every how many blocks of rows the gathering looks at.
+ROW_BLOCK, QUERY_BLOCK, TILE_ROWS, TILE_QUERIES, PROBE = 1 << 23, 1 << 18, 8_192, 512, 4
+#: A band holds norms within a factor of 2 ** (1 / BANDS).
+BANDS = 4
+
+_PACKED = "block long, ids binary, matrix binary, kind string, width int, cutoffs binary"
+_LISTED = "query_id long, score long"
+_FOUND = "query_id long, vec_id long, score long"
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -54,93 +67,197 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def _partials(rows: pa.Table, queries: pa.Table, slices: int) -> list[np.ndarray]:
-    """Partial scores (queries x rows) of each slice; exact, in the smallest type that holds them."""
-    width = max([1, *(int(t["v"].combine_chunks().value_lengths().to_numpy().max(initial=0)) for t in (rows, queries))])
-    r, q = _matrix(rows["v"], width), _matrix(queries["v"], width)
-    most = float(np.abs(r).max(initial=0)) * float(np.abs(q).max(initial=0)) * width
-    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
-    return [q[:, a].astype(kind) @ r[:, a].astype(kind).T for a in np.array_split(np.arange(width), min(slices, width))]
+def _smallest_kind(values: np.ndarray) -> str:
+    """The smallest integer type that holds the values."""
+    most = int(max(values.max(initial=0), -1 - values.min(initial=0)))
+    return next(k for k in ("i1", "i2", "i4", "i8") if most <= np.iinfo(k).max)
 
 
-def _own(rows: pa.Table, queries: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, qs = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-    return ids, qs, qs[:, None] == ids[None, :]
+def _pack(table: pa.Table) -> pa.Table:
+    """All vectors of a block as one row."""
+    width = max(1, int(table["v"].combine_chunks().value_lengths().to_numpy().max(initial=0)))
+    v = _matrix(table["v"], width)
+    kind = _smallest_kind(v)
+    columns = [[table["block"][0].as_py()], [table["vec_id"].to_numpy().tobytes()], [v.astype(kind).tobytes()], [kind], [width], [table["cutoff"].to_numpy().tobytes()]]
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _PACKED.split(", ")])
 
 
-def _phase1(k: int, slices: int):
-    def run(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("score", pa.int64())])
-        if not rows.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        ids, qs, own = _own(rows, queries)
-        parts = _partials(rows, queries, slices)
-        total = sum(parts).astype(np.int64)
-        seen = np.zeros(own.shape, bool)
+def _unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the one block in ``table``, ended by zeros up to ``width``."""
+    own = table["width"][0].as_py()
+    v = np.frombuffer(table["matrix"][0].as_buffer(), table["kind"][0].as_py()).reshape(-1, own)
+    return np.frombuffer(table["ids"][0].as_buffer(), np.int64), np.pad(v, ((0, 0), (0, width - own))) if own < width else v
+
+
+class Slices:
+    """A block of rows and one of queries, cut into slices of dimensions; ``resolved`` counts the scores that were made."""
+
+    def __init__(self, rows: np.ndarray, queries: np.ndarray, slices: int):
+        width = rows.shape[1]
+        most = float(np.abs(rows.astype(np.float64)).max(initial=0)) * float(np.abs(queries.astype(np.float64)).max(initial=0)) * width
+        self.kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+        cuts = np.array_split(np.arange(width), min(slices, width))
+        self.rows, self.queries = ([np.ascontiguousarray(x[:, c], self.kind) for c in cuts] for x in (rows, queries))
+        # a little above the norms, so that rounding never makes a bound too small
+        norm = lambda x: np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9)
+        self.row_norms, self.query_norms = ([norm(x) for x in side] for side in (self.rows, self.queries))
+        self.resolved = 0
+
+    def whole_norms(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.sqrt(sum(n**2 for n in side)) * (1 + 1e-9) for side in (self.row_norms, self.query_norms))
+
+    def partials(self, q: slice, r: slice) -> list[np.ndarray]:
+        """Each slice's partial scores of some queries and rows."""
+        return [a[q] @ b[r].T for a, b in zip(self.queries, self.rows, strict=True)]
+
+    def resolve(self, parts: list[np.ndarray], at_query: np.ndarray, at_row: np.ndarray) -> np.ndarray:
+        self.resolved += len(at_query)
+        return sum(p[at_query, at_row].astype(np.int64) for p in parts)
+
+    def gathered(self, q: slice, r: slice, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and scores of the rows that each slice names: the k with its highest partial scores."""
+        parts = self.partials(q, r)
+        named = np.zeros(own.shape, bool)
         for p in parts:
-            top = np.argpartition(p, -min(k, p.shape[1]), axis=1)[:, -min(k, p.shape[1]) :]
-            np.put_along_axis(seen, top, True, axis=1)
-        low = np.iinfo(np.int64).min
-        lists = np.where(seen & ~own, total, low)
-        best = np.partition(lists, -min(k, lists.shape[1]), axis=1)[:, -min(k, lists.shape[1]) :]
-        use = best != low
-        return pa.table({"query_id": np.repeat(qs, use.sum(axis=1)), "score": best[use]}, schema=schema)
+            least = min(k, p.shape[1])
+            np.put_along_axis(named, np.argpartition(p, -least, axis=1)[:, -least:], True, axis=1)
+        at_query, at_row = np.nonzero(named & ~own)
+        return at_query, self.resolve(parts, at_query, at_row)
+
+    def reaching(self, q: slice, r: slice, own: np.ndarray, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, rows and scores of the pairs that reach the cutoff."""
+        parts = self.partials(q, r)
+        threshold = cutoff / len(parts)
+        sent = np.zeros(own.shape, bool)
+        for p in parts:
+            sent |= p >= threshold[:, None]
+        sent &= ~own
+        at_query, at_row = np.nonzero(sent)
+        bound = np.zeros(len(at_query))
+        for p, a, b in zip(parts, self.query_norms, self.row_norms, strict=True):
+            known = p[at_query, at_row].astype(np.float64)
+            other = np.minimum(threshold[at_query], a[q][at_query] * b[r][at_row])
+            bound += np.where(known >= threshold[at_query], known, other)
+        left = bound >= cutoff[at_query] - 1e-6 * np.abs(cutoff[at_query])
+        at_query, at_row = at_query[left], at_row[left]
+        score = self.resolve(parts, at_query, at_row)
+        reach = score >= cutoff[at_query]
+        return at_query[reach], at_row[reach], score[reach]
 
-    return run
 
+def _tiles(n: int, size: int):
+    return [slice(k, min(k + size, n)) for k in range(0, n, size)]
+
+
+def _best(at_query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best entries of each query; ties to the smaller id."""
+    order = np.lexsort((ids, -score, at_query))
+    ordered = at_query[order]
+    return order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < k]
+
+
+def _meeting(function, schema: pa.Schema):
+    """One pair of blocks: ``function`` (row ids, query ids, slices, queries' table) where both are there."""
 
-def _phase23(k: int, slices: int):
     def run(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         if not rows.num_rows or not queries.num_rows:
             return schema.empty_table()
-        ids, qs, own = _own(rows, queries)
-        parts = _partials(rows, queries, slices)
-        cutoff = queries["cutoff"].to_numpy(zero_copy_only=False).astype(np.float64)
-        cutoff[np.isnan(cutoff)] = -np.inf
-        threshold = (cutoff / len(parts))[:, None]
-        bound, collected = np.zeros(own.shape), np.zeros(own.shape, bool)
-        for p in parts:
-            sent = p >= threshold
-            collected |= sent
-            bound += np.where(sent, p, threshold)
-        at_query, at_row = np.nonzero(collected & ~own & (bound >= cutoff[:, None]))
-        score = sum(p[at_query, at_row].astype(np.int64) for p in parts)
-        reach = score >= cutoff[at_query]
-        at_query, at_row, score = at_query[reach], at_row[reach], score[reach]
-        order = np.lexsort((ids[at_row], -score, at_query))
-        at_query, at_row, score = at_query[order], at_row[order], score[order]
-        place = np.arange(len(order)) - np.searchsorted(at_query, at_query)
-        first = place < k
-        return pa.table({"query_id": qs[at_query[first]], "vec_id": ids[at_row[first]], "score": score[first]}, schema=schema)
+        width = max(rows["width"][0].as_py(), queries["width"][0].as_py())
+        (ids, r), (qs, q) = _unpack(rows, width), _unpack(queries, width)
+        return pa.table(function(ids, qs, r, q, queries), schema=schema)
 
     return run
 
 
+def _gather(k: int, slices: int):
+    def run(ids, qs, r, q, _):
+        meet = Slices(r, q, slices)
+        found = [(np.empty(0, np.int64),) * 2]
+        for a in _tiles(len(qs), TILE_QUERIES):
+            lists = [meet.gathered(a, b, qs[a, None] == ids[None, b], k) for b in _tiles(len(ids), TILE_ROWS)]
+            at, score = (np.concatenate(x) for x in zip(*lists, strict=True))
+            best = _best(at, np.arange(len(at)), score, k)
+            found.append((at[best] + a.start, score[best]))
+        at, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return [qs[at], score]
+
+    return _meeting(run, pa.schema([("query_id", pa.int64()), ("score", pa.int64())]))
+
+
+def _collect(k: int, slices: int):
+    def run(ids, qs, r, q, queries):
+        cutoff = np.frombuffer(queries["cutoffs"][0].as_buffer(), np.float64)
+        meet = Slices(r, q, slices)
+        row_norms, query_norms = meet.whole_norms()
+        found = [(np.empty(0, np.int64),) * 3]
+        for a in _tiles(len(qs), TILE_QUERIES):
+            parts = [found[0]]
+            for b in _tiles(len(ids), TILE_ROWS):
+                if (query_norms[a] * row_norms[b].max(initial=0) < cutoff[a]).all():
+                    continue
+                at, row, score = meet.reaching(a, b, qs[a, None] == ids[None, b], cutoff[a])
+                parts.append((at, ids[b][row], score))
+            at, vec, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+            best = _best(at, vec, score, k)
+            found.append((at[best] + a.start, vec[best], score[best]))
+        at, vec, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return [qs[at], vec, score]
+
+    return _meeting(run, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+
+
+def _packed(table: DataFrame, per_block: int, least_blocks: int, name: str) -> DataFrame:
+    """``table`` (vec_id, v, band, cutoff) in blocks of about ``per_block`` vectors of one band; blocks are numbered from 0."""
+    sizes = [(r.band, r.n) for r in table.groupBy("band").agg(F.count("*").alias("n")).orderBy("band").collect()]  # a row for each band of norms
+    total = sum(n for _, n in sizes)
+    per_block = max(1, min(per_block, math.ceil(total / least_blocks)))
+    plan, first = [], 0
+    for band, n in sizes:
+        plan.append((band, first, max(1, math.ceil(n / per_block))))
+        first += plan[-1][2]
+    bands = F.broadcast(table.sparkSession.createDataFrame(plan, "of long, first long, blocks long"))
+    placed = table.join(bands, F.col("band") == F.col("of")).select("vec_id", "v", "cutoff", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).alias("block"))
+    return store.written(placed.groupBy("block").applyInArrow(_pack, _PACKED), name)
+
+
 def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY, slices: int = SLICES) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows with the highest integer inner product for each query.
 
     ``vectors``: vec_id, embedding. Queries: vec_id divisible by ``every``; candidates: all rows but those of
-    the query's id. Ties go to the smaller vec_id; with fewer candidates, all. See
-    :func:`integer_vectors` for rows that take no part; shorter vectors count as ending in zeros; scores
-    must fit 64 bits. Extra columns are ignored; an empty table gives an empty result.
+    the query's id. Ties go to the smaller vec_id; with fewer candidates, all. Rows with a null id or vector, or with
+    null or non-finite components, take no part; repeated rows count once (see :func:`integer_vectors`); shorter
+    vectors count as ending in zeros; scores must fit 64 bits. Vectors may have any length: blocks hold fewer of
+    them. Extra columns are ignored; an empty table gives an empty result.
     """
-    table = store.written(integer_vectors(vectors, scale), "topk-vectors")
-    queries = store.again(table).where(F.col("vec_id") % every == 0)
-    n, n_queries = table.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    row_blocks, query_blocks = max(1, math.ceil(n / ROW_BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
-    block = lambda count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count))
-    rows = table.withColumn("rb", block(row_blocks, 1)).select("vec_id", "v", "rb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb")).withColumn("qb", F.col("qb").cast("long"))
-
-    def meet(asked: DataFrame, function, schema: str) -> DataFrame:
-        spread = asked.withColumn("qb", block(query_blocks, 2)).select(*asked.columns, "qb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb")).withColumn("rb", F.col("rb").cast("long"))
-        return rows.groupBy("rb", "qb").cogroup(spread.groupBy("rb", "qb")).applyInArrow(function, schema)
-
-    lists = meet(queries, _phase1(k, slices), "query_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))  # rows: k for each block of rows
+    spark = vectors.sparkSession
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    table = integer_vectors(vectors, scale).withColumn("band", F.when(norm > 0, F.floor(F.log2(norm) / 2 * BANDS)).otherwise(-1).cast("long"))
+    table = store.written(table, "topk-vectors")
+    is_query = F.col("vec_id") % every == 0
+    n, n_queries, width = table.agg(F.count("*"), F.count_if(is_query), F.max(F.size("v"))).first()
+    if not n_queries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width = max(1, width)
+    per_rows, per_queries = max(1, ROW_BLOCK // width), max(1, QUERY_BLOCK // width)
+    spare = max(1, min(2 * spark.sparkContext.defaultParallelism, n // 1_024))
+    free = store.again(table).withColumn("cutoff", F.lit(float("-inf")))
+    rows = _packed(free, per_rows, spare, "topk-rows")
+    queries = _packed(free.where(is_query), per_queries, 1, "topk-queries")
+    row_blocks, query_blocks = (store.again(x).agg(F.max("block")).first()[0] + 1 for x in (rows, queries))
+
+    def meet(some: DataFrame, asked: DataFrame, every_block: int, function, schema: str) -> DataFrame:
+        """Each block of queries with each block of rows, whose number is divisible by ``every_block``."""
+        r = some.where(F.col("block") % every_block == 0).withColumn("rb", F.col("block")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+        q = asked.withColumn("qb", F.col("block")).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"), F.lit(every_block).cast("long"))))
+        return r.groupBy("rb", "qb").cogroup(q.groupBy("rb", "qb")).applyInArrow(function, schema)
+
+    lists = meet(rows, queries, PROBE if row_blocks >= PROBE else 1, _gather(k, slices), _LISTED)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))  # rows: k for each block that was looked at
     cutoffs = store.written(lists.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("score").alias("cutoff")), "topk-cutoffs")
-    asked = queries.join(cutoffs, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "cutoff")
-    found = meet(asked, _phase23(k, slices), "query_id long, vec_id long, score long")
+    aimed = store.again(table).where(is_query).join(cutoffs, F.col("vec_id") == F.col("query_id"), "left").withColumn("cutoff", F.coalesce(F.col("cutoff").cast("double"), F.lit(float("-inf"))))
+    armed = _packed(store.written(aimed.drop("query_id"), "topk-aimed"), per_queries, 1, "topk-armed")
+    found = meet(store.again(rows), armed, 1, _collect(k, slices), _FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelfactor.llm import token_counts, topk_search
@@ -16,9 +17,12 @@ def brute(vectors, k):
     return rows
 
 
-def test_small_tables_ties_and_bad_vectors(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "ROW_BLOCK", 16)
-    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 2)
+@pytest.mark.parametrize("probe", [1, 3])
+def test_small_tables_ties_and_bad_vectors(spark, monkeypatch, probe):
+    monkeypatch.setattr(topk_search, "ROW_BLOCK", 16 * 6)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 2 * 6)
+    monkeypatch.setattr(topk_search, "PROBE", probe)
+    monkeypatch.setattr(topk_search, "TILE_ROWS", 5)
     rng = np.random.default_rng(0)
     vectors = [(k, [float(x) for x in rng.integers(-2, 3, 6)]) for k in range(130)]  # small whole numbers: many ties
     vectors[20] = (20, None)
@@ -34,6 +38,43 @@ def test_small_tables_ties_and_bad_vectors(spark, monkeypatch):
     assert topk_search.top_k(few.where("vec_id = 0")).count() == 0
 
 
+def test_few_scores_are_resolved():
+    """The cutoff of a quarter of the rows leaves under a fifth of all pairs to resolve, and none that counts is lost."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8000, 64))
+    v = np.floor(64 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    q = v[:100]
+    own = np.arange(100)[:, None] == np.arange(8000)[None, :]
+    score = q @ v.T
+    score[own] = np.iinfo(np.int64).min
+    probe = topk_search.Slices(v[::4], q, 2)
+    at, found = probe.gathered(slice(0, 100), slice(0, 2000), own[:, ::4], 20)
+    cutoff = np.array([np.sort(found[at == k])[-20] for k in range(100)], float)
+    assert (cutoff <= np.sort(score, axis=1)[:, -20]).all() and probe.resolved < 0.1 * 100 * 2000
+    meet = topk_search.Slices(v, q, 2)
+    at, row, got = meet.reaching(slice(0, 100), slice(0, 8000), own, cutoff)
+    assert meet.resolved < 0.2 * 100 * 8000
+    want = {(a, b) for a, b in zip(*np.nonzero(score >= cutoff[:, None]), strict=True)}
+    assert {(a, b) for a, b in zip(at.tolist(), row.tolist(), strict=True)} == want and (got == score[at, row]).all()
+
+
+def test_norms_pass_whole_blocks_over(spark, monkeypatch):
+    """Rows far shorter than those that fill the lists are in blocks of their own, for which no score is made."""
+    rng = np.random.default_rng(2)
+    long = [(k, [float(x) for x in rng.integers(5, 9, 8)]) for k in range(100)]
+    short = [(100 + k, [float(x) / 64 for x in rng.integers(-2, 3, 8)]) for k in range(900)]
+    df = spark.createDataFrame(long + short, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.top_k(df.where("vec_id < 1000"), 20).collect())
+    assert got == sorted(brute(long + short, 20))
+    seen = []
+    whole = topk_search.Slices.reaching
+    meet = topk_search._collect(20, 2)
+    monkeypatch.setattr(topk_search.Slices, "reaching", lambda self, *a: seen.append(1) or whole(self, *a))
+    pack = lambda rows, cut: topk_search._pack(pa.table({"block": pa.array([0] * len(rows), pa.int64()), "vec_id": pa.array([k for k, _ in rows], pa.int64()), "v": pa.array([[int(64 * y) for y in x] for _, x in rows], pa.list_(pa.int64())), "cutoff": pa.array([cut] * len(rows), pa.float64())}))
+    assert meet(None, pack(short, 0.0), pack(long[:5], 400_000.0)).num_rows == 0 and not seen
+    assert meet(None, pack(long, 0.0), pack(long[:5], 400_000.0)).num_rows > 0 and seen
+
+
 def brute_counts(flat, separator):
     """(n_tokens, ended) of the documents in one list of ids."""
     out, n = [], 0
