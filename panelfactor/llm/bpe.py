@@ -3,12 +3,15 @@
 Method: the words of a chunk of texts that are not known yet become one flat array of byte symbols;
 each round looks up all adjacent pairs by binary search over the sorted pair keys, finds each word's
 lowest rank and merges that pair wherever it occurs in the word, until no word has a known pair.
+A very long word would be looked at whole once for each of its ranks; it is merged by linked symbols
+instead, where a round touches only the places of one rank and their neighbours.
 The vocabulary is read from a path by the driver and sent as arrays; it is never trained here.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Characters that hold one chunk of texts, and known words kept before the memory starts anew.
 CHUNK_CHARS, KNOWN_WORDS = 1 << 21, 200_000
+#: Bytes of a piece that is merged by itself, and characters of known words kept.
+LONG_PIECE, KNOWN_CHARS = 512, 1 << 25
 _NONE = np.iinfo(np.int64).max
 
 # Fixed values of the tokenizer's pre-tokenizer and of Unicode's White_Space property.
@@ -65,26 +70,94 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.starts, self.lengths, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (or none) and result of pairs of symbols."""
+        v = self.v
+        key = left.astype(np.int64) * v.width + right
+        at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+        return np.where(v.keys[at] == key, v.ranks[at], _NONE), v.results[at]
+
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        """Symbols of one piece: rounds from rank to rank over linked symbols; a place lies in the bucket of its pair's rank."""
+        raw = np.frombuffer(piece, np.uint8)
+        n = len(raw)
+        symbol = self.v.inside[raw].astype(np.int32)
+        symbol[-1] = self.v.final[raw[-1]]
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        rank, result = np.full(n, _NONE), np.zeros(n, np.int32)
+        rank[:-1], result[:-1] = self._ranked(symbol[:-1], symbol[1:])
+        buckets: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def put(places: np.ndarray) -> None:
+            places = places[rank[places] < _NONE]
+            if not len(places):
+                return
+            order = places[np.argsort(rank[places], kind="stable")]
+            ranks, first = np.unique(rank[order], return_index=True)
+            for k, own in zip(ranks.tolist(), np.split(order, first[1:]), strict=True):
+                if k not in buckets:
+                    buckets[k] = []
+                    heapq.heappush(heap, k)
+                buckets[k].append(own)
+
+        if n > 1:
+            put(np.arange(n - 1))
+        alive = np.ones(n, bool)
+        while heap:
+            k = heapq.heappop(heap)
+            places = np.unique(np.concatenate(buckets.pop(k)))
+            places = places[alive[places] & (rank[places] == k)]
+            if not len(places):
+                continue
+            # in a run of one repeated symbol every second pair is taken, from the left
+            chained = np.r_[False, places[1:] == after[places[:-1]]]
+            index = np.arange(len(places))
+            places = places[(index - np.maximum.accumulate(np.where(chained, 0, index))) % 2 == 0]
+            gone = after[places]
+            symbol[places] = result[places]
+            alive[gone] = False
+            after[places] = after[gone]
+            follows = after[places] < n
+            before[after[places][follows]] = places[follows]
+            touched = np.unique(np.concatenate([places, before[places][before[places] >= 0]]))
+            ends = after[touched] >= n
+            rank[touched[ends]] = _NONE
+            touched = touched[~ends]
+            rank[touched], result[touched] = self._ranked(symbol[touched], symbol[after[touched]])
+            put(touched)
+        return symbol[alive].astype(np.int64)
+
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all pieces after all merges, flat, and how many each piece has."""
+        long = [k for k, x in enumerate(pieces) if len(x) > LONG_PIECE]
+        if not long:
+            return self._merge_short(pieces)
+        symbols, counts = self._merge_short([x if len(x) <= LONG_PIECE else b"" for x in pieces])
+        parts = np.split(symbols, np.cumsum(counts)[:-1])
+        for k in long:
+            parts[k] = self.merge_long(pieces[k])
+            counts[k] = len(parts[k])
+        return np.concatenate(parts), counts
+
+    def _merge_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         v = self.v
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum(lengths)
         symbols = v.inside[raw]
-        symbols[ends - 1] = v.final[raw[ends - 1]]
+        some = ends[lengths > 0] - 1
+        symbols[some] = v.final[raw[some]]
         word = np.repeat(np.arange(len(pieces)), lengths)
         done_symbols, done_words = [], []
         while len(symbols):
             rank = np.full(len(symbols), _NONE)
             result = np.zeros(len(symbols), np.int64)
             same = np.flatnonzero(word[1:] == word[:-1])
-            key = symbols[same] * v.width + symbols[same + 1]
-            at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            hit = v.keys[at] == key
-            rank[same[hit]], result[same[hit]] = v.ranks[at[hit]], v.results[at[hit]]
+            rank[same], result[same] = self._ranked(symbols[same], symbols[same + 1])
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             sizes = np.diff(np.r_[first, len(word)])
             lowest = np.repeat(np.minimum.reduceat(rank, first), sizes)
@@ -111,8 +184,9 @@ class Encoder:
         return symbols[order], np.bincount(words, minlength=len(pieces))
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > KNOWN_WORDS and self.known:
+        if self.known and (len(self.known) + len(words) > KNOWN_WORDS or self.held > KNOWN_CHARS):
             self._forget()
+        self.held += sum(map(len, words))
         pieces: list[bytes] = []
         owners: list[int] = []
         for k, word in enumerate(words):
@@ -143,7 +217,7 @@ class Encoder:
         counts, special = [], []
         for text in texts:
             before = len(words)
-            if text and self.special and "<|" in text:
+            if text and any(x in text for x in self.v.special):
                 at = 0
                 for m in self.special.finditer(text):
                     words += self._words(text[at : m.start()])
@@ -157,7 +231,7 @@ class Encoder:
         distinct = set(words)
         distinct.discard("")
         new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
+        if len(self.known) + len(new) > KNOWN_WORDS or self.held > KNOWN_CHARS:
             new = list(distinct)
             self._forget()
         self._learn(new)

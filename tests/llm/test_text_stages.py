@@ -181,3 +181,20 @@ def test_word_memory_starts_anew(monkeypatch):
     lib = library()
     for text in ("one two three four", "five six seven one", "one", "a b c d e f g h"):
         assert e.encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_long_words_equal_the_library():
+    """Words beyond LONG_PIECE, of random, repeated and mixed letters; a million letters take seconds."""
+    import time
+
+    rng = np.random.default_rng(8)
+    e, lib = bpe.Encoder(bpe.Vocabulary(bpe.default_path())), library()
+    draw = lambda n, letters: "".join(rng.choice(list(letters), n))
+    texts = ["a" * 3001, "ab" * 2000, draw(5000, "abcdefghijklmnopqrstuvwxyz"), draw(3000, "aab"), "x " + draw(4000, "éàñüa日") + " y", draw(3000, "ABCxyz0189+/="), "the" * 1500, draw(513, "ing"), "!" * 2000]
+    for text in texts:
+        assert e.encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+    joined = e.encode(texts)
+    assert joined[0].tolist() == [k for t in texts for k in lib.encode(t, add_special_tokens=False).ids] and len(joined[1]) == len(texts)
+    began = time.time()
+    e.encode([draw(1_000_000, "abcdefghijklmnopqrstuvwxyz")])
+    assert time.time() - began < 60
