@@ -127,8 +127,10 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", max_lab
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text), learnt from ``labels`` (doc_id, quality).
 
     Held out: crc32(doc_id as text) mod 3 is 1. Null and empty texts have statistics (zeros) and a score
-    like all others; null ids are never held out nor learnt from. Repeated rows score alike. Without
-    learnable labels of both classes all scores are equal. Other columns are ignored.
+    like all others; null ids are never held out nor learnt from. Repeated rows score alike. An id labelled both ways
+    is not learnt from. Texts may have any length: a task holds one whole, with a few numbers for each word.
+    Without learnable labels of both classes all scores are equal. Other columns are ignored. An empty table
+    gives an empty result.
     """
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     table = store.written(slim.mapInArrow(_features, "doc_id long, x array<double>"), "quality-statistics")

@@ -54,17 +54,118 @@ def test_odd_rows_and_missing_labels(spark, make):
         assert module.classify(docs.where("false"), labels).count() == 0
 
 
+def groups(x):
+    return toxicity.Groups(*np.nonzero(x), np.ones(len(x)))
+
+
 def test_non_negative_risk_holds_back():
     """With positives hidden among the unlabelled, they are still called positive, and the rest is not."""
     rng = np.random.default_rng(0)
     pos = (rng.random((60, 8)) < [0.9] * 3 + [0.1] * 5).astype(float)
     neg = (rng.random((1000, 8)) < [0.02] * 3 + [0.1] * 5).astype(float)
     hidden = (rng.random((100, 8)) < [0.9] * 3 + [0.1] * 5).astype(float)
-    sparse = lambda x: (*np.nonzero(x), len(x))
-    w, b = toxicity.train(sparse(pos), sparse(np.r_[neg, hidden]), 8, 100 / 1100, 1)
+    w, b = toxicity.train(groups(pos), groups(np.r_[neg, hidden]).negative, 1100, 8, 100 / 1100)
     assert ((hidden @ w + b) > 0).mean() > 0.8 and ((neg @ w + b) > 0).mean() < 0.05
 
 
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(3)
+    x, theta, bias = (rng.random((50, 6)) < 0.3).astype(float), rng.normal(size=6), 0.3
+    g = groups(x)
+    loss = lambda t, c: np.logaddexp(0, x @ t + c).sum()
+    got = g.negative(theta, bias)
+    assert np.isclose(got[0], loss(theta, bias))
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-6
+        assert np.isclose(got[1 + k], (loss(theta + step, bias) - loss(theta - step, bias)) / 2e-6, atol=1e-4)
+    assert np.isclose(got[7], (loss(theta, bias + 1e-6) - loss(theta, bias - 1e-6)) / 2e-6, atol=1e-4)
+
+
+def letters_of(text):
+    """Words of a text as the toxicity features see them, plainly."""
+    out, word = [], b""
+    for c in (text or "").encode() + b" ":
+        if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128:
+            word += bytes([c + 32 if 65 <= c <= 90 else c])
+        elif word:
+            out.append(word)
+            word = b""
+    return out
+
+
+def test_toxicity_fit_equals_a_plain_one(spark):
+    """Counts over all rows, choice of features and training, against sets of words; sums by Spark give the same model."""
+    import pyarrow as pa
+
+    from panelfactor.llm import textkernel
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    sets = {d: {w for w in letters_of(t)} | {(w[:6], len(w)) for w in letters_of(t) if len(w) >= 6} for d, t in rows}
+    toxic = [r.doc_id for r in labels.collect() if r.toxic == 1 and r.doc_id in sets]
+    held = {}
+    for s in sets.values():
+        for f in s:
+            held[f] = held.get(f, 0) + 1
+    of_toxic = {}
+    for d in toxic:
+        for f in sets[d]:
+            of_toxic[f] = of_toxic.get(f, 0) + 1
+    n, m = len(toxic), len(rows)
+
+    def ratio(a, b):
+        out = 0.0
+        for k, of, rate in ((a, n, (a + b) / (n + m)), (n - a, n, 1 - (a + b) / (n + m)), (b, m, (a + b) / (n + m)), (m - b, m, 1 - (a + b) / (n + m))):
+            out += 2 * k * np.log(k / (of * rate)) if k else 0.0
+        return out
+
+    want = {f for f, a in of_toxic.items() if a >= toxicity.MIN_HOLDERS and a / n > 2 * held[f] / m and ratio(a, held[f]) >= toxicity.MIN_EVIDENCE}
+    model = toxicity.fit(docs, labels, rounds=30)
+    assert len(model.hashes) == len(want) > 0
+    spread = toxicity.fit(docs, labels, rounds=30, local_groups=0)
+    assert (spread.hashes == model.hashes).all() and np.allclose(spread.weights, model.weights, atol=1e-6) and np.isclose(spread.bias, model.bias)
+    # the same training on a dense matrix of plain sets
+    order = sorted(want, key=str)
+    x = np.array([[f in s for f in order] for s in sets.values()], float)
+    p = np.array([[f in sets[d] for f in order] for d in toxic], float)
+    learnt = [r for r in labels.collect() if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5]
+    w, bias = toxicity.train(groups(p), groups(x).negative, m, len(order), len([r for r in learnt if r.toxic == 1]) / len(learnt), 30)
+    plain = 1 / (1 + np.exp(-(x @ w + bias)))
+    for (_, text), score in zip(rows[:300], plain[:300], strict=True):
+        got = model.scores(next(iter(textkernel.blocks(pa.array([text or ""])))))
+        assert np.isclose(got[0], score, atol=1e-6)
+
+
+def test_statistics_equal_plain_ones():
+    """The 18 statistics of texts, each written out for one text."""
+    import re
+
+    import pyarrow as pa
+
+    from panelfactor.llm import textkernel
+
+    texts = ["", "One two, two three!\nOne two, two three!\n\nshort | line #3 (x) é日本", "a " * 50, "UPPER lower MiXed 123 456 averyveryverylongword $5.00\n\tend", "same\nsame\nsame", "日本 日本 x-y"]
+    got = np.concatenate([quality_classifier.statistics(b) for b in textkernel.blocks(pa.array(texts))])
+    for text, row in zip(texts, got, strict=True):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        raw = text.encode()
+        n, lengths = len(ws), [len(w) for w in ws]
+        solid, many = max(sum(lengths), 1), max(n, 1)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        share = lambda x, of, scale: np.arcsinh(scale * x / (of + 30))
+        of = lambda chars: sum(c in chars.encode() for c in raw)
+        plain_bytes = set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.,") | set(range(128, 256))
+        marked = sum(any(c not in plain_bytes for c in w.encode()) for w in ws)
+        want = [
+            np.log1p(n), np.log((solid + 50) / (many + 10)), share(of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), solid, 20), share(of("0123456789"), solid, 50), share(of("#*$%&<>~^=_@"), solid, 50),
+            share(of("|"), solid, 50), share(of("!?"), solid, 50), share(of(".,"), solid, 20), share(of("\"'()[]{}:;/\\+-`"), solid, 50), share(sum(c >= 0xC0 for c in raw), solid, 10),
+            np.log1p((n + 20) / (len(lines) + 1)), share(len(lines) - len(set(lines)), max(len(lines), 1), 10), np.log((len(set(ws)) + 5) / (n + 5)) / np.log(n + 5), share(max((ws.count(w) for w in ws), default=0), many, 5), share(sum(a == b for a, b in zip(ws, ws[1:])), many, 20),
+            share(sum(x > 12 for x in lengths), many, 5), share(sum(x <= 3 for x in lengths), many, 5), share(marked, many, 10),
+        ]
+        assert np.allclose(row, want), (text, row - np.array(want))
+
+
 def test_discriminant_equals_direct_densities():
     rng = np.random.default_rng(1)
     x = np.r_[rng.normal(0, 1, (80, 3)), rng.normal(1, 2, (90, 3))]
