@@ -5,7 +5,12 @@ directly. Boosted trees give each node the odds that it holds main text, from su
 share, attribute tokens, depth, ancestors and siblings. Decoding is hierarchical: of all choices in
 which a node is kept only if its parent is, the likeliest is taken (a sum over each subtree), so a
 dropped block never has kept text inside it. The trees are trained on made-up pages
-(:mod:`html_pages`) by the driver, with a fixed seed, and sent to the tasks as arrays.
+(:mod:`html_pages`) with a fixed seed; their arrays lie in MODEL_FILE, which a test makes anew.
+
+Pages are scanned once from start to end, whatever they hold. Where markup is broken, html's own rules decide (what
+closes what, comments, quoted attributes, script and style to their end tag). Controls, drawings and embedded objects
+are passed over up to their end tag or that of a block around them; a control ends at the next block too,
+and a drawing or object that is never closed hides only itself.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +29,27 @@ from . import boosted_trees, html_pages
 
 #: Made-up pages to train on, their seed, and characters of html that are decoded at once.
 TRAINING_PAGES, SEED, CHUNK_CHARS = 700, 7, 4_000_000
+MODEL_FILE = Path(__file__).with_name("page_model.npz")
+#: Elements nested deeper than this become siblings, as in browsers.
+MAX_DEPTH = 512
 
-# Fixed values of HTML: elements without content, elements whose content is no text, elements inside a line.
+# Fixed values of HTML: elements without content, elements whose content is no markup (to the page's end if never closed;
+# only if closed), elements whose content is no text of the page, elements inside a line.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = "script style title template svg iframe textarea select button noscript object"
+RAW = frozenset("script style".split())
+RAW_IF_CLOSED = frozenset("title textarea iframe noframes noembed xmp".split())
+CONTROLS = frozenset("button select".split())
+HIDDEN = CONTROLS | frozenset("template svg math noscript object canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+# what can't stand inside a button or a list of choices, and so ends one that is still open
+ENDS_CONTROL = frozenset("p h1 h2 h3 h4 h5 h6 article section main nav header footer aside form table ul ol dl blockquote pre button select".split())
 # what a start tag closes if it is open, up to these owners
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN.replace(' ', '|')})\b(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>", re.S | re.I)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+# up to the end of a tag; a quote opens a value only after an equals sign, and only if it is closed
+_REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""")
+_COMMENT_END = re.compile(r"--!?>")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -45,9 +63,12 @@ _GOOD_TAGS, _BAD_TAGS = {"article", "main"}, {"nav", "header", "footer", "aside"
 _NUMBERS = 16  # of the numeric features, before the one-hot ones
 
 
-@functools.lru_cache(100_000)
 def _name_kinds(attributes: str) -> int:
     """Bit set of the kinds of block that the names in an element's attributes speak of."""
+    return _short_name_kinds(attributes) if len(attributes) <= 200 else _find_kinds(attributes)
+
+
+def _find_kinds(attributes: str) -> int:
     bits = 0
     for groups in _NAMES.findall(attributes):
         for word in _NAME_WORD.findall("".join(groups)):
@@ -55,6 +76,9 @@ def _name_kinds(attributes: str) -> int:
     return bits & ~1
 
 
+_short_name_kinds = functools.lru_cache(10_000)(_find_kinds)
+
+
 class Nodes:
     """Nodes of many pages, in page order: a node's subtree is the run of nodes up to its end."""
 
@@ -80,6 +104,9 @@ class Nodes:
     def add_page(self, source: str) -> None:
         root = self._add(0, 0, -1, 0, 0)
         stack = [("", root, 0)]  # name, node, sign of the nearest block that has one
+        opened: dict[str, int] = {}  # how many elements of a name are open
+        last_end: dict[str, int] = {}  # where the page's last end tag of a name begins
+        hidden, inner = "", {}  # the element that is passed over, and how many elements of a name are open in it
         run: list[str] = []
         linked = link = 0
 
@@ -96,20 +123,82 @@ class Nodes:
         def close(to: int):
             flush()
             while len(stack) > to:
-                self.end[stack.pop()[1]] = len(self.tag)
-
-        at = 0
-        for m in _TOKEN.finditer(source):
-            if m.start() > at:
-                run.append(source[at : m.start()])
-                linked += (m.start() - at) if link else 0
-            at = m.end()
-            name = m[3]
-            if name is None:
+                name, node, _ = stack.pop()
+                self.end[node] = len(self.tag)
+                opened[name] = opened.get(name, 0) - 1
+
+        def close_nearest(names, owners=()) -> bool:
+            """Close the nearest open element with one of the names, unless an owner comes first."""
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in owners:
+                    return False
+                if stack[k][0] in names:
+                    close(k)
+                    return True
+            return False
+
+        def closed_later(name: str, at: int) -> bool:
+            if name not in last_end:
+                last_end[name] = max((m.start() for m in re.finditer(rf"</{re.escape(name)}[\s/>]", source, re.I)), default=-1)
+            return last_end[name] >= at
+
+        def say(begin: int, end: int):
+            nonlocal linked
+            if end > begin and not hidden:
+                run.append(source[begin:end])
+                linked += (end - begin) if link else 0
+
+        at, n = 0, len(source)
+        while at < n:
+            tag = source.find("<", at)
+            if tag < 0:
+                say(at, n)
+                break
+            follows = source[tag + 1 : tag + 2]
+            if follows in ("!", "?") or (follows == "/" and not _NAME.match(source, tag)):
+                say(at, tag)
+                if source.startswith("<!--", tag):
+                    if source.startswith((">", "->"), tag + 4):
+                        at = source.index(">", tag + 4) + 1
+                        continue
+                    end = _COMMENT_END.search(source, tag + 4)
+                    at = end.end() if end else n
+                else:
+                    end = source.find(">", tag)
+                    at = end + 1 if end >= 0 else n
+                continue
+            m = _NAME.match(source, tag)
+            if not m:  # no tag, just a mark
+                say(at, tag + 1)
+                at = tag + 1
+                continue
+            say(at, tag)
+            rest = _REST.match(source, m.end())
+            if not rest:  # the page ends inside a tag
+                break
+            at, name, ends = rest.end(), m[1].lower(), follows == "/"
+            if name in RAW or name in RAW_IF_CLOSED:
+                if not ends and (name in RAW or closed_later(name, at)):
+                    end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
+                    at = source.find(">", end.start()) + 1 if end else n
+                    at = at or n
+                continue
+            if hidden:
+                if ends and inner.get(name, 0):
+                    inner[name] -= 1
+                    hidden = hidden if inner[hidden] else ""
+                    continue
+                if not ((ends and opened.get(name, 0) > 0) or (not ends and hidden in CONTROLS and name in ENDS_CONTROL)):
+                    if not ends and name not in VOID and source[at - 2] != "/":
+                        inner[name] = inner.get(name, 0) + 1
+                    continue
+                hidden = ""  # a block around it ends, or one that can't be inside begins
+            if name in HIDDEN:
+                if not ends and source[at - 2] != "/" and (name in CONTROLS or closed_later(name, at)):
+                    hidden, inner = name, {name: 1}
                 continue
-            name = name.lower()
             if name == "a":
-                link = 0 if m[2] else 1
+                link = 0 if ends else 1
                 continue
             if name in INLINE:
                 continue
@@ -120,11 +209,9 @@ class Nodes:
                 if name == "hr":
                     flush()
                 continue
-            if m[2]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
+            if ends:
+                if opened.get(name, 0) > 0:
+                    close_nearest((name,))
                 else:
                     flush()
                 link = 0
@@ -134,20 +221,15 @@ class Nodes:
             if stack[-1][0] == "p":
                 close(len(stack) - 1)
             if name in CLOSES:
-                closed, owners = CLOSES[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in owners:
-                        break
-                    if stack[k][0] in closed:
-                        close(k)
-                        break
-            kinds = _name_kinds(m[4]) if m[4] else 0
+                close_nearest(*CLOSES[name])
+            if len(stack) >= MAX_DEPTH:
+                close(len(stack) - 1)
+            kinds = _name_kinds(source[m.end() : at]) if at - m.end() > 1 else 0
             good = name in _GOOD_TAGS or kinds >> (len(_KINDS) + 1)
             bad = name in _BAD_TAGS or kinds & ((1 << (len(_KINDS) + 1)) - 1)
             near = -1 if bad else 1 if good else stack[-1][2]
             stack.append((name, self._add(_TAG.get(name, 0), kinds, stack[-1][1], len(stack), near), near))
-        if at < len(source):
-            run.append(source[at:])
+            opened[name] = opened.get(name, 0) + 1
         close(0)
         self.pages += 1
 
@@ -200,8 +282,7 @@ class Nodes:
         return out
 
 
-@functools.lru_cache(1)
-def page_model(pages: int = TRAINING_PAGES, seed: int = SEED) -> boosted_trees.BoostedTrees:
+def train(pages: int = TRAINING_PAGES, seed: int = SEED) -> boosted_trees.BoostedTrees:
     """Trees trained on ``pages`` made-up pages; a node's label is whether its subtree holds main text."""
     maker, nodes = html_pages.Pages(seed), Nodes()
     for _ in range(pages):
@@ -219,6 +300,13 @@ def page_model(pages: int = TRAINING_PAGES, seed: int = SEED) -> boosted_trees.B
     return boosted_trees.fit(x[real], y[real], np.ones(int(real.sum())))
 
 
+@functools.lru_cache(1)
+def page_model() -> boosted_trees.BoostedTrees:
+    """The trees of MODEL_FILE, which :func:`train` made; ``python -m panelfactor.llm.html_extract`` writes it anew."""
+    with np.load(MODEL_FILE) as f:
+        return boosted_trees.BoostedTrees(f["features"], f["cuts"], f["values"], float(f["base"]))
+
+
 def main_texts(pages: list[str | None], model: boosted_trees.BoostedTrees) -> list[str]:
     """Main text of each page: kept runs of text in page order, joined by one space."""
     nodes = Nodes()
@@ -233,13 +321,13 @@ def main_texts(pages: list[str | None], model: boosted_trees.BoostedTrees) -> li
     return [" ".join(x) for x in out]
 
 
-def extract(pages: DataFrame, html_column: str = "html", pages_to_train: int = TRAINING_PAGES, seed: int = SEED) -> DataFrame:
-    """``pages`` without ``html_column``, plus ``text``: the main text.
+def extract(pages: DataFrame, html_column: str = "html", model: boosted_trees.BoostedTrees | None = None) -> DataFrame:
+    """``pages`` without ``html_column``, plus ``text``: the main text by ``model`` (none: that of MODEL_FILE).
 
     Null or empty html, and pages without main text: empty text. Repeated rows alike; long pages are read
     whole; other columns stay (one called text is replaced). An empty table gives an empty result.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(page_model(pages_to_train, seed))
+    shared = pages.sparkSession.sparkContext.broadcast(model or page_model())
     rest = [f for f in pages.schema if f.name not in (html_column, "text")]
     names = [f.name for f in rest]
 
@@ -265,3 +353,8 @@ def op6_html_extract(spark, sf_dir: str) -> DataFrame:
     """Query: main text of every row of ``pages``."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+if __name__ == "__main__":
+    made = train()
+    np.savez_compressed(MODEL_FILE, features=made.features.astype(np.int16), cuts=made.cuts, values=made.values, base=made.base)

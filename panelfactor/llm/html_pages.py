@@ -40,7 +40,7 @@ class Pages:
         out = []
         for _ in range(r.randint(low, high)):
             w = "".join(r.choice("aeioubcdfghklmnprstvwz") for _ in range(r.randint(1, 11)))
-            out.append(w + r.choice(["", "", "", "", "", ",", ".", "", "!!", "%%%", "###", "|"][: r.choice([7, 7, 12])]))
+            out.append(w + r.choice(["", "", "", "", "", ",", ".", "", "!", "?", ":", ";"][: r.choice([7, 7, 12])]))
         text = " ".join(out)
         return text[0].upper() + text[1:] + r.choice([".", ".", ""])
 
@@ -69,7 +69,7 @@ class Pages:
         elif kind in ("header", "share"):
             inner = r.choice([f'<a href="/">{self.words(1, 4)}</a>', f"<p>{self.words(2, 8)}</p>", self.links()])
         elif kind == "footer":
-            inner = r.choice([f"&copy; {self.words(2, 20)}", f"<p>&copy; {self.words(2, 30)}</p>", self.links() + f"<p>{self.words(4, 20)}</p>", f"&copy; x.example.com &middot; {self.prose()}"])
+            inner = r.choice([f"&copy; {self.words(2, 20)}", f"<p>&copy; {self.words(2, 30)}</p>", self.links() + f"<p>{self.words(4, 20)}</p>", f"<small>&copy; {self.words(1, 3)}</small> {self.prose()}"])
         else:  # notices and adverts may be any prose
             inner = r.choice([self.prose(), f"<p>{self.prose()}</p>", f"<p>{self.prose()}</p><a href='#'>{self.words(1, 3)}</a>"])
         name = NOISE_TAGS.get(kind)
@@ -87,8 +87,8 @@ class Pages:
             text = self.prose()
             if r.random() < 0.25:
                 text += f' <a href="#">{self.words(1, 4)}</a> {self.words(1, 8)}'
-            if r.random() < 0.1:
-                return f"<p>{r.choice(['<b>', ''])}{self.main(text)}<br>"
+            if r.random() < 0.15:  # end tags of paragraphs may be left out
+                return f"<p>{self.main(text)}"
             return self.tag("p", self.main(text))
         if kind < 0.74:
             return self.tag(r.choice(["h2", "h3"]), self.main(self.words(1, 9)))

@@ -229,13 +229,3 @@ def test_decoding_is_the_best_choice():
         options = [np.array(o) for o in product([False, True], repeat=len(parent)) if o[0] and all(not o[k] or o[parent[k]] for k in range(1, len(parent)))]
         best = max(options, key=lambda o: np.where(o, logp, logq)[1:].sum())
         assert (nodes.kept(logits) == best).all()
-
-
-def test_pages(spark):
-    page = "<html><head><title>T</title><style>x</style></head><body><nav><a href='/'>Home</a></nav><article><h1>A &amp; B</h1><p>One <b>two</b>three\n  four<br>five<p>Six&#33;<script>var a='</p>';</script></article><footer>(c)</footer></body></html>"
-    rows = [(1, "u", page), (2, "u", None), (3, None, ""), (1, "u", page), (None, "v", "no tags < here &lt;b&gt;"), (5, "w", "<article><p>" + "long text " * 200_000 + "</p></article>"), (6, "x", "<!-- open <p>never"), (7, "y", "<script>only")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'old' as text")
-    got = {(r.page_id, r.url): r.text for r in html_extract.extract(df).collect()}
-    assert got[1, "u"] == "A & B One twothree four five Six!"
-    assert got[2, "u"] == got[3, None] == got[6, "x"] == got[7, "y"] == "" and len(got[5, "w"]) == 200_000 * 10 - 1
-    assert html_extract.extract(df).columns == ["page_id", "url", "text"] and html_extract.extract(df.where("false")).count() == 0
