@@ -191,39 +191,46 @@ def _text_key():
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def _apply(batches):
-    for batch in batches:
-        kept, lines, dropped = [], [], []
-        for text, blob in zip(batch.column("text"), batch.column("_ld_map"), strict=True):
-            text, blob = text.as_py() or "", blob.as_py()
-            n, gone = text.count("\n") + 1, 0
-            if blob is not None:
-                out = unpack(blob, n)
-                gone = int(out.sum())
-                text = "\n".join(x for x, o in zip(text.split("\n"), out, strict=True) if not o)
-            kept.append(text)
-            lines.append(n)
-            dropped.append(gone)
-        new = {"text": pa.array(kept, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
-        names = [x for x in batch.schema.names if x not in ("_ld_map", "n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
-        yield pa.RecordBatch.from_arrays([new[x] if x in new else batch.column(x) for x in names], names=names)
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, any others) with shared long lines dropped from ``text``, plus n_lines (before) and n_dropped.
+def _apply(counts: bool):
+    """Texts without the lines that _ld_map marks; with ``counts`` their numbers of lines before, and of dropped ones."""
+
+    def run(batches):
+        for batch in batches:
+            kept, lines, dropped = [], [], []
+            for text, blob in zip(batch.column("text"), batch.column("_ld_map"), strict=True):
+                text, blob = text.as_py() or "", blob.as_py()
+                n, gone = text.count("\n") + 1, 0
+                if blob is not None:
+                    out = unpack(blob, n)
+                    gone = int(out.sum())
+                    text = "\n".join(x for x, o in zip(text.split("\n"), out, strict=True) if not o)
+                kept.append(text)
+                lines.append(n)
+                dropped.append(gone)
+            names = [x for x in batch.schema.names if x != "_ld_map"]
+            columns = [pa.array(kept, pa.string()) if x == "text" else batch.column(x) for x in names]
+            if counts:
+                names, columns = [*names, "n_lines", "n_dropped"], [*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """``docs`` (doc_id, text, any others) with shared long lines dropped from ``text``; with ``counts``, plus n_lines (before) and n_dropped.
 
     Null or empty text: one empty line, kept; the text comes back empty. Rows with one doc_id are one
     document; null ids are one document that is smaller than all, whose rows are told apart by text.
     Repeated rows lose the same lines. Texts may have any length: a task holds one whole, and a few
-    numbers for each of its lines. Columns called n_lines or n_dropped are replaced, other extra columns stay. Order of
-    columns: the input's, then the two. An empty table gives an empty result.
+    numbers for each of its lines. With ``counts``, columns called n_lines or n_dropped are replaced; other extra columns
+    stay. Order of columns: the input's, then the two. An empty table gives an empty result.
     """
-    docs = docs.drop("n_lines", "n_dropped", "_ld_key", "_ld_text", "_ld_id", "_ld_of", "_ld_map")
+    docs = docs.drop(*["n_lines", "n_dropped"] * counts, "_ld_key", "_ld_text", "_ld_id", "_ld_of", "_ld_map")
     keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("_ld_key", _key()).withColumn("_ld_text", _text_key())
     same = (F.col("_ld_key") == F.col("_ld_id")) & (F.col("_ld_text") == F.col("_ld_of"))
     joined = keyed.join(drop_bitmaps(docs), same, "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_ld_map")
     fields = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(_apply, f"{fields}, n_lines long, n_dropped long")
+    return joined.mapInArrow(_apply(counts), fields + ", n_lines long, n_dropped long" * counts)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

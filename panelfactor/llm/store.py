@@ -67,10 +67,11 @@ def again(df: DataFrame) -> DataFrame:
 def drop(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that no later step reads."""
     if getattr(df, "_stored_at", None):
-        _delete(df.sparkSession, df._stored_at)
+        delete(df.sparkSession, df._stored_at)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete what lies at a path of the shared folder."""
     where = urlparse(path)
     if where.scheme in ("", "file"):
         shutil.rmtree(where.path, ignore_errors=True)
@@ -86,4 +87,4 @@ def scope() -> Iterator[None]:
         yield
     finally:
         for spark, path in _SCOPES.pop():
-            _delete(spark, path)
+            delete(spark, path)

@@ -20,33 +20,43 @@ from pyspark.sql import functions as F
 
 from . import bpe, store
 
-#: Bytes of a block; bytes of an id; the end-of-document id, outside of every vocabulary and made of ASCII bytes.
-BLOCK, WIDTH, SEPARATOR = 4 << 20, 4, 0x7F7F7F7F
+#: Bytes of a block; bytes of an id.
+BLOCK, WIDTH = 4 << 20, 2
 
 _RANGES = "file string, block long, size long"
 _SCANNED = "file string, block long, n long, separators long, last long, counts array<long>"
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
-    """Encode ``docs`` (text) into flat files of uint32 ids below ``path``, each document ended by SEPARATOR.
+def end_of_document(width: int = WIDTH) -> int:
+    """The end-of-document id: the largest of its width, beyond the ids of the vocabulary."""
+    return (1 << (8 * width)) - 1
+
+
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, width: int = WIDTH) -> None:
+    """Encode ``docs`` (text) into flat files of ``width``-byte ids below ``path``, each document ended by :func:`end_of_document`.
 
     Null or empty text: no ids, only the separator. Every row is written once, whatever its other columns; repeated rows are
-    repeated documents; texts are encoded whole. No rows: no files with documents.
+    repeated documents; texts are encoded whole. No rows: no files with documents. A vocabulary whose ids need
+    more than ``width`` bytes is an error.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bpe.Vocabulary(vocabulary or bpe.default_path()))
+    words = bpe.Vocabulary(vocabulary or bpe.default_path())
+    if words.width > end_of_document(width):
+        raise ValueError(f"{words.width} ids and a separator need more than {width} bytes")
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         encoder = bpe.Encoder(shared.value)
         for batch in batches:
             for texts in bpe.chunks(batch.column("text")):
                 ids, counts = encoder.encode(texts)
-                bounds = np.r_[0, np.cumsum(counts)].astype(np.int64) * WIDTH
-                raw = pa.py_buffer(ids.astype("<u4").tobytes())
+                bounds = np.r_[0, np.cumsum(counts)].astype(np.int64) * width
+                raw = pa.py_buffer(ids.astype(f"<u{width}").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds), raw]).cast(pa.binary())], names=["value"])
 
     flat = docs.select(F.col("text").cast("string")).mapInArrow(run, "value binary")
-    end = SEPARATOR.to_bytes(WIDTH, "little").decode("ascii")
-    flat.select(F.col("value").cast("string")).write.option("lineSep", end).text(path)
+    # the encoding is that of the line separator alone; values are written as the bytes that they are
+    end = "\xff" * width
+    flat.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", end).text(path)
 
 
 def file_ranges(spark: SparkSession, path: str, block_bytes: int = BLOCK) -> DataFrame:
@@ -57,7 +67,7 @@ def file_ranges(spark: SparkSession, path: str, block_bytes: int = BLOCK) -> Dat
     return ranges.select("file", "block", F.least(F.lit(block_bytes), F.col("length") - F.col("block") * block_bytes).cast("long").alias("size"))
 
 
-def scan_blocks(ranges: DataFrame, separator: int = SEPARATOR, width: int = WIDTH, block_bytes: int = BLOCK) -> DataFrame:
+def scan_blocks(ranges: DataFrame, separator: int, width: int = WIDTH, block_bytes: int = BLOCK) -> DataFrame:
     """Figures of each block: n (tokens), separators, last (place of the last one), counts (tokens before each one in this block).
 
     Bytes at the end of a file that make no whole token are no token.
@@ -80,10 +90,10 @@ def scan_blocks(ranges: DataFrame, separator: int = SEPARATOR, width: int = WIDT
     return ranges.mapInArrow(scan, _SCANNED)
 
 
-def token_counts(spark: SparkSession, path: str, separator: int = SEPARATOR, width: int = WIDTH, block_bytes: int = BLOCK) -> DataFrame:
+def token_counts(spark: SparkSession, path: str, separator: int | None = None, width: int = WIDTH, block_bytes: int = BLOCK) -> DataFrame:
     """file, ordinal (from 0 in its file), n_tokens (without the separator), ended (whether a separator follows) of every document below ``path``.
 
-    Tokens after a file's last separator are a document of their own with ended false; an empty file has none.
+    ``separator``: none for :func:`end_of_document`. Tokens after a file's last separator are a document of their own with ended false; an empty file has none.
     Bytes at a file's end that make no whole token are ignored. Documents may be longer than blocks. No files or
     only empty ones: an empty result; a path that does not exist: Spark's error.
     """
@@ -92,7 +102,7 @@ def token_counts(spark: SparkSession, path: str, separator: int = SEPARATOR, wid
     ranges = file_ranges(spark, path, block_bytes)
     n = ranges.count()
     spread = ranges.repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism + n // 16)), "file", "block")
-    scanned = store.written(scan_blocks(spread, separator, width, block_bytes), "token-blocks")
+    scanned = store.written(scan_blocks(spread, end_of_document(width) if separator is None else separator, width, block_bytes), "token-blocks")
 
     w = Window.partitionBy("of").orderBy("at")  # rows: a few numbers for each block of a file
     before = w.rowsBetween(Window.unboundedPreceding, -1)

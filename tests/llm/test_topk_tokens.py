@@ -113,6 +113,10 @@ def test_written_files_hold_every_document(spark, make, tmp_path):
     docs = make(list(enumerate(texts)), True)
     token_counts.write_token_files(docs, str(tmp_path / "files"))
     lib = Tokenizer.from_file(bpe.default_path())
+    with pytest.raises(ValueError, match="bytes"):
+        token_counts.write_token_files(docs, str(tmp_path / "narrow"), width=1)
+    token_counts.write_token_files(docs, str(tmp_path / "wide"), width=4)
+    assert token_counts.token_counts(spark, str(tmp_path / "wide"), width=4).count() == len(texts)
     got = token_counts.token_counts(spark, str(tmp_path / "files"), block_bytes=256).collect()
     assert all(r.ended for r in got)
     assert sorted(r.n_tokens for r in got) == sorted(len(lib.encode(t or "", add_special_tokens=False).ids) for t in texts)
