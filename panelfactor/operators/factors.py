@@ -39,48 +39,54 @@ def shape_templates(maturities) -> np.ndarray:
     return np.stack(rows)
 
 
-def assign(similarity: np.ndarray) -> tuple[int, ...]:
-    """For each column j the row that is matched to it, with the largest sum; the first of equal choices."""
-    k = similarity.shape[1]
-    return max(permutations(range(k)), key=lambda order: sum(similarity[order[j], j] for j in range(k)))
+def decompose(mean, cov, templates, standardize: bool = False, least_similarity: float = 0.70, least_margin: float = 0.10) -> dict:
+    """:func:`decompose_many` of one (mean, covariance)."""
+    mean = np.asarray(mean, float)
+    made = decompose_many(mean[None], np.asarray(cov, float).reshape(1, len(mean), len(mean)), templates, standardize, least_similarity, least_margin)
+    return {k: v[0] for k, v in made.items()}
 
 
-def decompose(mean, cov, templates, standardize: bool = False, least_similarity: float = 0.70, least_margin: float = 0.10) -> dict:
-    """Model arrays of one (mean, covariance); None entries throughout if a node has no variance.
+def decompose_many(mean: np.ndarray, cov: np.ndarray, templates, standardize: bool = False, least_similarity: float = 0.70, least_margin: float = 0.10) -> dict:
+    """Model arrays of a stack of means (m, p) and covariances (m, p, p); None entries where a node has no variance.
 
     Eigenvalues descend and are not negative. The first three components are compared with the templates
     in physical space; one is identified if its match is close enough and beats its other templates by
     the margin. Signs: the first three along their template, others with their largest loading positive.
     """
-    mean, cov = np.asarray(mean, float), np.asarray(cov, float)
-    p = len(mean)
-    cov = cov.reshape(p, p)
-    variance = np.diag(cov)
-    if not np.isfinite(cov).all() or (variance <= TINY).any():
-        return dict.fromkeys(x.split()[0] for x in MODEL.split(", "))
-    scale = np.sqrt(variance) if standardize else np.ones(p)
-    values, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
-    order = np.argsort(values, kind="stable")[::-1]
-    values, comps = np.clip(values[order], 0, None), vectors[:, order].T
-    physical = comps * scale
-    unit = physical[:3] / np.linalg.norm(physical[:3], axis=1, keepdims=True)
+    m, p = mean.shape
+    variance = np.diagonal(cov, axis1=1, axis2=2)
+    good = np.isfinite(cov).all(axis=(1, 2)) & (variance > TINY).all(axis=1)
+    safe = np.where(good[:, None, None], cov, np.eye(p))
+    scale = np.sqrt(np.diagonal(safe, axis1=1, axis2=2)) if standardize else np.ones((m, p))
+    values, vectors = np.linalg.eigh(safe / (scale[:, :, None] * scale[:, None, :]))
+    values, comps = np.clip(values[:, ::-1], 0, None), vectors[:, :, ::-1].transpose(0, 2, 1)
+    physical = comps * scale[:, None, :]
+    unit = physical[:, :3] / np.linalg.norm(physical[:, :3], axis=2, keepdims=True)
     cosine = np.abs(unit @ templates.T)
-    chosen = assign(cosine.T)  # template of each component
-    matched = cosine[np.arange(3), chosen]
-    others = np.where(np.arange(3)[None, :] == np.array(chosen)[:, None], -np.inf, cosine).max(axis=1)
-    margin = matched - others
+    chosen = assign_many(cosine)  # template of each component
+    matched = np.take_along_axis(cosine, chosen[:, :, None], axis=2)[:, :, 0]
+    margin = matched - np.where(np.arange(3) == chosen[:, :, None], -np.inf, cosine).max(axis=2)
     identified = (matched >= least_similarity) & (margin >= least_margin)
-    signs = np.ones(p)
-    signs[:3] = np.where((unit * templates[list(chosen)]).sum(axis=1) < 0, -1, 1)
-    for k in range(3, p):
-        signs[k] = -1 if comps[k, np.argmax(np.abs(comps[k]))] < 0 else 1
-    comps, physical = comps * signs[:, None], physical * signs[:, None]
-    suggested = [SHAPES[c] for c in chosen]
-    shapes = [s if ok else "Unidentified" for s, ok in zip(suggested, identified, strict=True)] + ["Residual"] * (p - 3)
-    return {
-        "center": mean, "scale": scale, "eigenvalues": values, "share": values / values.sum(), "components": list(comps), "physical": list(physical),
-        "labels": [f"PC{k + 1} {s}" for k, s in enumerate(shapes)], "suggested": suggested, "identified": identified.tolist(), "similarity": matched, "margin": margin,
+    along = (unit * templates[chosen]).sum(axis=2)
+    largest = np.take_along_axis(comps, np.abs(comps).argmax(axis=2)[:, :, None], axis=2)[:, :, 0]
+    largest[:, :3] = along
+    signs = np.where(largest < 0, -1.0, 1.0)[:, :, None]
+    comps, physical = comps * signs, physical * signs
+    suggested = [[SHAPES[c] for c in row] for row in chosen]
+    shapes = [[x if ok else "Unidentified" for x, ok in zip(row, sure, strict=True)] + ["Residual"] * (p - 3) for row, sure in zip(suggested, identified, strict=True)]
+    made = {
+        "center": list(mean), "scale": list(scale), "eigenvalues": list(values), "share": list(values / values.sum(axis=1, keepdims=True)), "components": [list(x) for x in comps], "physical": [list(x) for x in physical],
+        "labels": [[f"PC{k + 1} {x}" for k, x in enumerate(row)] for row in shapes], "suggested": suggested, "identified": identified.tolist(), "similarity": list(matched), "margin": list(margin),
     }
+    return {k: [x if ok else None for x, ok in zip(v, good, strict=True)] for k, v in made.items()}
+
+
+def assign_many(similarity: np.ndarray) -> np.ndarray:
+    """For each row i of each matrix the column that is matched to it, with the largest sum; the first of equal choices."""
+    k = similarity.shape[1]
+    orders = np.array(list(permutations(range(k))))
+    sums = similarity[:, np.arange(k), orders].sum(axis=2)
+    return orders[sums.argmax(axis=1)]
 
 
 def fields(df: DataFrame, names) -> str:
@@ -100,10 +106,32 @@ def per_row(rows: DataFrame, kernel, keep, out: str) -> DataFrame:
     return rows.mapInPandas(run, f"{fields(rows, keep)}, {out}")
 
 
+def per_batch(rows: DataFrame, kernel, keep, out: str) -> DataFrame:
+    """``rows`` with the columns of ``out`` that ``kernel(batch)`` gives as a dict of lists: linear algebra runs on stacks."""
+    names = [x.split()[0] for x in out.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            made = kernel(batch) if len(batch) else {n: [] for n in names}
+            # object columns are filled cell by cell, since numpy would make one array of equal-length lists
+            new = {n: pd.Series([None] * len(batch), dtype=object) for n in names}
+            for n in names:
+                new[n][:] = pd.Series(made[n], dtype=object).to_numpy() if len(batch) else []
+            yield pd.concat([batch[list(keep)].reset_index(drop=True), pd.DataFrame(new)], axis=1)
+
+    return rows.mapInPandas(run, f"{fields(rows, keep)}, {out}")
+
+
+def stacked(column, *shape) -> np.ndarray:
+    """Arrays of a pandas column as one array; None entries inside are not numbers."""
+    return np.array([np.asarray(v, float) for v in column]).reshape(len(column), *shape)
+
+
 def models(moment_rows: DataFrame, maturities, standardize: bool = False, least_similarity: float = 0.70, least_margin: float = 0.10, keys=(PANEL,)) -> DataFrame:
     """A model row for each row of moments; panels with a constant node get null arrays."""
     templates = shape_templates(maturities)
-    return per_row(moment_rows, lambda r: decompose(r["mean"], r["cov"], templates, standardize, least_similarity, least_margin), [*keys, "n_obs", "n_eff", "first_date", "last_date"], MODEL)
+    p = len(templates[0])
+    return per_batch(moment_rows, lambda b: decompose_many(stacked(b["mean"], p), stacked(b["cov"], p, p), templates, standardize, least_similarity, least_margin), [*keys, "n_obs", "n_eff", "first_date", "last_date"], MODEL)
 
 
 def fit(changes: DataFrame, nodes, standardize: bool = False, halflife: float | None = None, **thresholds) -> DataFrame:
@@ -173,31 +201,41 @@ def loading_table(model: DataFrame, nodes, k: int) -> DataFrame:
 
 
 def row_space(basis: np.ndarray) -> np.ndarray:
-    """Orthonormal rows that span the rows of ``basis``; an error if it lacks full rank."""
-    q, r = np.linalg.qr(basis.T)
-    if (np.abs(np.diag(r)) <= TINY * max(basis.shape) * np.linalg.norm(r, 2)).any():
+    """Orthonormal rows that span the rows of each basis of a stack; an error if one lacks full rank."""
+    q, r = np.linalg.qr(np.swapaxes(basis, -1, -2))
+    size = np.linalg.norm(r, 2, axis=(-2, -1))[..., None]
+    if (np.abs(np.diagonal(r, axis1=-2, axis2=-1)) <= TINY * max(basis.shape[-2:]) * size).any():
         raise ValueError("the basis lacks full rank")
-    return q.T
+    return np.swapaxes(q, -1, -2)
 
 
 def compare(reference: dict, candidate: dict, k: int) -> dict:
-    """How a candidate model's first k factors lie against a reference's, in physical space.
+    """:func:`compare_many` of one pair of models."""
+    side = lambda m: {c: [m[c]] for c in ("physical", "eigenvalues", "share", "similarity")}
+    return {name: v[0] for name, v in compare_many(side(reference), side(candidate), k).items()}
+
+
+def compare_many(reference: dict, candidate: dict, k: int) -> dict:
+    """How candidate models' first k factors lie against their references', in physical space.
 
-    Cosines are per matched factor; principal angles (degrees) belong to the subspaces and are ordered.
+    Both: columns physical, eigenvalues, share, similarity. Cosines are per matched factor; principal
+    angles (degrees) belong to the subspaces and are ordered.
     """
-    a, b = (np.stack([np.asarray(v, float) for v in m["physical"]])[:k] for m in (reference, candidate))
-    ua, ub = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
-    similarity = np.abs(ub @ ua.T)
-    match = assign(similarity)
+    basis = [np.array([[np.asarray(v, float) for v in rows[:k]] for rows in m["physical"]]) for m in (reference, candidate)]
+    a, b = basis
+    ua, ub = (x / np.linalg.norm(x, axis=2, keepdims=True) for x in basis)
+    similarity = np.abs(ua @ ub.transpose(0, 2, 1))  # rows: the reference's factors
+    match = assign_many(similarity)  # the candidate factor of each
     qa, qb = row_space(a), row_space(b)
-    angles = np.degrees(np.arccos(np.clip(np.linalg.svd(qb @ qa.T, compute_uv=False), -1, 1)))
-    sigma = [np.linalg.norm(x, axis=1) * np.sqrt(np.asarray(m["eigenvalues"], float)[:k]) for x, m in ((a, reference), (b, candidate))]
-    values = np.asarray(candidate["eigenvalues"], float)
-    gap = (values[k - 1] - values[k]) / values[k - 1] if k < len(values) and values[k - 1] > 0 else None
+    angles = np.degrees(np.arccos(np.clip(np.linalg.svd(qb @ qa.transpose(0, 2, 1), compute_uv=False), -1, 1)))
+    values = [np.array([np.asarray(v, float) for v in m["eigenvalues"]]) for m in (reference, candidate)]
+    sigma = [np.linalg.norm(x, axis=2) * np.sqrt(v[:, :k]) for x, v in zip(basis, values, strict=True)]
+    project = lambda q: q.transpose(0, 2, 1) @ q
+    gaps = [(v[k - 1] - v[k]) / v[k - 1] if k < len(v) and v[k - 1] > 0 else None for v in values[1]]
     return {
-        "cosines": similarity[list(match), np.arange(k)], "angles": angles, "max_angle": float(angles.max()), "matched": [int(m) + 1 for m in match],
-        "projection_distance": float(np.linalg.norm(qb.T @ qb - qa.T @ qa) / np.sqrt(2 * k)), "cutoff_gap": gap,
-        "reference_sigma": sigma[0], "candidate_sigma": sigma[1][list(match)], "top_share": float(np.asarray(candidate["share"], float)[:k].sum()), "min_similarity": float(np.min(candidate["similarity"])),
+        "cosines": list(np.take_along_axis(similarity, match[:, :, None], axis=2)[:, :, 0]), "angles": list(angles), "max_angle": angles.max(axis=1).tolist(), "matched": (match + 1).tolist(),
+        "projection_distance": (np.linalg.norm(project(qb) - project(qa), axis=(1, 2)) / np.sqrt(2 * k)).tolist(), "cutoff_gap": gaps,
+        "reference_sigma": list(sigma[0]), "candidate_sigma": list(np.take_along_axis(sigma[1], match, axis=1)), "top_share": [float(np.asarray(v, float)[:k].sum()) for v in candidate["share"]], "min_similarity": [float(np.min(v)) for v in candidate["similarity"]],
     }
 
 
@@ -212,12 +250,12 @@ def compare_models(reference: DataFrame, candidate: DataFrame, k: int, keys=(PAN
     """Comparison arrays of two models of each panel, with both spans and counts."""
     both = prefixed(reference, "r_", keys).join(prefixed(candidate, "c_", keys), list(keys)).where("r_center is not null and c_center is not null")
 
-    def kernel(row):
-        side = lambda p: {c: row[p + c] for c in ("physical", "eigenvalues", "share", "similarity")}
-        return compare(side("r_"), side("c_"), k)
+    def kernel(batch):
+        side = lambda p: {c: batch[p + c] for c in ("physical", "eigenvalues", "share", "similarity")}
+        return compare_many(side("r_"), side("c_"), k)
 
     spans = [f"{p}{c}" for p in ("r_", "c_") for c in ("n_obs", "first_date", "last_date")]
-    return per_row(both, kernel, [*keys, *spans], COMPARISON)
+    return per_batch(both, kernel, [*keys, *spans], COMPARISON)
 
 
 def regime_table(comparison: DataFrame, keys=(PANEL,)) -> DataFrame:

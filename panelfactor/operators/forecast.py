@@ -21,51 +21,82 @@ MODELS = (NO_CHANGE, MEAN, AR, VAR)
 
 
 def factor_forecasts(n, s1, s2, s3, x_first, x_last, templates, k, bound, ridge) -> dict:
-    """Mean, AR(1) and VAR(1) forecasts of the next change from sums over the first ``n`` rows.
+    """Mean, AR(1) and VAR(1) forecasts of the next change from sums over the first ``n`` rows, for a stack of origins.
 
     AR slopes are least squares clipped to +-bound; the VAR's ridge acts on slopes of scores in units of their
-    deviation, and its transition is shrunk to spectral radius ``bound``. Intercepts follow from the means.
+    deviation, and its transition is shrunk to spectral radius ``bound``. Intercepts follow from the means. Origins with a
+    node that has not moved have no factors: their AR and VAR forecasts are None.
     """
-    s1, x_first, x_last = (np.asarray(v, float) for v in (s1, x_first, x_last))
-    p = len(s1)
-    s2, s3 = np.asarray(s2, float).reshape(p, p), np.asarray(s3, float).reshape(p, p)
+    p = s1.shape[1]
+    n = n[:, None]
     mean = s1 / n
-    cov = (s2 - n * np.outer(mean, mean)) / (n - 1)
-    model = factors.decompose(mean, cov, templates)
-    if model["center"] is None:
-        return {"mean": mean, "ar": None, "var": None}
-    basis = np.stack(model["components"])[:k]
+    cov = (s2 - n[:, :, None] * mean[:, :, None] * mean[:, None, :]) / (n[:, :, None] - 1)
+    model = factors.decompose_many(mean, cov, templates)
+    known = np.array([v is not None for v in model["center"]], bool)
+    unit = np.eye(p)[:k]
+    basis = np.array([np.stack(v)[:k] if v is not None else unit for v in model["components"]])
+    deviation = np.sqrt(np.array([v[:k] if v is not None else np.ones(k) for v in model["eigenvalues"]]))
     m = n - 1
+    turned = lambda x: np.einsum("akp,ap->ak", basis, x)
+    inside = lambda x: basis @ x @ basis.transpose(0, 2, 1)
     now, past = (s1 - x_first) / m, (s1 - x_last) / m
-    past_cov = basis @ (s2 - np.outer(x_last, x_last) - m * np.outer(past, past)) @ basis.T
-    cross = basis @ (s3 - m * np.outer(now, past)) @ basis.T  # rows: now, columns: past
-    now_s, past_s, last_s = (basis @ (v - mean) for v in (now, past, x_last))
-    spread = np.diag(past_cov)
-    slope = np.clip(np.where(spread > factors.TINY, np.diag(cross) / np.where(spread > factors.TINY, spread, 1), 0), -bound, bound)
+    outer = lambda a, b: a[:, :, None] * b[:, None, :]
+    past_cov = inside(s2 - outer(x_last, x_last) - m[:, :, None] * outer(past, past))
+    cross = inside(s3 - m[:, :, None] * outer(now, past))  # rows: now, columns: past
+    now_s, past_s, last_s = turned(now - mean), turned(past - mean), turned(x_last - mean)
+    own = np.diagonal(past_cov, axis1=1, axis2=2)
+    moving = own > factors.TINY
+    slope = np.where(moving, np.clip(np.diagonal(cross, axis1=1, axis2=2) / np.where(moving, own, 1), -bound, bound), 0.0)
     ar = now_s + slope * (last_s - past_s)
-    deviation = np.sqrt(model["eigenvalues"][:k])
-    if (deviation <= factors.TINY).any():
-        var = np.zeros(k)
-    else:
-        left = past_cov / np.outer(deviation, deviation) + ridge * np.eye(k)
-        right = (cross / np.outer(deviation, deviation)).T
-        try:
-            transition = np.linalg.solve(left, right)
-        except np.linalg.LinAlgError:
-            transition = np.linalg.lstsq(left, right, rcond=None)[0]
-        radius = float(np.abs(np.linalg.eigvals(transition)).max())
-        if radius > bound:
-            transition = transition * (bound / radius)
-        var = (now_s / deviation + ((last_s - past_s) / deviation) @ transition) * deviation
-    return {"mean": mean, "ar": mean + ar @ basis, "var": mean + var @ basis}
+    spread = (deviation > factors.TINY).all(axis=1)
+    safe = np.where(spread[:, None], deviation, 1.0)
+    left = past_cov / outer(safe, safe) + ridge * np.eye(k)
+    right = (cross / outer(safe, safe)).transpose(0, 2, 1)
+    left = np.where((known & spread)[:, None, None], left, np.eye(k))
+    try:
+        transition = np.linalg.solve(left, right)
+    except np.linalg.LinAlgError:
+        transition = np.linalg.pinv(left) @ right
+    radius = np.abs(np.linalg.eigvals(transition)).max(axis=1)
+    transition = transition * np.where(radius > bound, bound / np.where(radius > 0, radius, 1), 1.0)[:, None, None]
+    var = (now_s / safe + np.einsum("ak,akj->aj", (last_s - past_s) / safe, transition)) * safe
+    var = np.where(spread[:, None], var, 0.0)
+    back = lambda scores: [mean[a] + scores[a] @ basis[a] if known[a] else None for a in range(len(mean))]
+    return {"mean": list(mean), "ar": back(ar), "var": back(var)}
 
 
 _FORECASTS = "mean array<double>, ar array<double>, var array<double>"
 
 
 def _kernel(nodes: Nodes, k: int, bound: float, ridge: float):
-    templates = factors.shape_templates(nodes.maturities)
-    return lambda r: factor_forecasts(r["n_train"], r["s1"], r["s2"], r["s3"], r["x_first"], r["x_last"], templates, k, bound, ridge)
+    templates, p = factors.shape_templates(nodes.maturities), len(nodes.names)
+
+    def run(batch):
+        shapes = {"s1": (p,), "s2": (p, p), "s3": (p, p), "x_first": (p,), "x_last": (p,)}
+        return factor_forecasts(batch["n_train"].to_numpy(float), *(factors.stacked(batch[c], *shape) for c, shape in shapes.items()), templates, k, bound, ridge)
+
+    return run
+
+
+def check_inputs(changes: DataFrame, nodes: Nodes, train: int, weekly: DataFrame | None = None, tolerance: float = 1e-8) -> None:
+    """An error unless every panel can be walked through: enough rows, finite numbers, positions without gaps and, with
+    ``weekly``, changes that are those of its levels to ``tolerance``.
+    """
+    if train < 3:
+        raise ValueError("training needs three rows")
+    if missing := [c for c in (PANEL, DATE, POS, *nodes.names) if c not in changes.columns]:
+        raise ValueError(f"changes lack {missing}")
+    finite = F.lit(True)
+    for n in nodes.names:
+        finite = finite & F.coalesce(F.abs(col(n)) < float("inf"), F.lit(False))
+    told = changes.groupBy(PANEL).agg(F.count("*").alias("n"), F.count_if(~finite).alias("bad"), F.countDistinct(POS).alias("places"), F.max(POS).alias("last"))
+    wrong = told.where((F.col("bad") > 0) | (F.col("places") != F.col("n")) | (F.col("last") != F.col("n") - 1) | (F.col("n") <= train)).limit(5).collect()
+    if wrong:
+        raise ValueError("; ".join(f"{r.panel}: {r.n} changes (training {train}), {r.bad} not finite, last position {r.last}" for r in wrong))
+    if weekly is not None:
+        off = reconciliation(weekly, changes, nodes).where((F.col("max_difference") > tolerance) | F.isnan("max_difference") | (F.col("n_levels") != F.col("n_changes") + 1)).limit(5).collect()
+        if off:
+            raise ValueError("; ".join(f"{r.panel}: changes differ from levels by {r.max_difference}, {r.n_changes} of {r.n_levels} levels" for r in off))
 
 
 def walk_forward(changes: DataFrame, nodes: Nodes, train: int, k: int = 3, bound: float = 0.995, ridge: float = 1e-3) -> DataFrame:
@@ -77,7 +108,7 @@ def walk_forward(changes: DataFrame, nodes: Nodes, train: int, k: int = 3, bound
     sums = expanding_sums(changes, names).where(F.col(POS) >= train).select(PANEL, DATE, POS, F.col(POS).alias("n_train"), "s1", "s2", "s3", "x_first", "x_last", vector(names).alias("actual"))
     # a panel's window leaves its origins in one task: deal them out again for the kernel
     origins = sums.repartition(int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")), PANEL, POS)
-    made = factors.per_row(origins, _kernel(nodes, k, bound, ridge), [PANEL, DATE, POS, "actual"], _FORECASTS)
+    made = factors.per_batch(origins, _kernel(nodes, k, bound, ridge), [PANEL, DATE, POS, "actual"], _FORECASTS)
     zero = F.transform("actual", lambda _: F.lit(0.0))
     models = F.array(*(F.struct(F.lit(m).alias("model"), c.alias("fitted")) for m, c in ((NO_CHANGE, zero), (MEAN, F.col("mean")), (AR, F.col("ar")), (VAR, F.col("var")))))
     rows = made.select(PANEL, DATE, POS, "actual", F.explode(models).alias("m"))
@@ -177,7 +208,7 @@ def latest_forecast(weekly: DataFrame, changes: DataFrame, gate: DataFrame, node
         F.array(*(F.coalesce(F.sum(col(a) * F.col(f"_l{j}")), F.lit(0.0)) for a in names for j in range(p))).alias("s3"),
         F.min_by(vector(names), POS).alias("x_first"), F.max_by(vector(names), POS).alias("x_last"),
     )
-    made = factors.per_row(sums, _kernel(nodes, k, bound, ridge), [PANEL], _FORECASTS)
+    made = factors.per_batch(sums, _kernel(nodes, k, bound, ridge), [PANEL], _FORECASTS)
     chosen = gate.where("selected").select(PANEL, "model")
     last = weekly.groupBy(PANEL).agg(F.max_by(F.struct(DATE, PERIOD_END, vector(names).alias("level")), DATE).alias("x")).select(PANEL, "x.*")
     rows = last.join(made, PANEL).join(chosen, PANEL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.resample import resampled
+from ..functions.resample import resampled_sums
 from ..functions.stats import binomial_at_most, wilson
 from ..schema import DATE, PANEL, POS
 
@@ -53,8 +53,10 @@ def block_bounds(hit_rows: DataFrame, node_names, alpha: float, block_lengths=(4
     # one row holds the hits of all nodes and coverages, so they share its draws
     wide = hit_rows.groupBy(PANEL, ROW).agg(*(F.max(F.when((F.col("coverage") == c) & (F.col("node") == n), hit)).alias(f"h{k}") for k, (c, n) in enumerate(cells)))
     placed = wide.withColumn("at", (F.col(ROW) - F.min(ROW).over(whole)).cast("long")).withColumn("n", F.count("*").over(whole)).drop(ROW)
-    drawn = resampled(placed, "at", "n", block_lengths, replications, seed)
-    rates = drawn.groupBy(PANEL, "block_length", "replication").agg(*(F.avg(f"h{k}").alias(f"h{k}") for k in range(len(cells))))
+    # a hit that is null (a node that a row lacks) counts neither as one nor as a draw
+    values = [F.col(f"h{k}") for k in range(len(cells))] + [F.col(f"h{k}").isNotNull().cast("int") for k in range(len(cells))]
+    drawn = resampled_sums(placed, "at", "n", values, block_lengths, replications, seed, date=None)
+    rates = drawn.select(PANEL, "block_length", "replication", *(F.when(F.col("sums")[k + len(cells)] > 0, F.col("sums")[k] / F.col("sums")[k + len(cells)]).alias(f"h{k}") for k in range(len(cells))))
     ends = F.array(F.lit(tail), F.lit(1 - tail))
     q = rates.groupBy(PANEL, "block_length").agg(*(F.percentile(f"h{k}", ends).alias(f"h{k}") for k in range(len(cells))))
     widest = q.groupBy(PANEL).agg(F.array(*(F.struct(F.lit(c).alias("coverage"), F.lit(n).alias("node"), F.min(F.col(f"h{k}")[0]).alias("low"), F.max(F.col(f"h{k}")[1]).alias("high")) for k, (c, n) in enumerate(cells))).alias("x"))

@@ -50,6 +50,19 @@ def moments(rows: DataFrame, nodes, keys=(PANEL,), weight: Column | None = None)
     return g.select(*keys, "n_obs", "n_eff", "first_date", "last_date", F.array(*(mean(i) for i in range(p))).alias("mean"), _square(p, cov).alias("cov"))
 
 
+def products(nodes) -> list[Column]:
+    """Nodes, then products of each pair of nodes (i <= j): what :func:`from_sums` makes moments of."""
+    return [col(n) for n in nodes] + [col(nodes[i]) * col(nodes[j]) for i, j in _pairs(len(nodes))]
+
+
+def from_sums(rows: DataFrame, p: int, keys) -> DataFrame:
+    """Moment rows (as :func:`moments` makes) of rows with n, first_date, last_date and sums (of :func:`products`)."""
+    n, s = F.col("n"), F.col("sums")
+    at = {pair: p + k for k, pair in enumerate(_pairs(p))}
+    cov = lambda i, j: (s[at[i, j]] - s[i] * s[j] / n) / (n - 1)
+    return rows.select(*keys, n.cast("long").alias("n_obs"), n.cast("double").alias("n_eff"), "first_date", "last_date", F.array(*(s[i] / n for i in range(p))).alias("mean"), _square(p, cov).alias("cov"))
+
+
 def covariance_table(moment_rows: DataFrame, nodes, keys=(PANEL,)) -> DataFrame:
     """keys, node_i, node_j, cov, corr for each ordered pair of nodes."""
     p = len(nodes)

@@ -9,9 +9,6 @@ from ..schema import DATE, FAIL, GAP, NEEDS_REVISION, PANEL, PASS, POS, READY, W
 from . import factors
 from .panel import complete, period_end
 
-CHECK = "control string, status string, result string, threshold string, risk string"
-
-
 def quality_metrics(daily: DataFrame, weekly: DataFrame, changes: DataFrame, nodes: Nodes, core, anchor: str = "FRI", policy: str = "drop", start: str | None = None, end: str | None = None) -> DataFrame:
     """All figures that the checks need, one row for each panel: one aggregation over each of the three tables."""
     names = list(nodes.names)
@@ -41,53 +38,77 @@ def quality_metrics(daily: DataFrame, weekly: DataFrame, changes: DataFrame, nod
     )
 
 
+def _between(low, high):
+    return (lambda c: c.between(low, high)), f"{low} to {high}"
+
+
+def _at_most(limit):
+    return (lambda c: c <= limit), f"at most {limit}"
+
+
+def _at_least(limit):
+    return (lambda c: c >= limit), f"at least {limit}"
+
+
 def quality_checks(metrics: DataFrame, settings, mode: str = "SNAPSHOT", as_of: str | None = None, regime_change: str | None = None) -> DataFrame:
-    """panel, seq, control, status, result, threshold, risk. ``settings`` is a DataConfig; ``as_of`` is the injected clock.
+    """panel, measured_on, control, figure, allowed, status: one row for each panel and control.
 
-    Null figures never pass.
+    A control compares one figure of ``metrics`` (a column, as a number) with what ``settings`` (a DataConfig) allow;
+    ``measured_on`` is the table that the figure comes from. A figure that is null or out of range gets the
+    control's own status. ``as_of`` is the injected clock. Controls that no figure can settle (a history without
+    vintages, a stand-in source) always warn.
     """
-    s = settings
-    m = metrics
-    between = lambda c, hi: F.col(c).between(0, hi)
-    text = lambda *parts: F.concat_ws("", *(p if not isinstance(p, str) else F.lit(p) for p in (x.cast("string") if not isinstance(x, str) else x for x in parts)))
-    c = F.col
-    rows = [
-        ("Unique daily dates", c("duplicate_days") == 0, FAIL, text("duplicates=", c("duplicate_days")), "none", "repeated dates corrupt changes and splits"),
-        ("Complete weekly panel", (c("week_nulls") == 0) & (c("change_nulls") == 0), FAIL, text("nulls=", c("week_nulls"), "+", c("change_nulls")), "none", "gaps in curves change the covariance over time"),
-        ("Minimum history", c("n_changes") >= s.minimum_complete_weeks, FAIL, text(c("n_changes"), " changes"), f">={s.minimum_complete_weeks}", "short samples give unstable factors and tails"),
-        ("Start coverage", between("start_lag", s.maximum_start_coverage_gap_days), FAIL, text("lag=", c("start_lag"), " days"), f"0..{s.maximum_start_coverage_gap_days}", "a late start shortens the sample"),
-        ("End coverage", between("end_lag", s.maximum_end_coverage_gap_days), FAIL, text("lag=", c("end_lag"), " days"), f"0..{s.maximum_end_coverage_gap_days}", "a cut source may pass for a whole one"),
-        ("Final week coverage", between("within_week_lag", s.maximum_within_week_observation_lag_days), FAIL, text("lag=", c("within_week_lag"), " days"), f"0..{s.maximum_within_week_observation_lag_days}", "the last eligible day may be absent"),
-        ("Boundary periods", c("boundary_periods"), FAIL, text("present=", c("boundary_periods")), "first and last eligible periods", "an absent period moves the calibration window"),
-        ("Observation gaps", c("max_gap") <= s.maximum_calendar_gap_days, FAIL, text("max=", c("max_gap"), " days"), f"<={s.maximum_calendar_gap_days}", "long gaps mix risk horizons"),
-        ("Weekly horizon", c("not_seven") == 0, WARN, text(c("not_seven"), " of ", c("n_changes"), ", ", c("min_gap"), "-", c("max_gap"), " days"), "7 days each", "holidays make horizons differ"),
-        ("Whole boundary weeks", ~c("partial_boundary"), WARN, text("partial=", c("partial_boundary")), "none", "a partial week has a shorter horizon"),
-        ("Value domain", (c("min_value") > -5) & (c("max_value") < 25), FAIL, text(F.round("min_value", 4), "..", F.round("max_value", 4)), "(-5, 25)", "wrong units dominate covariances"),
-        ("Unit scale", c("max_value") >= 0.25, FAIL, text("max=", F.round("max_value", 4)), ">=0.25", "decimals read as percent shrink risk"),
-        ("Varying nodes", F.size("constant_nodes") == 0, FAIL, text(F.array_join("constant_nodes", ",")), "none constant", "a constant node has no correlation"),
-        ("Jump review", c("max_jump") <= 250, WARN, text(F.round("max_jump", 4), " bp"), "<=250", "extremes are stress or errors"),
-        ("Zero observations", c("n_zeros") == 0, WARN, text(c("n_zeros")), "none", "a floor alters covariances"),
-        ("Vintage control", F.lit(False), WARN, text("one history, no archive of vintages"), "as-of archive", "revisions look ahead in back-tests"),
-    ]
-    if regime_change:
-        spans = (c("first_day") < F.lit(regime_change).cast("date")) & (c("last_day") >= F.lit(regime_change).cast("date"))
-        rows.append(("Methodology regime", ~spans, WARN, text("spans=", spans), f"no change at {regime_change}", "a change of method looks like a change of regime"))
+    s, c = settings, F.col
+    truth = lambda x: x.cast("int")
+    none, one = _between(0, 0), _at_least(1)
+    by_table = {
+        "daily": [
+            ("Day held twice", c("duplicate_days"), none, FAIL),
+            ("Smallest value", c("min_value"), ((lambda x: x > -5), "above -5"), FAIL),
+            ("Largest value", c("max_value"), ((lambda x: (x >= 0.25) & (x < 25)), "0.25 to below 25"), FAIL),
+            ("Values of zero", c("n_zeros"), none, WARN),
+            ("Days before the first whole one", c("start_lag"), _between(0, s.maximum_start_coverage_gap_days), FAIL),
+        ],
+        "weekly": [
+            ("Empty cells in weeks", c("week_nulls"), none, FAIL),
+            ("Days after the last week", c("end_lag"), _between(0, s.maximum_end_coverage_gap_days), FAIL),
+            ("Days from the last curve to its week's end", c("within_week_lag"), _between(0, s.maximum_within_week_observation_lag_days), FAIL),
+            ("First and last week are those expected", truth(c("boundary_periods")), one, FAIL),
+            ("Weeks cut by the request", truth(c("partial_boundary")), none, WARN),
+        ],
+        "changes": [
+            ("Changes", c("n_changes"), _at_least(s.minimum_complete_weeks), FAIL),
+            ("Empty cells in changes", c("change_nulls"), none, FAIL),
+            ("Nodes that never move", F.size("constant_nodes"), none, FAIL),
+            ("Longest gap in days", c("max_gap"), _at_most(s.maximum_calendar_gap_days), FAIL),
+            ("Changes over other than seven days", c("not_seven"), none, WARN),
+            ("Largest move in hundredths", c("max_jump"), _at_most(250), WARN),
+        ],
+    }
     age = F.datediff(F.lit(as_of).cast("date"), "last_week")
     limit = s.maximum_staleness_days
-    rows.append(("Freshness", (age <= limit) if limit is not None else F.lit(False), FAIL if limit is not None else WARN, text(age, " days"), f"<={limit}" if limit is not None else "no limit set", "stale data don't show current risk"))
-    if mode == "SNAPSHOT_FALLBACK":
-        rows.append(("Live source", F.lit(False), WARN, text("snapshot used"), "live source", "the newest observations may be absent"))
-    if mode == "LIVE_NO_CACHE":
-        rows.append(("Cache persistence", F.lit(False), WARN, text("cache not written"), "payload kept", "the run can't be replayed"))
-    checks = F.array(*(F.struct(F.lit(k).alias("seq"), F.lit(name).alias("control"), F.when(F.coalesce(ok, F.lit(False)), PASS).otherwise(F.lit(bad)).alias("status"), result.alias("result"), F.lit(limit).alias("threshold"), F.lit(risk).alias("risk")) for k, (name, ok, bad, result, limit, risk) in enumerate(rows, start=1)))
-    return m.select(PANEL, F.explode(checks).alias("x")).select(PANEL, "x.*")
+    asked = [("Age in days", age, _at_most(limit), FAIL) if limit is not None else ("Age in days", age, ((lambda x: F.lit(False)), "no limit is set"), WARN)]
+    if regime_change:
+        day = F.lit(regime_change).cast("date")
+        asked.append((f"History on both sides of {regime_change}", truth((c("first_day") < day) & (c("last_day") >= day)), none, WARN))
+    told = [("Vintages kept", F.lit(0), one, WARN)]
+    told += [("Live source reached", F.lit(0), one, WARN)] if mode == "SNAPSHOT_FALLBACK" else []
+    told += [("Payload kept", F.lit(0), one, WARN)] if mode == "LIVE_NO_CACHE" else []
+    rows = [(table, *row) for table, controls in (*by_table.items(), ("request", asked), ("source", told)) for row in controls]
+    checks = F.array(
+        *(
+            F.struct(F.lit(table).alias("measured_on"), F.lit(name).alias("control"), figure.cast("double").alias("figure"), F.lit(allowed).alias("allowed"), F.when(F.coalesce(holds(figure), F.lit(False)), PASS).otherwise(bad).alias("status"))
+            for table, name, figure, (holds, allowed), bad in rows
+        )
+    )
+    return metrics.select(PANEL, F.explode(checks).alias("x")).select(PANEL, "x.*")
 
 
 def refuse_failures(checks: DataFrame) -> None:
     """Raise if a check has failed."""
     failed = checks.where(F.col("status") == FAIL).limit(20).collect()
     if failed:
-        raise ValueError("data quality: " + "; ".join(f"{r.panel}: {r.control} ({r.result})" for r in failed))
+        raise ValueError("data quality: " + "; ".join(f"{r.panel}: {r.control} ({r.figure}, allowed {r.allowed})" for r in failed))
 
 
 def algebra_checks(changes: DataFrame, model: DataFrame, moment_rows: DataFrame, nodes: Nodes, k: int = 3, tolerance: float = 1e-10, least_similarity: float = 0.70, least_margin: float = 0.10, standardized: bool = False) -> DataFrame:
@@ -148,11 +169,6 @@ def assessment(*tables: DataFrame) -> DataFrame:
     return all_rows.groupBy(PANEL).agg(severity.alias("s")).select(PANEL, F.when(F.col("s") == 2, NEEDS_REVISION).when(F.col("s") == 1, WITH_CAVEATS).otherwise(READY).alias("assessment"))
 
 
-def ordered_duplicates(daily: DataFrame) -> DataFrame:
-    """Dates that a panel holds more than once."""
-    return daily.groupBy(PANEL, DATE).count().where("count > 1")
-
-
 def no_look_ahead(audited: DataFrame) -> DataFrame:
     """Rows of an out-of-sample table whose training reaches their own date (there must be none)."""
     return audited.where(F.col("training_end") >= F.col(DATE))

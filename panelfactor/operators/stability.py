@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.resample import resampled
+from ..functions.resample import resampled_sums
 from ..schema import DATE, PANEL, POS, Nodes, col, vector
 from . import factors
-from .moments import moments
+from .moments import from_sums, moments, products
 
 END = "window_end"
 
@@ -40,12 +40,12 @@ def rolling(changes: DataFrame, reference: DataFrame, nodes: Nodes, window: int,
 def _against(candidates: DataFrame, reference: DataFrame, k: int, keys) -> DataFrame:
     both = factors.prefixed(candidates, "c_", keys).join(factors.prefixed(reference, "r_"), PANEL).where("c_center is not null and r_center is not null")
 
-    def kernel(row):
-        side = lambda p: {c: row[p + c] for c in ("physical", "eigenvalues", "share", "similarity")}
-        return factors.compare(side("r_"), side("c_"), k)
+    def kernel(batch):
+        side = lambda p: {c: batch[p + c] for c in ("physical", "eigenvalues", "share", "similarity")}
+        return factors.compare_many(side("r_"), side("c_"), k)
 
     keep = [*keys, "c_n_obs", "c_first_date", "c_last_date", "r_first_date", "r_last_date", "r_identified", "r_suggested"]
-    out = factors.per_row(both, kernel, keep, factors.COMPARISON)
+    out = factors.per_batch(both, kernel, keep, factors.COMPARISON)
     named = {"c_n_obs": "n_obs", "c_first_date": "first_date", "c_last_date": "last_date", "r_first_date": "reference_first_date", "r_last_date": "reference_last_date", "r_identified": "reference_identified", "r_suggested": "reference_suggested"}
     return out.withColumnsRenamed(named)
 
@@ -65,8 +65,8 @@ def sequential(changes: DataFrame, nodes: Nodes, window: int, step: int = 13, k:
 def bootstrap(changes: DataFrame, reference: DataFrame, nodes: Nodes, replications: int = 2000, block_lengths=(13,), k: int = 3, seed: int = 20260825, standardize: bool = False, **thresholds) -> DataFrame:
     """One comparison row for each (panel, block_length, replication)."""
     keys = (PANEL, "block_length", "replication")
-    drawn = resampled(changes, POS, "n_rows", block_lengths, replications, seed)
-    made = factors.models(moments(drawn, nodes.names, keys=keys), nodes.maturities, standardize, keys=keys, **thresholds)
+    drawn = resampled_sums(changes, POS, "n_rows", products(nodes.names), block_lengths, replications, seed)
+    made = factors.models(from_sums(drawn, len(nodes.names), keys), nodes.maturities, standardize, keys=keys, **thresholds)
     return _against(made, reference, k, keys)
 
 

@@ -77,10 +77,12 @@ def test_quality_checks_fail_closed(spark):
     settings = cfg.DataConfig(start_date="2024-01-01", end_date="2025-02-28", minimum_complete_weeks=52)
     m = quality.quality_metrics(daily, weekly, panel.changes(weekly, THREE.names), THREE, THREE.names, policy="include_and_flag", start="2024-01-01", end="2025-02-28")
     checks = {r.control: r for r in quality.quality_checks(m, settings, as_of="2025-03-01").collect()}
-    assert checks["Varying nodes"].status == "FAIL" and checks["Varying nodes"].result == "b" and checks["Observation gaps"].status == "PASS"
-    with pytest.raises(ValueError, match="Varying nodes"):
+    still, gap = checks["Nodes that never move"], checks["Longest gap in days"]
+    assert still.status == "FAIL" and still.figure == 1 and still.measured_on == "changes" and gap.status == "PASS" and gap.figure == 7
+    assert checks["Vintages kept"].status == "WARN" and {r.measured_on for r in checks.values()} == {"daily", "weekly", "changes", "request", "source"}
+    with pytest.raises(ValueError, match="Nodes that never move"):
         quality.refuse_failures(quality.quality_checks(m, settings, as_of="2025-03-01"))
-    stale = quality.quality_checks(m, cfg.DataConfig(maximum_staleness_days=3), as_of="2025-03-01").where("control = 'Freshness'").first()
+    stale = quality.quality_checks(m, cfg.DataConfig(maximum_staleness_days=3), as_of="2025-03-01").where("control = 'Age in days'").first()
     assert stale.status == "FAIL"
 
 
