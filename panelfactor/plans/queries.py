@@ -327,7 +327,7 @@ def quality_checks(spark, sf):
     daily, weekly = three_daily(spark, sf), three_weekly(spark, sf)
     settings = DataConfig(start_date="1995-01-01", end_date="2001-11-30", boundary_week_policy="include_and_flag", minimum_complete_weeks=52)
     m = quality.quality_metrics(daily, weekly, panel.changes(weekly, THREE.names), THREE, THREE.names, policy="include_and_flag", start=settings.start_date, end=settings.end_date)
-    return quality.quality_checks(m, settings, as_of="2001-12-01", regime_change="1998-06-01")
+    return rounded(quality.quality_checks(m, settings, as_of="2001-12-01", regime_change="1998-06-01"), 4)
 
 
 def model_health(spark, sf):
@@ -340,8 +340,82 @@ def overall_assessment(spark, sf):
     return quality.assessment(model_health(spark, sf), algebra_checks(spark, sf))
 
 
-WITH_SQL = (panel_daily, weekly_curve, weekly_curve_drop, weekly_changes, gap_histogram, change_validity, quality_figures, covariance, covariance_recent, eigenvalues, eigen_trace, first_projector, first_reconstruction, pnl, pnl_attribution, variance_sources, worst_scenarios, tail_summary, var_backtest, var_backtest_tests, mean_forecast, forecast_metrics, clark_west, node_ar1, interval_hits, interval_coverage, joint_hits, distribution, content_digest, event_gaps)
-KERNELS = (factor_loadings, specifications, rolling_stability, sequential_stability, bootstrap_stability, block_sensitivity, oos_reconstruction, method_regimes, recency_comparison, algebra_checks, walk_forward_metrics, adoption_gate, interval_evidence, latest_bands, factor_scenarios, hedge, calibration, quality_checks, model_health, overall_assessment)
+# ---- kernels on curves of three nodes, whose eigenvalues SQL has in closed form ----------------
+
+
+def shown_comparison(df: DataFrame, *keys) -> DataFrame:
+    """Figures of a comparison of first factors, to the places that both routes agree on."""
+    return rounded(df.select(PANEL, *keys, F.col("top_share").alias("share"), F.col("cosines")[0].alias("cosine"), F.col("max_angle").alias("angle")), 3)
+
+
+def first_factor_rolling(spark, sf):
+    c = three(spark, sf)
+    return shown_comparison(stability.rolling(c, factors.fit(c, THREE), THREE, 104, k=1), "window_end", "first_date", "last_date", "n_obs")
+
+
+def first_factor_sequential(spark, sf):
+    return shown_comparison(stability.sequential(three(spark, sf), THREE, 104, k=1), "window_end")
+
+
+def first_factor_oos(spark, sf):
+    return rounded(factors.error_metrics(stability.oos_reconstruction(three(spark, sf), THREE, TRAIN, k=1)), 4)
+
+
+def first_factor_regimes(spark, sf):
+    t = stability.regimes(three(spark, sf), THREE, "1998-06-01", k=1, least_rows=52)
+    return rounded(t.select(PANEL, "n_before", "n_after", "status", "cosine", F.col("principal_angle").alias("angle"), "sigma_ratio"), 3)
+
+
+def first_factor_recency(spark, sf):
+    c = three(spark, sf)
+    t = factors.regime_table(factors.compare_models(factors.fit(c, THREE), factors.fit(c, THREE, halflife=HALFLIFE), 1))
+    return rounded(t.select(PANEL, "cosine", F.col("principal_angle").alias("angle"), "reference_sigma", "candidate_sigma", "sigma_ratio"), 3)
+
+
+def first_factor_scenarios(spark, sf):
+    """Sizes of the P&L of one, two and three deviations of the first factor (its sign is a matter of convention)."""
+    c = three(spark, sf)
+    t = risk.factor_scenarios(factors.fit(c, THREE), risk.same_for_all(c, THREE, DV01_THREE), THREE, 1)
+    return rounded(t.groupBy(PANEL, F.abs("multiple").alias("multiple")).agg(F.max("pnl").alias("gain"), F.min("pnl").alias("loss"), F.count("*").alias("n")), 1)
+
+
+def specification_shares(spark, sf):
+    t = stability.specifications(three(spark, sf), THREE, HALFLIFE, 1)
+    return rounded(t.select(PANEL, "specification", "first_date", "last_date", "n_obs", "n_eff", "share_1", "share_2", "share_3", "top_share"), 4)
+
+
+def calibration_three(spark, sf):
+    c = three(spark, sf)
+    return rounded(risk.calibration_comparison(factors.fit(c, THREE), factors.fit(c, THREE, halflife=HALFLIFE), risk.same_for_all(c, THREE, DV01_THREE), THREE, 1), 1)
+
+
+def walk_forward_baselines(spark, sf):
+    """Metrics of the models that need no factors, out of the whole walk."""
+    return rounded(forecast.forecast_metrics(forecast.walk_forward(seven(spark, sf), SEVEN, TRAIN).where(F.col("model").isin(forecast.NO_CHANGE, forecast.MEAN))), 5)
+
+
+def gate_evidence(spark, sf):
+    """Evidence of the historical mean against no change, by partition."""
+    g = forecast.adoption_gate(three_forecasts(spark, sf), EVALUATION, CONFIRMATION).where(F.col("model") == forecast.MEAN)
+    sides = [g.select(PANEL, F.lit(side).alias("partition"), *(F.col(f"{side.lower()}_{c}").alias(c) for c in ("rows", "first_date", "last_date", "rmse", "improvement", "advantage", "hac", "cw_advantage", "cw"))) for side in ("Selection", "Confirmation")]
+    return rounded(sides[0].unionByName(sides[1]), 4)
+
+
+def _health_three(spark, sf):
+    c = three(spark, sf)
+    return quality.health_table(stability.rolling(c, factors.fit(c, THREE), THREE, 104, k=1), factors.error_metrics(stability.oos_reconstruction(c, THREE, TRAIN, k=1)), stability.sequential(c, THREE, 104, k=1))
+
+
+def first_factor_health(spark, sf):
+    return rounded(_health_three(spark, sf), 3)
+
+
+def first_factor_assessment(spark, sf):
+    return quality.assessment(_health_three(spark, sf), quality_checks(spark, sf).where(F.col("measured_on") != "source"))
+
+
+WITH_SQL = (panel_daily, weekly_curve, weekly_curve_drop, weekly_changes, gap_histogram, change_validity, quality_figures, covariance, covariance_recent, eigenvalues, eigen_trace, first_projector, first_reconstruction, pnl, pnl_attribution, variance_sources, worst_scenarios, tail_summary, var_backtest, var_backtest_tests, mean_forecast, forecast_metrics, clark_west, node_ar1, interval_hits, interval_coverage, joint_hits, distribution, content_digest, event_gaps, quality_checks, first_factor_rolling, first_factor_sequential, first_factor_oos, first_factor_regimes, first_factor_recency, first_factor_scenarios, specification_shares, calibration_three, walk_forward_baselines, gate_evidence, first_factor_health, first_factor_assessment)
+KERNELS = (factor_loadings, specifications, rolling_stability, sequential_stability, bootstrap_stability, block_sensitivity, oos_reconstruction, method_regimes, recency_comparison, algebra_checks, walk_forward_metrics, adoption_gate, interval_evidence, latest_bands, factor_scenarios, hedge, calibration, model_health, overall_assessment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
