@@ -263,3 +263,16 @@ def regime_table(comparison: DataFrame, keys=(PANEL,)) -> DataFrame:
     x = F.posexplode(F.arrays_zip("cosines", "angles", "matched", "reference_sigma", "candidate_sigma")).alias("k", "x")
     spans = [c for c in comparison.columns if c[:2] in ("r_", "c_")]
     return comparison.select(*keys, *spans, x).select(*keys, (F.col("k") + 1).alias("factor"), F.col("x.matched").alias("matched_component"), F.col("x.cosines").alias("cosine"), F.col("x.angles").alias("principal_angle"), F.col("x.reference_sigma").alias("reference_sigma"), F.col("x.candidate_sigma").alias("candidate_sigma"), (F.col("x.candidate_sigma") / F.col("x.reference_sigma")).alias("sigma_ratio"), *spans)
+
+
+def component_of(model: DataFrame, shape: str) -> DataFrame:
+    """panel, component (1-based; null if none is identified) of the factor with a shape."""
+    if shape not in SHAPES:
+        raise ValueError(f"a shape is one of {SHAPES}")
+    at = F.coalesce(*(F.when(F.col("identified")[j] & (F.col("suggested")[j] == shape), F.lit(j + 1)) for j in range(3)))
+    return model.select(PANEL, at.alias("component"))
+
+
+def score_unit(standardize: bool) -> str:
+    """What scores are measured in."""
+    return "standard deviations" if standardize else "hundredths (basis points)"

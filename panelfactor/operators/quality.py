@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,11 +112,26 @@ def refuse_failures(checks: DataFrame) -> None:
         raise ValueError("data quality: " + "; ".join(f"{r.panel}: {r.control} ({r.figure}, allowed {r.allowed})" for r in failed))
 
 
-def algebra_checks(changes: DataFrame, model: DataFrame, moment_rows: DataFrame, nodes: Nodes, k: int = 3, tolerance: float = 1e-10, least_similarity: float = 0.70, least_margin: float = 0.10, standardized: bool = False) -> DataFrame:
+def _again(p: int, k: int):
+    """Singular values of the (scaled) covariance against the eigenvalues, and the projectors on the first k of both."""
+
+    def run(batch):
+        scale, cov = factors.stacked(batch["scale"], p), factors.stacked(batch["cov"], p, p)
+        u, values, _ = np.linalg.svd(cov / (scale[:, :, None] * scale[:, None, :]))
+        own = np.array([np.stack(v)[:k] for v in batch["components"]])
+        gap = np.abs(u[:, :, :k] @ u[:, :, :k].transpose(0, 2, 1) - own.transpose(0, 2, 1) @ own).max(axis=(1, 2))
+        return {"svd_gap": np.abs(values - factors.stacked(batch["eigenvalues"], p)).max(axis=1).tolist(), "projector_gap": gap.tolist()}
+
+    return run
+
+
+def algebra_checks(changes: DataFrame, model: DataFrame, moment_rows: DataFrame, nodes: Nodes, k: int = 3, tolerance: float = 1e-10, least_similarity: float = 0.70, least_margin: float = 0.10, standardized: bool = False, weighted: bool = False) -> DataFrame:
     """Errors of each panel's model against routes of their own: panel, control, result, threshold, status.
 
     Spark rebuilds the covariance from components, and the eigenvalues from variances of the scores, and carries scores
-    back to changes; tolerances are relative to the size of what is compared.
+    back to changes; singular values and the projector on the first k factors are made again from the covariance.
+    Tolerances are relative to the size of what is compared. Scores of ``weighted`` models have other variances by
+    design and are not compared.
     """
     p, names = len(nodes.names), nodes.names
     rows = factors.with_model(changes, model).withColumn("s", factors.score_array(vector(names))).withColumn("back", factors.inverse_array(F.col("s"), p, p))
@@ -123,6 +139,7 @@ def algebra_checks(changes: DataFrame, model: DataFrame, moment_rows: DataFrame,
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda t, v: t + v)
     cov = lambda i, j: F.col("cov")[i * p + j] / (F.col("scale")[i] * F.col("scale")[j])
     b = model.join(moment_rows.select(PANEL, "cov"), PANEL).join(trip, PANEL)
+    b = b.join(factors.per_batch(b.select(PANEL, "cov", "scale", "eigenvalues", "components"), _again(p, k), [PANEL], "svd_gap double, projector_gap double"), PANEL)
     unit = F.greatest(*(F.abs(factors.dot(F.col("components")[i], F.col("components")[j]) - (1.0 if i == j else 0.0)) for i in range(p) for j in range(i, p)))
     product = lambda i, j: add(F.zip_with("components", "eigenvalues", lambda v, e: v[i] * v[j] * e))
     rebuilt = F.greatest(*(F.abs(cov(i, j) - product(i, j)) for i in range(p) for j in range(i, p)))
@@ -130,6 +147,9 @@ def algebra_checks(changes: DataFrame, model: DataFrame, moment_rows: DataFrame,
     eigen = F.greatest(*(F.abs(F.col(f"v{i}_{i}") - F.col("eigenvalues")[i]) for i in range(p)), F.lit(0.0))
     off = F.greatest(*(F.abs(F.col(f"v{i}_{j}")) for i in range(p) for j in range(i + 1, p)), F.lit(0.0))
     checks = [("Round trip", F.col("round_trip") / F.greatest(F.sqrt(top), F.lit(1.0)), tolerance, True), ("Orthonormal components", unit, tolerance, True), ("Covariance rebuilt", rebuilt / top, tolerance, True), ("Score variances", eigen / top, 1e-8, True), ("Score covariances", off / top, 1e-8, True), ("Least template similarity", F.array_min("similarity"), least_similarity, False), ("Least template margin", F.array_min("margin"), least_margin, False)]
+    checks += [("Singular values", F.col("svd_gap") / top, 1e-8, True), ("Projector", F.col("projector_gap"), 1e-6, True)]
+    if weighted:
+        checks = [x for x in checks if not x[0].startswith("Score")]
     if standardized:
         checks.append(("Unit diagonal", F.greatest(*(F.abs(cov(i, i) - 1) for i in range(p))), tolerance, True))
     made = F.array(*(F.struct(F.lit(n).alias("control"), v.alias("result"), F.lit(float(t)).alias("threshold"), F.when((v <= t) if low else (v >= t), PASS).otherwise(FAIL if low else WARN).alias("status")) for n, v, t, low in checks))

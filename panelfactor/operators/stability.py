@@ -14,6 +14,8 @@ from ..functions.resample import resampled_sums
 from ..schema import DATE, PANEL, POS, Nodes, col, vector
 from . import factors
 from .moments import from_sums, moments, products
+from .panel import changes as period_changes
+from .panel import weekly_curve
 
 END = "window_end"
 
@@ -147,3 +149,11 @@ def specifications(changes: DataFrame, nodes: Nodes, halflife: float = 52, k: in
     made = [("covariance", factors.fit(changes, nodes, **thresholds)), ("correlation", factors.fit(changes, nodes, standardize=True, **thresholds)), ("recency", factors.fit(changes, nodes, halflife=halflife, **thresholds))]
     rows = [m.select(PANEL, F.lit(name).alias("specification"), "first_date", "last_date", "n_obs", "n_eff", *(F.col("share")[j].alias(f"share_{j + 1}") for j in range(3)), F.aggregate(F.slice("share", 1, k), F.lit(0.0), lambda s, x: s + x).alias("top_share"), F.array_min("similarity").alias("min_similarity"), F.array_min("margin").alias("min_margin")) for name, m in made]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def extended_specifications(daily: DataFrame, core: Nodes, universe: Nodes, anchor: str, policy: str, start: str, end: str, k: int = 3, **thresholds) -> DataFrame:
+    """Models of the core nodes and of all nodes over the weeks in which all are there: panel, curve, span, shares, similarity, margin."""
+    weekly = weekly_curve(daily, universe.names, anchor, policy, start, end)
+    moved = period_changes(weekly, universe.names)
+    rows = [factors.fit(moved, nodes, **thresholds).select(PANEL, F.lit(name).alias("curve"), "first_date", "last_date", "n_obs", *(F.col("share")[j].alias(f"share_{j + 1}") for j in range(3)), F.aggregate(F.slice("share", 1, k), F.lit(0.0), lambda s, x: s + x).alias("top_share"), F.array_min("similarity").alias("min_similarity"), F.array_min("margin").alias("min_margin")) for name, nodes in (("core", core), ("extended", universe))]
+    return rows[0].unionByName(rows[1])

@@ -1,15 +1,18 @@
-"""Command line: analyse a Treasury-style curve file and write a verified run.
+"""Command line: analyse a Treasury-style curve and write a verified run.
 
 python -m panelfactor.plans.cli --csv curve.csv --output runs [--config settings.json] [--dv01 krd.csv --metadata krd.json]
-[--approval ID]. Exit codes: 0 ready or accepted, 2 failure, 3 caveats, 4 needs revision.
+[--instruments hedges.csv --hedge-bound N] [--approval ID]. Other sources: --snapshot FILE --manifest FILE, or
+--source-mode live | live_then_snapshot. Exit codes: 0 ready or accepted, 2 failure, 3 caveats, 4 needs revision.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import re
-from datetime import date
+from datetime import date, datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import SparkSession
 
@@ -36,6 +39,16 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--end")
     p.add_argument("--anchor")
     p.add_argument("--policy")
+    p.add_argument("--source-mode", choices=("snapshot", "live", "live_then_snapshot"), help="where the curve comes from, unless --csv names it")
+    p.add_argument("--cache", default="cache", help="folder of live payloads")
+    p.add_argument("--maximum-staleness-days", type=int)
+    p.add_argument("--skip-forecast", action="store_true")
+    p.add_argument("--dump-effective-config", help="write the settings in force to this file")
+    p.add_argument("--instruments", help="hedges as CSV: instrument, tenor, dv01_usd_per_bp")
+    p.add_argument("--hedge-bound", type=float, help="largest quantity of a hedge, either way")
+    for name in positions.METADATA:
+        if name not in ("curve_id",):
+            p.add_argument(f"--{name.replace('_', '-')}", help="of the sensitivities, in place of --metadata")
     p.add_argument("--output", default="runs")
     p.add_argument("--dv01", help="sensitivities as CSV")
     p.add_argument("--metadata", help="what the sensitivities are, as JSON")
@@ -46,27 +59,49 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def told_metadata(a) -> dict | None:
+    """Metadata of the sensitivities from their file or from options, not from both."""
+    given = {k: v for k in positions.METADATA if k != "curve_id" and (v := getattr(a, k)) is not None}
+    if a.metadata and given:
+        raise ValueError("metadata come from a file or from options")
+    if a.metadata:
+        with open(a.metadata, encoding="utf-8") as f:
+            return json.load(f)
+    return {**given, "curve_id": a.curve_id} if given else None
+
+
+def dump_config(config: AnalysisConfig, path: str) -> None:
+    """The settings as sorted JSON, put in place by one rename."""
+    beside = f"{path}.{os.getpid()}.tmp"
+    with open(beside, "w", encoding="utf-8") as f:
+        f.write(config.canonical() + "\n")
+    os.replace(beside, path)
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, fetch=None) -> int:
+    """Run the command line; ``fetch`` (url, timeout) stands in for the network in tests."""
     stage, output = "arguments", "runs"
     try:
         a = parser().parse_args(argv)
         output = a.output
         if a.accept_warnings != bool(a.approval) or (a.approval and not APPROVAL.fullmatch(a.approval)):
             raise ValueError("accepted warnings and an approval identifier belong together")
-        overrides = {k: v for k, v in {"start_date": a.start, "end_date": a.end, "anchor": a.anchor, "boundary_week_policy": a.policy}.items() if v}
+        overrides = {k: v for k, v in {"start_date": a.start, "end_date": a.end, "anchor": a.anchor, "boundary_week_policy": a.policy, "source_mode": a.source_mode, "maximum_staleness_days": a.maximum_staleness_days}.items() if v is not None}
         if a.config and overrides:
             raise ValueError("a configuration file excludes the data options")
-        if bool(a.csv) == bool(a.snapshot) or bool(a.snapshot) != bool(a.manifest):
-            raise ValueError("give --csv, or --snapshot with --manifest")
-        today = date.fromisoformat(a.as_of) if a.as_of else date.today()
+        live = a.source_mode in ("live", "live_then_snapshot")
+        if (a.csv and (a.snapshot or live)) or not (a.csv or a.snapshot or live) or bool(a.snapshot) != bool(a.manifest):
+            raise ValueError("give --csv, or --snapshot with --manifest, or a live --source-mode")
+        if bool(a.instruments) != (a.hedge_bound is not None) or (a.instruments and not a.dv01):
+            raise ValueError("hedges need --instruments, --hedge-bound and --dv01")
+        today = date.fromisoformat(a.as_of) if a.as_of else datetime.now(ZoneInfo("America/New_York")).date()
         stage = "configuration"
         from ..config import DataConfig
 
         config = load_config(a.config) if a.config else AnalysisConfig(data=DataConfig(**overrides))
-        metadata = None
-        if a.metadata:
-            with open(a.metadata, encoding="utf-8") as f:
-                metadata = json.load(f)
+        if a.dump_effective_config:
+            dump_config(config, a.dump_effective_config)
+        metadata = told_metadata(a)
         positions.check_metadata(metadata, bool(a.dv01), a.curve_id, today)
         stage = "source"
         spark = spark or SparkSession.builder.getOrCreate()
@@ -74,13 +109,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.csv:
             daily, mode = panels.read_csv_panel(spark, a.csv, TREASURY, config.data), "SNAPSHOT"
         else:
-            daily, proof = panels.read_snapshot(spark, a.snapshot, a.manifest, TREASURY, config.data)
+            daily, proof = panels.read_source(spark, config.data, TREASURY, (a.snapshot, a.manifest) if a.snapshot else None, fetch or panels.http_fetch(config.data.maximum_response_bytes), a.cache)
             mode = proof.mode
         dv01, sha = positions.read_dv01(spark, a.dv01, nodes) if a.dv01 else (None, None)
         stage = "analysis"
-        daily = daily.select("panel", "date", *(f"`{n}`" for n in nodes.names)).persist()
-        content = [tuple(r) for r in panels.canonical_digest(daily, nodes).collect()]
-        made = run.analyse(daily, nodes, config, mode, today.isoformat(), dv01)
+        instruments = positions.read_instruments(spark, a.instruments, nodes) if a.instruments else None
+        daily = daily.select("panel", "date", *(f"`{n}`" for n in TREASURY.names)).persist()
+        content = [tuple(r) for r in panels.canonical_digest(daily, TREASURY).collect()]
+        bounds = (-a.hedge_bound, a.hedge_bound) if a.instruments else None
+        made = run.analyse(daily, nodes, config, mode, today.isoformat(), dv01, instruments, bounds, universe=TREASURY, forecasts=not a.skip_forecast)
         said = sorted({r.assessment for r in made.assessment.collect()})
         risks = sorted({r.disposition for r in run.risk_disposition(made, metadata["valuation_date"], config.risk.maximum_krd_asof_gap_days).collect()}) if metadata else []
         stage = "output"

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 import os
 import shutil
 import tempfile
 from dataclasses import dataclass, field
-from datetime import date, datetime, timezone
+from datetime import datetime, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..config import AnalysisConfig
 from ..functions.stats import distribution_table
 from ..operators import factors, forecast, intervals, moments, panel, quality, risk, stability
@@ -31,20 +34,23 @@ class Analysis:
     notes: dict[str, str] = field(default_factory=dict)
 
 
-def analyse(daily: DataFrame, nodes: Nodes, config: AnalysisConfig, mode: str = "SNAPSHOT", as_of: str | None = None, dv01: DataFrame | None = None, instruments: DataFrame | None = None, hedge_bounds: tuple[float, float] | None = None) -> Analysis:
+def analyse(daily: DataFrame, nodes: Nodes, config: AnalysisConfig, mode: str = "SNAPSHOT", as_of: str | None = None, dv01: DataFrame | None = None, instruments: DataFrame | None = None, hedge_bounds: tuple[float, float] | None = None, universe: Nodes | None = None, forecasts: bool = True) -> Analysis:
     """Quality, factors, stability, forecasts, intervals, health and (with ``dv01``) risk of every panel of ``daily``.
 
-    Raises if a quality check fails. ``as_of`` is the clock. Weekly changes are the one shared table; it
+    ``universe``: the nodes that ``daily`` has, of which ``nodes`` are analysed; quality looks at all of them, and where
+    it is larger, the models of both are held side by side. Raises if a quality check fails. ``as_of`` is the clock
+    (none: today in New York). Weekly changes are the one shared table; it
     is persisted, since everything after starts from it.
     """
     d, f, w, r = config.data, config.factors, config.forecast, config.risk
     names, k = nodes.names, f.retained_factors
-    as_of = as_of or date.today().isoformat()
+    as_of = as_of or datetime.now(ZoneInfo("America/New_York")).date().isoformat()
+    universe = universe or nodes
     thresholds = {"least_similarity": f.minimum_template_similarity, "least_margin": f.minimum_template_dominance_margin}
 
     weekly = panel.weekly_curve(daily, names, d.anchor, d.boundary_week_policy, d.start_date, d.end_date)
     changes = panel.changes(weekly, names).persist()
-    metrics = quality.quality_metrics(daily, weekly, changes, nodes, names, d.anchor, d.boundary_week_policy, d.start_date, d.end_date)
+    metrics = quality.quality_metrics(daily, weekly, changes, universe, names, d.anchor, d.boundary_week_policy, d.start_date, d.end_date)
     checks = quality.quality_checks(metrics, d, mode, as_of, METHOD_CHANGE).persist()
     quality.refuse_failures(checks)
     shortest = changes.groupBy(PANEL).count().agg(F.min("count")).first()[0] or 0
@@ -54,11 +60,16 @@ def analyse(daily: DataFrame, nodes: Nodes, config: AnalysisConfig, mode: str =
     structural = factors.fit(changes, nodes, **thresholds).persist()
     recent = factors.fit(changes, nodes, halflife=f.current_halflife_weeks, **thresholds).persist()
     correlation = factors.fit(changes, nodes, standardize=True, **thresholds).persist()
+    thin = recent.where(F.col("n_eff") < f.minimum_current_effective_observations).limit(3).collect()
+    if thin:
+        raise ValueError("recency weights leave too few effective changes: " + ", ".join(f"{r.panel} {r.n_eff:.1f}" for r in thin))
     for name, model in (("structural", structural), ("recent", recent), ("correlation", correlation)):
         t[f"{name}_components"] = factors.component_table(model)
         t[f"{name}_loadings"] = factors.loading_table(model, nodes, k)
         t[f"{name}_scores"] = factors.transform(changes, model, nodes)
     t["specifications"] = stability.specifications(changes, nodes, f.current_halflife_weeks, k, **thresholds)
+    if universe.names != nodes.names:
+        t["extended_specifications"] = stability.extended_specifications(daily, nodes, universe, d.anchor, d.boundary_week_policy, d.start_date, d.end_date, k, **thresholds)
     t["recent_comparison"] = factors.regime_table(factors.compare_models(structural, recent, k))
     t["reconstruction"] = factors.error_metrics(factors.reconstruct(changes, structural, nodes, k))
     t["methodology"] = stability.regimes(changes, nodes, METHOD_CHANGE, k, f.minimum_methodology_regime_observations, **thresholds)
@@ -75,11 +86,17 @@ def analyse(daily: DataFrame, nodes: Nodes, config: AnalysisConfig, mode: str =
 
     scores = factors.transform(changes, structural, nodes).select(PANEL, POS, F.posexplode(F.slice("scores", 1, k)).alias("factor", "score"))
     t["distribution"] = distribution_table(scores, [PANEL, "factor"], POS, "score")
-    algebra = quality.algebra_checks(changes, structural, moments.moments(changes, names), nodes, k, **thresholds)
+    weight = moments.ewma_weight(f.current_halflife_weeks)
+    calibrations = (("structural", structural, None, False), ("recent", recent, weight, False), ("correlation", correlation, None, True))
+    checked = [quality.algebra_checks(changes, model, moments.moments(changes, names, weight=w), nodes, k, standardized=unit, weighted=w is not None, **thresholds).withColumn("calibration", F.lit(name)) for name, model, w, unit in calibrations]
+    algebra = checked[0].unionByName(checked[1]).unionByName(checked[2])
     t["algebra"] = algebra
     health = quality.health_table(rolling, t["oos_metrics"], sequential, t["recent_comparison"], t["methodology"].where("status = 'EVALUATED'"), f.maximum_principal_angle_warning_degrees, f.minimum_loading_cosine_warning, f.maximum_oos_rmse_warning_bp, f.maximum_current_factor_sigma_ratio_warning, f.maximum_methodology_subspace_angle_warning_degrees, f.maximum_methodology_sigma_ratio_warning)
 
-    if shortest >= w.required_rows:
+    if not forecasts:
+        notes["forecasts"] = "left out on request"
+    elif shortest >= w.required_rows:
+        forecast.check_inputs(changes, nodes, w.minimum_training_weeks, weekly, w.reconciliation_tolerance_bp)
         made = forecast.walk_forward(changes, nodes, w.minimum_training_weeks, w.retained_factors, w.ar_coefficient_bound, w.var_ridge).persist()
         gate = forecast.adoption_gate(made, w.interval_evaluation_observations, w.confirmation_observations, w.adoption_alpha, w.minimum_rmse_improvement, w.hac_lags).persist()
         rows = intervals.selected_residuals(made, gate).persist()
@@ -121,14 +138,21 @@ def risk_disposition(analysis: Analysis, valuation_date: str, max_gap_days: int)
 
 
 def run_identity(config: AnalysisConfig, content: list, position_sha: str | None = None, metadata: dict | None = None) -> str:
-    """SHA-256 over settings, the data's content hashes, positions and the library's own files."""
+    """SHA-256 over settings, the data's content hashes, positions, the library's own files and version, and the versions under it."""
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = hashlib.sha256()
     for folder, _, files in sorted(os.walk(here)):
         for name in sorted(x for x in files if x.endswith(".py") and f"{os.sep}llm" not in folder):
             with open(os.path.join(folder, name), "rb") as f:
                 code.update(name.encode() + b"\0" + f.read())
-    parts = [config.canonical(), content, position_sha, metadata, code.hexdigest()]
+    import platform
+
+    import numpy
+    import pandas
+    import pyspark
+
+    versions = {"python": platform.python_version(), "pyspark": pyspark.__version__, "numpy": numpy.__version__, "pandas": pandas.__version__, "panelfactor": __version__}
+    parts = [config.canonical(), content, position_sha, metadata, code.hexdigest(), versions]
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
 
 
@@ -146,19 +170,53 @@ def _flat(table: DataFrame) -> DataFrame:
 
 
 def contract(path: str) -> dict:
-    """Rows, header, size and hash of a CSV artifact."""
+    """Rows, header, size and hash of a CSV artifact, and the kinds of values in each column; ragged rows and repeated headers are errors."""
     size, sha = _digest(path)
-    with open(path, encoding="utf-8") as f:
-        header = f.readline().rstrip("\n").split(",")
-        rows = sum(1 for _ in f)
-    return {"bytes": size, "sha256": sha, "rows": rows, "columns": header}
+    with open(path, encoding="utf-8", newline="") as f:
+        rows = csv.reader(f)
+        header = next(rows)
+        if len(set(header)) != len(header):
+            raise ValueError(f"{path} repeats a column name")
+        kinds: list[set[str]] = [set() for _ in header]
+        n = 0
+        for n, row in enumerate(rows, start=1):
+            if len(row) != len(header):
+                raise ValueError(f"row {n} of {path} has {len(row)} values for {len(header)} columns")
+            for own, value in zip(kinds, row, strict=True):
+                own.add(_kind(value))
+    return {"bytes": size, "sha256": sha, "rows": n, "columns": header, "kinds": [sorted(k) for k in kinds]}
+
+
+def _kind(value: str) -> str:
+    if value == "":
+        return "missing"
+    if value in ("true", "false"):
+        return "boolean"
+    try:
+        float(value)
+    except ValueError:
+        return "date" if len(value) == 10 and value[4] == value[7] == "-" and value.replace("-", "").isdigit() else "text"
+    return "number" if any(c in value for c in ".eEn") else "integer"
+
+
+def _shown(value):
+    return "" if value is None else str(value).lower() if isinstance(value, bool) else value
+
+
+def spread_contract(table: DataFrame, folder: str) -> dict:
+    """Write a table with Spark's own writer below ``folder`` and hash its parts there: only names, sizes and hashes reach the driver."""
+    table.write.option("header", True).option("escape", '"').csv(folder)
+    parts = table.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    told = parts.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256")).orderBy("name").collect()
+    return {"folder": folder, "columns": table.columns, "parts": [r.asDict() for r in told]}
 
 
-def write_run(analysis: Analysis, folder: str, identity: str, extra: dict | None = None, summary_rows: int = 1_000_000) -> tuple[str, bool]:
+def write_run(analysis: Analysis, folder: str, identity: str, extra: dict | None = None, summary_rows: int = 1_000_000, large_folder: str | None = None) -> tuple[str, bool]:
     """(run folder, reused): one CSV for each table below ``folder``/``identity``, with a manifest of hashes.
 
-    Tables come through the driver in row batches and must not exceed ``summary_rows`` (large panels are for
-    Spark's own writers). The folder appears whole, by one rename; an existing run is reused only if every file
+    Tables come through the driver in row batches. One of over ``summary_rows`` rows is written by Spark below
+    ``large_folder`` (a place that all executors share), its parts listed in the manifest; without such a place
+    it is an error. The folder appears whole, by one rename; an existing run is reused only if every file
     still has its hash.
     """
     final = os.path.join(folder, identity)
@@ -167,20 +225,29 @@ def write_run(analysis: Analysis, folder: str, identity: str, extra: dict | None
         return final, True
     os.makedirs(folder, exist_ok=True)
     stage = tempfile.mkdtemp(prefix=".stage-", dir=folder)
-    artifacts = {}
+    artifacts, large = {}, {}
+    tables = {**analysis.tables, "assessment": analysis.assessment}
     try:
-        for name, table in {**analysis.tables, "assessment": analysis.assessment}.items():
+        for name, table in tables.items():
             path = os.path.join(stage, f"{name}.csv")
             flat, n = _flat(table), 0
             with open(path, "w", encoding="utf-8", newline="") as f:
-                f.write(",".join(flat.columns) + "\n")
-                for row in flat.toLocalIterator(prefetchPartitions=True):
-                    n += 1
+                out = csv.writer(f, lineterminator="\n")
+                out.writerow(flat.columns)
+                for n, row in enumerate(flat.toLocalIterator(prefetchPartitions=True), start=1):
                     if n > summary_rows:
-                        raise ValueError(f"{name} has over {summary_rows} rows; write it with Spark")
-                    f.write(",".join("" if v is None else json.dumps(v) if isinstance(v, str) and any(c in v for c in ',"\n') else str(v) for v in row) + "\n")
-            artifacts[f"{name}.csv"] = contract(path)
-        manifest = {"identity": identity, "artifacts": artifacts, "notes": analysis.notes, **(extra or {})}
+                        break
+                    out.writerow([_shown(v) for v in row])
+            if n > summary_rows:
+                os.remove(path)
+                if not large_folder:
+                    raise ValueError(f"{name} has over {summary_rows} rows: give a shared folder for large tables")
+                large[name] = spread_contract(flat, f"{large_folder.rstrip('/')}/{identity}/{name}")
+            else:
+                artifacts[f"{name}.csv"] = contract(path)
+        if {x.removesuffix(".csv") for x in artifacts} | set(large) != set(tables):
+            raise ValueError("the run holds other tables than the analysis made")
+        manifest = {"identity": identity, "artifacts": artifacts, "large": large, "notes": analysis.notes, **(extra or {})}
         with open(os.path.join(stage, "manifest.json"), "w", encoding="utf-8") as f:
             json.dump(manifest, f, sort_keys=True, default=str)
         try:

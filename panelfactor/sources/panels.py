@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import gzip
 import hashlib
+import io
 import json
 import os
 import time
@@ -10,6 +13,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from urllib.parse import urlencode
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,12 +70,41 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(bytes(rows.content).decode("utf-8"))
 
 
+def unpacked_digest(spark: SparkSession, path: str, most: int) -> tuple[int, str, int]:
+    """Size, SHA-256 and number of header columns of a (gzip) file's content, unpacked piece by piece in a task up to ``most`` bytes."""
+
+    def run(batches):
+        for batch in batches:
+            sizes, hashes, columns = [], [], []
+            for content in batch["content"]:
+                packed = io.BytesIO(content)
+                stream = gzip.GzipFile(fileobj=packed) if bytes(content[:2]) == b"\x1f\x8b" else packed
+                h, n, head = hashlib.sha256(), 0, b""
+                while n <= most and (piece := stream.read(1 << 16)):
+                    h.update(piece)
+                    n += len(piece)
+                    head = head + piece if b"\n" not in head else head
+                sizes.append(n)
+                hashes.append(h.hexdigest())
+                columns.append(head.split(b"\n", 1)[0].count(b",") + 1)
+            yield pd.DataFrame({"n": sizes, "sha": hashes, "columns": columns})
+
+    r = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "n long, sha string, columns int").first()
+    if r.n > most:
+        raise ValueError(f"the snapshot unpacks to more than {most} bytes")
+    return int(r.n), r.sha, int(r.columns)
+
+
 def read_snapshot(spark: SparkSession, path: str, manifest_path: str, nodes: Nodes, config: DataConfig) -> tuple[DataFrame, Provenance]:
     """A frozen CSV whose size, hash, rows, dates, units, series and creation time match its manifest."""
     m = read_manifest(spark, manifest_path)
     size, sha = file_digest(spark, path)
     if size != m["compressed_bytes"] or sha != m["compressed_sha256"]:
         raise ValueError("the snapshot's bytes don't match its manifest")
+    if "uncompressed_bytes" in m or "uncompressed_sha256" in m:
+        n, unpacked, columns = unpacked_digest(spark, path, config.maximum_response_bytes)
+        if (n, unpacked) != (m.get("uncompressed_bytes"), m.get("uncompressed_sha256")) or columns != m.get("columns", columns):
+            raise ValueError("the snapshot's content doesn't match its manifest")
     if m.get("units") != "percent per annum" or tuple(m["series"]) != nodes.series_ids or datetime.fromisoformat(m["created_at"]).tzinfo is None:
         raise ValueError("the manifest describes another series")
     raw = spark.read.option("header", True).csv(path)
@@ -111,9 +144,47 @@ def fetch_live(fetch, config: DataConfig, nodes: Nodes, base: str, sleep=time.sl
     raise SourceUnavailable(f"no answer after {config.request_retries} tries: {error}")
 
 
-def write_cache(folder: str, key: str, payload: bytes, acquired_at: str) -> None:
-    """Payload and sidecar, each written beside and then renamed, the sidecar last."""
+def http_fetch(most: int):
+    """A fetch(url, timeout) over the network; a declared length or a body beyond ``most`` bytes is refused."""
+
+    def fetch(url: str, timeout: float) -> bytes:
+        from urllib.request import Request, urlopen
+
+        with urlopen(Request(url, headers={"User-Agent": "panelfactor"}), timeout=timeout) as answer:  # noqa: S310  the base address is a constant
+            declared = answer.headers.get("Content-Length")
+            if declared is not None and (not declared.isdigit() or int(declared) > most):
+                raise PayloadInvalid("the declared length is larger than allowed")
+            return answer.read(most + 1)
+
+    return fetch
+
+
+@contextlib.contextmanager
+def locked(folder: str, key: str, patience: float = 5.0):
+    """An exclusive lock of a cache entry; TimeoutError (an OSError) if another holds it for ``patience`` seconds."""
+    import fcntl
+
     os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, f"{key}.lock"), "ab") as f:
+        end = time.monotonic() + patience
+        while True:
+            try:
+                fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                break
+            except BlockingIOError:
+                if time.monotonic() > end:
+                    raise TimeoutError(f"the cache entry {key} is in use") from None
+                time.sleep(0.05)
+        yield
+
+
+def write_cache(folder: str, key: str, payload: bytes, acquired_at: str) -> None:
+    """Payload and sidecar under the entry's lock, each written beside and then renamed, the sidecar last."""
+    with locked(folder, key):
+        _write_cache(folder, key, payload, acquired_at)
+
+
+def _write_cache(folder: str, key: str, payload: bytes, acquired_at: str) -> None:
     side = json.dumps({"schema": 2, "key": key, "bytes": len(payload), "sha256": hashlib.sha256(payload).hexdigest(), "acquired_at": acquired_at}, sort_keys=True).encode()
     for name, data in ((f"{key}.csv", payload), (f"{key}.json", side)):
         at = os.path.join(folder, name)
@@ -171,6 +242,8 @@ def read_live(spark: SparkSession, config: DataConfig, nodes: Nodes, fetch, fold
 def read_source(spark: SparkSession, config: DataConfig, nodes: Nodes, snapshot: tuple[str, str] | None = None, fetch=None, folder: str = "cache", **live) -> tuple[DataFrame, Provenance]:
     """The configured source; a snapshot stands in for a live source only if that can't be reached."""
     if config.source_mode == "snapshot":
+        if not snapshot:
+            raise ValueError("the snapshot source needs a file and its manifest")
         return read_snapshot(spark, *snapshot, nodes, config)
     try:
         return read_live(spark, config, nodes, fetch, folder, **live)

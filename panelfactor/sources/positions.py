@@ -32,6 +32,21 @@ def read_dv01(spark: SparkSession, path: str, nodes: Nodes, panel: str = "curve"
     return table, sha
 
 
+def read_instruments(spark: SparkSession, path: str, nodes: Nodes, panel: str = "curve") -> DataFrame:
+    """(panel, instrument, node, dv01) of a CSV of at most 1 MB with exactly instrument, tenor and dv01_usd_per_bp; nodes that an instrument leaves out are zero."""
+    if file_digest(spark, path)[0] > 1_000_000:
+        raise ValueError("the file is larger than 1 MB")
+    raw = spark.read.option("header", True).csv(path)
+    if sorted(raw.columns) != sorted(["instrument", *COLUMNS]):
+        raise ValueError(f"columns must be exactly {['instrument', *COLUMNS]}")
+    told = raw.select(F.trim("instrument").alias("instrument"), F.trim("tenor").alias("node"), F.expr("try_cast(dv01_usd_per_bp AS DOUBLE)").alias("dv01"))
+    wrong = told.groupBy("instrument", "node").agg(F.count("*").alias("n"), F.count_if(F.col("dv01").isNull() | F.isnan("dv01") | (F.abs("dv01") == float("inf"))).alias("bad"))
+    if wrong.where((F.col("n") > 1) | (F.col("bad") > 0) | ~F.col("node").isin(*nodes.names) | F.col("instrument").isNull()).limit(1).count():
+        raise ValueError("each instrument needs finite sensitivities to known nodes, one for each")
+    every = told.select("instrument").distinct().withColumn("node", F.explode(F.array(*(F.lit(n) for n in nodes.names))))
+    return every.join(told, ["instrument", "node"], "left").select(F.lit(panel).alias(PANEL), "instrument", "node", F.coalesce("dv01", F.lit(0.0)).alias("dv01"))
+
+
 def check_metadata(metadata: dict | None, has_positions: bool, curve_id: str, today: date) -> None:
     """Metadata must come with positions, and only then, and say what the positions are."""
     if has_positions != (metadata is not None):
