@@ -51,7 +51,12 @@ def test_round_trip_and_algebra(changes):
     back = factors.reconstruct(changes, model, NODES, len(NAMES))
     assert back.agg(F.max(F.abs(F.col("actual") - F.col("fitted")))).first()[0] < 1e-9
     checks = quality.algebra_checks(changes, model, moments.moments(changes, NAMES), NODES).collect()
-    assert len(checks) == 7 and all(r.status == "PASS" for r in checks)
+    assert len(checks) == 9 and all(r.status == "PASS" for r in checks)
+    unit = factors.fit(changes, NODES, standardize=True)
+    recent = factors.fit(changes, NODES, halflife=52)
+    weighted = moments.moments(changes, NAMES, weight=moments.ewma_weight(52))
+    others = quality.algebra_checks(changes, unit, moments.moments(changes, NAMES), NODES, standardized=True).collect(), quality.algebra_checks(changes, recent, weighted, NODES, weighted=True).collect()
+    assert [len(x) for x in others] == [10, 7] and all(r.status == "PASS" for x in others for r in x)
 
 
 def test_standardized_fit_has_unit_trace(changes):
