@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from . import bpe, html_extract, line_dedup, ngram_join, quality_classifier, quality_rules, source_mix, token_counts, topk_search, toxicity
+from . import bpe, centroid_clusters, html_extract, line_dedup, ngram_join, prefix_trie, quality_classifier, quality_rules, source_mix, suffix_dedup, token_counts, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[..., DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[..., DataFrame]]:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_source_mix": source_mix.op10_source_mix,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
+        "op13_centroid_clusters": centroid_clusters.op13_centroid_clusters,
     }
 
 
@@ -31,4 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality_rules": quality_rules.OP8_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
         "op10_source_mix": source_mix.OP10_SQL,
+        "op11_prefix_trie": prefix_trie.OP11_SQL,
+        "op12_suffix_dedup": suffix_dedup.OP12_SQL,
+        "op13_centroid_clusters": centroid_clusters.OP13_SQL,
     }

@@ -57,6 +57,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """``df`` written once, hashed into ``buckets`` by ``column``: grouping and joining by it needs no shuffle of this table.
+
+    Spark keeps a table's buckets in the catalog only; the entry goes as soon as the files are known.
+    """
+    spark = df.sparkSession
+    path, table = folder(spark, name), f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # noqa: B018  resolved before the entry goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def again(df: DataFrame) -> DataFrame:
     """A table made by :func:`written`, read once more (for joins with itself)."""
     out = df.sparkSession.read.schema(df.schema).parquet(df._stored_at)
