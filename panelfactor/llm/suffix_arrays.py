@@ -25,15 +25,16 @@ def _remaining(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(bounds[1:], np.diff(bounds)) - np.arange(bounds[-1])
 
 
-def suffix_array(data: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of the first ``depth`` bytes (at least) of their suffixes.
+def suffix_array(data: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the order of the first ``depth`` bytes (at least) of their suffixes, and which of them
+    begin as the one before does (for FIRST bytes).
 
     ``bounds``: where the pieces of ``data`` begin, and its end. Groups of equal prefixes are refined by the group of
     the suffix that begins where the prefix ends, which doubles its length; single suffixes are left alone.
     """
     n = len(data)
     if not n:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, bool)
     remaining = _remaining(bounds)
     key = _words(data)[:n].byteswap()
     key >>= np.uint64(8)
@@ -42,8 +43,10 @@ def suffix_array(data: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray
     key[short] = (key[short] >> gone) << gone
     key = (key << np.uint64(8)) | np.minimum(remaining, FIRST).astype(np.uint64)
     order = np.argsort(key)
-    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]]
     del key
+    near = ~new
     # a group's number is its first place, plus one; zero stands for the end of a piece
     rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
@@ -62,7 +65,7 @@ def suffix_array(data: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray
         new[at] = np.r_[True, (group[1:] != group[:-1]) | (after[1:] != after[:-1])]
         rank[who] = np.maximum.accumulate(np.where(new[at], at, 0)) + 1
         h *= 2
-    return order
+    return order, near
 
 
 def _extended(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -81,9 +84,9 @@ def _extended(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray)
     return out
 
 
-def common_prefixes(data: np.ndarray, bounds: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Length of the common prefix of each suffix of ``order`` and the one before it (0 at first); exact below ``length``,
-    and at least ``length`` where they share as much.
+def common_prefixes(data: np.ndarray, bounds: np.ndarray, order: np.ndarray, near: np.ndarray, length: int) -> np.ndarray:
+    """Length of the common prefix of each suffix of ``order`` and the one before it (0 at first): exact from FIRST to ``length``,
+    less than FIRST or ``length`` at least elsewhere, as it is there. ``near``: as :func:`suffix_array` tells.
 
     As Kasai's algorithm goes through the text: where the suffix one further on meets the neighbour one further on, the
     common prefix is one less and nothing is compared. Only where that ends are bytes looked at.
@@ -103,10 +106,12 @@ def common_prefixes(data: np.ndarray, bounds: np.ndarray, order: np.ndarray, len
     follows[follows] &= ~begin[before[follows]]
     head = ~follows
     prefix = np.zeros(n, np.int64)
+    alike = np.zeros(n, bool)
+    alike[order] = near
     fresh = np.flatnonzero(head)
     reach = max(REACH, 2 * length)
     while len(fresh):
-        real = fresh[before[fresh] >= 0]
+        real = fresh[(before[fresh] >= 0) & alike[fresh]]
         prefix[real] = _extended(words, real, before[real], np.minimum(np.minimum(remaining[real], remaining[before[real]]), reach))
         at = np.maximum.accumulate(np.where(head, np.arange(n), 0))
         value = prefix[at] - (np.arange(n) - at)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from panelfactor.llm import suffix_dedup
-from panelfactor.llm.suffix_arrays import common_prefixes, suffix_array
+from panelfactor.llm.suffix_arrays import FIRST, common_prefixes, suffix_array
 
 
 def pieces(seed):
@@ -19,7 +19,7 @@ def test_suffix_order_and_common_prefixes(seed):
     own, length = pieces(seed), 1 + seed
     data, bounds = np.frombuffer(b"".join(own), np.uint8), np.r_[0, np.cumsum([len(p) for p in own])]
     suffixes = [p[k:] for p in own for k in range(len(p))]
-    order = suffix_array(data, bounds, length)
+    order, near = suffix_array(data, bounds, length)
     assert sorted(order) == list(range(len(data)))
     assert [suffixes[k][:length] for k in order] == sorted(s[:length] for s in suffixes)
 
@@ -27,7 +27,8 @@ def test_suffix_order_and_common_prefixes(seed):
         return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
     want = [0] + [common(suffixes[a], suffixes[b]) for a, b in zip(order[1:], order[:-1], strict=True)]
-    assert [min(x, length) for x in common_prefixes(data, bounds, order, length)] == [min(x, length) for x in want[: len(order)]]
+    shown = lambda x: 0 if x < FIRST else min(x, max(length, FIRST))
+    assert [shown(x) for x in common_prefixes(data, bounds, order, near, length)] == [shown(x) for x in want[: len(order)]]
 
 
 def test_common_prefixes_beyond_their_reach(monkeypatch):
@@ -35,8 +36,8 @@ def test_common_prefixes_beyond_their_reach(monkeypatch):
 
     monkeypatch.setattr(suffix_arrays, "REACH", 16)
     data, bounds = np.frombuffer(b"ab" * 300 + b"ab" * 200, np.uint8), np.array([0, 600, 1000])
-    order = suffix_array(data, bounds, 8)
-    prefix = common_prefixes(data, bounds, order, 8)
+    order, near = suffix_array(data, bounds, 8)
+    prefix = common_prefixes(data, bounds, order, near, 8)
     left = bounds[np.searchsorted(bounds, order, side="right")] - order
     assert ((prefix >= 8) == np.r_[False, (np.minimum(left[1:], left[:-1]) >= 8) & (order[1:] % 2 == order[:-1] % 2)]).all()
 
