@@ -1,20 +1,20 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
 A vector's dimensions are cut into m slices, the nodes of the method: each has its own list of partial
-scores, and a score is the sum of m of them. Rows and queries are packed into blocks of one norm band
-each, and a pair of blocks meets in one task:
+scores, and a score is the sum of m of them. Rows are packed once into blocks of one norm band each, which stay where they
+are; queries come to them in waves of WAVE components at most, as a broadcast of that size:
 1. gather: on every PROBE-th block of rows each slice names, for each query, the k rows with its highest
-   partial scores; only their scores are made, and the k-th best of all blocks' lists is a safe cutoff,
-   since k rows reach it whatever the other rows hold;
+   partial scores; only their scores are made. A task keeps the k best of all its blocks, tasks' lists are merged, and
+   their k-th best is a safe cutoff, since k rows reach it whatever the other rows hold;
 2. collect: a row that reaches the cutoff must have a partial score of cutoff / m or more in some slice, so
-   each slice sends those entries only. A pair of blocks whose norms can't reach any cutoff is passed over; so
+   each slice sends those entries only. Rows whose norms can't reach any cutoff are passed over; so
    is a row whose known partial scores plus the bounds of the others (the uniform threshold, or the product
    of the slices' norms where that is less) stay below the cutoff;
 3. resolve: the missing partial scores of the rows that are left are looked up, and the k best of each
-   block that reach the cutoff are ranked.
+   task that reach the cutoff are ranked. A task's own k-th best raises its cutoffs as it goes.
 
 Every vector takes part; cutoffs and bounds only decide what need not be looked at further. All scores are exact
-integers: products are made in the smallest type that holds them.
+integers: products are made in the smallest type that holds them. Rows are told apart by their place, never by their id.
 """
 
 from __future__ import annotations
@@ -29,27 +29,26 @@ from pyspark.sql import functions as F
 from . import store
 
 K, SCALE, EVERY, SLICES = 20, 64, 20, 2
-#: Components in one block of rows or queries; rows and queries of one product; every how many blocks of rows the gathering looks at.
-ROW_BLOCK, QUERY_BLOCK, TILE_ROWS, TILE_QUERIES, PROBE = 1 << 23, 1 << 18, 8_192, 512, 4
+#: Components in one block of rows and in one wave of queries; rows and queries of one product; every how many blocks of rows the gathering looks at.
+ROW_BLOCK, WAVE, TILE_ROWS, TILE_QUERIES, PROBE = 1 << 23, 1 << 23, 8_192, 512, 4
 #: A band holds norms within a factor of 2 ** (1 / BANDS).
 BANDS = 4
 
-_PACKED = "block long, ids binary, matrix binary, kind string, width int, cutoffs binary"
-_LISTED = "query_id long, score long"
+_PACKED = "block long, ids binary, matrix binary, kind string, width int"
 _FOUND = "query_id long, vec_id long, score long"
+_LISTS = "tile int, scores binary"
+_LOW = np.iinfo(np.int64).min
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, v (array<long>): floor(scale * component) as double, of vectors without null or non-finite components.
 
-    Rows without vec_id or vector take no part. Repeated rows count once; of rows with one vec_id and
-    different vectors the smallest vector counts.
+    Rows without vec_id or vector take no part; repeated rows, and rows that repeat an id with another vector, all do.
     """
     e = F.col("embedding").cast("array<double>")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
-    ints = good.select("vec_id", F.transform("embedding", lambda x: F.floor(x * scale).cast("long")).alias("v"))
-    return ints.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return good.select("vec_id", F.transform("embedding", lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -78,16 +77,17 @@ def _pack(table: pa.Table) -> pa.Table:
     width = max(1, int(table["v"].combine_chunks().value_lengths().to_numpy().max(initial=0)))
     v = _matrix(table["v"], width)
     kind = _smallest_kind(v)
-    columns = [[table["block"][0].as_py()], [table["vec_id"].to_numpy().tobytes()], [v.astype(kind).tobytes()], [kind], [width], [table["cutoff"].to_numpy().tobytes()]]
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.binary())
+    columns = [[table["block"][0].as_py()], [table["vec_id"].to_numpy().tobytes()], [v.astype(kind).tobytes()], [kind], [width]]
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int32())
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _PACKED.split(", ")])
 
 
-def _unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of the one block in ``table``, ended by zeros up to ``width``."""
-    own = table["width"][0].as_py()
-    v = np.frombuffer(table["matrix"][0].as_buffer(), table["kind"][0].as_py()).reshape(-1, own)
-    return np.frombuffer(table["ids"][0].as_buffer(), np.int64), np.pad(v, ((0, 0), (0, width - own))) if own < width else v
+def _blocks(batches, width: int):
+    """Ids and vectors, ended by zeros up to ``width``, of each block."""
+    for batch in batches:
+        for ids, matrix, kind, own in zip(*(batch.column(c) for c in ("ids", "matrix", "kind", "width")), strict=True):
+            v = np.frombuffer(matrix.as_buffer(), kind.as_py()).reshape(-1, own.as_py())
+            yield np.frombuffer(ids.as_buffer(), np.int64), np.pad(v, ((0, 0), (0, width - v.shape[1]))) if v.shape[1] < width else v
 
 
 class Slices:
@@ -157,58 +157,74 @@ def _best(at_query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> n
     return order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < k]
 
 
-def _meeting(function, schema: pa.Schema):
-    """One pair of blocks: ``function`` (row ids, query ids, slices, queries' table) where both are there."""
+def _no_more(score: np.ndarray) -> np.ndarray:
+    """Scores as floats that are not above them."""
+    out = score.astype(np.float64)
+    return np.where(np.abs(out) < 1 << 53, out, np.nextafter(out, -np.inf))
+
+
+def _gather(wave, k: int, slices: int):
+    """Blocks of rows in; for each tile of queries the k best of the scores that slices name out."""
+
+    def run(batches):
+        qs, q = wave.value
+        best, any_ = np.full((len(qs), k), _LOW), False
+        for ids, r in _blocks(batches, q.shape[1]):
+            meet, any_ = Slices(r, q, slices), True
+            for a in _tiles(len(qs), TILE_QUERIES):
+                for b in _tiles(len(ids), TILE_ROWS):
+                    at, score = meet.gathered(a, b, qs[a, None] == ids[None, b], k)
+                    order = np.lexsort((-score, at))
+                    place = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+                    top = place < k
+                    more = np.full((a.stop - a.start, k), _LOW)
+                    more[at[order][top], place[top]] = score[order][top]
+                    best[a] = np.sort(np.concatenate([best[a], more], axis=1), axis=1)[:, -k:]
+        if any_:
+            for n, a in enumerate(_tiles(len(qs), TILE_QUERIES)):
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([best[a].tobytes()])], names=["tile", "scores"])
 
-    def run(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        if not rows.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        width = max(rows["width"][0].as_py(), queries["width"][0].as_py())
-        (ids, r), (qs, q) = _unpack(rows, width), _unpack(queries, width)
-        return pa.table(function(ids, qs, r, q, queries), schema=schema)
+    return run
+
+
+def _cutoffs(k: int):
+    """All tasks' lists of one tile of queries in; the k-th best of each query out (the least number, where there is none)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = np.concatenate([np.frombuffer(s.as_buffer(), np.int64).reshape(-1, k) for s in table["scores"]], axis=1)
+        return pa.table([table["tile"].slice(0, 1), pa.array([np.partition(lists, -k, axis=1)[:, -k].tobytes()], pa.binary())], names=["tile", "scores"])
 
     return run
 
 
-def _gather(k: int, slices: int):
-    def run(ids, qs, r, q, _):
-        meet = Slices(r, q, slices)
-        found = [(np.empty(0, np.int64),) * 2]
-        for a in _tiles(len(qs), TILE_QUERIES):
-            lists = [meet.gathered(a, b, qs[a, None] == ids[None, b], k) for b in _tiles(len(ids), TILE_ROWS)]
-            at, score = (np.concatenate(x) for x in zip(*lists, strict=True))
-            best = _best(at, np.arange(len(at)), score, k)
-            found.append((at[best] + a.start, score[best]))
-        at, score = (np.concatenate(x) for x in zip(*found, strict=True))
-        return [qs[at], score]
-
-    return _meeting(run, pa.schema([("query_id", pa.int64()), ("score", pa.int64())]))
-
-
-def _collect(k: int, slices: int):
-    def run(ids, qs, r, q, queries):
-        cutoff = np.frombuffer(queries["cutoffs"][0].as_buffer(), np.float64)
-        meet = Slices(r, q, slices)
-        row_norms, query_norms = meet.whole_norms()
-        found = [(np.empty(0, np.int64),) * 3]
-        for a in _tiles(len(qs), TILE_QUERIES):
-            parts = [found[0]]
-            for b in _tiles(len(ids), TILE_ROWS):
-                if (query_norms[a] * row_norms[b].max(initial=0) < cutoff[a]).all():
-                    continue
-                at, row, score = meet.reaching(a, b, qs[a, None] == ids[None, b], cutoff[a])
-                parts.append((at, ids[b][row], score))
+def _collect(wave, cutoffs, k: int, slices: int):
+    """Blocks of rows in; each query's k best that reach its cutoff out."""
+
+    def run(batches):
+        (qs, q), cutoff = wave.value, cutoffs.value.copy()
+        found = (np.empty(0, np.int64),) * 3
+        for ids, r in _blocks(batches, q.shape[1]):
+            meet, parts = Slices(r, q, slices), [found]
+            row_norms, query_norms = meet.whole_norms()
+            for a in _tiles(len(qs), TILE_QUERIES):
+                for b in _tiles(len(ids), TILE_ROWS):
+                    if (query_norms[a] * row_norms[b].max(initial=0) < cutoff[a]).all():
+                        continue
+                    at, row, score = meet.reaching(a, b, qs[a, None] == ids[None, b], cutoff[a])
+                    parts.append((at + a.start, ids[b][row], score))
             at, vec, score = (np.concatenate(x) for x in zip(*parts, strict=True))
             best = _best(at, vec, score, k)
-            found.append((at[best] + a.start, vec[best], score[best]))
-        at, vec, score = (np.concatenate(x) for x in zip(*found, strict=True))
-        return [qs[at], vec, score]
+            found = at[best], vec[best], score[best]
+            # entries lie by query, best first: a query's k-th is the least that still counts
+            last = np.flatnonzero(np.arange(len(best)) - np.searchsorted(found[0], found[0]) == k - 1)
+            cutoff[found[0][last]] = np.maximum(cutoff[found[0][last]], _no_more(found[2][last]))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qs[found[0]], found[1], found[2])], names=["query_id", "vec_id", "score"])
 
-    return _meeting(run, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+    return run
 
 
-def _packed(table: DataFrame, per_block: int, least_blocks: int, name: str) -> DataFrame:
-    """``table`` (vec_id, v, band, cutoff) in blocks of about ``per_block`` vectors of one band; blocks are numbered from 0."""
+def _packed(table: DataFrame, per_block: int, least_blocks: int) -> DataFrame:
+    """``table`` (row, vec_id, v, band) in blocks of about ``per_block`` vectors of one band; blocks are numbered from 0."""
     sizes = [(r.band, r.n) for r in table.groupBy("band").agg(F.count("*").alias("n")).orderBy("band").collect()]  # a row for each band of norms
     total = sum(n for _, n in sizes)
     per_block = max(1, min(per_block, math.ceil(total / least_blocks)))
@@ -217,8 +233,8 @@ def _packed(table: DataFrame, per_block: int, least_blocks: int, name: str) -> D
         plan.append((band, first, max(1, math.ceil(n / per_block))))
         first += plan[-1][2]
     bands = F.broadcast(table.sparkSession.createDataFrame(plan, "of long, first long, blocks long"))
-    placed = table.join(bands, F.col("band") == F.col("of")).select("vec_id", "v", "cutoff", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).alias("block"))
-    return store.written(placed.groupBy("block").applyInArrow(_pack, _PACKED), name)
+    placed = table.join(bands, F.col("band") == F.col("of")).select("vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("blocks"))).alias("block"))
+    return store.written(placed.groupBy("block").applyInArrow(_pack, _PACKED), "topk-rows")
 
 
 def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY, slices: int = SLICES) -> DataFrame:
@@ -226,40 +242,41 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY
 
     ``vectors``: vec_id, embedding. Queries: vec_id divisible by ``every``; candidates: all rows but those of
     the query's id. Ties go to the smaller vec_id; with fewer candidates, all. Rows with a null id or vector, or with
-    null or non-finite components, take no part; repeated rows count once (see :func:`integer_vectors`); shorter
-    vectors count as ending in zeros; scores must fit 64 bits. Vectors may have any length: blocks hold fewer of
-    them. Extra columns are ignored; an empty table gives an empty result.
+    null or non-finite components, take no part. Repeated rows, and several vectors of one id, are so many candidates; as
+    queries they are ranked together. Shorter vectors count as ending in zeros; scores must fit 64 bits. Vectors may have any length:
+    blocks hold fewer of them. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     table = integer_vectors(vectors, scale).withColumn("band", F.when(norm > 0, F.floor(F.log2(norm) / 2 * BANDS)).otherwise(-1).cast("long"))
-    table = store.written(table, "topk-vectors")
+    table = store.written(table.withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
     is_query = F.col("vec_id") % every == 0
     n, n_queries, width = table.agg(F.count("*"), F.count_if(is_query), F.max(F.size("v"))).first()
     if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(1, width)
-    per_rows, per_queries = max(1, ROW_BLOCK // width), max(1, QUERY_BLOCK // width)
     spare = max(1, min(2 * spark.sparkContext.defaultParallelism, n // 1_024))
-    free = store.again(table).withColumn("cutoff", F.lit(float("-inf")))
-    rows = _packed(free, per_rows, spare, "topk-rows")
-    queries = _packed(free.where(is_query), per_queries, 1, "topk-queries")
-    row_blocks, query_blocks = (store.again(x).agg(F.max("block")).first()[0] + 1 for x in (rows, queries))
-
-    def meet(some: DataFrame, asked: DataFrame, every_block: int, function, schema: str) -> DataFrame:
-        """Each block of queries with each block of rows, whose number is divisible by ``every_block``."""
-        r = some.where(F.col("block") % every_block == 0).withColumn("rb", F.col("block")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-        q = asked.withColumn("qb", F.col("block")).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"), F.lit(every_block).cast("long"))))
-        return r.groupBy("rb", "qb").cogroup(q.groupBy("rb", "qb")).applyInArrow(function, schema)
-
-    lists = meet(rows, queries, PROBE if row_blocks >= PROBE else 1, _gather(k, slices), _LISTED)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))  # rows: k for each block that was looked at
-    cutoffs = store.written(lists.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("score").alias("cutoff")), "topk-cutoffs")
-    aimed = store.again(table).where(is_query).join(cutoffs, F.col("vec_id") == F.col("query_id"), "left").withColumn("cutoff", F.coalesce(F.col("cutoff").cast("double"), F.lit(float("-inf"))))
-    armed = _packed(store.written(aimed.drop("query_id"), "topk-aimed"), per_queries, 1, "topk-armed")
-    found = meet(store.again(rows), armed, 1, _collect(k, slices), _FOUND)
+    rows = _packed(store.again(table), max(1, ROW_BLOCK // width), spare)
+    blocks = rows.agg(F.max("block")).first()[0] + 1
+    waves, found = math.ceil(n_queries * width / WAVE), []
+    lists = store.again(rows).where(F.col("block") % (PROBE if blocks >= PROBE else 1) == 0)
+    for number in range(waves):
+        some = store.again(table).where(is_query & (F.pmod(F.xxhash64("row"), F.lit(waves)) == number)).select("vec_id", "v").toArrow()  # WAVE components or so
+        asked = _matrix(some["v"], width)
+        wave = spark.sparkContext.broadcast((some["vec_id"].to_numpy(), asked.astype(_smallest_kind(asked))))
+        merged = lists.mapInArrow(_gather(wave, k, slices), _LISTS).groupBy("tile").applyInArrow(_cutoffs(k), _LISTS).collect()  # a number for each query of the wave
+        least = np.concatenate([np.frombuffer(r.scores, np.int64) for r in sorted(merged, key=lambda r: r.tile)]) if merged else np.full(len(asked), _LOW)
+        cutoffs = spark.sparkContext.broadcast(np.where(least == _LOW, -np.inf, _no_more(least)))
+        found.append(rows.mapInArrow(_collect(wave, cutoffs, k, slices), _FOUND))
+        if waves > 1:  # so that one wave is held at a time
+            found[-1] = store.written(found[-1], "topk-wave")
+            wave.destroy()
+            cutoffs.destroy()
+    all_ = found[0]
+    for more in found[1:]:
+        all_ = all_.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return all_.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_topk_search(spark, sf_dir: str) -> DataFrame:

@@ -7,12 +7,10 @@ from tests.conftest import SF
 
 
 def brute(vectors, k):
+    good = [(i, np.floor(64 * np.array(v, float))) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     rows = []
-    good = {i: np.floor(64 * np.array(v, float)) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    for q in sorted(good):
-        if q % 20:
-            continue
-        scores = sorted(((-int(good[q] @ good[i]), i) for i in good if i != q))[:k]
+    for q in sorted({i for i, _ in good if i % 20 == 0}):
+        scores = sorted((-int(u @ v), i) for j, u in good if j == q for i, v in good if i != q)[:k]
         rows += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     return rows
 
@@ -20,7 +18,7 @@ def brute(vectors, k):
 @pytest.mark.parametrize("probe", [1, 3])
 def test_small_tables_ties_and_bad_vectors(spark, monkeypatch, probe):
     monkeypatch.setattr(topk_search, "ROW_BLOCK", 16 * 6)
-    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 2 * 6)
+    monkeypatch.setattr(topk_search, "WAVE", 2 * 6)
     monkeypatch.setattr(topk_search, "PROBE", probe)
     monkeypatch.setattr(topk_search, "TILE_ROWS", 5)
     rng = np.random.default_rng(0)
@@ -29,7 +27,9 @@ def test_small_tables_ties_and_bad_vectors(spark, monkeypatch, probe):
     vectors[41] = (41, [1.0, None, 0.0, 0.0, 0.0, 0.0])
     vectors[42] = (42, [1.0, float("nan"), 0.0, 0.0, 0.0, 0.0])
     vectors[43] = (43, [1.0, float("inf"), 0.0, 0.0, 0.0, 0.0])
-    df = spark.createDataFrame([*vectors, vectors[3]], "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "2 as rank")
+    # repeated rows, ids of several vectors (queries among them), null ids
+    vectors += [vectors[3], vectors[3], vectors[40], (40, [1.0] * 6), (5, [2.0] * 6), (5, [-1.0] * 6), (None, [2.0] * 6), (-20, [0.5] * 6)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "2 as rank")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.top_k(df, 7).collect())
     assert got == sorted(brute(vectors, 7))
     few = spark.createDataFrame(vectors[:3], "vec_id long, embedding array<float>")
@@ -68,11 +68,30 @@ def test_norms_pass_whole_blocks_over(spark, monkeypatch):
     assert got == sorted(brute(long + short, 20))
     seen = []
     whole = topk_search.Slices.reaching
-    meet = topk_search._collect(20, 2)
     monkeypatch.setattr(topk_search.Slices, "reaching", lambda self, *a: seen.append(1) or whole(self, *a))
-    pack = lambda rows, cut: topk_search._pack(pa.table({"block": pa.array([0] * len(rows), pa.int64()), "vec_id": pa.array([k for k, _ in rows], pa.int64()), "v": pa.array([[int(64 * y) for y in x] for _, x in rows], pa.list_(pa.int64())), "cutoff": pa.array([cut] * len(rows), pa.float64())}))
-    assert meet(None, pack(short, 0.0), pack(long[:5], 400_000.0)).num_rows == 0 and not seen
-    assert meet(None, pack(long, 0.0), pack(long[:5], 400_000.0)).num_rows > 0 and seen
+    pack = lambda rows: topk_search._pack(pa.table({"block": pa.array([0] * len(rows), pa.int64()), "vec_id": pa.array([k for k, _ in rows], pa.int64()), "v": pa.array([[int(64 * y) for y in x] for _, x in rows], pa.list_(pa.int64()))}))
+    value = lambda x: type("Sent", (), {"value": x})
+    asked = value((np.array([k for k, _ in long[:5]]), np.array([[int(64 * y) for y in x] for _, x in long[:5]])))
+    meet = topk_search._collect(asked, value(np.full(5, 400_000.0)), 20, 2)
+    assert next(meet(pack(short).to_batches())).num_rows == 0 and not seen
+    assert next(meet(pack(long).to_batches())).num_rows > 0 and seen
+
+
+@pytest.mark.parametrize("wave", [1 << 23, 10])
+def test_repeated_ids_equal_the_sql(spark, monkeypatch, wave):
+    import duckdb
+
+    monkeypatch.setattr(topk_search, "WAVE", wave)
+    rng = np.random.default_rng(8)
+    told = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [5.0, 5.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (20, [0.5, 0.5])]
+    many = [(int(rng.integers(0, 60)), [float(x) for x in rng.integers(-3, 4, 2)]) for _ in range(400)]
+    for rows, n in ((told, 10), (many, None)):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        got = sorted(tuple(r) for r in topk_search.top_k(df).collect())
+        con = duckdb.connect()
+        con.register("embeddings", df.toPandas())
+        assert got == sorted(con.execute(topk_search.OP1_SQL).fetchall())
+        assert n is None or (len(got) == n and got[0] == (0, 1, 1, 64 * 64 * 15))
 
 
 def brute_counts(flat, separator):
