@@ -4,9 +4,9 @@ Method: (line hash, document, position) is partitioned by range of (hash, docume
 inside each partition by hash, document descending, position; each run of a hash is streamed: its
 first document keeps its lines, and once a third document holds it the others lose theirs, so that
 a task holds back the lines of one document at most.
-A range boundary may cut the run of a hash that very many documents hold: what a partition can't
-decide of its first and last hash is decided from the counts of all their parts (two for each
-partition at most). Drops return as compressed per-document bitmaps, never as text.
+A range boundary may cut the run of a hash that very many documents hold, and even the lines of one of its documents (all
+rows without an id are one): what a partition can't decide of its first and last hash is decided from the counts of
+all their parts (two for each partition at most). Drops return as compressed per-document bitmaps, never as text.
 
 Lines are equal when both halves of a 128-bit hash are.
 """
@@ -18,7 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -73,7 +73,7 @@ def _stream(batches):
     """Stream the runs of a sorted partition.
 
     Decided drops have documents = 1 and hash 0. Lines that the partition can't decide have documents null; one
-    count row of each such hash (position -1) has its documents here and, in doc_id, the largest of them.
+    count row of each such hash (position -1) has its documents here and, in doc_id and text_key, the largest and the smallest of them.
     """
     names = [x.split()[0] for x in _DECIDED.split(", ")]
 
@@ -87,7 +87,7 @@ def _stream(batches):
         """What is still to say of a run that the partition's end may cut, or its start has."""
         if run.waiting:
             yield rows(*run.key, *(np.concatenate(x) for x in zip(*run.waiting, strict=True)), None)
-        yield rows(*run.key, np.array([run.keeper]), np.zeros(1, np.int64), np.full(1, -1, np.int32), run.documents)
+        yield rows(*run.key, np.array([run.keeper]), np.array([run.last]), np.full(1, -1, np.int32), run.documents)
 
     run = None
     for batch in batches:
@@ -124,7 +124,7 @@ def _stream(batches):
         yield rows(0, 0, d[loses], t[loses], p[loses], 1)
         if len(begin) > 1:
             if run.at_edge:
-                run.documents = int(total[0])
+                run.documents, run.last = int(total[0]), int(d[last_of[0]])
                 yield from closing(run)
             run = _Run((h[-1], w[-1]), int(d[begin[-1]]), False)
         run.documents, run.last = int(total[-1]), d[-1]
@@ -169,11 +169,14 @@ def drop_bitmaps(docs: DataFrame) -> DataFrame:
     slim = docs.select(_key().alias("key"), _text_key().alias("text_key"), F.col("text").cast("string"))
     entries = store.written(slim.mapInArrow(_entries, _ENTRY), "line-entries")
     parts = partitions(entries.count(), int(spark.conf.get("spark.default.parallelism", "0") or 0) or spark.sparkContext.defaultParallelism)
-    ordered = entries.repartitionByRange(parts, "hash", "twin", F.desc("doc_id")).sortWithinPartitions("hash", "twin", F.desc("doc_id"), "position")
+    ordered = entries.repartitionByRange(parts, "hash", "twin", F.desc("doc_id"), "text_key", "position").sortWithinPartitions("hash", "twin", F.desc("doc_id"), "text_key", "position")
     streamed = store.written(ordered.mapInArrow(_stream, _DECIDED), "line-drops")
     store.drop(entries)
     decided = streamed.where((F.col("documents") == 1) & (F.col("position") >= 0))
-    totals = streamed.where("position = -1").groupBy("hash", "twin").agg(F.sum("documents").alias("total"), F.max("doc_id").alias("keeper")).where(F.col("total") >= MIN_DOCUMENTS)
+    # parts follow each other by falling document, and a document that a boundary cuts is the last of one part and the first of the next
+    following = Window.partitionBy("hash", "twin").orderBy(F.desc("doc_id"), F.desc("text_key"))  # rows: one for each part of a hash
+    counted = streamed.where("position = -1").withColumn("again", (F.col("doc_id") == F.lag("text_key").over(following)).cast("long"))
+    totals = counted.groupBy("hash", "twin").agg((F.sum("documents") - F.coalesce(F.sum("again"), F.lit(0))).alias("total"), F.max("doc_id").alias("keeper")).where(F.col("total") >= MIN_DOCUMENTS)
     totals = F.broadcast(totals) if 2 * parts <= MAX_BROADCAST else totals
     opened = streamed.where("documents is null").join(totals, ["hash", "twin"]).where("doc_id <> keeper")
     columns = ["doc_id", "text_key", "position"]

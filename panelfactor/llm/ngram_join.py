@@ -49,8 +49,9 @@ SIZE, PERCENT = 5, 75
 PACK, GROUP_TOKENS, BUCKET, BITS, FAN = 1_000_000, 1_000_000, 4_096, 1_024, 8
 #: Rows of postings in one group of trees, and pairs of nodes looked at at once.
 GROUP_POSTINGS, PAIRS = 60_000, 50_000
-#: A token in this many sets, or in over 1/HOT_TOKENS of all postings, is sent past the grouping; found from about HOT_SAMPLE postings.
-MIN_HOT, HOT_TOKENS, HOT_SAMPLE = 50_000, 100_000, 5_000_000
+#: A token in MIN_HOT sets or more is sent past the grouping, at any size of corpus, so a group holds at most about MIN_HOT postings of
+#: one token; such tokens are found in a sample that meets about SEEN of their sets. HOT_TOKENS bounds what is broadcast (8 bytes each).
+MIN_HOT, SEEN, HOT_TOKENS = 200_000, 64, 1_000_000
 
 _SETS = "doc_id long, text_key long, set_id long, twin long, n_shingles long"
 _PACKED = "part long, tokens binary, owners binary, sets binary, sizes binary"
@@ -104,7 +105,7 @@ def _planes(x: np.ndarray) -> bytes:
 
 def _unplanes(raw: bytes, dtype) -> np.ndarray:
     dtype = np.dtype(dtype)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel() if raw else np.empty(0, dtype)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel() if len(raw) else np.empty(0, dtype)
 
 
 def _pack_tokens(ordered: np.ndarray) -> bytes:
@@ -120,12 +121,11 @@ def _part(value: np.ndarray, parts: int) -> np.ndarray:
     return ((value >> np.uint64(33)).astype(np.int64) * parts) >> 31
 
 
-def _hot_tokens(slim: DataFrame, size: int, n_sets: int, total: int) -> np.ndarray:
-    """Sorted tokens that a sample of rows shows to be in very many sets (HOT_TOKENS of them at most, by their threshold)."""
-    least = max(MIN_HOT, total // HOT_TOKENS)
-    if n_sets < least:
+def _hot_tokens(slim: DataFrame, size: int, n_sets: int) -> np.ndarray:
+    """Sorted tokens that a sample of rows shows to be in about MIN_HOT sets or more."""
+    if n_sets < MIN_HOT:
         return np.empty(0, np.uint64)
-    rate = min(1.0, HOT_SAMPLE / total)
+    rate = min(1.0, SEEN / MIN_HOT)
 
     def tokens(batches):
         for batch in batches:
@@ -133,8 +133,9 @@ def _hot_tokens(slim: DataFrame, size: int, n_sets: int, total: int) -> np.ndarr
                 short, counts = np.unique(shingle_sets(b, size)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(short.view(np.int64)), pa.array(counts)], names=["token", "n"])
 
-    sample = slim.where(F.pmod(F.xxhash64("text_key", "doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("text")
-    counted = sample.mapInArrow(tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, rate * least))
+    sample = slim.where(F.pmod(F.xxhash64("text_key", "doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).select("text")
+    # a token at MIN_HOT is missed once in a thousand times, one at twice as much never
+    counted = sample.mapInArrow(tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, rate * MIN_HOT * 5 / 8))
     return np.sort(np.array([r.token for r in counted.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token").collect()], np.int64).view(np.uint64))
 
 
@@ -187,28 +188,38 @@ def _shared(parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         frequent = table["part"][0].as_py() >= parts
-        tokens, sets, sizes = [], [], []
-        for t, o, s, z in zip(*(table[c].to_pylist() for c in ("tokens", "owners", "sets", "sizes")), strict=True):
-            tokens.append(_unpack_tokens(t))
-            code = _unplanes(o, np.uint16 if 4 * len(o) == len(t) else np.uint32)
-            sets.append(np.frombuffer(s, np.int64)[code])
-            sizes.append(_unplanes(z, np.uint32)[code])
-        tokens, sets, sizes = map(np.concatenate, (tokens, sets, sizes))
-        order = np.argsort(tokens)
-        if not frequent:
-            same = tokens[order][1:] == tokens[order][:-1]
-            order = order[np.r_[same, False] | np.r_[False, same]]
-        tokens, sets, sizes = tokens[order], sets[order], sizes[order]
+        lengths = [len(x.as_buffer()) // 8 for x in table["tokens"]]
+        ends = np.cumsum(lengths)
+        tokens, sets, sizes = (np.empty(ends[-1], t) for t in (np.uint64, np.int64, np.uint32))
+        for k, (n, end) in enumerate(zip(lengths, ends, strict=True)):
+            raw = {c: table[c][k].as_buffer() for c in ("tokens", "owners", "sets", "sizes")}
+            code = _unplanes(raw["owners"], np.uint16 if raw["owners"].size == 2 * n else np.uint32)
+            at = slice(end - n, end)
+            tokens[at], sets[at], sizes[at] = _unpack_tokens(raw["tokens"]), np.frombuffer(raw["sets"], np.int64)[code], _unplanes(raw["sizes"], np.uint32)[code]
         order = np.lexsort((sets, tokens))
-        tokens, sets, sizes = tokens[order], sets[order], sizes[order]
-        new = np.r_[True, (tokens[1:] != tokens[:-1]) | (sets[1:] != sets[:-1])] if len(tokens) else np.empty(0, bool)
-        tokens, sets, sizes = tokens[new], sets[new], sizes[new]
-        _, code, held = np.unique(tokens, return_inverse=True, return_counts=True)
-        many = (held[code] > 1) | frequent
-        tokens, sets, sizes = tokens[many], sets[many], sizes[many]
-        rarity = np.full(len(tokens), 255, np.uint8) if frequent else np.floor(4 * np.log2(np.maximum(held[code][many], 2))).astype(np.uint8)
+        for x in (tokens, sets, sizes):
+            x[:] = x[order]
+        del order
+        same = np.r_[False, tokens[1:] == tokens[:-1]]
+        new = ~(same & np.r_[False, sets[1:] == sets[:-1]])
+        if not frequent:  # a token of one set alone can't be shared
+            new &= same | np.r_[same[1:], False]
+        tokens = tokens[new]  # one after the other, so that one copy is held at a time
+        sets = sets[new]
+        sizes = sizes[new]
+        del same, new
+        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, np.int64)
+        held = np.diff(np.r_[first, len(tokens)])
+        rarity = np.repeat(np.floor(4 * np.log2(np.maximum(held, 2))).astype(np.uint8), held)
+        if frequent:
+            rarity[:] = 255
+        elif len(tokens):  # copies of one set came twice, and are one now
+            many = np.repeat(held > 1, held)
+            tokens, sets, sizes, rarity = tokens[many], sets[many], sizes[many], rarity[many]
         order = np.lexsort((tokens, sets))
-        tokens, sets, sizes, rarity = tokens[order], sets[order], sizes[order], rarity[order]
+        for x in (tokens, sets, sizes, rarity):
+            x[:] = x[order]
+        del order
         first = np.flatnonzero(np.r_[True, sets[1:] != sets[:-1]]) if len(sets) else np.empty(0, np.int64)
         lengths = np.diff(np.r_[first, len(sets)]).astype(np.uint32)
         ids, own = sets[first], sizes[first]
@@ -400,7 +411,7 @@ class Classes:
                 break
             split = np.union1d(split, doubtful)
         self.total, tokens = self.sets.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-        hot = spark.sparkContext.broadcast(_hot_tokens(slim, size, self.total, tokens))
+        hot = spark.sparkContext.broadcast(_hot_tokens(slim, size, self.total))
         parts = max(1, math.ceil(tokens / GROUP_TOKENS))
 
         packed = slim.select("text").mapInArrow(_postings(size, parts, hot, split), _PACKED)

@@ -68,3 +68,38 @@ def test_one_row_of_each_class_stays(make):
 def test_empty_table(make):
     assert ngram_join.near_duplicates(make([(1, "a")]).where("false")).count() == 0
     assert ngram_join.representatives(make([(1, "a")]).where("false")).count() == 0
+
+
+def test_the_largest_group_of_postings_fits_a_task():
+    """A range holds GROUP_TOKENS postings on average and at most about MIN_HOT of one token: held here against three times as much, all of one token."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n, flushes = 1_000_000, 3 * (ngram_join.GROUP_TOKENS + ngram_join.MIN_HOT) // 1_000_000
+    names = ["part", "tokens", "owners", "sets", "sizes"]
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(flushes):
+        sets = rng.integers(-(1 << 62), 1 << 62, n)
+        token = np.full(n, 12345, np.uint64)
+        rows.append((0, ngram_join._pack_tokens(token), ngram_join._planes(np.arange(n, dtype=np.uint32)), sets.tobytes(), ngram_join._planes(np.full(n, 9, np.uint32))))
+    columns = [pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))]
+    del rows
+    table = pa.table(columns, names=names)
+    tracemalloc.start()
+    out = ngram_join._shared(1)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(x.as_buffer()) for x in out["sets"]) == 8 * n * flushes and peak < 400e6
+
+
+def test_frequent_tokens_are_found_at_a_fixed_number_of_sets(make, monkeypatch):
+    """Whatever the corpus holds besides, the same tokens go past the grouping."""
+    monkeypatch.setattr(ngram_join, "MIN_HOT", 40)
+    often = "five words that many have"
+    for more in (0, 400):
+        rows = [(k, f"{often} number{k} only{k}") for k in range(60)] + [(1000 + k, f"other words of text {k} and {k} more {k}") for k in range(more)]
+        slim = make(rows).selectExpr("doc_id", "text", "xxhash64(text) AS text_key")
+        assert len(ngram_join._hot_tokens(slim, 5, len(rows))) == 1

@@ -101,6 +101,8 @@ def test_line_dedup_equals_brute_force(make, monkeypatch, per_part):
     r = random.Random(9)
     pool = ["A shared line of some length", "a SHARED line of some length", "another shared line, quite long", "é" * 20, "é" * 19, "short", "", "only two documents hold this", " \tA shared line of some length \r"]
     rows = [(k, "\n".join(r.choice(pool) for _ in range(r.randint(0, 6)))) for k in range(40)] + [(900, None), (901, ""), (902, "A shared line of some length\n" * 500), (None, pool[0])]
+    rows += [(None, f"{pool[2]}\nrow {k % 30}") for k in range(60)]  # one document, of many rows, that boundaries must be able to cut
+    rows += [(None, f"a line that null ids alone hold {k}\nthe same line of rows without an id") for k in range(20)]
     docs = make(rows, True)
     got = line_dedup.dedup_lines(docs)
     assert got.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
