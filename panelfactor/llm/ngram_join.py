@@ -51,7 +51,7 @@ PACK, GROUP_TOKENS, BUCKET, BITS, FAN = 1_000_000, 1_000_000, 4_096, 1_024, 8
 GROUP_POSTINGS, PAIRS = 60_000, 50_000
 #: A token in MIN_HOT sets or more is sent past the grouping, at any size of corpus, so a group holds at most about MIN_HOT postings of
 #: one token; such tokens are found in a sample that meets about SEEN of their sets. HOT_TOKENS bounds what is broadcast (8 bytes each).
-MIN_HOT, SEEN, HOT_TOKENS = 200_000, 64, 1_000_000
+MIN_HOT, SEEN, HOT_TOKENS = 50_000, 64, 1_000_000
 
 _SETS = "doc_id long, text_key long, set_id long, twin long, n_shingles long"
 _PACKED = "part long, tokens binary, owners binary, sets binary, sizes binary"
