@@ -121,7 +121,7 @@ def load_curve_data(spark: SparkSession, config: DataConfig, snapshot: tuple[str
         proof = DataProvenance(mode, csv, panels.file_digest(spark, csv)[1], "", n, str(first), str(last))
     else:
         daily, proof = panels.read_source(spark, config, nodes, snapshot, fetch or panels.http_fetch(config.maximum_response_bytes), cache)
-    core = nodes.subset(config.core_nodes)
+    core = nodes.subset(config.core_tenors)
     weekly = panel.weekly_curve(daily, core.names, config.anchor, config.boundary_week_policy, config.start_date, config.end_date)
     changes = panel.changes(weekly, core.names)
     metrics = quality.quality_metrics(daily, weekly, changes, nodes, core.names, config.anchor, config.boundary_week_policy, config.start_date, config.end_date)
@@ -140,7 +140,7 @@ def fit_curve_pca(changes: DataFrame, nodes: Nodes, config: PCAConfig | None = N
 def walk_forward_forecast(weekly: DataFrame, changes: DataFrame, nodes: Nodes, config: ForecastConfig | None = None) -> ForecastResult:
     """Forecasts from every origin, the gate, and bands; raises if the inputs can't be walked through."""
     c = config or ForecastConfig()
-    forecast.check_inputs(changes, nodes, c.minimum_training_weeks, weekly, c.reconciliation_tolerance_bp)
+    forecast.check_inputs(changes, nodes, c.minimum_training_weeks, weekly, c.level_change_reconciliation_tolerance_bp)
     made = forecast.walk_forward(changes, nodes, c.minimum_training_weeks, c.retained_factors, c.ar_coefficient_bound, c.var_ridge)
     gate = forecast.adoption_gate(made, c.interval_evaluation_observations, c.confirmation_observations, c.adoption_alpha, c.minimum_rmse_improvement, c.hac_lags)
     rows = intervals.selected_residuals(made, gate)
@@ -163,7 +163,7 @@ def map_linear_curve_risk(changes: DataFrame, dv01: DataFrame, fit: PCAFit, conf
     return RiskMappingResult(
         {
             "pnl": risk.factor_pnl(changes, dv01, fit.model, nodes, k), "tails": tails[0].unionByName(tails[1]), "backtest_detail": detail,
-            "backtest": risk.backtest_summary(detail, c.historical_window_weeks, c.var_confidence, c.backtest_alpha, c.minimum_backtest_observations),
+            "backtest": risk.backtest_summary(detail, c.historical_window_weeks, c.var_confidence, c.backtest_alpha, c.minimum_var_backtest_observations),
             "worst_scenarios": risk.worst_scenarios(changes, dv01, nodes), "factor_scenarios": risk.factor_scenarios(fit.model, dv01, nodes, k, c.factor_sigma_multiples), "variance": risk.variance_table(fit.model, dv01, nodes, k),
         }
     )

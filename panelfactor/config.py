@@ -14,6 +14,11 @@ from .schema import TREASURY, TREASURY_CORE
 INF = math.inf
 SOURCE_MODES = ("snapshot", "live", "live_then_snapshot")
 POLICIES = ("drop", "include_and_flag")
+WEEKLY_RULES = tuple(f"W-{day}" for day in WEEKDAYS)
+#: Days that a live curve may lag where neither its end nor a limit is told.
+LIVE_STALENESS_DAYS = 7
+
+# Names of sections and settings, defaults and ranges are fixed values: configuration files in use must load.
 
 
 def between(default, low, high, open_low: bool = False, open_high: bool = False, whole: bool = False, optional: bool = False):
@@ -53,13 +58,16 @@ class DataConfig(Checked):
     start_date: str = "2000-01-01"
     end_date: str = "2025-12-31"
     source_mode: str = "snapshot"
-    anchor: str = "FRI"
+    weekly_rule: str = "W-FRI"
     boundary_week_policy: str = "drop"
-    core_nodes: tuple[str, ...] = TREASURY_CORE.names
+    core_tenors: tuple[str, ...] = TREASURY_CORE.names
+    snapshot_path: str = "data/h15_treasury_cmt_2000_2025.csv.gz"
+    manifest_path: str = "data/source_manifest.json"
+    cache_dir: str = ".cache/yield_curve_pca"
     use_cache: bool = True
     cache_max_age_hours: float = between(24, 0, 8760, open_low=True)
     request_timeout_seconds: float = between(10, 0, 120, open_low=True)
-    request_retries: int = between(2, 1, 10, whole=True)
+    retries: int = between(2, 1, 10, whole=True)
     maximum_response_bytes: int = between(25_000_000, 1_000, 250_000_000, whole=True)
     minimum_complete_weeks: int = between(260, 52, 10_000, whole=True)
     maximum_start_coverage_gap_days: int = between(7, 0, 366, whole=True)
@@ -71,12 +79,20 @@ class DataConfig(Checked):
     def relations(self):
         if date.fromisoformat(self.start_date) >= date.fromisoformat(self.end_date):
             raise ValueError("start_date must lie before end_date")
-        for name, known in (("source_mode", SOURCE_MODES), ("anchor", WEEKDAYS), ("boundary_week_policy", POLICIES)):
+        for name, known in (("source_mode", SOURCE_MODES), ("weekly_rule", WEEKLY_RULES), ("boundary_week_policy", POLICIES)):
             if getattr(self, name) not in known:
                 raise ValueError(f"{name} must be one of {known}")
-        core = self.core_nodes
+        core = self.core_tenors
         if not isinstance(core, tuple) or len(set(core)) != len(core) or len(core) < 3 or not set(core) <= set(TREASURY.names):
-            raise ValueError("core_nodes must be a tuple of three or more distinct known nodes")
+            raise ValueError("core_tenors must be a tuple of three or more distinct known nodes")
+        for name in ("snapshot_path", "manifest_path", "cache_dir"):
+            if not isinstance(getattr(self, name), str) or not getattr(self, name):
+                raise ValueError(f"{name} must be a path")
+
+    @property
+    def anchor(self) -> str:
+        """Weekday that a week ends on."""
+        return self.weekly_rule.removeprefix("W-")
 
 
 @dataclass(frozen=True)
@@ -85,7 +101,7 @@ class FactorConfig(Checked):
     minimum_template_similarity: float = between(0.70, 0, 1, open_low=True)
     minimum_template_dominance_margin: float = between(0.10, 0, 1, open_high=True)
     current_halflife_weeks: float = between(52, 1, INF, open_low=True)
-    minimum_current_effective_observations: float = between(100, 20, INF)
+    minimum_ewma_effective_observations: float = between(100, 20, INF)
     rolling_window_years: int = between(5, 2, 30, whole=True)
     minimum_rolling_observations: int = between(200, 52, 1560, whole=True)
     maximum_principal_angle_warning_degrees: float = between(30, 0, 90, open_low=True)
@@ -96,17 +112,17 @@ class FactorConfig(Checked):
     maximum_methodology_sigma_ratio_warning: float = between(1.25, 1, INF, open_low=True)
     maximum_current_factor_sigma_ratio_warning: float = between(1.25, 1, INF, open_low=True)
     bootstrap_replications: int = between(2000, 800, 100_000, whole=True)
-    bootstrap_block_length: int = between(13, 2, 5200, whole=True)
-    sensitivity_replications: int = between(2000, 800, 20_000, whole=True)
-    sensitivity_block_lengths: tuple[int, ...] = (4, 13, 26)
-    oos_training_observations: int = between(520, 104, 10_000, whole=True)
-    oos_holdout_observations: int = between(104, 52, 5200, whole=True)
-    oos_refit_every: int = between(13, 1, 520, whole=True)
+    bootstrap_block_weeks: int = between(13, 2, 5200, whole=True)
+    bootstrap_sensitivity_replications: int = between(2000, 800, 20_000, whole=True)
+    bootstrap_sensitivity_blocks: tuple[int, ...] = (4, 13, 26)
+    oos_minimum_training_observations: int = between(520, 104, 10_000, whole=True)
+    oos_minimum_holdout_observations: int = between(104, 52, 5200, whole=True)
+    oos_refit_every_observations: int = between(13, 1, 520, whole=True)
     random_seed: int = between(20260825, -INF, INF, whole=True)
 
     def relations(self):
-        self.blocks("sensitivity_block_lengths", 2, 5200)
-        if len(self.sensitivity_block_lengths) > 20:
+        self.blocks("bootstrap_sensitivity_blocks", 2, 5200)
+        if len(self.bootstrap_sensitivity_blocks) > 20:
             raise ValueError("at most 20 block lengths")
         if self.minimum_rolling_observations > 52 * self.rolling_window_years:
             raise ValueError("minimum_rolling_observations must fit the rolling window")
@@ -114,6 +130,7 @@ class FactorConfig(Checked):
 
 @dataclass(frozen=True)
 class ForecastConfig(Checked):
+    enabled: bool = True
     minimum_training_weeks: int = between(520, 104, 10_000, whole=True)
     retained_factors: int = between(3, 1, 3, whole=True)
     var_ridge: float = between(1e-3, 0, INF)
@@ -129,7 +146,7 @@ class ForecastConfig(Checked):
     interval_bootstrap_replications: int = between(20_000, 500, 200_000, whole=True)
     interval_bootstrap_block_lengths: tuple[int, ...] = (4, 13, 26)
     interval_bootstrap_random_seed: int = between(17_729, -INF, INF, whole=True)
-    reconciliation_tolerance_bp: float = between(1e-8, 0, 1e-3, open_low=True)
+    level_change_reconciliation_tolerance_bp: float = between(1e-8, 0, 1e-3, open_low=True)
     adoption_alpha: float = between(0.05, 0, 1, open_low=True, open_high=True)
     minimum_rmse_improvement: float = between(0.01, 0, 1, open_high=True)
 
@@ -160,7 +177,7 @@ class RiskConfig(Checked):
     var_confidence: float = between(0.99, 0.5, 1, open_low=True, open_high=True)
     es_confidence: float = between(0.975, 0.5, 1, open_low=True, open_high=True)
     backtest_alpha: float = between(0.05, 0, 0.5, open_low=True, open_high=True)
-    minimum_backtest_observations: int = between(250, 100, 10_000, whole=True)
+    minimum_var_backtest_observations: int = between(250, 100, 10_000, whole=True)
     maximum_krd_asof_gap_days: int = between(7, 0, 366, whole=True)
     minimum_effective_tail_mass_review: float = between(20, 1, 10_000)
     factor_sigma_multiples: tuple[float, ...] = (1.0, 2.0, 3.0)
@@ -177,7 +194,7 @@ class RiskConfig(Checked):
 @dataclass(frozen=True)
 class AnalysisConfig:
     data: DataConfig = DataConfig()
-    factors: FactorConfig = FactorConfig()
+    pca: FactorConfig = FactorConfig()
     forecast: ForecastConfig = ForecastConfig()
     risk: RiskConfig = RiskConfig()
 
@@ -186,7 +203,15 @@ class AnalysisConfig:
         return json.dumps(asdict(self), sort_keys=True)
 
 
-_SECTIONS = {"data": DataConfig, "factors": FactorConfig, "forecast": ForecastConfig, "risk": RiskConfig}
+_SECTIONS = {"data": DataConfig, "pca": FactorConfig, "forecast": ForecastConfig, "risk": RiskConfig}
+
+
+def live_defaults(section: dict, today: str | None) -> dict:
+    """Data settings as told; a live source whose end isn't told ends ``today`` and may not be older than LIVE_STALENESS_DAYS."""
+    if today and section.get("source_mode") in ("live", "live_then_snapshot") and section.get("end_date") is None:
+        told = {k: v for k, v in section.items() if v is not None}
+        return {"maximum_staleness_days": LIVE_STALENESS_DAYS, **told, "end_date": today}
+    return section
 
 
 def _no_repeats(pairs):
@@ -195,10 +220,10 @@ def _no_repeats(pairs):
     return dict(pairs)
 
 
-def load_config(path: str, default_end: str | None = None) -> AnalysisConfig:
+def load_config(path: str, today: str | None = None) -> AnalysisConfig:
     """Settings from a JSON file of at most 1 MB; repeated keys, unknown sections and unknown settings are refused.
 
-    Lists become tuples. ``default_end`` is the data end date where the file has none.
+    Lists become tuples. ``today`` is the clock for a live source (:func:`live_defaults`).
     """
     raw = Path(path).read_bytes()
     if len(raw) > 1_000_000:
@@ -213,7 +238,5 @@ def load_config(path: str, default_end: str | None = None) -> AnalysisConfig:
         if not isinstance(section, dict) or not set(section) <= known:
             raise ValueError(f"unknown settings in {name}")
         section = {k: tuple(v) if isinstance(v, list) else v for k, v in section.items()}
-        if name == "data" and default_end and "end_date" not in section:
-            section["end_date"] = default_end
-        made[name] = kind(**section)
+        made[name] = kind(**(live_defaults(section, today) if name == "data" else section))
     return AnalysisConfig(**made)

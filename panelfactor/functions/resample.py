@@ -8,10 +8,11 @@ meets two or three rows for each of its blocks instead of all rows that it draws
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DATE, PANEL
+from .scan import running_totals
 
 
 def block_starts(sizes: DataFrame, block_lengths, replications: int, seed: int) -> DataFrame:
@@ -34,9 +35,9 @@ def resampled_sums(rows: DataFrame, pos: str, n: str, values: list[Column], bloc
     """
     p = len(values)
     sized = rows.select(PANEL, F.col(pos).cast("long").alias("at"), F.col(n).cast("long").alias("n"), *([F.col(date).alias("_d")] if date else []), *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(f"v{k}") for k, v in enumerate(values)))
-    upto = Window.partitionBy(PANEL).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    made = running_totals(sized, [PANEL], "at", {f"v{k}": F.col(f"v{k}") for k in range(p)})
     # the total before row i is named i, so that before 0 is nothing and needs no row
-    totals = sized.select(PANEL, (F.col("at") + 1).alias("at"), F.array(*(F.sum(f"v{k}").over(upto) for k in range(p))).alias("total"))
+    totals = made.select(PANEL, (F.col("at") + 1).alias("at"), F.array(*(F.col(f"v{k}") for k in range(p))).alias("total"))
     ends = sized.groupBy(PANEL).agg(F.max("n").alias("n"), *([F.min("_d").alias("first_date"), F.max("_d").alias("last_date")] if date else []))
     blocks = block_starts(ends.select(PANEL, "n"), block_lengths, replications, seed)
     end, size = F.col("start") + F.col("length"), F.col("n")

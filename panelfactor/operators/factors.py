@@ -200,6 +200,16 @@ def loading_table(model: DataFrame, nodes, k: int) -> DataFrame:
     return rows.select(PANEL, (F.col("k") + 1).alias("component"), "node", F.col("v")[F.col("i")].alias("loading"), F.col("physical")[F.col("k")][F.col("i")].alias("physical_loading"), shock.alias("one_sigma_shock"), F.when(variance > 0, shock / F.sqrt(variance)).otherwise(0.0).alias("node_correlation"))
 
 
+def artifacts(changes: DataFrame, model: DataFrame, nodes, k: int) -> dict[str, DataFrame]:
+    """The tables of a model, by name: components, centre_scale, loadings, physical_basis, one_sigma_shocks (all components), scores."""
+    names = F.array(*(F.lit(n) for n in nodes.names))
+    every = loading_table(model, nodes, len(nodes.names))
+    return {
+        "components": component_table(model), "centre_scale": model.select(PANEL, F.explode(F.arrays_zip(names.alias("node"), "center", "scale")).alias("x")).select(PANEL, "x.node", F.col("x.center").alias("centre"), "x.scale"),
+        "loadings": loading_table(model, nodes, k), "physical_basis": every.select(PANEL, "component", "node", "physical_loading"), "one_sigma_shocks": every.select(PANEL, "component", "node", "one_sigma_shock"), "scores": transform(changes, model, nodes),
+    }
+
+
 def row_space(basis: np.ndarray) -> np.ndarray:
     """Orthonormal rows that span the rows of each basis of a stack; an error if one lacks full rank."""
     q, r = np.linalg.qr(np.swapaxes(basis, -1, -2))

@@ -1,7 +1,7 @@
 """Walk-forward forecasts of node changes, and the gate that a model must pass to replace no change.
 
-At every origin the sums over all earlier rows (running totals, never the rows) give a covariance, its
-factors and, from lagged products rotated into factor space, the factors' AR(1) and VAR(1). One
+At every origin the centred moments of all earlier rows (running, never the rows) give a covariance, its
+factors and, from lagged co-moments rotated into factor space, the factors' AR(1) and VAR(1). One
 origin is one small row, so origins of all panels are worked on in parallel.
 """
 
@@ -11,26 +11,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scan import expanding_moments
 from ..functions.stats import hac_test, one_sided
 from ..schema import DATE, PANEL, PERIOD_END, POS, Nodes, col, vector
 from . import factors
-from .moments import expanding_sums
 
 NO_CHANGE, MEAN, AR, VAR = "No change", "Historical mean", "Factor AR(1)", "Factor VAR(1)"
 MODELS = (NO_CHANGE, MEAN, AR, VAR)
 
 
-def factor_forecasts(n, s1, s2, s3, x_first, x_last, templates, k, bound, ridge) -> dict:
-    """Mean, AR(1) and VAR(1) forecasts of the next change from sums over the first ``n`` rows, for a stack of origins.
+def factor_forecasts(n, mean, m2, cross, x_first, x_last, templates, k, bound, ridge) -> dict:
+    """Mean, AR(1) and VAR(1) forecasts of the next change from centred moments of the first ``n`` rows, for a stack of origins.
 
     AR slopes are least squares clipped to +-bound; the VAR's ridge acts on slopes of scores in units of their
     deviation, and its transition is shrunk to spectral radius ``bound``. Intercepts follow from the means. Origins with a
     node that has not moved have no factors: their AR and VAR forecasts are None.
     """
-    p = s1.shape[1]
+    p = mean.shape[1]
     n = n[:, None]
-    mean = s1 / n
-    cov = (s2 - n[:, :, None] * mean[:, :, None] * mean[:, None, :]) / (n[:, :, None] - 1)
+    cov = m2 / (n[:, :, None] - 1)
     model = factors.decompose_many(mean, cov, templates)
     known = np.array([v is not None for v in model["center"]], bool)
     unit = np.eye(p)[:k]
@@ -39,10 +38,11 @@ def factor_forecasts(n, s1, s2, s3, x_first, x_last, templates, k, bound, ridge)
     m = n - 1
     turned = lambda x: np.einsum("akp,ap->ak", basis, x)
     inside = lambda x: basis @ x @ basis.transpose(0, 2, 1)
-    now, past = (s1 - x_first) / m, (s1 - x_last) / m
     outer = lambda a, b: a[:, :, None] * b[:, None, :]
-    past_cov = inside(s2 - outer(x_last, x_last) - m[:, :, None] * outer(past, past))
-    cross = inside(s3 - m[:, :, None] * outer(now, past))  # rows: now, columns: past
+    # the sample without its first row, and without its last: one row is taken out of the centred moments
+    now, past = (n * mean - x_first) / m, (n * mean - x_last) / m
+    past_cov = inside(m2 - (n / m)[:, :, None] * outer(x_last - mean, x_last - mean))
+    cross = inside(cross)  # rows: now, columns: past
     now_s, past_s, last_s = turned(now - mean), turned(past - mean), turned(x_last - mean)
     own = np.diagonal(past_cov, axis1=1, axis2=2)
     moving = own > factors.TINY
@@ -72,7 +72,7 @@ def _kernel(nodes: Nodes, k: int, bound: float, ridge: float):
     templates, p = factors.shape_templates(nodes.maturities), len(nodes.names)
 
     def run(batch):
-        shapes = {"s1": (p,), "s2": (p, p), "s3": (p, p), "x_first": (p,), "x_last": (p,)}
+        shapes = {"mean": (p,), "m2": (p, p), "cross": (p, p), "x_first": (p,), "x_last": (p,)}
         return factor_forecasts(batch["n_train"].to_numpy(float), *(factors.stacked(batch[c], *shape) for c, shape in shapes.items()), templates, k, bound, ridge)
 
     return run
@@ -105,9 +105,9 @@ def walk_forward(changes: DataFrame, nodes: Nodes, train: int, k: int = 3, bound
     The row at pos is forecast from rows before pos only.
     """
     names = nodes.names
-    sums = expanding_sums(changes, names).where(F.col(POS) >= train).select(PANEL, DATE, POS, F.col(POS).alias("n_train"), "s1", "s2", "s3", "x_first", "x_last", vector(names).alias("actual"))
-    # a panel's window leaves its origins in one task: deal them out again for the kernel
-    origins = sums.repartition(int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")), PANEL, POS)
+    seen = expanding_moments(changes, names).where(F.col(POS) >= train).select(PANEL, DATE, POS, F.col(POS).alias("n_train"), "mean", "m2", "cross", "x_first", "x_last", vector(names).alias("actual"))
+    # a chunk's window leaves its origins in one task: deal them out again for the kernel
+    origins = seen.repartition(int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")), PANEL, POS)
     made = factors.per_batch(origins, _kernel(nodes, k, bound, ridge), [PANEL, DATE, POS, "actual"], _FORECASTS)
     zero = F.transform("actual", lambda _: F.lit(0.0))
     models = F.array(*(F.struct(F.lit(m).alias("model"), c.alias("fitted")) for m, c in ((NO_CHANGE, zero), (MEAN, F.col("mean")), (AR, F.col("ar")), (VAR, F.col("var")))))
@@ -203,10 +203,11 @@ def latest_forecast(weekly: DataFrame, changes: DataFrame, gate: DataFrame, node
     p = len(names)
     order = Window.partitionBy(PANEL).orderBy(POS)
     lagged = ended.select("*", *(F.lag(col(n)).over(order).alias(f"_l{i}") for i, n in enumerate(names)))
+    known, zero = F.col("_l0").isNotNull(), F.lit(0.0)
+    cell = lambda a, j: F.coalesce(F.covar_pop(F.when(known, col(a)), F.col(f"_l{j}")), zero) * F.count("_l0")
     sums = lagged.groupBy(PANEL).agg(
-        F.count("*").alias("n_train"), F.array(*(F.sum(col(n)) for n in names)).alias("s1"), F.array(*(F.sum(col(a) * col(b)) for a in names for b in names)).alias("s2"),
-        F.array(*(F.coalesce(F.sum(col(a) * F.col(f"_l{j}")), F.lit(0.0)) for a in names for j in range(p))).alias("s3"),
-        F.min_by(vector(names), POS).alias("x_first"), F.max_by(vector(names), POS).alias("x_last"),
+        F.count("*").alias("n_train"), F.array(*(F.avg(col(n)) for n in names)).alias("mean"), F.array(*(F.covar_pop(col(a), col(b)) * F.count("*") for a in names for b in names)).alias("m2"),
+        F.array(*(cell(a, j) for a in names for j in range(p))).alias("cross"), F.min_by(vector(names), POS).alias("x_first"), F.max_by(vector(names), POS).alias("x_last"),
     )
     made = factors.per_batch(sums, _kernel(nodes, k, bound, ridge), [PANEL], _FORECASTS)
     chosen = gate.where("selected").select(PANEL, "model")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.resample import resampled_sums
+from ..functions.sliding import sliding_quantiles
 from ..functions.stats import binomial_at_most, wilson
 from ..schema import DATE, PANEL, POS
 
@@ -26,16 +27,18 @@ def selected_residuals(predictions: DataFrame, gate: DataFrame) -> DataFrame:
     return residuals(predictions.join(gate.where("selected").select(PANEL, "model"), [PANEL, "model"], "left_semi"))
 
 
-def hits(rows: DataFrame, history: int = 260, least: int = 104, evaluate_from: int | None = None, coverages=COVERAGES) -> DataFrame:
+def hits(rows: DataFrame, history: int = 260, least: int = 104, evaluate_from: int | None = None, coverages=COVERAGES, evaluate_last: int | None = None) -> DataFrame:
     """panel, date, pos, row, node, coverage, lower, upper, hit: whether each residual lies in the band of those before it.
 
     A band is a pair of exact quantiles (linear) of up to ``history`` earlier residuals, never the current one. Rows
-    before the larger of ``least`` and ``evaluate_from`` are not evaluated.
+    before the larger of ``least`` and ``evaluate_from`` are not evaluated, nor are those before a panel's ``evaluate_last`` last ones.
     """
-    frame = Window.partitionBy(PANEL, "node").orderBy(POS).rowsBetween(-history, -1)
     points = sorted({q for c in coverages for q in ((1 - c) / 2, 1 - (1 - c) / 2)})
-    banded = rows.withColumn("q", F.percentile("residual", F.array(*(F.lit(float(q)) for q in points))).over(frame))
-    banded = banded.where(F.col(ROW) >= max(least, evaluate_from or 0))
+    needed = rows.select(PANEL, DATE, POS, ROW, "node", "residual")
+    banded = sliding_quantiles(needed, [PANEL, "node"], ROW, "residual", history, points).where(F.col(ROW) >= max(least, evaluate_from or 0))
+    if evaluate_last is not None:
+        sizes = rows.groupBy(PANEL, "node").agg(F.count("*").alias("_n"))
+        banded = banded.join(sizes, [PANEL, "node"]).where(F.col(ROW) >= F.col("_n") - evaluate_last).drop("_n")
     bands = F.array(*(F.struct(F.lit(float(c)).alias("coverage"), F.col("q")[points.index((1 - c) / 2)].alias("lower"), F.col("q")[points.index(1 - (1 - c) / 2)].alias("upper")) for c in coverages))
     long = banded.select(PANEL, DATE, POS, ROW, "node", "residual", F.explode(bands).alias("b")).select(PANEL, DATE, POS, ROW, "node", "residual", "b.*")
     return long.withColumn("hit", F.col("residual").between(F.col("lower"), F.col("upper")))
@@ -74,14 +77,14 @@ def coverage_counts(hit_rows: DataFrame, tolerance: float = 0.03, alpha: float =
     return g.select(*keys, "n", "hits", "rate", (F.col("coverage") - tolerance).alias("floor"), low.alias("wilson_low"), high.alias("wilson_high"), "lag_1", (F.col("rate") - F.col("coverage")).alias("gap"))
 
 
-def coverage(rows: DataFrame, nodes, history: int = 260, least: int = 104, evaluate_from: int | None = None, tolerance: float = 0.03, alpha: float = 0.05, block_lengths=(4, 13, 26), replications: int = 20_000, seed: int = 17_729, coverages=COVERAGES) -> DataFrame:
+def coverage(rows: DataFrame, nodes, history: int = 260, least: int = 104, evaluate_from: int | None = None, tolerance: float = 0.03, alpha: float = 0.05, block_lengths=(4, 13, 26), replications: int = 20_000, seed: int = 17_729, coverages=COVERAGES, evaluate_last: int | None = None) -> DataFrame:
     """Coverage evidence of each (panel, coverage, node), with status.
 
     WARN if even the upper block bound misses the floor, PASS if the lower one reaches it, else INCONCLUSIVE; without
     evaluated rows NOT EVALUATED. Bounds with under LEAST_ORDER_STATISTICS in a tail are INCONCLUSIVE.
     """
     keys = [PANEL, "coverage", "node"]
-    hit_rows = hits(rows, history, least, evaluate_from, coverages)
+    hit_rows = hits(rows, history, least, evaluate_from, coverages, evaluate_last)
     counts = coverage_counts(hit_rows, tolerance, alpha)
     bounds = block_bounds(hit_rows, nodes.names, alpha, block_lengths, replications, seed, coverages)
     wanted = rows.select(PANEL, "node").distinct().withColumn("coverage", F.explode(F.array(*(F.lit(float(c)) for c in coverages))))

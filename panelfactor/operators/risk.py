@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sliding import sliding_ranks
 from ..functions.stats import coverage_tests
 from ..schema import DATE, GAP, PANEL, POS, Nodes, vector
 from . import factors
@@ -95,11 +96,9 @@ def tail_summary(pnl: DataFrame, window: int | None, var_confidence: float = 0.9
 def backtest_detail(pnl: DataFrame, window: int, confidence: float = 0.99) -> DataFrame:
     """Each row after the first ``window``: VaR of exactly that many rows before it, realised loss, strict exceedance."""
     rank = var_rank(window, confidence)
-    order = Window.partitionBy(PANEL).orderBy(POS)
-    before = order.rowsBetween(-window, -1)
-    rows = pnl.withColumn("loss", -F.col("pnl"))
-    var = F.get(F.array_sort(F.collect_list("loss").over(before)), F.lit(rank - 1))
-    out = rows.select(PANEL, DATE, POS, F.min(DATE).over(before).alias("estimation_start"), F.max(DATE).over(before).alias("estimation_end"), var.alias("var"), "loss").where(F.col(POS) >= window)
+    losses = pnl.select(PANEL, DATE, POS, (-F.col("pnl")).alias("loss"))
+    ranked = sliding_ranks(losses, [PANEL], POS, "loss", window, [rank], carried=[DATE])
+    out = ranked.where(F.col(POS) >= window).select(PANEL, DATE, POS, F.col(f"{DATE}_first").alias("estimation_start"), F.col(f"{DATE}_last").alias("estimation_end"), F.col("q")[0].alias("var"), "loss")
     return out.withColumn("exception", F.col("loss") > F.col("var"))
 
 

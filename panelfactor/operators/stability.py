@@ -7,20 +7,25 @@ each window, vintage or replication.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.resample import resampled_sums
-from ..schema import DATE, PANEL, POS, Nodes, col, vector
+from ..functions.scan import expanding_moments
+from ..schema import DATE, PANEL, POS, Nodes, vector
 from . import factors
-from .moments import from_sums, moments, products
+from .moments import deviations, from_sums, moments, products
 from .panel import changes as period_changes
-from .panel import weekly_curve
+from .panel import complete, weekly_curve
 
 END = "window_end"
 
 
-def _windows(changes: DataFrame, width: int, step: int) -> DataFrame:
+def _column(x: int | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def _windows(changes: DataFrame, width: Column, step: int) -> DataFrame:
     """Rows with the ends (counts of rows) of all windows of ``width`` rows that hold them: width, width + step, ..., and the last row."""
     n, pos = F.col("n_rows"), F.col(POS)
     first = F.greatest(F.lit(0), F.floor((pos - width) / step) + 1)
@@ -30,15 +35,28 @@ def _windows(changes: DataFrame, width: int, step: int) -> DataFrame:
     return changes.where(n >= width).withColumn(END, F.explode(F.concat(regular, tail)))
 
 
-def rolling(changes: DataFrame, reference: DataFrame, nodes: Nodes, window: int, step: int = 13, k: int = 3, standardize: bool = False, **thresholds) -> DataFrame:
-    """Each window's model held against the panel's reference model: shares, angles, distances, cosines."""
-    if window < 52:
+def rolling(changes: DataFrame, reference: DataFrame, nodes: Nodes, window: int | Column, step: int = 13, k: int = 3, standardize: bool = False, **thresholds) -> DataFrame:
+    """Each window's model held against the panel's reference model: shares, angles, distances, cosines.
+
+    ``window``: rows, or a column of ``changes`` where panels differ. The reference must have the windows' own
+    specification: unweighted, and standardised or not as they are.
+    """
+    if isinstance(window, int) and window < 52:
         raise ValueError("a window needs 52 rows")
-    sums = moments(_windows(changes, window, step), nodes.names, keys=(PANEL, END))
+    refuse_other_reference(reference, standardize)
+    sums = moments(_windows(changes, _column(window), step), nodes.names, keys=(PANEL, END))
     candidates = factors.models(sums, nodes.maturities, standardize, keys=(PANEL, END), **thresholds)
     return _against(candidates, reference, k, (PANEL, END))
 
 
+def refuse_other_reference(reference: DataFrame, standardize: bool) -> None:
+    """Raise if a reference model is weighted (its effective rows are fewer than its rows) or standardised other than ``standardize``."""
+    unit = F.forall("scale", lambda s: s == 1)
+    wrong = reference.where("center IS NOT NULL").where((F.col("n_eff") < F.col("n_obs") - 1e-6) | (F.lit(standardize) == unit)).limit(3).collect()
+    if wrong:
+        raise ValueError("samples are unweighted and " + ("standardised" if standardize else "in node units") + ", and so must their reference be: " + ", ".join(str(r[PANEL]) for r in wrong))
+
+
 def _against(candidates: DataFrame, reference: DataFrame, k: int, keys) -> DataFrame:
     both = factors.prefixed(candidates, "c_", keys).join(factors.prefixed(reference, "r_"), PANEL).where("c_center is not null and r_center is not null")
 
@@ -52,11 +70,11 @@ def _against(candidates: DataFrame, reference: DataFrame, k: int, keys) -> DataF
     return out.withColumnsRenamed(named)
 
 
-def sequential(changes: DataFrame, nodes: Nodes, window: int, step: int = 13, k: int = 3, standardize: bool = False, **thresholds) -> DataFrame:
-    """Each window's model held against that of the window of equal length just before it."""
-    if window < 52:
+def sequential(changes: DataFrame, nodes: Nodes, window: int | Column, step: int = 13, k: int = 3, standardize: bool = False, **thresholds) -> DataFrame:
+    """Each window's model held against that of the window of equal length just before it; panels shorter than both have no rows."""
+    if isinstance(window, int) and window < 52:
         raise ValueError("a window needs 52 rows")
-    spread = _windows(changes, 2 * window, step).withColumn("late", F.col(POS) >= F.col(END) - window)
+    spread = _windows(changes, 2 * _column(window), step).withColumn("late", F.col(POS) >= F.col(END) - window)
     keys = (PANEL, END, "late")
     made = factors.models(moments(spread, nodes.names, keys=keys), nodes.maturities, standardize, keys=keys, **thresholds)
     early, late = made.where("not late").drop("late"), made.where("late").drop("late")
@@ -66,8 +84,11 @@ def sequential(changes: DataFrame, nodes: Nodes, window: int, step: int = 13, k:
 
 def bootstrap(changes: DataFrame, reference: DataFrame, nodes: Nodes, replications: int = 2000, block_lengths=(13,), k: int = 3, seed: int = 20260825, standardize: bool = False, **thresholds) -> DataFrame:
     """One comparison row for each (panel, block_length, replication)."""
+    refuse_other_reference(reference, standardize)
     keys = (PANEL, "block_length", "replication")
-    drawn = resampled_sums(changes, POS, "n_rows", products(nodes.names), block_lengths, replications, seed)
+    about = deviations(changes, nodes.names)
+    drawn = resampled_sums(about, POS, "n_rows", products(nodes.names), block_lengths, replications, seed)
+    drawn = drawn.join(about.groupBy(PANEL).agg(F.first("_centre").alias("_centre")), PANEL)
     made = factors.models(from_sums(drawn, len(nodes.names), keys), nodes.maturities, standardize, keys=keys, **thresholds)
     return _against(made, reference, k, keys)
 
@@ -88,38 +109,32 @@ def block_sensitivity(summary: DataFrame) -> DataFrame:
     return summary.groupBy(PANEL, "block_length").agg(F.max("replications").alias("replications"), pick("max_angle", "median").alias("angle_median"), pick("max_angle", "high").alias("angle_high"), pick("top_share", "median").alias("share_median"), pick("top_share", "low").alias("share_low"), least.alias("min_cosine_median"))
 
 
-def vintages(changes: DataFrame, nodes: Nodes, train: int, every: int, standardize: bool = False) -> DataFrame:
+def vintages(changes: DataFrame, nodes: Nodes, train: int | Column, every: int, standardize: bool = False) -> DataFrame:
     """Models of all rows before position train, train + every, ...: panel, vintage, model.
 
-    A row enters the sums of the first vintage that may see it; running totals over a panel's vintages
-    (few rows) then give each vintage its expanding sample.
+    ``train``: a number, or a column of ``changes`` where panels differ.
     """
-    p, names = len(nodes.names), nodes.names
-    enters = F.greatest(F.lit(0), F.ceil((F.col(POS) + 1 - train) / every)).cast("long")
-    last = F.floor((F.col("n_rows") - 1 - train) / every).cast("long")
-    rows = changes.where(F.col("n_rows") > train).withColumn("vintage", enters).where(F.col("vintage") <= last)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = [F.count("*").alias("n"), F.min(DATE).alias("lo"), F.max(DATE).alias("hi"), *(F.sum(col(c)).alias(f"s{i}") for i, c in enumerate(names)), *(F.sum(col(names[i]) * col(names[j])).alias(f"t{i}_{j}") for i, j in pairs)]
-    step = rows.groupBy(PANEL, "vintage").agg(*sums)
-    upto = Window.partitionBy(PANEL).orderBy("vintage").rowsBetween(Window.unboundedPreceding, 0)
-    total = {c: F.sum(c).over(upto) for c in ["n", *(f"s{i}" for i in range(p)), *(f"t{i}_{j}" for i, j in pairs)]}
-    run = step.select(PANEL, "vintage", F.min("lo").over(upto).alias("first_date"), F.max("hi").over(upto).alias("last_date"), *(v.alias(c) for c, v in total.items()))
-    mean = lambda i: F.col(f"s{i}") / F.col("n")
-    cov = lambda i, j: (F.col(f"t{min(i, j)}_{max(i, j)}") - F.col(f"s{i}") * mean(j)) / (F.col("n") - 1)
-    rows = run.select(PANEL, "vintage", F.col("n").alias("n_obs"), F.col("n").cast("double").alias("n_eff"), "first_date", "last_date", F.array(*(mean(i) for i in range(p))).alias("mean"), F.array(*(cov(i, j) for i in range(p) for j in range(p))).alias("cov"))
+    p = len(nodes.names)
+    begin = train if isinstance(train, Column) else F.lit(train)
+    seen = expanding_moments(changes.withColumn("_train", begin), nodes.names, first_dates=True).where((F.col(POS) >= F.col("_train")) & ((F.col(POS) - F.col("_train")) % every == 0))
+    last = changes.select(PANEL, (F.col(POS) + 1).alias(POS), F.col(DATE).alias("last_date"))
+    rows = seen.join(last, [PANEL, POS]).select(
+        PANEL, ((F.col(POS) - F.col("_train")) / every).cast("long").alias("vintage"), F.col("n_before").cast("long").alias("n_obs"), F.col("n_before").alias("n_eff"), "first_date", "last_date", "mean",
+        F.transform("m2", lambda v: v / (F.col("n_before") - 1)).alias("cov"),
+    )
     return factors.models(rows, nodes.maturities, standardize, keys=(PANEL, "vintage"))
 
 
-def oos_reconstruction(changes: DataFrame, nodes: Nodes, train: int, every: int = 13, k: int = 3, standardize: bool = False) -> DataFrame:
+def oos_reconstruction(changes: DataFrame, nodes: Nodes, train: int | Column, every: int = 13, k: int = 3, standardize: bool = False) -> DataFrame:
     """Rows from position ``train`` on, rebuilt from k scores of the newest earlier vintage: panel, date, pos, node, actual, fitted, vintage, training span.
 
     The observed row is projected (a reconstruction, not a forecast); its model has seen earlier rows only.
     """
-    if train < 52:
+    if isinstance(train, int) and train < 52:
         raise ValueError("training needs 52 rows")
-    names = nodes.names
+    names, begin = nodes.names, train if isinstance(train, Column) else F.lit(train)
     made = vintages(changes, nodes, train, every, standardize).withColumnsRenamed({"first_date": "training_start", "last_date": "training_end", "n_obs": "training_rows"})
-    later = changes.where(F.col(POS) >= train).withColumn("vintage", F.floor((F.col(POS) - train) / every).cast("long"))
+    later = changes.where(F.col(POS) >= begin).withColumn("vintage", F.floor((F.col(POS) - begin) / every).cast("long"))
     rows = later.join(made, [PANEL, "vintage"]).withColumn("scores", factors.score_array(vector(names))).withColumn("fitted", factors.inverse_array(F.col("scores"), k, len(names)))
     cells = F.arrays_zip(F.array(*(F.lit(n) for n in names)).alias("node"), vector(names).alias("actual"), F.col("fitted"))
     keep = [PANEL, DATE, POS, "vintage", "training_start", "training_end", "training_rows"]
@@ -151,9 +166,13 @@ def specifications(changes: DataFrame, nodes: Nodes, halflife: float = 52, k: in
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-def extended_specifications(daily: DataFrame, core: Nodes, universe: Nodes, anchor: str, policy: str, start: str, end: str, k: int = 3, **thresholds) -> DataFrame:
-    """Models of the core nodes and of all nodes over the weeks in which all are there: panel, curve, span, shares, similarity, margin."""
+def extended_specifications(daily: DataFrame, core: Nodes, universe: Nodes, anchor: str, policy: str, start: str, end: str, k: int = 3, least_days: int = 60, least_changes: int = 52, **thresholds) -> DataFrame:
+    """Models of the core nodes and of all nodes over the weeks in which all are there: panel, curve, span, shares, similarity, margin.
+
+    Panels in which all nodes are there on under ``least_days`` days, or for under ``least_changes`` changes, have no rows.
+    """
     weekly = weekly_curve(daily, universe.names, anchor, policy, start, end)
-    moved = period_changes(weekly, universe.names)
+    days = complete(daily, universe.names).groupBy(PANEL).agg(F.countDistinct(DATE).alias("n")).where(F.col("n") >= least_days)
+    moved = period_changes(weekly, universe.names).where(F.col("n_rows") >= least_changes).join(days.select(PANEL), PANEL, "left_semi")
     rows = [factors.fit(moved, nodes, **thresholds).select(PANEL, F.lit(name).alias("curve"), "first_date", "last_date", "n_obs", *(F.col("share")[j].alias(f"share_{j + 1}") for j in range(3)), F.aggregate(F.slice("share", 1, k), F.lit(0.0), lambda s, x: s + x).alias("top_share"), F.array_min("similarity").alias("min_similarity"), F.array_min("margin").alias("min_margin")) for name, nodes in (("core", core), ("extended", universe))]
     return rows[0].unionByName(rows[1])

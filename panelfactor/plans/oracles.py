@@ -212,7 +212,9 @@ DATES = {
 
 def oracle_sql() -> dict[str, str]:
     """SQL for each query that SQL can express."""
-    made = _sql()
+    from .factor_oracles import factor_sql
+
+    made = _sql() | factor_sql()
     shown = {name: ", ".join(f"{c}::VARCHAR AS {c}" for c in columns) for name, columns in DATES.items()}
     return {name: f"SELECT * REPLACE ({shown[name]}) FROM ({sql})" if name in shown else sql for name, sql in made.items()}
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import DataConfig, FactorConfig, ForecastConfig
 from ..functions.stats import distribution_table, hac_test
-from ..operators import factors, forecast, intervals, moments, panel, quality, risk, stability
+from ..operators import factors, forecast, intervals, moments, panel, quality, risk, stability, tsqr
 from ..schema import DATE, PANEL, POS, Nodes
 from ..sources.panels import canonical_digest, read_parquet_panel
 
@@ -262,7 +262,7 @@ def bootstrap_stability(spark, sf):
 
 def block_sensitivity(spark, sf):
     c = seven(spark, sf)
-    return rounded(stability.block_sensitivity(stability.bootstrap_summary(stability.bootstrap(c, factors.fit(c, SEVEN), SEVEN, FACTOR_DEFAULTS.sensitivity_replications, (4, 13, 26), seed=SEED), 3, SEED)))
+    return rounded(stability.block_sensitivity(stability.bootstrap_summary(stability.bootstrap(c, factors.fit(c, SEVEN), SEVEN, FACTOR_DEFAULTS.bootstrap_sensitivity_replications, (4, 13, 26), seed=SEED), 3, SEED)))
 
 
 def oos_reconstruction(spark, sf):
@@ -414,7 +414,41 @@ def first_factor_assessment(spark, sf):
     return quality.assessment(_health_three(spark, sf), quality_checks(spark, sf).where(F.col("measured_on") != "source"))
 
 
-WITH_SQL = (panel_daily, weekly_curve, weekly_curve_drop, weekly_changes, gap_histogram, change_validity, quality_figures, covariance, covariance_recent, eigenvalues, eigen_trace, first_projector, first_reconstruction, pnl, pnl_attribution, variance_sources, worst_scenarios, tail_summary, var_backtest, var_backtest_tests, mean_forecast, forecast_metrics, clark_west, node_ar1, interval_hits, interval_coverage, joint_hits, distribution, content_digest, event_gaps, quality_checks, first_factor_rolling, first_factor_sequential, first_factor_oos, first_factor_regimes, first_factor_recency, first_factor_scenarios, specification_shares, calibration_three, walk_forward_baselines, gate_evidence, first_factor_health, first_factor_assessment)
+# ---- whole models of three nodes, by projectors --------------------------------------------------
+
+
+def spectrum_by_qr(spark, sf):
+    """Eigenvalues of the weekly changes by the QR tree, which forms no covariance."""
+    return rounded(tsqr.spectrum_table(tsqr.spectrum(three(spark, sf), THREE.names)), 4)
+
+
+def two_factor_rolling(spark, sf):
+    c = three(spark, sf)
+    t = stability.rolling(c, factors.fit(c, THREE), THREE, 104, k=2)
+    pick = [F.col(name)[j].alias(f"{short}_{j + 1}") for name, short in (("cosines", "cosine"), ("matched", "matched")) for j in range(2)]
+    return rounded(t.select(PANEL, "window_end", F.col("top_share").alias("share"), F.col("max_angle").alias("angle"), *pick), 3)
+
+
+def template_match(spark, sf):
+    return rounded(factors.component_table(factors.fit(three(spark, sf), THREE)).select(PANEL, "component", "label", "suggested_shape", "identified", "similarity", "margin"), 3)
+
+
+def factor_ar1(spark, sf):
+    """Errors of the factor AR(1) walk with all three factors, by node."""
+    made = forecast.walk_forward(three(spark, sf), THREE, TRAIN).where(F.col("model") == forecast.AR)
+    e = F.col("fitted") - F.col("actual")
+    return rounded(made.groupBy(PANEL, "node").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.avg("fitted").alias("mean_forecast")), 4)
+
+
+def latest_mean_bands(spark, sf):
+    """Bands of the next level around the historical mean."""
+    weekly = three_weekly(spark, sf)
+    c = panel.changes(weekly, THREE.names)
+    chosen = c.select(PANEL).distinct().withColumns({"model": F.lit(forecast.MEAN), "selected": F.lit(True)})
+    return rounded(intervals.latest_bands(mean_residuals(spark, sf), forecast.latest_forecast(weekly, c, chosen, THREE), HISTORY), 5)
+
+
+WITH_SQL = (panel_daily, weekly_curve, weekly_curve_drop, weekly_changes, gap_histogram, change_validity, quality_figures, covariance, covariance_recent, eigenvalues, eigen_trace, first_projector, first_reconstruction, pnl, pnl_attribution, variance_sources, worst_scenarios, tail_summary, var_backtest, var_backtest_tests, mean_forecast, forecast_metrics, clark_west, node_ar1, interval_hits, interval_coverage, joint_hits, distribution, content_digest, event_gaps, quality_checks, first_factor_rolling, first_factor_sequential, first_factor_oos, first_factor_regimes, first_factor_recency, first_factor_scenarios, specification_shares, calibration_three, walk_forward_baselines, gate_evidence, first_factor_health, first_factor_assessment, spectrum_by_qr, two_factor_rolling, template_match, factor_ar1, latest_mean_bands)
 KERNELS = (factor_loadings, specifications, rolling_stability, sequential_stability, bootstrap_stability, block_sensitivity, oos_reconstruction, method_regimes, recency_comparison, algebra_checks, walk_forward_metrics, adoption_gate, interval_evidence, latest_bands, factor_scenarios, hedge, calibration, model_health, overall_assessment)
 
 

@@ -5,29 +5,23 @@ from __future__ import annotations
 import contextlib
 import gzip
 import hashlib
+import importlib.resources
 import io
 import json
 import os
 import time
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from urllib.parse import urlencode
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DataConfig
-from ..operators import panel
+from ..operators import panel, quality
 from ..schema import DATE, PANEL, Nodes
-
-
-class SourceUnavailable(RuntimeError):
-    """The live source could not be reached: a snapshot may stand in."""
-
-
-class PayloadInvalid(ValueError):
-    """The live source answered with something that can't be used: nothing may stand in."""
+from .live import BASE, INVALID, UNAVAILABLE, PayloadInvalid, SourceUnavailable, http_fetch, live_source
 
 
 @dataclass(frozen=True)
@@ -52,7 +46,7 @@ def read_csv_panel(spark: SparkSession, path: str, nodes: Nodes, config: DataCon
     raw = spark.read.option("header", True).csv(path)
     typed, defects = panel.parse_panel(raw, nodes, config.start_date, config.end_date)
     panel.refuse_defects(defects)
-    if not panel.complete(typed, config.core_nodes).limit(1).count():
+    if not panel.complete(typed, config.core_tenors).limit(1).count():
         raise ValueError("no day has all core nodes")
     return typed
 
@@ -95,26 +89,52 @@ def unpacked_digest(spark: SparkSession, path: str, most: int) -> tuple[int, str
     return int(r.n), r.sha, int(r.columns)
 
 
+#: Keys of a snapshot's manifest and its unit (fixed values: manifests in use must load).
+MANIFEST = ("compressed_bytes", "compressed_sha256", "uncompressed_bytes", "uncompressed_sha256", "rows_excluding_header", "columns", "first_date", "last_date", "units", "series_ids")
+UNITS, CREATED = "percent_per_annum", "snapshot_created_at_utc"
+
+
+def resolve_snapshot(config: DataConfig, root: str | None = None, package: str = "panelfactor.resources") -> tuple[str, str]:
+    """Paths of the snapshot and its manifest: those of the settings (from ``root`` on), or the ones that ``package`` brings.
+
+    The package stands in only if the files are absent and both settings are the defaults.
+    """
+    at = lambda path: os.path.join(root, path) if root else path
+    told = (at(config.snapshot_path), at(config.manifest_path))
+    if all("://" in p or os.path.isfile(p) for p in told):
+        return told
+    default = DataConfig()
+    if (config.snapshot_path, config.manifest_path) == (default.snapshot_path, default.manifest_path):
+        try:
+            inside = [str(importlib.resources.files(package).joinpath(os.path.basename(p))) for p in told]
+        except ModuleNotFoundError:
+            inside = []
+        if inside and all(map(os.path.isfile, inside)):
+            return inside[0], inside[1]
+    raise FileNotFoundError(f"the snapshot or its manifest is missing: {told[0]}, {told[1]}")
+
+
 def read_snapshot(spark: SparkSession, path: str, manifest_path: str, nodes: Nodes, config: DataConfig) -> tuple[DataFrame, Provenance]:
-    """A frozen CSV whose size, hash, rows, dates, units, series and creation time match its manifest."""
+    """A frozen CSV whose size, hash, unpacked content, rows, dates, units, series and creation time match its manifest."""
     m = read_manifest(spark, manifest_path)
+    if absent := [k for k in MANIFEST if k not in m]:
+        raise ValueError(f"the manifest lacks {absent}")
+    created = m.get(CREATED)
+    if m["units"] != UNITS or tuple(m["series_ids"]) != nodes.series_ids or m["columns"] != len(nodes.names) + 1 or (created is not None and datetime.fromisoformat(created).tzinfo is None):
+        raise ValueError("the manifest describes another series")
     size, sha = file_digest(spark, path)
-    if size != m["compressed_bytes"] or sha != m["compressed_sha256"]:
+    if size > config.maximum_response_bytes or size != m["compressed_bytes"] or sha != m["compressed_sha256"]:
         raise ValueError("the snapshot's bytes don't match its manifest")
-    if "uncompressed_bytes" in m or "uncompressed_sha256" in m:
-        n, unpacked, columns = unpacked_digest(spark, path, config.maximum_response_bytes)
-        if (n, unpacked) != (m.get("uncompressed_bytes"), m.get("uncompressed_sha256")) or columns != m.get("columns", columns):
-            raise ValueError("the snapshot's content doesn't match its manifest")
-    if m.get("units") != "percent per annum" or tuple(m["series"]) != nodes.series_ids or datetime.fromisoformat(m["created_at"]).tzinfo is None:
-        raise ValueError("the manifest describes another series")
+    if unpacked_digest(spark, path, config.maximum_response_bytes) != (m["uncompressed_bytes"], m["uncompressed_sha256"], m["columns"]):
+        raise ValueError("the snapshot's content doesn't match its manifest")
     raw = spark.read.option("header", True).csv(path)
     everything, defects = panel.parse_panel(raw, nodes, "0001-01-01", "9999-12-31")
     panel.refuse_defects(defects)
     n, first, last = everything.agg(F.count("*"), F.min(DATE), F.max(DATE)).first()
-    if (n, str(first), str(last)) != (m["rows"], m["first_date"], m["last_date"]):
+    if (n, str(first), str(last)) != (m["rows_excluding_header"], m["first_date"], m["last_date"]):
         raise ValueError("the snapshot's rows don't match its manifest")
     typed = everything.where(F.col(DATE).between(config.start_date, config.end_date))
-    return typed, Provenance("SNAPSHOT", path, sha, m["created_at"], n, str(first), str(last))
+    return typed, Provenance("SNAPSHOT", path, sha, created or "", n, str(first), str(last))
 
 
 def query_identity(config: DataConfig, nodes: Nodes) -> str:
@@ -122,41 +142,26 @@ def query_identity(config: DataConfig, nodes: Nodes) -> str:
     return hashlib.sha256(json.dumps([config.start_date, config.end_date, nodes.series_ids]).encode()).hexdigest()[:16]
 
 
-def fetch_live(fetch, config: DataConfig, nodes: Nodes, base: str, sleep=time.sleep) -> bytes:
-    """Payload of ``fetch(url, timeout)``, tried again with doubling pauses of at most four seconds.
+def fetch_live(spark: SparkSession, fetch, config: DataConfig, nodes: Nodes, base: str, sleep=time.sleep) -> bytes:
+    """The live panel through the ``panel_live`` data source, as one payload of at most ``maximum_response_bytes``.
 
-    Errors of ``fetch`` mean unavailable; a payload over the size limit or without the date column is invalid.
+    Workers ask for its ranges of dates; rows come together here, in order of date, since the cache keeps them as one file.
     """
-    url = f"{base}?{urlencode({'id': ','.join(nodes.series_ids), 'cosd': config.start_date, 'coed': config.end_date})}"
-    error: Exception | None = None
-    for attempt in range(config.request_retries):
-        try:
-            payload = fetch(url, config.request_timeout_seconds)
-        except OSError as e:
-            error = e
-            sleep(min(4.0, 0.5 * 2**attempt))
-            continue
-        if len(payload) > config.maximum_response_bytes:
-            raise PayloadInvalid("the payload is larger than allowed")
-        if not payload.lstrip(b"\xef\xbb\xbf").split(b",", 1)[0].strip() in (b"observation_date", b"DATE", b"Date"):
-            raise PayloadInvalid("the payload is no panel")
-        return payload
-    raise SourceUnavailable(f"no answer after {config.request_retries} tries: {error}")
-
-
-def http_fetch(most: int):
-    """A fetch(url, timeout) over the network; a declared length or a body beyond ``most`` bytes is refused."""
-
-    def fetch(url: str, timeout: float) -> bytes:
-        from urllib.request import Request, urlopen
-
-        with urlopen(Request(url, headers={"User-Agent": "panelfactor"}), timeout=timeout) as answer:  # noqa: S310  the base address is a constant
-            declared = answer.headers.get("Content-Length")
-            if declared is not None and (not declared.isdigit() or int(declared) > most):
-                raise PayloadInvalid("the declared length is larger than allowed")
-            return answer.read(most + 1)
-
-    return fetch
+    spark.dataSource.register(live_source(fetch, sleep))
+    options = {"ids": ",".join(nodes.series_ids), "start": config.start_date, "end": config.end_date, "base": base, "timeout": config.request_timeout_seconds, "retries": config.retries, "maximum_bytes": config.maximum_response_bytes}
+    rows = spark.read.format("panel_live").options(**{k: str(v) for k, v in options.items()}).load()
+    try:
+        lines = [",".join(x or "" for x in r) for r in rows.orderBy("observation_date").toLocalIterator()]
+    except PySparkException as e:
+        told = str(e)
+        for word, kind in ((UNAVAILABLE, SourceUnavailable), (INVALID, PayloadInvalid)):
+            if word in told:
+                raise kind(told[told.index(word) :].splitlines()[0]) from e
+        raise
+    payload = "\n".join([",".join(rows.columns), *lines, ""]).encode()
+    if len(payload) > config.maximum_response_bytes or not lines:
+        raise PayloadInvalid(f"{INVALID}: no rows" if not lines else f"{INVALID}: larger than allowed")
+    return payload
 
 
 @contextlib.contextmanager
@@ -209,22 +214,8 @@ def read_cache(folder: str, key: str, config: DataConfig, now: datetime) -> tupl
         return None
 
 
-def read_live(spark: SparkSession, config: DataConfig, nodes: Nodes, fetch, folder: str, base: str = "https://fred.stlouisfed.org/graph/fredgraph.csv", now: datetime | None = None, sleep=time.sleep) -> tuple[DataFrame, Provenance]:
-    """The panel of a live source through its cache folder (a local folder of the driver; in it Spark reads one small file)."""
-    now = now or datetime.now(timezone.utc)
-    key = query_identity(config, nodes)
-    cached = read_cache(folder, key, config, now) if config.use_cache else None
-    if cached:
-        mode, (path, acquired) = "LOCAL_CACHE", cached
-        with open(path, "rb") as f:
-            payload = f.read()
-    else:
-        payload, acquired = fetch_live(fetch, config, nodes, base, sleep), now.isoformat()
-        mode = "LIVE"
-        try:
-            write_cache(folder, key, payload, acquired)
-        except OSError:
-            mode = "LIVE_NO_CACHE"
+def _parsed(spark: SparkSession, payload: bytes, nodes: Nodes, config: DataConfig) -> DataFrame:
+    """The typed panel of a payload; PayloadInvalid if it is none."""
     lines = payload.decode("utf-8-sig").splitlines()
     header, body = lines[0].split(","), [x.split(",") for x in lines[1:] if x]
     if any(len(x) != len(header) for x in body) or not body:
@@ -235,22 +226,62 @@ def read_live(spark: SparkSession, config: DataConfig, nodes: Nodes, fetch, fold
         panel.refuse_defects(defects)
     except ValueError as e:
         raise PayloadInvalid(str(e)) from e
+    return typed
+
+
+def passes_quality(daily: DataFrame, nodes: Nodes, config: DataConfig, as_of: str) -> bool:
+    """Whether a panel, as it is now, passes every quality check that can fail."""
+    core = nodes.subset(config.core_tenors).names
+    weekly = panel.weekly_curve(daily, core, config.anchor, config.boundary_week_policy, config.start_date, config.end_date)
+    metrics = quality.quality_metrics(daily, weekly, panel.changes(weekly, core), nodes, core, config.anchor, config.boundary_week_policy, config.start_date, config.end_date)
+    checks = quality.quality_checks(metrics, config, "LOCAL_CACHE", as_of)
+    return checks.limit(1).count() > 0 and not checks.where("status = 'FAIL'").limit(1).count()
+
+
+def read_live(spark: SparkSession, config: DataConfig, nodes: Nodes, fetch, folder: str, base: str = BASE, now: datetime | None = None, sleep=time.sleep, as_of: str | None = None) -> tuple[DataFrame, Provenance]:
+    """The panel of a live source (:mod:`.live`) through its cache folder, a local one of the driver.
+
+    A cached payload counts only if it is whole, of this query, young enough, parses, and passes the quality checks of ``as_of``
+    (none: today); any defect is a miss.
+    """
+    now = now or datetime.now(timezone.utc)
+    key = query_identity(config, nodes)
+    cached = read_cache(folder, key, config, now) if config.use_cache else None
+    typed = None
+    if cached:
+        mode, (path, acquired) = "LOCAL_CACHE", cached
+        with open(path, "rb") as f:
+            payload = f.read()
+        try:
+            typed = _parsed(spark, payload, nodes, config)
+            typed = typed if passes_quality(typed, nodes, config, as_of or now.date().isoformat()) else None
+        except (PayloadInvalid, UnicodeDecodeError):
+            typed = None
+    if typed is None:
+        payload, acquired = fetch_live(spark, fetch, config, nodes, base, sleep), now.isoformat()
+        typed = _parsed(spark, payload, nodes, config)
+        mode = "LIVE_FRED"
+        try:
+            write_cache(folder, key, payload, acquired)
+        except OSError:
+            mode = "LIVE_FRED_NO_CACHE"
     n, first, last = typed.agg(F.count("*"), F.min(DATE), F.max(DATE)).first()
     return typed, Provenance(mode, base, hashlib.sha256(payload).hexdigest(), acquired, n, str(first), str(last))
 
 
 def read_source(spark: SparkSession, config: DataConfig, nodes: Nodes, snapshot: tuple[str, str] | None = None, fetch=None, folder: str = "cache", **live) -> tuple[DataFrame, Provenance]:
-    """The configured source; a snapshot stands in for a live source only if that can't be reached."""
+    """The configured source; a snapshot stands in for a live source only if that can't be reached.
+
+    ``snapshot``: file and manifest in place of the settings' (:func:`resolve_snapshot`).
+    """
     if config.source_mode == "snapshot":
-        if not snapshot:
-            raise ValueError("the snapshot source needs a file and its manifest")
-        return read_snapshot(spark, *snapshot, nodes, config)
+        return read_snapshot(spark, *(snapshot or resolve_snapshot(config)), nodes, config)
     try:
         return read_live(spark, config, nodes, fetch, folder, **live)
     except SourceUnavailable as e:
-        if config.source_mode == "live" or not snapshot:
+        if config.source_mode == "live":
             raise
-        rows, p = read_snapshot(spark, *snapshot, nodes, config)
+        rows, p = read_snapshot(spark, *(snapshot or resolve_snapshot(config)), nodes, config)
         return rows, Provenance("SNAPSHOT_FALLBACK", p.location, p.sha256, p.acquired_at, p.rows, p.first_date, p.last_date, str(e))
 
 

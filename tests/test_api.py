@@ -41,7 +41,7 @@ def test_the_verbs_work_together(spark, curve):
     assert fit.score_unit.startswith("hundredths") and fit.components(3).count() == 3
     assert {fit.component_of(s).first().component for s in factors.SHAPES} == {1, 2, 3}
     dv01 = spark.createDataFrame([("curve", n, 1000.0) for n in data.nodes.names], "panel string, node string, dv01 double")
-    got = panelfactor.map_linear_curve_risk(data.changes, dv01, fit, panelfactor.RiskConfig(historical_window_weeks=104, minimum_backtest_observations=100))
+    got = panelfactor.map_linear_curve_risk(data.changes, dv01, fit, panelfactor.RiskConfig(historical_window_weeks=104, minimum_var_backtest_observations=100))
     assert got.tables["worst_scenarios"].count() == 10
     with pytest.raises(ValueError):
         panelfactor.map_linear_curve_risk(data.changes, dv01, fit, k=0)
@@ -70,11 +70,11 @@ def test_command_line_sources_and_settings(spark, curve, tmp_path, capsys):
     payload = (at / "curve.csv").read_bytes().replace(b"Date,", b"observation_date,", 1)
     for tenor, series in zip(TREASURY.names, TREASURY.series_ids, strict=True):
         payload = payload.replace(f",{tenor}".encode() + (b"," if tenor != "30Y" else b"\n"), f",{series}".encode() + (b"," if tenor != "30Y" else b"\n"), 1)
-    asked = []
     argv = ["--source-mode", "live", "--start", "2015-01-01", "--end", end, "--policy", "include_and_flag", "--cache", str(tmp_path / "cache"), "--maximum-staleness-days", "9000", "--skip-forecast", "--dump-effective-config", str(tmp_path / "in-force.json"), "--output", str(tmp_path / "runs")]
-    code = cli.main(argv, spark, fetch=lambda url, timeout: asked.append(url) or payload)
+    code = cli.main(argv, spark, fetch=lambda url, timeout: payload)
     told = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert len(asked) == 1 and json.loads((tmp_path / "in-force.json").read_text())["data"]["maximum_staleness_days"] == 9000
+    in_force = json.loads((tmp_path / "in-force.json").read_text())
+    assert in_force["data"]["maximum_staleness_days"] == 9000 and in_force["forecast"]["enabled"] is False
     # 159 changes are fewer than the default settings ask for: told and logged, not hidden
     assert code == 2 and "Changes" in told["error"] and (tmp_path / "cache").is_dir()
 

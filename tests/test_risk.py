@@ -114,3 +114,16 @@ def test_hedges_are_refused(spark, book):
     assert "redundant" in risk.hedge(model, dv01, instruments(spark, same), NODES, (-9.0, 9.0), 9.0).first().refused
     tiny = {"a": np.eye(9)[3] * 1e-9}
     assert "floor" in risk.hedge(model, dv01, instruments(spark, tiny), NODES, (-9.0, 9.0), 9.0).first().refused
+
+
+def test_instruments_are_read_strictly(spark, tmp_path):
+    from panelfactor.sources import positions
+
+    at = tmp_path / "hedges.csv"
+    at.write_text("instrument,tenor,dv01_usd_per_bp\na,2Y,100\na,10Y,-5.5\n b ,5Y,7\n")
+    told = {(r.instrument, r.node): r.dv01 for r in positions.read_instruments(spark, str(at), NODES).collect()}
+    assert len(told) == 18 and told["a", "2Y"] == 100 and told["a", "10Y"] == -5.5 and told["b", "5Y"] == 7 and told["b", "2Y"] == 0
+    for bad in ("instrument,tenor,dv01\na,2Y,1\n", "instrument,tenor,dv01_usd_per_bp\na,2Y,x\n", "instrument,tenor,dv01_usd_per_bp\na,2Y,1\na,2Y,2\n", "instrument,tenor,dv01_usd_per_bp\na,9Y,1\n", "instrument,tenor,dv01_usd_per_bp\n,2Y,1\n"):
+        at.write_text(bad)
+        with pytest.raises(ValueError):
+            positions.read_instruments(spark, str(at), NODES)
