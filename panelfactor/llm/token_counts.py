@@ -56,7 +56,28 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     flat = docs.select(F.col("text").cast("string")).mapInArrow(run, "value binary")
     # the encoding is that of the line separator alone; values are written as the bytes that they are
     end = "\xff" * width
-    flat.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", end).text(path)
+    flat.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", end).option("compression", "none").text(path)
+
+
+#: Schemes of stores under the names that pyarrow has for them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "viewfs": "hdfs"}
+
+
+def _opened(uri: str):
+    """File system and path of a file; ArrowInvalid or an OSError where pyarrow can't reach its store."""
+    scheme, found, rest = uri.partition(":")
+    if found and scheme in SCHEMES:
+        uri = f"{SCHEMES[scheme]}:{rest}"
+    return fs.FileSystem.from_uri(uri)
+
+
+def reaches(uri: str) -> bool:
+    """Whether workers can read ranges of such a file themselves; else Spark reads it for them, whole."""
+    try:
+        system, at = _opened(uri)
+        return system.get_file_info(at).type == fs.FileType.File
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
 
 
 def file_ranges(spark: SparkSession, path: str, block_bytes: int = BLOCK) -> DataFrame:
@@ -67,29 +88,46 @@ def file_ranges(spark: SparkSession, path: str, block_bytes: int = BLOCK) -> Dat
     return ranges.select("file", "block", F.least(F.lit(block_bytes), F.col("length") - F.col("block") * block_bytes).cast("long").alias("size"))
 
 
+def _figures(file: str, block: int, raw, separator: int, width: int) -> pa.RecordBatch:
+    """One block's row."""
+    tokens = np.frombuffer(raw, np.dtype(f"<u{width}"), len(raw) // width)
+    found = np.flatnonzero(tokens == separator)
+    columns = [[file], [block], [len(tokens)], [len(found)], [int(found[-1]) if len(found) else None]]
+    lists = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(np.diff(found, prepend=-1) - 1))
+    kinds = [pa.string(), *[pa.int64()] * 4]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), lists], names=[x.split()[0] for x in _SCANNED.split(", ")])
+
+
 def scan_blocks(ranges: DataFrame, separator: int, width: int = WIDTH, block_bytes: int = BLOCK) -> DataFrame:
     """Figures of each block: n (tokens), separators, last (place of the last one), counts (tokens before each one in this block).
 
     Bytes at the end of a file that make no whole token are no token.
     """
-    dtype = np.dtype(f"<u{width}")
 
     def scan(batches):
         for batch in batches:
             for file, block, size in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "size")), strict=True):
-                system, at = fs.FileSystem.from_uri(file)
+                system, at = _opened(file)
                 with system.open_input_file(at) as handle:
-                    raw = handle.read_at(size, block * block_bytes)
-                tokens = np.frombuffer(raw, dtype, len(raw) // width)
-                found = np.flatnonzero(tokens == separator)
-                columns = [[file], [block], [len(tokens)], [len(found)], [int(found[-1]) if len(found) else None]]
-                lists = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(np.diff(found, prepend=-1) - 1))
-                kinds = [pa.string(), *[pa.int64()] * 4]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), lists], names=[x.split()[0] for x in _SCANNED.split(", ")])
+                    yield _figures(file, block, handle.read_at(size, block * block_bytes), separator, width)
 
     return ranges.mapInArrow(scan, _SCANNED)
 
 
+def scan_files(spark: SparkSession, path: str, separator: int, width: int = WIDTH, block_bytes: int = BLOCK) -> DataFrame:
+    """:func:`scan_blocks` where only Spark reaches the store: its reader hands over whole files (below 2 GB), cut into the same blocks."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
+
+    def scan(batches):
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                whole = content.as_buffer()
+                for block in range(-(-whole.size // block_bytes)):
+                    yield _figures(file, block, whole.slice(block * block_bytes, min(block_bytes, whole.size - block * block_bytes)), separator, width)
+
+    return files.mapInArrow(scan, _SCANNED)
+
+
 def token_counts(spark: SparkSession, path: str, separator: int | None = None, width: int = WIDTH, block_bytes: int = BLOCK) -> DataFrame:
     """file, ordinal (from 0 in its file), n_tokens (without the separator), ended (whether a separator follows) of every document below ``path``.
 
@@ -99,10 +137,16 @@ def token_counts(spark: SparkSession, path: str, separator: int | None = None, w
     """
     if block_bytes % width:
         raise ValueError("blocks hold whole tokens")
+    separator = end_of_document(width) if separator is None else separator
     ranges = file_ranges(spark, path, block_bytes)
-    n = ranges.count()
-    spread = ranges.repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism + n // 16)), "file", "block")
-    scanned = store.written(scan_blocks(spread, end_of_document(width) if separator is None else separator, width, block_bytes), "token-blocks")
+    first = ranges.select("file").first()
+    if first is None or reaches(first.file):
+        n = ranges.count()
+        spread = ranges.repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism + n // 16)), "file", "block")
+        scanned = scan_blocks(spread, separator, width, block_bytes)
+    else:
+        scanned = scan_files(spark, path, separator, width, block_bytes)
+    scanned = store.written(scanned, "token-blocks")
 
     w = Window.partitionBy("of").orderBy("at")  # rows: a few numbers for each block of a file
     before = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -153,3 +153,17 @@ def test_the_query_counts_all_documents(spark):
     texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = sorted(len(x.ids) for x in lib.encode_batch(texts, add_special_tokens=False))
     assert sorted(r.n_tokens for r in token_counts.op3_token_counts(spark, SF).collect()) == want
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_files_of_a_store_that_only_spark_reaches(spark, tmp_path, monkeypatch, block):
+    """The same rows when Spark hands the files over; and the stores' other names are known to both ways."""
+    tokens = np.random.default_rng(4).integers(0, 4, 150).astype("<u2")
+    tokens[tokens == 3] = 65535
+    (tmp_path / "a").write_bytes(tokens.tobytes() + b"x")
+    (tmp_path / "b").write_bytes(tokens[:40].tobytes())
+    read = lambda: sorted(map(tuple, token_counts.token_counts(spark, f"file://{tmp_path}", block_bytes=block).collect()))
+    ours = read()
+    assert token_counts.reaches(f"file://{tmp_path}/a") and not token_counts.reaches("dbfs:/x/a") and not token_counts.reaches(f"file://{tmp_path}/none")
+    monkeypatch.setattr(token_counts, "reaches", lambda uri: False)
+    assert read() == ours and len(ours) == int((tokens == 65535).sum() + (tokens[:40] == 65535).sum()) + (tokens[-1] != 65535) + (tokens[39] != 65535)
