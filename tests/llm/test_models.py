@@ -242,7 +242,7 @@ def plain_discriminant(x, y, held, to_pooled=0.3, to_diagonal=0.1):
     for row in (x - centre) / scale:
         log = {}
         for c, p in own.items():
-            cov = 0.7 * np.cov(p.T) + to_pooled * pooled
+            cov = (1 - to_pooled) * np.cov(p.T) + to_pooled * pooled
             cov = (1 - to_diagonal) * cov + to_diagonal * np.diag(np.diag(cov)) + 1e-3 * np.eye(len(cov))
             d = row - p.mean(axis=0)
             log[c] = -0.5 * d @ np.linalg.solve(cov, d) - 0.5 * np.linalg.slogdet(cov)[1] + np.log(len(p) / len(z))
@@ -267,5 +267,13 @@ def test_shrunk_model_and_whole_query_equal_a_plain_version(spark):
     assert (got.held_out.to_numpy() == held).all() and np.allclose(got.score, want, atol=1e-8)
     clear = np.abs(want - 0.5) > 1e-8
     assert (got.predicted.to_numpy()[clear] == (want >= 0.5)[clear]).all()
-    # the shrinkage matters: without it scores differ
-    assert np.abs(plain_discriminant(x, y, held, 0.3, 0.0) - want).max() > 1e-4
+
+
+def test_shrinkage_equals_a_plain_version_where_classes_overlap():
+    rng = np.random.default_rng(8)
+    x = np.r_[rng.normal(0, 1, (25, 6)), rng.normal(0.4, 1.5, (30, 6)) @ rng.normal(size=(6, 6))]
+    y, none = np.r_[np.zeros(25, int), np.ones(30, int)], np.zeros(55, bool)
+    got = quality_classifier.Discriminant(x, y).scores(x)
+    assert np.allclose(got, plain_discriminant(x, y, none), atol=1e-10) and ((got > 0.01) & (got < 0.99)).sum() > 20
+    for other in ((0.0, 0.1), (0.3, 0.0)):  # both shrinkages count
+        assert np.abs(quality_classifier.Discriminant(x, y, *other).scores(x) - got).max() > 1e-3
