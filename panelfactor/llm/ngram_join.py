@@ -47,6 +47,8 @@ from .textkernel import blocks, mix, row_sets, shingles
 SIZE, PERCENT = 5, 75
 #: Tokens that a task packs at once; tokens of one range; members of one tree before it is cut; bits of a bitmap; children of a node.
 PACK, GROUP_TOKENS, BUCKET, BITS, FAN = 1_000_000, 1_000_000, 4_096, 1_024, 8
+#: Bytes of tokens in one bucket of sets at most, and Spark's bound on buckets.
+BUCKET_BYTES, MAX_BUCKETS = 64 << 20, 100_000
 #: Rows of postings in one group of trees, and pairs of nodes looked at at once.
 GROUP_POSTINGS, PAIRS = 60_000, 50_000
 #: A token in MIN_HOT sets or more is sent past the grouping, at any size of corpus, so a group holds at most about MIN_HOT postings of
@@ -292,8 +294,11 @@ def _linked(percent: int):
 
 
 def verified(pairs: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that link, by exact overlap."""
-    s, t = (store.again(survivors).select(F.col("set_id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+    """The pairs (a, b) of set ids that link, by exact overlap.
+
+    Survivors lie in buckets by set: pairs go to them, and tokens are shuffled once, those of a to the bucket of b.
+    """
+    s, t = (survivors.select(F.col("set_id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
     joined = pairs.join(s, F.col("a") == F.col("id_a")).join(t, F.col("b") == F.col("id_b")).select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
     return joined.mapInArrow(_linked(percent), "a long, b long")
 
@@ -366,7 +371,7 @@ def _trees(percent: int):
 
 def _tree_candidates(survivors: DataFrame, labels: DataFrame, percent: int, postings: int) -> DataFrame:
     """Pairs of sets of different classes that share a bucket and that no tree rules out."""
-    s = store.again(survivors).select("set_id", "n", "bits", (F.length("tokens") / 8).cast("long").alias("shared"), "prefix")
+    s = survivors.select("set_id", "n", "bits", (F.length("tokens") / 8).cast("long").alias("shared"), "prefix")
     named = s.join(labels.select(F.col("node"), F.col("root")), F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "set_id")).drop("node", "root")
     spread = named.withColumn("token", F.explode("prefix")).drop("prefix")
     buckets = spread.groupBy("token").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -416,7 +421,9 @@ class Classes:
 
         packed = slim.select("text").mapInArrow(_postings(size, parts, hot, split), _PACKED)
         shared = packed.groupBy("part").applyInArrow(_shared(parts), _SHARED)
-        survivors = store.written(shared.groupBy("part").applyInArrow(_survive(percent), _SURVIVORS), "join-survivors")
+        buckets = min(MAX_BUCKETS, max(spark.sparkContext.defaultParallelism, math.ceil(8 * tokens / BUCKET_BYTES)))
+        whole = shared.groupBy("part").applyInArrow(_survive(percent), _SURVIVORS)
+        survivors = store.bucketed(whole.repartition(buckets, "set_id"), "join-survivors", "set_id", buckets)  # a file for each bucket
         postings = survivors.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
 
         links = store.written(verified(_star_pairs(survivors, postings), survivors, percent), "star-links")
@@ -466,8 +473,8 @@ def _star_pairs(survivors: DataFrame, postings: int) -> DataFrame:
     """(a, b): each set with the hub of most of its buckets, if that is another set."""
     # tokens of its own take prefix places from a set: the more are left, the nearer it is to a group's middle
     left = (F.size("prefix") / F.col("n")).alias("left")
-    p = store.again(survivors).select("set_id", F.explode("prefix").alias("token"))
-    q = store.again(survivors).select("set_id", left, F.explode("prefix").alias("bucket"))
+    p = survivors.select("set_id", F.explode("prefix").alias("token"))
+    q = survivors.select("set_id", left, F.explode("prefix").alias("bucket"))
     hubs = q.groupBy("bucket").agg(F.max(F.struct("left", "set_id")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     hubs = store.written(hubs.select("bucket", "members", F.col("hub.left").alias("left"), F.col("hub.set_id").alias("hub")), "bucket-hubs")
     met = split_join(p, hubs, {"token": "bucket"}, "members", postings).groupBy("set_id", "hub").agg(F.count("*").alias("times"), F.max("left").alias("left"))
