@@ -40,7 +40,7 @@ OPTIONAL = ("extended_specifications", "hedge")
 
 @dataclass
 class Analysis:
-    """Result tables by name; none is computed before it is read. ``notes`` says why a table is absent."""
+    """Result tables by name: those that others start from are written already, the rest is computed when read. ``notes`` says why a table is absent."""
 
     tables: dict[str, DataFrame]
     assessment: DataFrame
