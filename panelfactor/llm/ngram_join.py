@@ -5,25 +5,30 @@ A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets l
 
 1. Sets. Equal sets are one set from here on (copies link trivially). A set's id is the first half of a
    128-bit hash of its tokens; ids under which the second halves differ are told apart by it.
-2. Token counts. All (token, set) postings are partitioned by range of token; a token of one set
-   only can't be shared. A set with more such tokens than a link allows (over a quarter) has no link
-   and is done; for the others the shared tokens return, with their counts. A task sends a set once,
-   however many copies it meets, and tokens that a sample shows to be very frequent go past the
-   grouping as shared and most frequent: which tokens those are changes no result, since prefixes
-   only need one order of tokens for all sets.
-3. Prefixes. With tokens ordered from rare to frequent, two linked sets share one of the first
+2. Screen. Three eighths of the token values, cut to a few bits, are sent by range with their row in
+   the flush. A set of which more of these values are met once than a link allows (over a quarter of all
+   its tokens) has no link. The others stand in a Bloom filter: what it or a cut lets pass too costs
+   time and changes no result.
+3. Token counts. The (token, set) postings of sets that passed are partitioned by range of token; a
+   token of one set only can't be shared. A set with more such tokens than a link allows is done; for
+   the others the shared tokens return, with their counts. A task sends a set once, however many copies
+   it meets, and tokens that a sample shows to be very frequent go past the grouping as shared and most
+   frequent: which tokens those are changes no result, since prefixes only need one order of tokens for
+   all sets.
+4. Prefixes. With tokens ordered from rare to frequent, two linked sets share one of the first
    n - ceil(3n/4) + 1 tokens of each; these make the trees' buckets.
-4. Stars. A bucket's hub is the member with the fewest tokens of its own, which edited copies of one
+5. Stars. A bucket's hub is the member with the fewest tokens of its own, which edited copies of one
    text have in common; each set is held against the hub that it shares most buckets with. True
    links merge the large groups of near copies without their pairs.
-5. Signature trees. In each bucket that still holds several classes the members, sorted by size, are
+6. Signature trees. In each bucket that still holds several classes the members, sorted by size, are
    leaves of a tree whose nodes hold OR-combined token bitmaps and size ranges; a dual traversal
    from the root drops pairs of nodes whose sizes can't match, that lie in one class, or whose
    largest possible overlap is too small. Buckets with many members are cut into a grid of cells.
    Pairs of leaves that remain are counted exactly.
-6. Classes are connected components of all links.
+7. Classes are connected components of all links.
 
-Postings travel as packed byte planes of many tokens, so the shuffle holds about eight bytes a token.
+Postings travel as packed byte planes of many tokens. The screen's name no set but the row in a flush,
+so that they take about four bytes each however many ranges there are.
 Ranges of tokens hold about GROUP_TOKENS each, however many there are. Joins whose key many rows may
 share (a set with many copies, a class, a token, a hub) send hot keys to the rows (:mod:`skew`).
 """
@@ -54,8 +59,14 @@ GROUP_POSTINGS, PAIRS = 60_000, 50_000
 #: A token in MIN_HOT sets or more is sent past the grouping, at any size of corpus, so a group holds at most about MIN_HOT postings of
 #: one token; such tokens are found in a sample that meets about SEEN of their sets. HOT_TOKENS bounds what is broadcast (8 bytes each).
 MIN_HOT, SEEN, HOT_TOKENS = 50_000, 64, 1_000_000
+#: The screen's share of token values, in what a link allows a set to hold alone; bits of a value beyond those that number all tokens.
+SCREEN, SPARE_BITS = 1.5, 7
+#: Bits of a slot of the filter of sets, bits for each set, and slots at most (128 MB); under FEW bits for each set everything passes instead.
+SLOT_BITS, SET_BITS, MAX_SLOTS, FEW = 1 << 19, 16, 2_048, 4
 
 _SETS = "doc_id long, text_key long, set_id long, twin long, n_shingles long"
+_SCREENED = "part long, block long, tokens binary, owners binary"
+_SCREEN_COUNTS = "block long, listed boolean, owners binary, counts binary"
 _PACKED = "part long, tokens binary, owners binary, sets binary, sizes binary"
 _SHARED = "part long, tokens binary, counts binary, sets binary, sizes binary, lengths binary"
 _SURVIVORS = "set_id long, n long, tokens binary, prefix array<long>, bits binary"
@@ -141,7 +152,147 @@ def _hot_tokens(slim: DataFrame, size: int, n_sets: int) -> np.ndarray:
     return np.sort(np.array([r.token for r in counted.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token").collect()], np.int64).view(np.uint64))
 
 
-def _postings(size: int, parts: int, hot, split: np.ndarray):
+def _screened(size: int, percent: int, parts: int, bits: int, hot, split: np.ndarray):
+    """Texts in; the screen's token values out, packed by range with their rows in the flush, and a list of its sets for each flush."""
+    share = min(1.0, max(1 / 16, SCREEN * (100 - percent) / 100))
+    limit, shift = np.uint64(min(2**64 - 1, int(share * 2.0**53) << 11)), np.uint64(64 - bits)
+    names = [x.split()[0] for x in _SCREENED.split(", ")]
+
+    def row(part, block, *blobs):
+        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block]), *(pa.array([x], pa.binary()) for x in blobs)], names=names)
+
+    def flush(number, tokens, owners, sets, sizes):
+        block = (TaskContext.get().partitionId() << 20) + number
+        tokens, owners, sets, sizes = map(np.concatenate, (tokens, owners, sets, sizes))
+        once = np.zeros(len(sets), bool)  # copies of a set are sent once
+        once[np.unique(sets, return_index=True)[1]] = True
+        new = once[owners]
+        tokens, owners = tokens[new], (np.cumsum(once) - 1)[owners[new]].astype(np.uint16 if once.sum() <= 1 << 16 else np.uint32)
+        sets, sizes = sets[once], sizes[once]
+        # so many of the values that are sent must be shared, if the rest of the set is
+        needed = np.maximum(0, np.bincount(owners, minlength=len(sets)) - (sizes - -(-percent * sizes // 100)))
+        yield row(parts + block, block, sets.tobytes(), _planes(np.concatenate((needed, sizes)).astype(np.uint32)))
+        order = np.argsort(tokens)
+        tokens, owners = tokens[order], owners[order]
+        cuts = np.searchsorted(_part(tokens, parts), np.arange(parts + 1))
+        tokens >>= shift
+        for k in np.flatnonzero(np.diff(cuts)):
+            own = slice(cuts[k], cuts[k + 1])
+            yield row(int(k), block, _pack_tokens(tokens[own]), _planes(owners[own]))
+
+    def run(batches):
+        held, total, rows, number = ([], [], [], []), 0, 0, 0
+        for batch in batches:
+            for b in blocks(batch.column("text")):
+                tokens, owner = shingle_sets(b, size)
+                ids, _, counts = _set_ids(tokens, owner, b.rows, split)
+                some = counts > 0
+                place = np.cumsum(some) - 1 + rows
+                sent = tokens < limit
+                if len(hot.value):  # frequent tokens are shared anyway
+                    sent &= hot.value[np.minimum(np.searchsorted(hot.value, tokens), len(hot.value) - 1)] != tokens
+                for x, y in zip(held, (tokens[sent], place[owner[sent]], ids[some], counts[some]), strict=True):
+                    x.append(y)
+                rows += int(some.sum())
+                total += int(sent.sum())
+                if total + rows >= PACK:
+                    yield from flush(number, *held)
+                    held, total, rows, number = ([], [], [], []), 0, 0, number + 1
+        if rows:
+            yield from flush(number, *held)
+
+    return run
+
+
+def _screen_counts(parts: int):
+    """Token values of one range in; for each flush out how many of a row's values are met more than once. Lists of sets pass as they are."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table["part"][0].as_py() >= parts:
+            out = [(b, True, t, o) for b, t, o in zip(*(table[c].to_pylist() for c in ("block", "tokens", "owners")), strict=True)]
+        else:
+            rows = range(table.num_rows)
+            tokens = [_unpack_tokens(table["tokens"][k].as_buffer()) for k in rows]
+            owners = [_owners(table["owners"][k].as_buffer(), len(t)).astype(np.int64) + (k << 32) for k, t in zip(rows, tokens, strict=True)]
+            tokens, owners = np.concatenate(tokens), np.concatenate(owners)
+            order = np.argsort(tokens)
+            tokens = tokens[order]
+            same = np.r_[False, tokens[1:] == tokens[:-1]]
+            places, counts = np.unique(owners[order[same | np.r_[same[1:], False]]], return_counts=True)
+            cuts = np.searchsorted(places >> 32, np.arange(table.num_rows + 1))
+            out = []
+            for k in np.flatnonzero(np.diff(cuts)):
+                own = slice(cuts[k], cuts[k + 1])
+                out.append((table["block"][int(k)].as_py(), False, _planes((places[own] & 0xFFFFFFFF).astype(np.uint32)), _planes(counts[own].astype(np.uint32))))
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _SCREEN_COUNTS.split(", ")])
+
+    return run
+
+
+def _screen_passes(table: pa.Table) -> pa.Table:
+    """One flush's counts in; the sets that may have a link out, with their sizes."""
+    listed = table["listed"].to_pylist()
+    sets = np.frombuffer(table["owners"][listed.index(True)].as_buffer(), np.int64)
+    needed, sizes = _unplanes(table["counts"][listed.index(True)].as_buffer(), np.uint32).astype(np.int64).reshape(2, -1)
+    shared = np.zeros(len(sets), np.int64)
+    for k, own in enumerate(listed):
+        if not own:
+            shared[_unplanes(table["owners"][k].as_buffer(), np.uint32)] += _unplanes(table["counts"][k].as_buffer(), np.uint32)
+    good = shared >= needed
+    return pa.table([pa.array(sets[good]), pa.array(sizes[good])], names=["set_id", "n"])
+
+
+def _slot_bits(ids: np.ndarray) -> list[np.ndarray]:
+    """The two bits of its slot that a set has."""
+    value = mix(ids.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
+    return [((value >> np.uint64(at)) % np.uint64(SLOT_BITS)).astype(np.int64) for at in (0, 32)]
+
+
+def _fill(slots: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["set_id"].to_numpy()
+        bits = np.zeros(SLOT_BITS, np.uint8)
+        for at in _slot_bits(ids):
+            bits[at] = 1
+        return pa.table([pa.array([int(ids[0] % slots)]), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["slot", "bits"])
+
+    return run
+
+
+def _passes(kept: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which sets the filter lets pass; all, if it has no slots."""
+    good = np.ones(len(ids), bool)
+    if len(kept):
+        for at in _slot_bits(ids):
+            good &= (kept[ids % len(kept), at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return good
+
+
+def _screen(slim: DataFrame, size: int, percent: int, tokens: int, hot, split: np.ndarray) -> tuple[np.ndarray, int]:
+    """The filter of the sets that may have a link, and about how many of all ``tokens`` it lets pass."""
+    parts = max(1, math.ceil(tokens / GROUP_TOKENS))
+    bits = min(64, tokens.bit_length() + SPARE_BITS)
+    counts = slim.select("text").mapInArrow(_screened(size, percent, parts, bits, hot, split), _SCREENED).groupBy("part").applyInArrow(_screen_counts(parts), _SCREEN_COUNTS)
+    passed = store.written(counts.groupBy("block").applyInArrow(_screen_passes, "set_id long, n long").distinct(), "screened-sets")
+    n, sent = passed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n * FEW > SLOT_BITS * MAX_SLOTS:
+        return np.empty((0, SLOT_BITS // 8), np.uint8), tokens
+    slots = min(MAX_SLOTS, max(1, math.ceil(n * SET_BITS / SLOT_BITS)))
+    kept = np.zeros((slots, SLOT_BITS // 8), np.uint8)
+    for r in store.again(passed).groupBy(F.pmod("set_id", F.lit(slots))).applyInArrow(_fill(slots), "slot long, bits binary").collect():
+        kept[r.slot] = np.frombuffer(r.bits, np.uint8)
+    store.drop(passed)
+    wrong = (np.bitwise_count(kept).sum() / (8 * kept.size)) ** 2
+    return kept, int(sent + wrong * max(0, tokens - sent))
+
+
+def _owners(raw: bytes, n: int) -> np.ndarray:
+    return _unplanes(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
+
+
+def _postings(size: int, parts: int, hot, split: np.ndarray, kept):
     def flush(number, tokens, owners, sets, sizes):
         tokens, owners = np.concatenate(tokens), np.concatenate(owners)
         sets, sizes = np.concatenate(sets), np.concatenate(sizes).astype(np.uint32)
@@ -173,9 +324,11 @@ def _postings(size: int, parts: int, hot, split: np.ndarray):
             for b in blocks(batch.column("text")):
                 tokens, owner = shingle_sets(b, size)
                 ids, _, counts = _set_ids(tokens, owner, b.rows, split)
-                for x, y in zip(held, (tokens, (owner + rows).astype(np.uint32), ids, counts), strict=True):
+                good = _passes(kept.value, ids)
+                mine, place = good[owner], np.cumsum(good) - 1 + rows
+                for x, y in zip(held, (tokens[mine], place[owner[mine]].astype(np.uint32), ids[good], counts[good]), strict=True):
                     x.append(y)
-                total, rows = total + len(tokens), rows + b.rows
+                total, rows = total + int(mine.sum()), rows + int(good.sum())
                 if total >= PACK:
                     yield from flush(number, *held)
                     held, total, rows, number = ([], [], [], []), 0, 0, number + 1
@@ -417,9 +570,10 @@ class Classes:
             split = np.union1d(split, doubtful)
         self.total, tokens = self.sets.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
         hot = spark.sparkContext.broadcast(_hot_tokens(slim, size, self.total))
-        parts = max(1, math.ceil(tokens / GROUP_TOKENS))
+        kept, sent = _screen(slim, size, percent, tokens, hot, split)
+        parts, kept = max(1, math.ceil(sent / GROUP_TOKENS)), spark.sparkContext.broadcast(kept)
 
-        packed = slim.select("text").mapInArrow(_postings(size, parts, hot, split), _PACKED)
+        packed = slim.select("text").mapInArrow(_postings(size, parts, hot, split, kept), _PACKED)
         shared = packed.groupBy("part").applyInArrow(_shared(parts), _SHARED)
         buckets = min(MAX_BUCKETS, max(spark.sparkContext.defaultParallelism, math.ceil(8 * tokens / BUCKET_BYTES)))
         whole = shared.groupBy("part").applyInArrow(_survive(percent), _SURVIVORS)

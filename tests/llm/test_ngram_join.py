@@ -103,3 +103,16 @@ def test_frequent_tokens_are_found_at_a_fixed_number_of_sets(make, monkeypatch):
         rows = [(k, f"{often} number{k} only{k}") for k in range(60)] + [(1000 + k, f"other words of text {k} and {k} more {k}") for k in range(more)]
         slim = make(rows).selectExpr("doc_id", "text", "xxhash64(text) AS text_key")
         assert len(ngram_join._hot_tokens(slim, 5, len(rows))) == 1
+
+
+def test_texts_without_a_link_are_not_sent_whole(make, monkeypatch, spark):
+    """Unrelated texts shuffle under five bytes a token, though ranges of tokens are so many that a set has few tokens in each."""
+    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 2_000)
+    r = random.Random(5)
+    rows = [(k, " ".join(str(r.randrange(10**6)) for _ in range(204))) for k in range(600)]
+    rows.append((600, rows[7][1] + " more"))
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = sent()
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(make(rows)).collect()}
+    assert got == {k: 7 if k == 600 else k for k in range(601)}
+    assert 0 < sent() - before < 5 * 600 * 200
